@@ -5,19 +5,102 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import chat, langid, mixing, packing, quality, simhash, toxicity, urlfilter, vectordedup
+
+#: The rules that op6 judges by.
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectordedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"))
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = _table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    return quality.judge(_table(spark, sf_dir, "documents"), labels)
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.filter_urls(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(_table(spark, sf_dir, "documents"))
 
 
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"))
+
+
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_conversations(_table(spark, sf_dir, "conversations"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = _table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
+    return toxicity.judge(_table(spark, sf_dir, "documents"), labels)
+
+
 QUERIES = {
+    "op1_embedding_near_dedup": op1_embedding_near_dedup,
+    "op3_language_id": op3_language_id,
+    "op4_source_mixing": op4_source_mixing,
+    "op5_quality_classifier": op5_quality_classifier,
+    "op6_url_filter": op6_url_filter,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_chat_formatting": op9_chat_formatting,
+    "op10_toxicity": op10_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_RULES = """(VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')) r(h, p, v)"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op6_url_filter": f"""
+WITH u AS (
+  SELECT page_id, coalesce(url, '') AS url, strpos(coalesce(url, ''), '://') AS cut,
+         row_number() OVER () AS n
+  FROM pages),
+s AS (
+  SELECT page_id, n,
+         CASE WHEN cut = 0 THEN '' ELSE regexp_extract(substr(url, cut + 3), '^[^/?#]*') END AS host0,
+         CASE WHEN cut = 0 THEN '' ELSE substr(url, cut + 3) END AS rest
+  FROM u),
+t AS (
+  SELECT page_id, n, translate(host0, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(substr(rest, length(host0) + 1), '^[^?#]*') AS path
+  FROM s),
+m AS (
+  SELECT n, max_by(r.h || r.p, length(r.h || r.p)) AS rule, max_by(r.v, length(r.h || r.p)) AS v
+  FROM t JOIN {_RULES} ON (t.host = r.h OR ends_with(t.host, '.' || r.h)) AND (starts_with(t.path, r.p) OR r.p = '/')
+  GROUP BY n)
+SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM t LEFT JOIN m USING (n)""",
+    "op9_chat_formatting": """
+WITH calls AS (
+  SELECT conv_id, CAST(turn AS VARCHAR) AS call_id, turn AS place,
+         min(CAST(to_json(coalesce(text, '')) AS VARCHAR)) AS prompt
+  FROM conversations WHERE role = 'user' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id, turn),
+results AS (
+  SELECT conv_id, CAST(turn - 1 AS VARCHAR) AS call_id, min(coalesce(text, '')) AS content
+  FROM conversations WHERE role = 'assistant' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id, turn)
+SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id, 0 AS level, place,
+       CASE WHEN prompt IS NULL THEN 'no_call' WHEN content IS NULL THEN 'no_result' ELSE 'linked' END AS status,
+       CASE WHEN prompt IS NOT NULL THEN regexp_matches(prompt, '^"[\\s\\S]*\\S[\\s\\S]*"$') END AS valid,
+       '{' || concat_ws(',', '"arguments":{"prompt":' || prompt || ',"turn":' || place || '}',
+                        '"id":"' || coalesce(c.call_id, r.call_id) || '"',
+                        CASE WHEN prompt IS NOT NULL THEN '"name":"reply"' END,
+                        '"result":' || CAST(to_json(content) AS VARCHAR)) || '}' AS json
+FROM calls c FULL JOIN results r ON c.conv_id = r.conv_id AND c.call_id = r.call_id""",
+}
