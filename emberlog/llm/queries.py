@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, mixing, packing, quality, simhash, toxicity, urlfilter, vectordedup
+from . import chat, graphindex, langid, mixing, packing, quality, simhash, toxicity, urlfilter, vectordedup
 
 #: The rules that op6 judges by.
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
@@ -19,6 +19,10 @@ def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectordedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op2_graph_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graphindex.nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
+    "op2_graph_nearest_neighbours": op2_graph_nearest_neighbours,
     "op3_language_id": op3_language_id,
     "op4_source_mixing": op4_source_mixing,
     "op5_quality_classifier": op5_quality_classifier,

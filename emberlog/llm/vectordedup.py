@@ -37,11 +37,19 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def pick_pivots(vectors: DataFrame, n: int) -> np.ndarray:
-    """Up to n vectors: of each hash bucket the one of smallest hash. Bounded by n."""
+def pick_pivots(vectors: DataFrame, n: int, apart: float) -> np.ndarray:
+    """Up to n reference points, no two with cosine over `apart`.
+
+    Drawn from a bounded sample (4 n hash buckets, of each the vector of smallest hash). Points
+    in the same group of near copies would order its members at random, so one stands for all.
+    """
     h = F.xxhash64("embedding", F.lit(29))
-    rows = vectors.groupBy(F.pmod(h, F.lit(n)).alias("bucket")).agg(F.min_by("embedding", F.xxhash64("embedding", F.lit(31))).alias("e")).orderBy("bucket").collect()
-    return _unit(np.array([r.e for r in rows], dtype=np.float64)) if rows else np.zeros((0, 1))
+    rows = vectors.groupBy(F.pmod(h, F.lit(4 * n)).alias("bucket")).agg(F.min_by("embedding", F.xxhash64("embedding", F.lit(31))).alias("e")).orderBy("bucket").collect()
+    kept: list[np.ndarray] = []
+    for v in _unit(np.array([r.e for r in rows], dtype=np.float64)) if rows else ():
+        if len(kept) < n and (not kept or (np.array(kept) @ v).max() <= apart):
+            kept.append(v)
+    return np.array(kept).reshape(len(kept), -1)
 
 
 def postings(vectors: DataFrame, pivots: np.ndarray, nearest: int) -> DataFrame:
@@ -147,7 +155,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, nearest: int =
 
 def _links(distinct: DataFrame, n: int, threshold: float, nearest: int, block: int) -> DataFrame:
     """(rep, linked, peer): partial counts of linked vectors, and a member of the same component."""
-    pivots = pick_pivots(distinct, min(MOST, max(FEWEST, math.isqrt(n))))
+    pivots = pick_pivots(distinct, min(MOST, max(FEWEST, math.isqrt(n))), threshold - 0.1)
     lists = postings(distinct, pivots, nearest)
     length = lists.groupBy("label", "list").agg(F.count("*").alias("length")).where("length > 1")
     blocks = F.ceil(F.col("length") / block).cast("int")
