@@ -3,22 +3,58 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from emberlog.llm import simhash
+from emberlog.llm import mixing, packing, quality, simhash, toxicity
 from emberlog.llm.common import shared_dir
 
 
+def _labels(spark: SparkSession, sf_dir: str, column: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col(column).alias("label"))
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose clauses score as toxic go."""
+    return toxicity.drop_toxic(docs, _labels(spark, sf_dir, "toxic"))
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that compress like bad text go."""
+    return quality.keep_good(docs, _labels(spark, sf_dir, "quality"), threshold=QUALITY)
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies stays: the one of smallest doc_id."""
     return simhash.keep_representatives(docs)
 
 
-STAGES = [("simhash_near_dedup", near_copies)]
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources are repeated and cut to their target weights."""
+    return mixing.apply_mix(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All words go into sequences of permitted lengths."""
+    return packing.pack_documents(docs)
+
+
+#: A document goes only if it is this likely to be bad: clean ones stay, also in doubt.
+QUALITY = 0.15
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("quality", keep_good),
+    ("simhash_near_dedup", near_copies),
+    ("source_mixing", mix_sources),
+    ("best_fit_packing", pack),
+]
 
+#: Stages learn models and hash texts, which SQL cannot express; tests hold them against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply all stages to documents; each stage reads what the one before has written."""
     folder = shared_dir(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
