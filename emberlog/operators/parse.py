@@ -149,9 +149,18 @@ def with_parsed_text(lines: DataFrame, column: str = "text", default_service: st
     return t.withColumn("parsed", F.when(F.col("_raw") != "", parsed)).drop("_raw", "_cri", "_cri_ts", "_a", "_pre", "_ns", "_pod", "_container", "_b", "_body", "_shape", "_ts", "_level", "_message", "_found")
 
 
+def once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that is computed once a row, however often it is used above.
+
+    A generator of one row stands between; projections above it are not merged into it, which
+    would repeat the whole of a large expression for each of its uses.
+    """
+    return rows.select(*[c for c in rows.columns if c != name], F.explode(F.array(value)).alias(name))
+
+
 def parse_lines(lines: DataFrame, fmt: Column | None = None) -> DataFrame:
     """Add `parsed` to raw lines, each by its format (sniffed a line unless given)."""
     kind = sniff_format(F.col("text")) if fmt is None else fmt
-    both = with_parsed_text(lines.withColumn("_fmt", kind))
-    as_json = parse_json(F.col("text"), F.col("default_service"))
-    return both.withColumn("parsed", F.when(F.col("_fmt") == "json", as_json).otherwise(F.col("parsed"))).drop("_fmt")
+    both = once(with_parsed_text(lines.withColumn("_fmt", kind)), "parsed", F.col("parsed"))
+    both = once(both, "_json", parse_json(F.col("text"), F.col("default_service")))
+    return once(both, "parsed", F.when(F.col("_fmt") == "json", F.col("_json")).otherwise(F.col("parsed"))).drop("_fmt", "_json")
