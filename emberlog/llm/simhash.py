@@ -16,8 +16,9 @@ from .common import connected_components, forest, shared_dir, skew_safe_join, st
 
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-#: Residents a trie bucket should have at most on average; depth of the trie's top follows from it.
-BUCKET = 20_000
+#: Residents a trie bucket should have at most on average; the depth at which the trie is cut
+#: follows from it. Each level sends fingerprints to more visitors, so buckets are large.
+BUCKET, DEPTH = 250_000, 3
 
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
@@ -56,7 +57,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
-def trie_pairs(fps: np.ndarray, distance: int, depth: int = 0, own: int | None = None, block: int = 400_000):
+def trie_pairs(fps: np.ndarray, distance: int, depth: int = 0, own: int | None = None, block: int = 65_536):
     """Yield index arrays (i, j) of pairs of sorted distinct uint64 within `distance` bits.
 
     A node of the binary trie is a range of the sorted array. Pairs of nodes go down together,
@@ -81,7 +82,8 @@ def trie_pairs(fps: np.ndarray, distance: int, depth: int = 0, own: int | None =
         state = np.stack([np.full(ok.sum(), at[m]), np.full(ok.sum(), ends[m]), at[ok], ends[ok], err[ok], np.full(ok.sum(), depth)])
     else:
         state = np.array([[0], [n], [0], [n], [0], [0]])
-    stack = [state]
+    # depth first in blocks: at most a few blocks for each level wait on the stack
+    stack = [state.astype(np.int32)]
     while stack:
         s = stack.pop()
         if s.shape[1] > block:
@@ -93,10 +95,10 @@ def trie_pairs(fps: np.ndarray, distance: int, depth: int = 0, own: int | None =
         s = s[:, ~(self_pair & (na == 1))]
         al, ah, bl, bh, err, d = s
         self_pair, na, nb = al == bl, ah - al, bh - bl
-        leaf = (na * nb <= 64) | (d >= 64)
+        leaf = (na.astype(np.int64) * nb <= 16) | (d >= 64)
         if leaf.any():
             la, lb, ln, lm, ls = al[leaf], bl[leaf], na[leaf], nb[leaf], self_pair[leaf]
-            count = ln * lm
+            count = ln.astype(np.int64) * lm
             of = np.repeat(np.arange(len(la)), count)
             k = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
             i, j = la[of] + k // lm[of], lb[of] + k % lm[of]
@@ -126,19 +128,19 @@ def _split(fps: np.ndarray, lo: np.ndarray, hi: np.ndarray, d: np.ndarray) -> np
     """Where bit d turns to 1 in each range [lo, hi) of a trie node at depth d."""
     shift = (np.uint64(63) - d.astype(np.uint64))
     bound = ((fps[lo] >> shift) | np.uint64(1)) << shift
-    return np.clip(np.searchsorted(fps, bound, side="left"), lo, hi)
+    return np.clip(np.searchsorted(fps, bound, side="left"), lo, hi).astype(np.int32)
 
 
 def near_links(distinct: DataFrame, distance: int = 2, bucket: int = BUCKET) -> DataFrame:
     """Edges (a, b) that connect the distinct fingerprints `fp` just as all near pairs do.
 
-    The trie is cut at a depth that follows from the number of fingerprints. A fingerprint
+    The trie is cut at a depth that follows from the number of fingerprints (DEPTH at least). A fingerprint
     goes to the node it lies below and, as a visitor, to every smaller node whose path is
     within the budget; each bucket is joined by trie_pairs and returns a spanning forest of
     its pairs, never the pairs themselves.
     """
     n = distinct.count()
-    depth = min(24, max(0, math.ceil(math.log2(max(1, n) / bucket)))) if n > bucket else 0
+    depth = min(24, max(DEPTH, math.ceil(math.log2(max(1, n) / bucket))))
     masks = [sum(1 << i for i in c) for k in range(distance + 1) for c in combinations(range(depth), k)]
 
     def send(batches):
