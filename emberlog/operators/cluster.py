@@ -25,11 +25,6 @@ def histogram(entries: DataFrame, column: str) -> DataFrame:
     return entries.where(F.coalesce(F.col(column), F.lit("")) != "").groupBy("fingerprint", column).agg(F.count("*").alias("n"))
 
 
-def histogram_map(entries: DataFrame, column: str, name: str) -> DataFrame:
-    pairs = F.sort_array(F.collect_list(F.struct(F.col(column), F.col("n"))))
-    return histogram(entries, column).groupBy("fingerprint").agg(F.map_from_entries(pairs).alias(name))
-
-
 def change_ratio(count: Column, baseline: Column) -> Column:
     return (count + 1).cast("double") / (baseline + 1)
 
@@ -70,41 +65,44 @@ def clusters(
 ) -> DataFrame:
     """Clusters of a window with histograms, baseline and importance, most important first.
 
-    One scan of the entries serves window and baseline counts of all clusters: the groups are
-    pre-aggregated by (fingerprint, service, level, message) before anything is collected, so
-    that a fingerprint that holds most entries costs no task more than its distinct values.
+    One scan and one shuffle of the entries serve everything: they are pre-aggregated by
+    (fingerprint, service, level, message, hash bucket of the id), with counts inside the
+    window and inside the baseline, so that a fingerprint that holds most entries costs no task
+    more than its distinct values. What follows works on those few rows: each is laid out as a
+    part of the total, of a message, a service, a level and a bucket, and added up by them.
     The message of a cluster is its most frequent one, ties to the smallest. Given a job, the
-    baseline is empty. `log_entry_ids` holds a
-    sample of up to `sample_ids`, one a hash bucket.
+    baseline is empty. `log_entry_ids` holds a sample of up to `sample_ids`, one a bucket.
     """
-    inside = in_window(entries, window, scope, service, environment, job_id).where("fingerprint is not null")
-    message = F.coalesce("normalized_message", F.lit(""))
-    fine = inside.groupBy("fingerprint", "service", "level", message.alias("message")).agg(
-        F.count("*").alias("n"), F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen")
+    span = window if job_id is not None else Window(baseline_window(window, baseline).start, window.end)
+    t = in_window(entries, span, scope, service, environment, job_id).where("fingerprint is not null")
+    at = F.col("timestamp")
+    inside = at.between(F.lit(window.start), F.lit(window.end))
+    before = F.lit(False) if job_id is not None else at <= F.lit(window.start)
+    bucket = F.pmod(F.xxhash64("id"), F.lit(sample_ids)).cast("string")
+    fine = t.groupBy("fingerprint", "service", "level", F.coalesce("normalized_message", F.lit("")).alias("message"), bucket.alias("bucket")).agg(
+        F.count_if(inside).alias("n"), F.count_if(before).alias("b"), F.min(F.when(inside, at)).alias("first"), F.max(F.when(inside, at)).alias("last"), F.min(F.when(inside, F.col("id"))).alias("id")
+    )
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("key")) for k, v in (("total", F.lit("")), ("message", F.col("message")), ("service", F.col("service")), ("level", F.col("level")), ("bucket", F.col("bucket")))])
+    parts = fine.select("fingerprint", "n", "b", "first", "last", "id", F.inline(kinds)).where("kind = 'total' or n > 0")
+    parts = parts.where("kind in ('total', 'message') or coalesce(key, '') <> ''").groupBy("fingerprint", "kind", "key")
+    parts = parts.agg(F.sum("n").alias("n"), F.sum("b").alias("b"), F.min("first").alias("first"), F.max("last").alias("last"), F.min("id").alias("id"))
+    of = lambda kind, value: F.when(F.col("kind") == kind, value)
+    n = F.col("n")
+    histogram_of = lambda kind: F.map_from_entries(F.sort_array(F.collect_list(of(kind, F.struct("key", "n")))))
+    t = parts.groupBy("fingerprint").agg(
+        F.min(of("message", F.struct((-n).alias("_m"), "key")))["key"].alias("representative_message"),
+        F.max(of("total", n)).alias("count"),
+        histogram_of("service").alias("services"),
+        histogram_of("level").alias("levels"),
+        F.min(of("total", F.col("first"))).alias("first_seen"),
+        F.max(of("total", F.col("last"))).alias("last_seen"),
+        F.max(of("total", F.col("b"))).alias("baseline_count"),
+        F.sort_array(F.collect_list(of("bucket", F.col("id")))).alias("log_entry_ids"),
     )
-    main = fine.groupBy("fingerprint").agg(F.sum("n").alias("count"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
-    top_message = fine.groupBy("fingerprint", "message").agg(F.sum("n").alias("_m")).groupBy("fingerprint").agg(F.min(F.struct((-F.col("_m")).alias("_m"), "message")).alias("_t")).select("fingerprint", F.col("_t.message").alias("representative_message"))
-
-    def counted(column: str, name: str) -> DataFrame:
-        one = fine.where(F.coalesce(F.col(column), F.lit("")) != "").groupBy("fingerprint", column).agg(F.sum("n").alias("n"))
-        return one.groupBy("fingerprint").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(column, "n")))).alias(name))
-
-    empty = F.create_map().cast("map<string,bigint>")
-    t = main.join(top_message, "fingerprint").join(counted("service", "services"), "fingerprint", "left").join(counted("level", "levels"), "fingerprint", "left")
-    t = t.withColumn("services", F.coalesce("services", empty)).withColumn("levels", F.coalesce("levels", empty))
-    if job_id is None:
-        t = t.join(baseline_counts(entries, window, baseline, scope, service, environment), "fingerprint", "left").withColumn("baseline_count", F.coalesce("baseline_count", F.lit(0)).cast("bigint"))
-    else:
-        t = t.withColumn("baseline_count", F.lit(0).cast("bigint"))
-    t = t.withColumn("is_trigger", F.lit(False)).withColumn("change_ratio", change_ratio(F.col("count"), F.col("baseline_count")))
+    t = t.where("count > 0").withColumn("is_trigger", F.lit(False)).withColumn("change_ratio", change_ratio(F.col("count"), F.col("baseline_count")))
     t = t.withColumn("importance_score", importance(severity(F.col("levels")), F.col("count"), F.col("change_ratio"), F.size("services"), F.col("is_trigger")))
-    t = rank(t, top)
-    bucket = F.pmod(F.xxhash64("id"), F.lit(sample_ids)).alias("_b")
-    sampled = inside.join(t.select("fingerprint"), "fingerprint", "left_semi").groupBy("fingerprint", bucket).agg(F.min("id").alias("_id"))
-    ids = sampled.groupBy("fingerprint").agg(F.sort_array(F.collect_list("_id")).alias("log_entry_ids"))
-    t = t.join(ids, "fingerprint", "left").withColumn("merged_fingerprints", F.array().cast("array<string>"))
-    columns = ["fingerprint", "representative_message", "count", "services", "levels", "first_seen", "last_seen", "baseline_count", "change_ratio", "importance_score", "is_trigger", "log_entry_ids", "merged_fingerprints"]
-    return rank(t.select(columns), None)
+    columns = ["fingerprint", "representative_message", "count", "services", "levels", "first_seen", "last_seen", "baseline_count", "change_ratio", "importance_score", "is_trigger", "log_entry_ids", F.array().cast("array<string>").alias("merged_fingerprints")]
+    return rank(t.select(columns), top)
 
 
 def cluster_rows(ranked: DataFrame, run_id: str, members: int = 100) -> tuple[DataFrame, DataFrame]:

@@ -12,13 +12,14 @@ def collapse_noise(clusters: DataFrame) -> DataFrame:
     """Clusters (fingerprint, representative_message, count, services) with those of webhook
     retries, and those of growing queues, joined to one each."""
     group = F.when(text.is_retry(F.col("representative_message")), F.lit("retries")).when(text.is_queue_growth(F.col("representative_message")), F.lit("queue_growth"))
-    t = clusters.select("fingerprint", "representative_message", "count", "services").withColumn("_g", group)
-    noisy = t.where("_g is not null")
-    totals = noisy.groupBy("_g").agg(F.count("*").alias("_n"), F.sum("count").alias("count"))
-    services = noisy.select("_g", F.explode("services").alias("k", "n")).groupBy("_g", "k").agg(F.sum("n").alias("n")).groupBy("_g").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "n")))).alias("services"))
-    label = F.when(F.col("_g") == "retries", F.format_string("Webhook retries (%d distinct events, %d total)", "_n", "count")).otherwise(F.lit("Webhook queue growing"))
-    joined = totals.join(services, "_g", "left").select(F.concat(F.lit("__collapsed_"), "_g", F.lit("__")).alias("fingerprint"), label.alias("representative_message"), "count", F.coalesce("services", F.create_map().cast("map<string,bigint>")).alias("services"))
-    return t.where("_g is null").drop("_g").unionByName(joined)
+    total = F.struct(F.lit(None).cast("string").alias("k"), F.col("count").alias("n"), F.lit(1).alias("one"))
+    each = F.transform(F.map_entries("services"), lambda e: F.struct(e["key"].alias("k"), e["value"].alias("n"), F.lit(0).alias("one")))
+    t = clusters.select("fingerprint", "representative_message", group.alias("_g"), "count", "services")
+    t = t.select(F.coalesce(F.concat(F.lit("__collapsed_"), "_g", F.lit("__")), "fingerprint").alias("fingerprint"), "_g", "representative_message", F.inline(F.concat(F.array(total), F.coalesce(each, F.array().cast("array<struct<k:string,n:bigint,one:int>>")))))
+    t = t.groupBy("fingerprint", "_g", "k").agg(F.sum("n").alias("n"), F.sum("one").alias("one"), F.min("representative_message").alias("m"))
+    t = t.groupBy("fingerprint", "_g").agg(F.max(F.when(F.col("k").isNull(), F.col("n"))).alias("count"), F.max("one").alias("_n"), F.min("m").alias("m"), F.map_from_entries(F.sort_array(F.collect_list(F.when(F.col("k").isNotNull(), F.struct("k", "n"))))).alias("services"))
+    label = F.when(F.col("_g") == "retries", F.format_string("Webhook retries (%d distinct events, %d total)", "_n", "count")).when(F.col("_g").isNotNull(), F.lit("Webhook queue growing")).otherwise(F.col("m"))
+    return t.select("fingerprint", label.alias("representative_message"), "count", "services")
 
 
 def direction(a: Column, b: Column, factor: float = 1.5) -> Column:

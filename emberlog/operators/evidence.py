@@ -28,10 +28,10 @@ def trigger_candidates(entries: DataFrame, window: Span, lookback: timedelta = t
 
 
 def significant(clusters: DataFrame) -> DataFrame:
-    """Clusters with a level that can be a cause; all, if there is none such."""
+    """Of a ranked, capped list the clusters with a level that can be a cause; all, if there is none such."""
     hit = F.arrays_overlap(F.map_keys("levels"), F.array(*[F.lit(x) for x in patterns.SIGNIFICANT]))
-    any_hit = clusters.agg(F.coalesce(F.max(hit), F.lit(False)).alias("_any"))
-    return clusters.withColumn("_hit", hit).join(F.broadcast(any_hit)).where("_hit or not _any").drop("_hit", "_any")
+    some = F.max("_hit").over(Window.partitionBy())
+    return clusters.withColumn("_hit", F.coalesce(hit, F.lit(False))).withColumn("_any", some).where("_hit or not _any").drop("_hit", "_any")
 
 
 def roles(clusters: DataFrame, secondary: int = 4) -> DataFrame:

@@ -42,18 +42,12 @@ def timestamp_field(value: Column) -> Column:
     return F.when(number.isNotNull(), _epoch(number, True)).otherwise(F.coalesce(F.when(value.rlike(r"^\s*\d{4}-\d\d?-\d\d?"), F.try_to_timestamp(strip(value))), timestamp_in(value)))
 
 
-def _named(low: str):
-    return lambda entry: F.lower(entry["key"]) == low
-
-
-def alias_value(fields: Column, names: list[str]) -> Column:
-    """The value of the first alias that is there, exactly or else in another case, be it null."""
+def _place(names: list[str], keys: Column, low: Column) -> Column:
+    """Where the first of the names stands among the keys, exactly or else in another case; null for nowhere."""
     found = []
     for n in names:
-        found.append(F.when(F.map_contains_key(fields, n), F.struct(fields[n].alias("v"))))
-        other = F.get(F.filter(F.map_entries(fields), _named(n.lower())), 0)
-        found.append(F.when(other.isNotNull(), F.struct(other["value"].alias("v"))))
-    return F.coalesce(*found)["v"]
+        found += [F.nullif(F.array_position(keys, F.lit(n)), F.lit(0)), F.nullif(F.array_position(low, F.lit(n.lower())), F.lit(0))]
+    return F.coalesce(*found)
 
 
 def _filled(c: Column) -> Column:
@@ -61,34 +55,41 @@ def _filled(c: Column) -> Column:
     return F.when(~c.isin("", "false", "0"), c)
 
 
-def parse_json(line: Column, default_service: Column) -> Column:
-    """A struct of all parsed fields; null for a blank line, parse_error set where there is no object."""
-    raw = strip(line)
-    m = F.from_json(raw, "map<string,string>")
-    k8s = F.from_json(m["kubernetes"], "map<string,string>")
-    labels = F.from_json(F.coalesce(_filled(k8s["labels"]), k8s["pod_labels"]), "map<string,string>")
+def with_parsed_json(lines: DataFrame, column: str = "text", default_service: str = "default_service", into: str = "parsed") -> DataFrame:
+    """Add a struct of all parsed fields; null for a blank line, parse_error set where there is no object.
+
+    A field has the value of the first alias that is there, be it null. Each step stands in
+    columns of its own, so that a line is read as JSON once and its keys are searched once a field.
+    """
+    t = lines.withColumn("_raw", strip(F.col(column)))
+    m = F.col("_m")
+    t = once(t, "_m", F.from_json("_raw", "map<string,string>"))
+    keys = F.map_keys(m)
+    t = once(t, "_k", F.struct(keys.alias("keys"), F.transform(keys, lambda k: F.lower(k)).alias("low"), F.map_values(m).alias("values")))
+    k = F.col("_k")
+    alias = [F.get(k["values"], (_place(names, k["keys"], k["low"]) - 1).cast("int")).alias(field) for field, names in patterns.ALIASES.items()]
+    t = once(t, "_f", F.struct(*alias, F.from_json(m["kubernetes"], "map<string,string>").alias("k8s")))
+    f, k8s = F.col("_f"), F.col("_f")["k8s"]
+    t = once(t, "_l", F.from_json(F.coalesce(_filled(k8s["labels"]), k8s["pod_labels"]), "map<string,string>"))
+    labels = F.col("_l")
     first = lambda *cs: F.coalesce(*[_filled(c) for c in cs])
-    service = first(alias_value(m, patterns.ALIASES["service"]), labels["app"], labels["app.kubernetes.io/name"], labels["k8s-app"], k8s["container_name"], k8s["container"], default_service)
-    environment = first(alias_value(m, patterns.ALIASES["environment"]), k8s["namespace_name"], k8s["pod_namespace"], k8s["namespace"])
-    host = first(alias_value(m, patterns.ALIASES["host"]), k8s["pod_name"], k8s["pod"], k8s["host"])
     known = F.array(*[F.lit(n) for names in patterns.ALIASES.values() for n in names])
-    level = _filled(alias_value(m, patterns.ALIASES["level"]))
-    ok = m.isNotNull()
+    ok, level = m.isNotNull(), _filled(f["level"])
     row = F.struct(
-        raw.alias("raw_line"),
-        F.when(ok, timestamp_field(alias_value(m, patterns.ALIASES["timestamp"]))).alias("timestamp"),
+        F.col("_raw").alias("raw_line"),
+        F.when(ok, timestamp_field(f["timestamp"])).alias("timestamp"),
         F.when(ok & level.isNotNull(), text.canonical_level(level)).alias("level"),
-        F.when(ok, service).alias("service"),
-        F.when(ok, environment).alias("environment"),
-        F.when(ok, _filled(alias_value(m, patterns.ALIASES["trace_id"]))).alias("trace_id"),
-        F.when(ok, _filled(alias_value(m, patterns.ALIASES["request_id"]))).alias("request_id"),
-        F.when(ok, host).alias("host"),
-        F.when(ok, F.coalesce(alias_value(m, patterns.ALIASES["message"]), raw)).alias("message"),
+        F.when(ok, first(f["service"], labels["app"], labels["app.kubernetes.io/name"], labels["k8s-app"], k8s["container_name"], k8s["container"], F.col(default_service))).alias("service"),
+        F.when(ok, first(f["environment"], k8s["namespace_name"], k8s["pod_namespace"], k8s["namespace"])).alias("environment"),
+        F.when(ok, _filled(f["trace_id"])).alias("trace_id"),
+        F.when(ok, _filled(f["request_id"])).alias("request_id"),
+        F.when(ok, first(f["host"], k8s["pod_name"], k8s["pod"], k8s["host"])).alias("host"),
+        F.when(ok, F.coalesce(f["message"], F.col("_raw"))).alias("message"),
         F.when(ok, F.map_filter(m, lambda k, _: ~F.array_contains(known, k))).alias("extra"),
         F.lit("json").alias("parser_type"),
         F.when(~ok, F.lit("not a JSON object")).alias("parse_error"),
     )
-    return F.when(raw != "", row)
+    return once(t, into, F.when(F.col("_raw") != "", row)).drop("_raw", "_m", "_k", "_f", "_l")
 
 
 def _groups(line: Column, pattern: str, n: int, flags: str = "iuUd") -> tuple[Column, list[Column]]:
@@ -161,6 +162,8 @@ def once(rows: DataFrame, name: str, value: Column) -> DataFrame:
 def parse_lines(lines: DataFrame, fmt: Column | None = None) -> DataFrame:
     """Add `parsed` to raw lines, each by its format (sniffed a line unless given)."""
     kind = sniff_format(F.col("text")) if fmt is None else fmt
-    both = once(with_parsed_text(lines.withColumn("_fmt", kind)), "parsed", F.col("parsed"))
-    both = once(both, "_json", parse_json(F.col("text"), F.col("default_service")))
-    return once(both, "parsed", F.when(F.col("_fmt") == "json", F.col("_json")).otherwise(F.col("parsed"))).drop("_fmt", "_json")
+    is_json = F.col("_fmt") == "json"
+    t = once(lines, "_fmt", kind).withColumn("_text", F.when(~is_json, F.col("text"))).withColumn("_json", F.when(is_json, F.col("text")))
+    both = once(with_parsed_text(t, "_text"), "parsed", F.col("parsed"))
+    both = with_parsed_json(both, "_json", into="_json_parsed")
+    return once(both, "parsed", F.when(is_json, F.col("_json_parsed")).otherwise(F.col("parsed"))).drop("_fmt", "_text", "_json", "_json_parsed")

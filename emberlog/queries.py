@@ -534,8 +534,8 @@ CASE event_id % 4 WHEN 0 THEN CASE WHEN event_type = 'error' THEN 'error' ELSE e
 CASE event_id % 4 WHEN 1 THEN 'prod' END AS environment, CASE event_id % 4 WHEN 1 THEN 'p1' END AS host, CASE event_id % 4 WHEN 0 THEN """ + MESSAGE + """ WHEN 1 THEN event_type END AS message,
 CASE event_id % 4 WHEN 0 THEN props END AS extra_k, event_id % 4 = 2 AS failed FROM events WHERE event_id % 4 <> 3""")
 def parse_json_lines(spark, sf_dir):
-    p = F.col("p")
-    t = _raw(spark, sf_dir, _JSON_LINE).select("ordinal", parse.parse_json(F.col("text"), F.col("default_service")).alias("p")).where(p.isNotNull())
+    p = F.col("parsed")
+    t = parse.with_parsed_json(_raw(spark, sf_dir, _JSON_LINE)).where(p.isNotNull())
     return t.select("ordinal", F.unix_micros(p["timestamp"]).alias("timestamp"), p["level"].alias("level"), p["service"].alias("service"), p["environment"].alias("environment"), p["host"].alias("host"), p["message"].alias("message"), p["extra"]["k"].alias("extra_k"), p["parse_error"].isNotNull().alias("failed"))
 
 
