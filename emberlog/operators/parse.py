@@ -29,7 +29,7 @@ def timestamp_in(line: Column) -> Column:
     """The first readable timestamp of a text, by the fixed list of shapes; without a zone it is UTC."""
     found = []
     for i, p in enumerate(patterns.TIMESTAMPS):
-        raw = F.nullif(F.regexp_extract(line, f"(?U){p}", 0), F.lit(""))
+        raw = F.regexp_extract(line, f"(?U){p}", 0)  # an empty text is no time either
         if i == 3:
             continue  # the web-server shape is not readable as a time
         found.append(_epoch(raw.try_cast("double"), False) if i == 4 else F.try_to_timestamp(raw))
@@ -42,6 +42,15 @@ def timestamp_field(value: Column) -> Column:
     return F.when(number.isNotNull(), _epoch(number, True)).otherwise(F.coalesce(F.when(value.rlike(r"^\s*\d{4}-\d\d?-\d\d?"), F.try_to_timestamp(strip(value))), timestamp_in(value)))
 
 
+def once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that is computed once a row, however often it is used above.
+
+    A generator of one row stands between; projections above it are not merged into it, which
+    would repeat the whole of a large expression for each of its uses.
+    """
+    return rows.select(*[c for c in rows.columns if c != name], F.explode(F.array(value)).alias(name))
+
+
 def _place(names: list[str], keys: Column, low: Column) -> Column:
     """Where the first of the names stands among the keys, exactly or else in another case; null for nowhere."""
     found = []
@@ -92,71 +101,61 @@ def with_parsed_json(lines: DataFrame, column: str = "text", default_service: st
     return once(t, into, F.when(F.col("_raw") != "", row)).drop("_raw", "_m", "_k", "_f", "_l")
 
 
-def _groups(line: Column, pattern: str, n: int, flags: str = "iuUd") -> tuple[Column, list[Column]]:
-    p = f"(?{flags}){pattern}"
-    hit = F.coalesce(line.rlike(p), F.lit(False))
-    return hit, [F.when(hit, F.regexp_extract(line, p, i + 1)) for i in range(n)]
-
-
 def with_parsed_text(lines: DataFrame, column: str = "text", default_service: str = "default_service") -> DataFrame:
     """Add the struct `parsed` of text lines: wrappers of container logs come off first.
 
     In this order: a CRI wrapper, a kubectl prefix, a CRI wrapper inside it; then the body by
     shape: `<time> <LEVEL> <service> <message>`, `<LEVEL> <service> <message>` (only directly
     in CRI), `<time> <LEVEL> <message>` (only behind a prefix, which names the service),
-    `[time] [LEVEL] message`, and else time and level wherever they stand. Steps are columns,
-    so that each pattern runs once a line.
+    `[time] [LEVEL] message`, and else time and level wherever they stand. The shape is found
+    first; groups are then taken from its pattern alone.
     """
     lv = patterns.LEVEL_WORDS
-    t = lines.withColumn("_raw", strip(F.col(column)))
-    cri, g = _groups(F.col("_raw"), patterns.CRI_LINE, 4, "Ud")
-    t = t.withColumn("_cri", cri).withColumn("_cri_ts", timestamp_in(g[0])).withColumn("_a", F.coalesce(g[3], F.col("_raw")))
-    t = t.withColumn("_a", strip(F.col("_a")))
-    pre, g = _groups(F.col("_a"), patterns.KUBECTL_LINE, 4, "Ud")
-    t = t.withColumn("_pre", pre).withColumn("_ns", F.nullif(g[0], F.lit(""))).withColumn("_pod", g[1]).withColumn("_container", g[2]).withColumn("_b", strip(F.coalesce(g[3], F.col("_a"))))
-    inner, g = _groups(F.col("_b"), patterns.CRI_LINE, 4, "Ud")
-    inner = inner & F.col("_pre")
-    t = t.withColumn("_cri_ts", F.coalesce(F.when(inner, timestamp_in(g[0])), F.col("_cri_ts"))).withColumn("_body", F.when(inner, strip(g[3])).otherwise(F.col("_b")))
-    body = F.col("_body")
-    s, sg = _groups(body, rf"^(\S+(?:\s\S+)?)\s+({lv})\s+(\S+)\s+(.+)$", 4)
-    ls, lg = _groups(body, rf"^({lv})\s+(\S+)\s+(.+)$", 3)
-    tl, tg = _groups(body, rf"^(\S+(?:\s\S+)?)\s+({lv})\s+(.+)$", 3)
-    br, bg = _groups(body, rf"^\[([^\]]+)\]\s*\[?({patterns.BRACKET_LEVELS})\]?\s*(.+)$", 3)
-    s, ls, tl = s & ~F.col("_pre"), ls & ~F.col("_pre") & F.col("_cri"), tl & F.col("_pre")
-    shape = F.when(s, "s").when(ls, "l").when(tl, "t").when(br, "b").otherwise("f")
-    t = t.withColumn("_shape", shape)
-    by = lambda **cs: F.coalesce(*[F.when(F.col("_shape") == k, c) for k, c in cs.items()])
-    t = t.withColumn("_ts", timestamp_in(by(s=sg[0], t=tg[0], b=bg[0], f=body)))
-    anywhere = F.nullif(F.regexp_extract(body, rf"(?iuU)\b({lv})\b", 1), F.lit(""))
-    t = t.withColumn("_level", by(s=sg[1], l=lg[0], t=tg[1], b=bg[1], f=anywhere))
+    cri, kubectl = "(?Ud)" + patterns.CRI_LINE, "(?Ud)" + patterns.KUBECTL_LINE
+    shapes = {
+        "s": rf"(?iuUd)^(\S+(?:\s\S+)?)\s+({lv})\s+(\S+)\s+(.+)$",
+        "l": rf"(?iuUd)^({lv})\s+(\S+)\s+(.+)$",
+        "t": rf"(?iuUd)^(\S+(?:\s\S+)?)\s+({lv})\s+(.+)$",
+        "b": rf"(?iuUd)^\[([^\]]+)\]\s*\[?({patterns.BRACKET_LEVELS})\]?\s*(.+)$",
+    }
+    c, group = F.col, F.regexp_extract
+    fits = lambda text, pattern: F.coalesce(c(text).rlike(pattern), F.lit(False))
+    t = once(lines, "_raw", strip(c(column)))
+    t = once(t, "_cri", fits("_raw", cri))
+    t = once(t, "_outer", F.when(c("_cri"), group("_raw", cri, 1)))
+    t = once(t, "_a", F.when(c("_cri"), strip(group("_raw", cri, 4))).otherwise(c("_raw")))
+    t = once(t, "_pre", fits("_a", kubectl))
+    t = once(t, "_b", F.when(c("_pre"), strip(group("_a", kubectl, 4))).otherwise(c("_a")))
+    t = once(t, "_inner", c("_pre") & fits("_b", cri))
+    t = once(t, "_cri_ts", F.coalesce(timestamp_in(F.when(c("_inner"), group("_b", cri, 1))), timestamp_in(c("_outer"))))
+    t = once(t, "_body", F.when(c("_inner"), strip(group("_b", cri, 4))).otherwise(c("_b")))
+    body, allowed = c("_body"), {"s": ~c("_pre"), "l": ~c("_pre") & c("_cri"), "t": c("_pre"), "b": F.lit(True)}
+    t = once(t, "_shape", F.coalesce(*[F.when(allowed[k] & fits("_body", p), F.lit(k)) for k, p in shapes.items()], F.lit("f")))
+    by = lambda free, **at: F.coalesce(*[F.when(c("_shape") == k, group("_body", shapes[k], i)) for k, i in at.items()], *([] if free is None else [F.when(c("_shape") == "f", free)]))
+    t = once(t, "_time", by(body, s=1, t=1, b=1))
+    t = once(t, "_ts", timestamp_in(c("_time")))
+    t = once(t, "_level", by(F.regexp_substr(body, F.lit(rf"(?iuU)\b({lv})\b")), s=2, l=1, t=2, b=2))
     lead = F.when(F.contains(F.substring(body, 1, 30), F.lit(" ")), F.regexp_replace(body, r"(?U)^\S+(?:\s\S+)?\s*", "")).otherwise(F.regexp_replace(body, r"(?U)^\S+\s*", ""))
-    rest = F.when(F.col("_ts").isNotNull(), strip(lead)).otherwise(body)
-    t = t.withColumn("_message", strip(by(s=sg[3], l=lg[2], t=tg[2], b=bg[2], f=rest))).withColumn("_found", by(s=sg[2], l=lg[1]))
-    default = F.nullif(F.col(default_service), F.lit(""))
+    rest = F.when(c("_ts").isNotNull(), strip(lead)).otherwise(body)
+    t = once(t, "_message", strip(by(rest, s=4, l=3, t=3, b=3)))
+    t = once(t, "_found", by(None, s=3, l=2))
+    prefix = lambda i: F.when(c("_pre"), group("_a", kubectl, i))
     parsed = F.struct(
-        F.col("_raw").alias("raw_line"),
+        c("_raw").alias("raw_line"),
         F.coalesce("_ts", "_cri_ts").alias("timestamp"),
-        F.when(F.col("_level").isNotNull(), text.canonical_level(F.col("_level"))).alias("level"),
-        F.when(F.col("_pre"), F.col("_container")).otherwise(F.coalesce("_found", default)).alias("service"),
-        F.col("_ns").alias("environment"),
+        F.when(c("_level").isNotNull(), text.canonical_level(c("_level"))).alias("level"),
+        F.when(c("_pre"), group("_a", kubectl, 3)).otherwise(F.coalesce("_found", F.nullif(c(default_service), F.lit("")))).alias("service"),
+        F.nullif(prefix(1), F.lit("")).alias("environment"),
         F.lit(None).cast("string").alias("trace_id"),
         F.lit(None).cast("string").alias("request_id"),
-        F.col("_pod").alias("host"),
+        prefix(2).alias("host"),
         F.coalesce(F.nullif("_message", F.lit("")), body).alias("message"),
         F.lit(None).cast("map<string,string>").alias("extra"),
         F.lit("text").alias("parser_type"),
         F.lit(None).cast("string").alias("parse_error"),
     )
-    return t.withColumn("parsed", F.when(F.col("_raw") != "", parsed)).drop("_raw", "_cri", "_cri_ts", "_a", "_pre", "_ns", "_pod", "_container", "_b", "_body", "_shape", "_ts", "_level", "_message", "_found")
-
-
-def once(rows: DataFrame, name: str, value: Column) -> DataFrame:
-    """Add a column that is computed once a row, however often it is used above.
-
-    A generator of one row stands between; projections above it are not merged into it, which
-    would repeat the whole of a large expression for each of its uses.
-    """
-    return rows.select(*[c for c in rows.columns if c != name], F.explode(F.array(value)).alias(name))
+    t = once(t, "parsed", F.when(c("_raw") != "", parsed))
+    return t.drop("_raw", "_cri", "_outer", "_a", "_pre", "_b", "_inner", "_cri_ts", "_body", "_shape", "_time", "_ts", "_level", "_message", "_found")
 
 
 def parse_lines(lines: DataFrame, fmt: Column | None = None) -> DataFrame:
@@ -164,6 +163,6 @@ def parse_lines(lines: DataFrame, fmt: Column | None = None) -> DataFrame:
     kind = sniff_format(F.col("text")) if fmt is None else fmt
     is_json = F.col("_fmt") == "json"
     t = once(lines, "_fmt", kind).withColumn("_text", F.when(~is_json, F.col("text"))).withColumn("_json", F.when(is_json, F.col("text")))
-    both = once(with_parsed_text(t, "_text"), "parsed", F.col("parsed"))
+    both = with_parsed_text(t, "_text")
     both = with_parsed_json(both, "_json", into="_json_parsed")
     return once(both, "parsed", F.when(is_json, F.col("_json_parsed")).otherwise(F.col("parsed"))).drop("_fmt", "_text", "_json", "_json_parsed")
