@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 from pyspark.sql import Column
@@ -27,8 +28,12 @@ def normalize(message: Column) -> Column:
 
 
 def fingerprint(normalized: Column) -> Column:
-    """First 16 hexadecimal digits of SHA-256, `empty` for an empty template."""
-    return F.when(normalized == "", F.lit("empty")).otherwise(F.substring(F.sha2(normalized, 256), 1, 16))
+    """First 16 hexadecimal digits of SHA-256, `empty` for an empty template.
+
+    The template is named once here, so that its normalisation runs once a row.
+    """
+    of_nothing = hashlib.sha256(b"").hexdigest()[:16]
+    return F.replace(F.substring(F.sha2(normalized, 256), 1, 16), F.lit(of_nothing), F.lit("empty"))
 
 
 def line_hash(line: Column) -> Column:
