@@ -67,7 +67,7 @@ def pack_documents(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, sh
     length (words), bin_id (string, unique over all shards), bin_length (permitted length),
     bin_offset (words before it in the bin). A text longer than the largest length is cut into
     full bins and a rest. Null texts and texts without words get one row of length 0 without
-    bin. Repeated rows are packed each by itself (their segments are told apart by bin and
+    bin; they pass by the packing tasks, however many they are. Repeated rows are packed each by itself (their segments are told apart by bin and
     offset only); a null doc_id packs like any other.
     """
     folder = shared_dir(docs.sparkSession)
@@ -82,14 +82,13 @@ def pack_documents(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, sh
     def run(key, table):
         # largest first; the rest of the order only makes reruns agree
         table = table.sort_by([("length", "descending"), ("doc_id", "ascending"), ("part", "ascending")])
-        length = table.column("length").to_numpy()
-        n = int((length > 0).sum())
-        b, off, caps = pack(length[:n], capacities, overhead)
-        pad = len(length) - n
+        b, off, caps = pack(table.column("length").to_numpy(), capacities, overhead)
         shard_no = key[0].as_py()
-        names = pa.array([f"{shard_no}-{x}" for x in b.tolist()] + [None] * pad, pa.string())
-        size = pa.array([*(caps[b].tolist() if n else []), *[None] * pad], pa.int64())
-        return pa.table([table.column("doc_id"), table.column("part"), table.column("start"), table.column("length"), names, size, pa.array([*off.tolist(), *[None] * pad], pa.int64())], names=["doc_id", "part", "start", "length", "bin_id", "bin_length", "bin_offset"])
+        names = pa.array([f"{shard_no}-{x}" for x in b.tolist()], pa.string())
+        return pa.table([table.column("doc_id"), table.column("part"), table.column("start"), table.column("length"), names, pa.array(caps[b]), pa.array(off)], names=["doc_id", "part", "start", "length", "bin_id", "bin_length", "bin_offset"])
 
     schema = "doc_id long, part int, start long, length long, bin_id string, bin_length long, bin_offset long"
-    return cut.groupBy("_shard").applyInArrow(run, schema)
+    packed = cut.where("length > 0").groupBy("_shard").applyInArrow(run, schema)
+    none = lambda kind: F.lit(None).cast(kind)
+    blank = sized.where("size <= 0").select("doc_id", F.lit(0).alias("part"), F.lit(0).cast("long").alias("start"), "size", none("string"), none("long"), none("long"))
+    return packed.union(blank)
