@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm import mixing, packing, quality, simhash, toxicity
+from emberlog.llm import mixing, nearcopies, packing, quality, toxicity
 from emberlog.llm.common import shared_dir
 
 
@@ -24,8 +24,11 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one of smallest doc_id."""
-    return simhash.keep_representatives(docs)
+    """One document of each group of near copies stays: the one of smallest doc_id.
+
+    Near copies share 0.8 of their five-word shingles, which no bit budget of the trie covers.
+    """
+    return nearcopies.keep_representatives(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -194,8 +194,12 @@ def keep_representatives(docs: DataFrame, distance: int = 2, shingle: int = 3) -
     Repeated rows of an id count as copies: one stays. Rows without id cannot be named by a
     group; of those only exact repeats of a text go.
     """
-    parts = simhash_components(docs, distance, shingle)
-    keep = parts.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
+    return representatives(docs, simhash_components(docs, distance, shingle).where("doc_id = component_id"))
+
+
+def representatives(docs: DataFrame, named: DataFrame) -> DataFrame:
+    """The rows of docs whose id is in named(doc_id), each id once, and the texts without id."""
+    keep = named.groupBy("doc_id").agg(F.count("*").alias("n"))
     once = docs.join(keep.where("n = 1").select("doc_id"), "doc_id", "left_semi")
     again = docs.join(keep.where("n > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     unnamed = docs.where("doc_id is null").dropDuplicates(["text"])
