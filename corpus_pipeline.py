@@ -41,8 +41,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs)
 
 
-#: A document goes only if it is this likely to be bad: clean ones stay, also in doubt.
-QUALITY = 0.15
+#: What the classifier rejects goes: as in op5, a score under 0.5 predicts bad text.
+QUALITY = 0.5
 
 STAGES = [
     ("toxicity", drop_toxic),
