@@ -593,18 +593,22 @@ def ask(spark, sf_dir):
     return spark.createDataFrame([(a["mode"], a["total_matches"], a["answer"])], "mode string, total_matches long, answer string")
 
 
-@query()
+@query("""SELECT CAST(date_trunc('day', CAST(ts AS TIMESTAMP)) AS TIMESTAMP) AS start, CAST(date_trunc('day', CAST(ts AS TIMESTAMP)) + INTERVAL 1 DAY AS TIMESTAMP) AS "end", event_type AS fingerprint, count(*) AS n
+FROM events WHERE ts IS NOT NULL GROUP BY 1, 2, 3""")
 def stream_windowed_counts(spark, sf_dir):
-    """Tumbling counts of a stream of events, run until all is read."""
-    import uuid
+    """Tumbling counts of a stream of events, run until all is read; open windows count, too."""
+    from .llm.common import shared_dir
 
-    path, name = f"{sf_dir}/events.parquet", f"counts_{uuid.uuid4().hex}"
+    path, folder = f"{sf_dir}/events.parquet", shared_dir(spark)
     schema = table(spark, sf_dir, "events").schema
     # the source is a file or a folder; a glob reads both
     e = spark.readStream.schema(schema).parquet(path if _is_folder(spark, path) else f"{sf_dir}/events*.parquet").selectExpr("CAST(ts AS TIMESTAMP) AS timestamp", "event_type AS fingerprint")
-    q = tail.windowed_counts(e, "1 day", "1 day").writeStream.outputMode("append").format("memory").queryName(name).trigger(availableNow=True).start()
+    counts = tail.windowed_counts(e, "1 day", "1 day")
+    spark.createDataFrame([], counts.schema).write.parquet(f"{folder}/counts")
+    # complete mode: each batch brings every window anew, and the last one stands
+    q = counts.writeStream.outputMode("complete").foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{folder}/counts")).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(counts.schema).parquet(f"{folder}/counts")
 
 
 def _is_folder(spark, path: str) -> bool:
