@@ -30,8 +30,7 @@ def with_unit(vectors: DataFrame, column: str, name: str = "_unit") -> DataFrame
 def merge_edges(vectors: DataFrame, threshold: float = 0.92, key: str = "fingerprint") -> DataFrame:
     """Pairs (a, b, similarity) of a < b whose vectors have cosine >= threshold.
 
-    The vectors are those of ranked clusters, whose number the caller caps; so the pairs are
-    bounded and laid out as a broadcast nested loop.
+    All pairs are compared, in a nested loop: the work grows with the square of their number.
     """
     u = with_unit(vectors, "embedding").select(F.col(key).alias("k"), "_unit")
     left, right = u.select(F.col("k").alias("a"), F.col("_unit").alias("va")), u.select(F.col("k").alias("b"), F.col("_unit").alias("vb"))

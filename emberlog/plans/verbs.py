@@ -52,9 +52,9 @@ class Analyzer:
         found = cluster.clusters(self.entries, window, o.baseline, self.scope, service, environment, job_id, None if merging else top)
         if not merging:
             return found
-        capped = cluster.rank(found, 1000).persist()
-        vectors = self.embed(capped.select("fingerprint", F.col("representative_message").alias("template"))).select("fingerprint", "embedding")
-        return semantic.merge_clusters(capped, vectors, o.merge_threshold, o.merge_min_count, top)
+        found = found.persist()
+        vectors = self.embed(found.select("fingerprint", F.col("representative_message").alias("template"))).select("fingerprint", "embedding")
+        return semantic.merge_clusters(found, vectors, o.merge_threshold, o.merge_min_count, top)
 
     def explain(self, window: Window, service: str | None = None, environment: str | None = None, job_id: str | None = None) -> dict:
         """The evidence packet with confidence and texts."""

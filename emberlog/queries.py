@@ -430,9 +430,9 @@ def merge_components(spark, sf_dir):
 @query()
 def merge_clusters(spark, sf_dir):
     """Clusters of the window merged by vectors of their templates."""
-    ranked = cluster.clusters(logs(spark, sf_dir), A, DAY, "default", top=50).persist()  # a short list
+    ranked = cluster.clusters(logs(spark, sf_dir), A, DAY, "default", top=None).persist()
     vectors = embed.embed(ranked.select("fingerprint", F.col("representative_message").alias("template"))).select("fingerprint", "embedding")
-    merged = semantic.merge_clusters(ranked, vectors, 0.8)
+    merged = semantic.merge_clusters(ranked, vectors, 0.8, top=50)
     return merged.select("fingerprint", "representative_message", "count", "baseline_count", F.round("importance_score", 6).alias("importance"), F.size("merged_fingerprints").alias("merged"))
 
 
