@@ -403,7 +403,7 @@ def similar_fingerprint(spark, sf_dir):
 
 
 def _representatives(spark, sf_dir):
-    """Vectors of the most frequent fingerprints: one for each of the 40 smallest parts."""
+    """One vector for each label, the one of smallest vec_id; not the whole table."""
     return table(spark, sf_dir, "embeddings").groupBy("label").agg(F.min_by("embedding", "vec_id").alias("embedding")).select(F.col("label").cast("string").alias("fingerprint"), "embedding")
 
 
