@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 
 def min_label_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """(node, component): each node with the smallest node that it can reach over edges(a, b).
@@ -14,9 +14,7 @@ def min_label_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1
     Labels go to neighbours and then jump to the label of the label, so that a chain halves
     with each round; rounds end when no label changes. State is checkpointed.
     """
-    sc = edges.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-emberlog-"))
+    shared_dir(edges.sparkSession)  # names a checkpoint folder where a local session has none
     both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct().checkpoint()
     labels = nodes.select("node", F.col("node").alias("component")).checkpoint()
     for _ in range(max_rounds):

@@ -16,6 +16,7 @@ from .functions.timeutil import Window
 from .operators import cluster, compare, evidence, ingest, parse, retention, retrieval, semantic
 from .operators import timeline as timelines
 from .plans.verbs import Analyzer
+from .session import shared_dir
 from .sources import lines as sources
 from .streaming import tail
 
@@ -597,8 +598,6 @@ def ask(spark, sf_dir):
 FROM events WHERE ts IS NOT NULL GROUP BY 1, 2, 3""")
 def stream_windowed_counts(spark, sf_dir):
     """Tumbling counts of a stream of events, run until all is read; open windows count, too."""
-    from .llm.common import shared_dir
-
     path, folder = f"{sf_dir}/events.parquet", shared_dir(spark)
     schema = table(spark, sf_dir, "events").schema
     # the source is a file or a folder; a glob reads both

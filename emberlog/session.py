@@ -1,9 +1,10 @@
-"""Sending this package to the Python workers of a session."""
+"""What a session shares with its executors: this package, and a folder for intermediate tables."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from functools import wraps
 from pathlib import Path
@@ -36,3 +37,38 @@ def shipped(f):
         return f(spark, *args, **kwargs)
 
     return run
+
+
+_FOLDERS: list[str] = []
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A fresh folder below spark.checkpoint.dir, which driver and executors share.
+
+    Only a local session that names no such folder gets a temporary one; a cluster must name it,
+    since a folder of the driver's machine would be no place that executors could read.
+    """
+    sc = spark.sparkContext
+    root = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="spark-emberlog-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(root)
+    folder = f"{root.rstrip('/')}/emberlog-{uuid.uuid4().hex}"
+    _FOLDERS.append(folder)
+    return folder
+
+
+def clear_shared(spark: SparkSession, keep: tuple[str, ...] = ()) -> None:
+    """Remove the folders that this session's operators have made, but for `keep`.
+
+    For the time when their results are written or collected: a result that is still lazy reads
+    from them.
+    """
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in [f for f in _FOLDERS if f not in keep]:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+        _FOLDERS.remove(folder)
