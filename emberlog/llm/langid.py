@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 import math
-import re
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import zcodec
 from .common import remainder
 
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+_NOT_LETTERS = regex.compile(r"\P{L}+")
 UNKNOWN = "und"
 #: Bounds of what training takes from each language: sampled documents, bytes of each in the
 #: dictionary (more, up to LONGEST characters, where documents are few), bytes of the dictionary.

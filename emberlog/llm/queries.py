@@ -89,7 +89,7 @@ t AS (
   FROM s),
 m AS (
   SELECT n, max_by(r.h || r.p, length(r.h || r.p)) AS rule, max_by(r.v, length(r.h || r.p)) AS v
-  FROM t JOIN {_RULES} ON (t.host = r.h OR ends_with(t.host, '.' || r.h)) AND (starts_with(t.path, r.p) OR r.p = '/')
+  FROM t JOIN {_RULES} ON (t.host = r.h OR ends_with(t.host, '.' || r.h)) AND starts_with(t.path, r.p)
   GROUP BY n)
 SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM t LEFT JOIN m USING (n)""",
     "op9_chat_formatting": """

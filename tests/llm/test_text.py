@@ -16,7 +16,7 @@ def corpus(n=300, seed=1):
     return rows
 
 
-ODD = [(9000, None, "aa", None, None), (9001, "", None, None, None), (9002, " 123 !!", "bb", None, None), (None, "der schnelle hund", "bb", None, None), (9003, "der faule hund " * 20_000, None, None, None), (9003, "der faule hund " * 20_000, None, None, None)]
+ODD = [(9000, None, "aa", None, None), (9001, "", None, None, None), (9002, " 123 !!", "bb", None, None), (9004, "² ½ Ⅷ", None, None, None), (None, "der schnelle hund", "bb", None, None), (9003, "der faule hund " * 20_000, None, None, None), (9003, "der faule hund " * 20_000, None, None, None)]
 
 
 def held(i, mod, r):
@@ -32,7 +32,7 @@ def test_language(spark):
     assert sum(r.lang_pred == truth[r.doc_id] for r in tested) >= 0.98 * len(tested) > 0
     assert all(r.held_out == held(r.doc_id, 3, 1) and 0 <= r.score <= 1 for r in got)
     odd = {r.doc_id: r.lang_pred for r in got if r.doc_id is None or r.doc_id >= 9000}
-    assert odd == {9000: "und", 9001: "und", 9002: "und", None: "bb", 9003: "bb"}
+    assert odd == {9000: "und", 9001: "und", 9002: "und", None: "bb", 9003: "bb", 9004: "und"}
 
 
 def test_language_without_training(spark):
@@ -86,7 +86,7 @@ def test_toxicity_learns_invented_words(spark):
     tested = [r for r in got if r.held_out and r.doc_id in truth]
     assert sum(r.predicted == truth[r.doc_id] for r in tested) >= 0.98 * len(tested) > 0
     assert all(r.held_out == held(r.doc_id, 5, 0) for r in got)
-    assert all(r.predicted == 0 for r in got if r.doc_id in (9000, 9001, 9002, 9003))
+    assert all(r.predicted == 0 for r in got if r.doc_id in (9000, 9001, 9002, 9003, 9004))
     kept = toxicity.drop_toxic(spark.createDataFrame(rows, DOC), marks).collect()
     assert {r.doc_id for r in kept} == {i for i, f in labels if not f}
 

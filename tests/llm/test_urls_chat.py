@@ -1,4 +1,5 @@
 import json
+import random
 
 from emberlog.llm import chat, urlfilter
 from emberlog.llm.queries import URL_RULES
@@ -6,7 +7,7 @@ from emberlog.llm.queries import URL_RULES
 URLS = [
     (1, "http://a.example.org/es/x"), (2, "https://EXAMPLE.org/en/12?q"), (3, "http://example.org/en/2"), (4, "http://x.com/fr/1#y"), (5, "http://com/de/"), (6, "http://telecom/de/1"),
     (7, "http://x.com/DE/1"), (8, None), (9, "no scheme"), (10, "://org"), (11, "http://org?x://y.com/de/"), (12, "http://notexample.org/es/"), (13, "http://x.com"), (14, ""), (1, "http://a.example.org/es/x"),
-    (15, "http://x.net/" + "a" * 100_000), (16, "http://x.org./p"), (None, "http://É.ORG/é"), (17, "http://user@x.com/de/1\n/z"), (18, "http:///de/1"),
+    (15, "http://x.net/" + "a" * 100_000), (19, "http://" + "a." * 50_000 + "org/x"), (20, "http://" + "b" * 1_000_000 + "/de/1"), (21, "http://a..com/fr/"), (22, "http://.com/fr/"), (16, "http://x.org./p"), (None, "http://É.ORG/é"), (17, "http://user@x.com/de/1\n/z"), (18, "http:///de/1"),
 ]
 
 
@@ -21,7 +22,7 @@ def brute(url):
     best, verdict = None, "allow"
     for v, r in URL_RULES:
         h, p = r.split("/", 1)
-        if (host == h or host.endswith("." + h)) and (path.startswith("/" + p) or not p) and (best is None or len(r) > len(best)):
+        if (host == h or host.endswith("." + h)) and path.startswith("/" + p) and (best is None or len(r) > len(best)):
             best, verdict = r, v
     return host, path, best, verdict
 
@@ -35,9 +36,9 @@ def test_rules_equal_brute_force(spark):
 
 
 def test_collisions_are_told_apart(spark):
-    name, _, _ = urlfilter.build_index(spark, [("block", f"h{i}.net/") for i in range(50)])
-    index = list(urlfilter.open_index(name))
-    index[0] = index[0] * 0 + 7  # all digests collide
+    name, _ = urlfilter.build_index(spark, [("block", f"h{i}.net/") for i in range(50)])
+    index = urlfilter.open_index(name)
+    index = index._replace(rules=index.rules * 0 + 7)  # all digests collide
     same = urlfilter.xxhash.xxh64_intdigest
     try:
         urlfilter.xxhash.xxh64_intdigest = lambda k: 7
@@ -47,6 +48,30 @@ def test_collisions_are_told_apart(spark):
     assert got[0] >= 0 and got[1] == -1
 
 
+def test_long_hosts_cost_no_more_than_the_rules():
+    bounds = urlfilter.Bounds(3, 15)
+    assert urlfilter.domains("x." * 500_000 + "example.org", bounds) == ["org", "example.org", "x.example.org"]
+    assert urlfilter.domains("example.org", bounds) == ["org", "example.org"]
+    assert urlfilter.domains("a" * 16, bounds) == urlfilter.domains("", bounds) == []
+
+
+def test_many_rules_equal_a_scan(spark):
+    rng = random.Random(5)
+    name = lambda n: ".".join(rng.choice(["a", "b", "cc", "org"]) for _ in range(n))
+    rules = [(rng.choice(["allow", "block"]), f"{name(rng.randint(1, 4))}/{'xy'[: rng.randint(0, 2)]}") for _ in range(300)]
+    urls = [(i, f"http://{name(rng.randint(1, 6))}{rng.choice(['', '/', '/x', '/xy', '/xyz', '/y'])}") for i in range(500)]
+    verdicts = {}
+    for v, r in rules:
+        verdicts[r] = "block" if "block" in (v, verdicts.get(r)) else "allow"
+    want = {}
+    for i, u in urls:
+        host, slash, path = u[7:].partition("/")
+        fits = [r for r in verdicts if slash and ("." + host).endswith("." + r.partition("/")[0]) and path.startswith(r.partition("/")[2])]
+        best = max(fits, key=lambda r: (len(r), r), default=None)
+        want[i] = (best, verdicts.get(best, "allow"))
+    assert {r.page_id: (r.rule, r.verdict) for r in urlfilter.filter_urls(spark.createDataFrame(urls, "page_id long, url string"), rules).collect()} == want
+
+
 MSG = "conv_id long, turn long, role string, text string, json string"
 
 
