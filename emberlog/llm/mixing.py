@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from .common import WORD, shared_dir, stored, word_count
 
 WEIGHTS = (5, 2, 1)
-#: Words of a block, and of the shards that a source is dealt into.
-BLOCK, SHARD = 32, 2_000_000
+#: Words of a block at most, blocks that the smallest target holds at least, and words of the
+#: shards that a source is dealt into.
+BLOCK, FINE, SHARD = 32, 16, 2_000_000
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0) -> DataFrame:
@@ -60,7 +61,22 @@ def apportion(rows: DataFrame, party: list[str], votes: str, seats: str, of: lis
     return base.join(won, on, "left").withColumn("quota", F.col("_sure") + F.coalesce("_won", F.lit(0))).drop("_sure", "_more", "_open", "_won", *[f"_p{i}" for i in range(len(party))])
 
 
-def mix(docs: DataFrame, seed: int = 11, block: int = BLOCK, shard: int = SHARD, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0) -> DataFrame:
+def _fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, longer where a column has one already."""
+    out = []
+    for n in names:
+        while n in columns:
+            n += "_"
+        out.append(n)
+    return out
+
+
+def _sized(docs: DataFrame, *more: str) -> DataFrame:
+    """What the mix needs of each row: its id, source, size, and a hash that tells texts apart."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), F.xxhash64(F.col("text")).alias("text_hash"), *[F.col(c).alias(f"_{c}") for c in more])
+
+
+def mix(docs: DataFrame, **kwargs) -> DataFrame:
     """One row for each row of docs(doc_id, text, source): what the mix takes of it.
 
     doc_id, source, size (words), source_size, target (of its source), taken (words, repeats
@@ -68,25 +84,35 @@ def mix(docs: DataFrame, seed: int = 11, block: int = BLOCK, shard: int = SHARD,
     part of it, after which words and how many), wrap_words (one more part from its start).
 
     A source's documents, dealt into shards by hash, stand in seeded order and are cut into
-    blocks of `block` words. Quotas of blocks go to sources, then within a source to its
-    shards. A shard takes all its blocks as often as its quota allows, and then, from a
-    seeded start, the following ones, going round at the end: so most documents are taken
-    whole. Nothing is taken more than `cap` times. A null source is a source; texts that are
-    null or without words have size 0 and nothing is taken; rows alike in id and size are
-    interchangeable; reruns agree.
+    blocks of `block` words, or of fewer, down to one, where the smallest target would hold under
+    FINE blocks. Quotas of blocks go to sources, then within a source to its shards. A shard
+    takes all its blocks as often as its quota allows, and then, from a seeded start, the
+    following ones, going round at the end: so most documents are taken whole. Nothing is taken
+    more than `cap` times. A null source is a source; texts that are null or without words have
+    size 0 and nothing is taken; long texts are cut like others; repeated rows keep a row each;
+    an empty table gives an empty result; extra columns are ignored; reruns agree, since rows
+    alike in id, size and text are interchangeable.
     """
-    folder = shared_dir(docs.sparkSession)
-    sized = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size")), folder, "sized")
+    sized = stored(_sized(docs), shared_dir(docs.sparkSession), "sized")
+    return _plan(sized, **kwargs).select("doc_id", "source", "size", "source_size", "target", "taken", "whole", "cut_from", "cut_words", "wrap_words")
+
+
+def _plan(sized: DataFrame, seed: int = 11, block: int = BLOCK, shard: int = SHARD, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0) -> DataFrame:
+    """The decisions of mix for the rows of _sized, a stored table, with all its columns."""
+    folder = shared_dir(sized.sparkSession)
     sources = sized.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
+    aimed = stored(targets(sources, weights, share, cap).withColumn("_one", F.lit(1)), folder, "targets")
     # an equal-token block is the unit of all quotas; a source gets as many as its target holds
-    aimed = targets(sources, weights, share, cap).withColumn("_one", F.lit(1))
+    least = aimed.where("target > 0").agg(F.min("target")).first()[0] or 0.0
+    while block > 1 and least < FINE * block:
+        block //= 2
     blocks = aimed.withColumn("seats", F.round(F.sum("target").over(Window.partitionBy("_one")) / block).cast("long"))
     quotas = stored(apportion(blocks, ["source"], "target", "seats", ["_one"]).select("source", "source_size", "target", F.col("quota").alias("source_quota"), F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard)).cast("int").alias("shards")), folder, "quotas")
-    key = F.xxhash64(F.lit(seed), "doc_id", "size")
+    alike = ["doc_id", "size", "text_hash"]
     dealt = (
         sized.join(quotas.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")))
         .drop("_s")
-        .withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "size"), F.col("shards")).cast("int"))
+        .withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), *alike), F.col("shards")).cast("int"))
     )
     shards = dealt.groupBy("source", "shard").agg(F.sum("size").cast("long").alias("shard_size"), F.max("source_quota").alias("source_quota"))
     got = apportion(shards, ["source", "shard"], "shard_size", "source_quota", ["source"])
@@ -97,7 +123,7 @@ def mix(docs: DataFrame, seed: int = 11, block: int = BLOCK, shard: int = SHARD,
         F.least(F.col("quota") * block, F.floor(F.col("shard_size") * cap)).cast("long").alias("_take"),
         F.when(F.col("shard_size") > 0, F.pmod(F.xxhash64(F.lit(seed + 2), "source", "shard"), F.greatest(F.lit(1), F.ceil(F.col("shard_size") / block))) * block).otherwise(0).cast("long").alias("_start"),
     )
-    order = Window.partitionBy("source", "shard").orderBy(key, F.asc_nulls_last("doc_id"), "size")
+    order = Window.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed), *alike), *[F.asc_nulls_last(c) for c in alike])
     placed = dealt.withColumn("_end", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     n = F.col("shard_size")
     lo, hi = F.col("_end") - F.col("size"), F.col("_end")
@@ -110,7 +136,7 @@ def mix(docs: DataFrame, seed: int = 11, block: int = BLOCK, shard: int = SHARD,
         .withColumn("cut_words", F.greatest(F.lit(0), F.least(hi, stop) - F.greatest(lo, F.col("_start"))).cast("long"))
         .withColumn("wrap_words", F.greatest(F.lit(0), F.least(hi, stop - n) - lo).cast("long"))
         .withColumn("whole", F.when(F.col("size") > 0, F.col("whole")).otherwise(0))
-        .select("doc_id", "source", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("cut_words") + F.col("wrap_words")).alias("taken"), "whole", "cut_from", "cut_words", "wrap_words")
+        .withColumn("taken", F.col("whole") * F.col("size") + F.col("cut_words") + F.col("wrap_words"))
     )
 
 
@@ -118,13 +144,14 @@ def apply_mix(docs: DataFrame, **kwargs) -> DataFrame:
     """The mixed corpus, with the columns of docs: each text as often as the mix takes it.
 
     Cut parts hold the taken words joined by spaces, and n_chars (where there is one) their
-    length. Of rows alike in id, source and words, each follows one of their decisions.
+    length. Rows are numbered and stored first, so that each meets its own decision however many
+    are alike; columns of any name go along.
     """
-    key = lambda size: F.to_json(F.struct(F.col("doc_id").cast("long").alias("d"), F.col("source").cast("string").alias("s"), size.alias("z")))
-    plan = mix(docs, **kwargs).withColumn("_k", key(F.col("size"))).groupBy("_k").agg(F.sort_array(F.collect_list(F.struct("whole", "cut_from", "cut_words", "wrap_words", "size"))).alias("_plans"))
-    alike = Window.partitionBy("_k").orderBy("text")
-    one = docs.withColumn("_k", key(word_count(F.col("text")))).join(plan, "_k").withColumn("_p", F.element_at("_plans", F.row_number().over(alike)))
-    p = F.col("_p")
+    row, plan, new = _fresh(docs.columns, "_row", "_plan", "_text")
+    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), shared_dir(docs.sparkSession), "rows")
+    planned = _plan(stored(_sized(rows, row), shared_dir(docs.sparkSession), "sized"), **kwargs)
+    planned = planned.where("taken > 0").select(F.col(f"_{row}").alias(row), F.struct("size", "whole", "cut_from", "cut_words", "wrap_words").alias(plan))
+    p = F.col(plan)
     words = F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0))
     none = F.array().cast("array<string>")
 
@@ -133,5 +160,5 @@ def apply_mix(docs: DataFrame, **kwargs) -> DataFrame:
         return F.when(n == 0, none).when(n == p["size"], F.array("text")).otherwise(F.array(cut))
 
     parts = F.concat(F.array_repeat(F.col("text"), p["whole"].cast("int")), part(p["cut_from"], p["cut_words"]), part(F.lit(0), p["wrap_words"]))
-    fields = {"text": F.col("_t"), "n_chars": F.length("_t").cast("long")}
-    return one.withColumn("_t", F.explode(parts)).select([fields.get(c, F.col(c)).alias(c) for c in docs.columns])
+    fields = {"text": F.col(new), "n_chars": F.length(new).cast("long")}
+    return rows.join(planned, row).withColumn(new, F.explode(parts)).select([fields.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])

@@ -67,21 +67,24 @@ def pack_documents(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, sh
     length (words), bin_id (string, unique over all shards), bin_length (permitted length),
     bin_offset (words before it in the bin). A text longer than the largest length is cut into
     full bins and a rest. Null texts and texts without words get one row of length 0 without
-    bin; they pass by the packing tasks, however many they are. Repeated rows are packed each by itself (their segments are told apart by bin and
-    offset only); a null doc_id packs like any other.
+    bin; they pass by the packing tasks, however many they are. Repeated rows are packed each by
+    itself (their segments are told apart by bin and offset only), and spread over all shards by
+    their places in the input; a null doc_id packs like any other. Ties of length go by doc_id and
+    part. Extra columns are ignored; an empty table gives an empty result. Reruns over the same
+    files agree.
     """
     folder = shared_dir(docs.sparkSession)
-    sized = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), word_count(F.col("text")).alias("size")), folder, "sized")
+    sized = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("_text"), F.monotonically_increasing_id().alias("_row")), folder, "sized")
     total = sized.agg(F.sum("size")).first()[0] or 0
     shards = max(1, -(-total // shard))
     top = max(capacities)
     parts = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.col("size") - 1) / top)).cast("int")), lambda k: F.struct(k.alias("part"), (k * top).cast("long").alias("start"), F.least(F.lit(top), F.col("size") - k * top).cast("long").alias("length")))
-    cut = sized.withColumn("_x", F.explode(parts)).select("doc_id", "_x.part", "_x.start", "_x.length")
-    cut = cut.withColumn("_shard", F.pmod(F.xxhash64(F.lit(5), "doc_id", "part", "length"), F.lit(shards)).cast("int"))
+    cut = sized.withColumn("_x", F.explode(parts)).select("doc_id", "_text", "_row", "_x.part", "_x.start", "_x.length")
+    cut = cut.withColumn("_shard", F.pmod(F.xxhash64(F.lit(5), "doc_id", "part", "length", "_text", "_row"), F.lit(shards)).cast("int"))
 
     def run(key, table):
         # largest first; the rest of the order only makes reruns agree
-        table = table.sort_by([("length", "descending"), ("doc_id", "ascending"), ("part", "ascending")])
+        table = table.sort_by([("length", "descending"), ("doc_id", "ascending"), ("part", "ascending"), ("_row", "ascending")])
         b, off, caps = pack(table.column("length").to_numpy(), capacities, overhead)
         shard_no = key[0].as_py()
         names = pa.array([f"{shard_no}-{x}" for x in b.tolist()], pa.string())

@@ -80,7 +80,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, piece: int =
             d = [shared.value[k % FOLDS].difference(t.as_py()) for t, k in zip(b.column(0), b.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(d, pa.float64()), pa.array([k // FOLDS for k in b.column(1).to_pylist()], pa.int32())], names=["score", "label"])
 
-    judged = texts.join(F.broadcast(chosen.join(known.select("doc_id", "part"), "doc_id")), "doc_id").select("text", F.col("part").cast("int").alias("part"))
+    judged = texts.join(F.broadcast(chosen.join(known.select("doc_id", "part"), "doc_id")), "doc_id")
+    # one text for an id, however many rows repeat it, so that the sample stays bounded
+    judged = judged.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("part").cast("int").alias("part")).select("text", "part")
     got = sorted((r.score, r.label) for r in judged.mapInArrow(run, "score double, label int").collect())
     x, y = np.array([[100 * s] for s, _ in got]).reshape(-1, 1), np.array([k for _, k in got], float)
     w = fit_logistic(x, y, np.array([1.0, 0.0]), strength=1e-3)
@@ -90,7 +92,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, piece: int =
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score) of every whole text of docs(doc_id, text); null counts as empty.
 
-    Repeated rows keep a row each; extra columns are ignored.
+    Repeated rows keep a row each, with equal scores; very long texts are read block by block;
+    extra columns are ignored; an empty table gives an empty result.
     """
     return _map(docs, model, "score")
 
@@ -98,7 +101,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def judge(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1) -> DataFrame:
     """Train on the labels outside the held-out fold and score all documents.
 
-    Returns doc_id, held_out, score, predicted (1 from 0.5 on).
+    Returns doc_id, held_out (false without an id), score, predicted (1 from 0.5 on, so a tie is
+    good), a row for each row of docs; for odd rows see score and train.
     """
     fold = remainder(F.col("doc_id"), folds)
     model = train(docs, labels.where(fold != held))
@@ -109,7 +113,8 @@ def judge(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1) ->
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of docs whose text scores `threshold` or more, with all their columns.
 
-    The score is a column of the same pass, so no join moves the texts.
+    Nulls, empty and long texts and repeated rows are scored as by score; columns of any name go
+    along; an empty table stays empty. The texts are judged where they are, so no join moves them.
     """
     model = train(docs, labels)
     shared = docs.sparkSession.sparkContext.broadcast(model)

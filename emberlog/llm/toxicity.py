@@ -164,7 +164,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """
     known = labels.where("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
     chosen = one_per_bucket(known, ["label"], "doc_id", sample).select("doc_id", "label")
-    texts = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label")
+    texts = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # one text for an id, however many rows repeat it, so that the sample stays bounded
+    texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label")).select("text", "label")
     size = {r.label: r.n for r in texts.groupBy("label").agg(F.count("*").alias("n")).collect()}
     nt, nc = size.get(1, 0), size.get(0, 0)
     words, stems = dict.fromkeys(INSULTS, 3.0), {}

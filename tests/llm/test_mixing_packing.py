@@ -4,6 +4,7 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from emberlog.llm import mixing, packing
 
@@ -59,6 +60,52 @@ def test_mix(spark, shard):
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix(df.repartition(3), shard=shard).collect()))
 
 
+def test_tiny_sources_come_near_their_targets(spark):
+    rows = [(i, "w " * n, None, s, None, "") for i, (s, n) in enumerate((("a", 3), ("b", 2), ("c", 1), ("d", 4000)))]
+    for part in (rows, rows[:1], rows[:3]):
+        got = mixing.mix(spark.createDataFrame(part, DOC)).collect()
+        for r in got:
+            assert abs(r.taken - r.target) <= 1 and r.taken <= 2 * r.size, r
+
+
+def test_selection_equals_a_walk_over_all_words(spark):
+    """The words of a source stand in a ring; the mix takes whole rounds and a run from a seeded start."""
+    df, rows = docs(spark, 5)
+    plan = mixing.mix(df).collect()
+    h = F.xxhash64
+    keyed = df.select("doc_id", "source", F.length("text").alias("n"), F.xxhash64("text").alias("t"), F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("z")).fillna(0, ["z"])
+    keyed = keyed.select("*", h(F.lit(11), "doc_id", "z", "t").alias("k"), h(F.lit(13), "source", F.lit(0)).alias("s")).collect()
+    for source in {r.source for r in keyed}:
+        ring, n = [], 0
+        mine = sorted((r for r in keyed if r.source == source), key=lambda r: (r.k, r.doc_id is None, r.doc_id or 0, r.z, r.t is None, r.t or 0))
+        for r in mine:
+            ring += [(r.doc_id, r.z)] * r.z
+        n, want = len(ring), {}
+        take = sum(r.taken for r in plan if r.source == source)
+        start = (mine[0].s % max(1, -(-n // 32))) * 32
+        for i in range(take % n if n else 0):
+            want[ring[(start + i) % n]] = want.get(ring[(start + i) % n], 0) + 1
+        for w in ring:
+            want[w] = want.get(w, 0) + take // n
+        got = {}
+        for r in plan:
+            if r.source == source and r.taken:
+                got[r.doc_id, r.size] = got.get((r.doc_id, r.size), 0) + r.taken
+        assert got == {k: v for k, v in want.items() if v}
+
+
+def test_columns_of_any_name_go_along(spark):
+    df, _ = docs(spark, 4)
+    plain = mixing.apply_mix(df)
+    names = ("_row", "_plan", "_plans", "_k", "_text", "_text_", "taken", "shard", "_s", "a.b")
+    for i, name in enumerate(names):
+        df = df.withColumn(name, F.lit(i))
+    got = mixing.apply_mix(df)
+    assert got.columns == df.columns
+    assert [tuple(r)[-len(names) :] for r in got.distinct().limit(3).collect()] == [tuple(range(len(names)))] * 3
+    assert sorted(map(str, got.drop(*names).collect())) == sorted(map(str, plain.collect()))
+
+
 def test_apply_mix_takes_those_words(spark):
     df, rows = docs(spark, 3)
     plan, out = mixing.mix(df).collect(), mixing.apply_mix(df)
@@ -124,3 +171,35 @@ def test_best_fit_picks_the_tightest_bin():
     sizes = np.array([700, 600, 400, 320, 300])
     b, off, length = packing.pack(sizes, (512, 1024))
     assert b.tolist() == [0, 1, 1, 0, 2] and off.tolist() == [0, 0, 600, 700, 0] and length.tolist() == [1024, 1024, 512]
+
+
+def test_best_fit_equals_a_scan_of_all_bins():
+    rng = np.random.default_rng(2)
+    for caps, overhead in (((64, 256, 1024), 16.0), ((100,), 0.0), ((10, 20, 40, 80), 3.0)):
+        sizes = np.sort(rng.integers(1, caps[-1] + 1, 400))[::-1]
+        room, used = [], []
+        for i, s in enumerate(sizes.tolist()):
+            open_ = [j for j in range(len(room)) if room[j] >= s]
+            if open_:
+                j = min(open_, key=lambda j: room[j])
+            else:
+                rest = int(sizes[i + 1 :].sum())
+                best = min((c for c in caps if c >= s), key=lambda c: ((c + overhead) / min(c, s + rest), c))
+                j = len(room)
+                room.append(best)
+                used.append(0)
+            room[j] -= s
+            used[j] += s
+        b, off, length = packing.pack(sizes, caps, overhead)
+        assert sorted(np.bincount(b, sizes).astype(int).tolist()) == sorted(used)
+        assert sorted(length.tolist()) == sorted(min(c for c in caps if c >= u) for u in used)
+        for k in range(len(length)):
+            mine = np.flatnonzero(b == k)
+            assert off[mine].tolist() == np.r_[0, np.cumsum(sizes[mine])[:-1]].tolist()
+
+
+def test_repeated_rows_spread_over_all_shards(spark):
+    df = spark.createDataFrame([(None, "w " * 40, None, None, None, "")] * 300, DOC)
+    got = packing.pack_documents(df, capacities=(128,), shard=1000).collect()
+    assert len(got) == 300 and sum(r.length for r in got) == 12_000
+    assert len({r.bin_id.split("-")[0] for r in got}) > 6

@@ -35,6 +35,50 @@ def test_language(spark):
     assert odd == {9000: "und", 9001: "und", 9002: "und", None: "bb", 9003: "bb", 9004: "und"}
 
 
+def test_language_equals_plain_compression(spark):
+    import zstandard
+
+    rows = corpus(90, 4) + ODD
+    df = spark.createDataFrame(rows, DOC)
+    dictionaries = langid.train(df)
+
+    def size(text, content):
+        data = " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split()).encode()
+        coder = zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
+        return sum(len(coder.compress(data[i : i + langid.BLOCK])) for i in range(0, len(data), langid.BLOCK))
+
+    for r in langid.predict(df.select("doc_id", "text"), dictionaries).collect():
+        text = next(x[1] for x in rows if x[0] == r.doc_id)
+        if r.lang_pred == "und":
+            assert not any(c.isalpha() for c in text or "")
+        else:
+            assert r.lang_pred == min(sorted(dictionaries), key=lambda k: size(text, dictionaries[k]))
+
+
+def test_quality_equals_plain_compression(spark):
+    import math
+
+    import zstandard
+
+    rows, bad = labelled(lambda t, rng: t.upper(), 120)
+    model = quality.train(spark.createDataFrame(rows, DOC), spark.createDataFrame([(i, 1 - b) for i, b in bad], "doc_id long, label int"))
+    for text in [r[1] for r in rows[:40]] + ["", "x" * 10_000, "ÀÉ " * 3000]:
+        data, sizes = text.encode(), []
+        for content in (model.bad, model.good):
+            coder = zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
+            sizes.append(sum(len(coder.compress(data[i : i + quality.BLOCK])) for i in range(0, len(data), quality.BLOCK)))
+        z = model.weights[0] * 100 * (sizes[0] - sizes[1]) / (len(data) + quality.PAD) + model.weights[1]
+        assert abs(model.score(text) - 1 / (1 + math.exp(-max(-30, min(30, z))))) < 1e-12
+
+
+def test_many_rows_of_one_labelled_id(spark):
+    rows, bad = labelled(lambda t, rng: t.upper(), 60)
+    rows += [(0, f"copy {i} of a labelled id", None, None, None) for i in range(3000)]
+    labels = spark.createDataFrame([(i, 1 - b) for i, b in bad], "doc_id long, label int")
+    assert quality.judge(spark.createDataFrame(rows, DOC), labels).count() == len(rows)
+    assert toxicity.judge(spark.createDataFrame(rows, DOC), labels).count() == len(rows)
+
+
 def test_language_without_training(spark):
     df = spark.createDataFrame([(1, "some words", None, None, None)], DOC)
     assert [(r.lang_pred, r.score) for r in langid.identify(df).collect()] == [("und", 0.0)]
