@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import shared_dir
 
+
 def json_string(text: Column) -> Column:
     """The JSON string of a text; null for null."""
     json = F.to_json(F.struct(text.alias("x")))  # {"x":"..."}
@@ -22,11 +23,12 @@ def canonical(pairs: list[tuple[str, Column]]) -> Column:
     return F.concat(F.lit("{"), F.concat_ws(",", *members), F.lit("}"))
 
 
-def valid_arguments(name: Column, args: Column, schemas: dict[str, dict[str, tuple[str, bool]]]) -> Column:
+def valid_arguments(name: Column, args: Column, schemas: dict[str, dict[str, tuple]]) -> Column:
     """Whether args, a map of JSON texts, fit the schema of the function `name`.
 
     schemas: {function: {argument: (kind, required)}} with the kinds string (not blank),
-    integer, number and boolean. Unknown functions and unknown or null arguments do not fit.
+    integer, number and boolean; a third member bounds the characters of the JSON text. Unknown
+    functions and unknown or null arguments do not fit.
     """
     fits = {
         "string": lambda v: v.rlike(r'^"[\s\S]*\S[\s\S]*"$'),
@@ -37,9 +39,10 @@ def valid_arguments(name: Column, args: Column, schemas: dict[str, dict[str, tup
     out = F.lit(False)
     for function, spec in sorted(schemas.items()):
         ok = F.size(F.array_except(F.map_keys(args), F.array(*[F.lit(k) for k in sorted(spec)]).cast("array<string>"))) == 0
-        for arg, (kind, required) in sorted(spec.items()):
+        for arg, (kind, required, *most) in sorted(spec.items()):
             here = args[F.lit(arg)]
-            ok = ok & F.coalesce(fits[kind](here), F.lit(not required) & ~F.coalesce(F.map_contains_key(args, F.lit(arg)), F.lit(False)))
+            fit = fits[kind](here) & (F.length(here) <= most[0] + 2 if most else F.lit(True))
+            ok = ok & F.coalesce(fit, F.lit(not required) & ~F.coalesce(F.map_contains_key(args, F.lit(arg)), F.lit(False)))
         out = F.when(name == function, ok).otherwise(out)
     return F.coalesce(out, F.lit(False))
 
@@ -49,72 +52,121 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict) -> DataFrame
 
     calls(conv_id, call_id, name, args map<string, JSON text>, after array of call_ids that it
     depends on, place: any order of conversation), results(conv_id, call_id, content).
-    Calls and results meet in a hash join on (conv_id, call_id). Of calls or results that
-    repeat an identifier the smallest in (place, content) order stands, so that copies cannot
-    multiply; nulls among identifiers link with nothing.
-
-    Returns one row for each call, and for each result without call: conv_id, call_id, level,
-    place, status (linked, no_result, no_call), valid (arguments fit their schema), json.
-    Sorting by (conv_id, level, place, call_id) is a topological order: level is 0 wherever all
-    dependencies of a conversation point to earlier places; elsewhere it is 0 for a call that
-    waits for none, else one more than the highest it waits for, and null in or behind a cycle.
-    Dependencies on calls that do not exist count as met.
+    Calls and results meet in a hash join on (conv_id, call_id). Rows that are alike are one row
+    with their number as `copies`. Of different calls or results with one identifier the smallest
+    in (place, content) order stands for it; each other keeps a row with an identifier of its own
+    (the old one, `~` and a hash of what it says) and the status `repeated`. Nulls among
+    identifiers link with nothing.
+
+    Returns one row for each different call, and for each result that is in no call's row: conv_id,
+    call_id, level, place, status (linked, no_result, no_call, repeated), valid (arguments fit
+    their schema; null for results), copies, json. Sorting by (conv_id, level, place, call_id) is
+    a topological order: level is 0 for a call that waits for none, else one more than the highest
+    it waits for, and null in or behind a cycle. Dependencies on calls that do not exist count as
+    met. Empty and very long texts are texts like others; an empty table gives an empty result;
+    extra columns are ignored.
     """
     key = ["conv_id", "call_id"]
-    named = calls.where("conv_id is not null and call_id is not null")
-    first = named.groupBy(*key).agg(F.min(F.struct("place", "name", F.sort_array(F.map_entries("args")).alias("args"), "after")).alias("c")).select(*key, "c.place", "c.name", F.map_from_entries("c.args").alias("args"), "c.after")
-    loose = calls.where("conv_id is null or call_id is null").select(*key, "place", "name", "args", "after")
-    answer = results.where("conv_id is not null and call_id is not null").groupBy(*key).agg(F.min("content").alias("content"), F.lit(True).alias("answered"))
-    waits = first.select("conv_id", "call_id", F.explode(F.array_distinct("after")).alias("on")).where("on is not null")
-    target = first.select("conv_id", F.col("call_id").alias("on"), F.col("place").alias("at"))
-    back = waits.join(first.select(*key, "place"), key).join(target, ["conv_id", "on"])
-    odd = back.where("at >= place").select("conv_id").distinct()
-    linked = first.join(answer, key, "full")
-    if odd.isEmpty():
-        linked = linked.withColumn("level", F.lit(0))
-    else:
-        there = first.join(odd, "conv_id", "left_semi").select(*key)
-        levels = _levels(there, back.join(odd, "conv_id", "left_semi").select(*key, "on"))
-        linked = linked.join(levels, key, "left").withColumn("level", F.when(F.col("known"), F.col("level")).otherwise(0)).drop("known")
-    linked = linked.unionByName(loose.select(*key, "place", "name", "args", "after", F.lit(None).cast("string").alias("content"), F.lit(None).cast("boolean").alias("answered"), F.lit(0).alias("level")))
-    status = F.when(F.col("name").isNull() & F.col("answered"), "no_call").when(F.col("answered"), "linked").otherwise("no_result")
-    args = F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.map_entries("args")), lambda e: F.concat(json_string(e["key"]), F.lit(":"), F.coalesce(e["value"], F.lit("null")))), ","), F.lit("}"))
-    json = canonical([("id", json_string(F.col("call_id"))), ("name", json_string(F.col("name"))), ("arguments", args), ("result", json_string(F.col("content")))])
-    return linked.select(*key, "level", "place", status.alias("status"), F.when(F.col("name").isNotNull(), valid_arguments(F.col("name"), F.col("args"), schemas)).alias("valid"), json.alias("json"))
-
-
-def _levels(ids: DataFrame, edges: DataFrame) -> DataFrame:
-    """(conv_id, call_id, level, known) by rounds: a call has a level once all it waits for have."""
-    shared_dir(ids.sparkSession)
+    named = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
+    said = F.struct("place", "name", F.sort_array(F.map_entries("args")).alias("args"), F.array_sort(F.array_distinct("after")).alias("after"))
+    asked = _folded(calls, key, said, named)
+    answered = _folded(results, key, F.col("content"), named)
+    first = asked.where("first")
+    waits = first.where(named).select(*key, F.explode("said.after").alias("on")).where("on is not null")
+    known = first.where(named).select("conv_id", F.col("call_id").alias("on"))
+    levels = _levels(waits.join(known.hint("shuffle_hash"), ["conv_id", "on"]))
+    linked = (
+        first.where(named).select(*key, "said", "copies")
+        .join(answered.where(named & F.col("first")).select(*key, F.col("said").alias("content"), F.col("copies").alias("_answers")).hint("shuffle_hash"), key, "full")
+        .withColumn("status", F.when(F.col("said").isNull(), "no_call").when(F.col("_answers").isNull(), "no_result").otherwise("linked"))
+        .withColumn("copies", F.coalesce("copies", "_answers"))
+    )
+    none = F.lit(None).cast("string")
+    loose = asked.where(~named).select(*key, "said", "copies", none.alias("content"), F.lit(None).cast("long").alias("_answers"), F.lit("no_result").alias("status"))
+    again = asked.where(named & ~F.col("first")).select(*key, "said", "copies", none.alias("content"), F.lit(None).cast("long").alias("_answers"), F.lit("repeated").alias("status"))
+    unasked = answered.where(~(named & F.col("first"))).select(*key, F.lit(None).cast(asked.schema["said"].dataType).alias("said"), "copies", F.col("said").alias("content"), F.col("copies").alias("_answers"), F.when(named, "repeated").otherwise("no_call").alias("status"))
+    rows = linked.select(loose.columns).unionByName(loose).unionByName(again).unionByName(unasked).join(levels.hint("shuffle_hash"), key, "left")
+    c = F.col("said")
+    args = F.concat(F.lit("{"), F.array_join(F.transform(c["args"], lambda e: F.concat(json_string(e["key"]), F.lit(":"), F.coalesce(e["value"], F.lit("null")))), ","), F.lit("}"))
+    body = [("arguments", args), ("name", json_string(c["name"])), ("result", json_string(F.col("content")))]
+    own = F.when(F.col("status") == "repeated", F.concat("call_id", F.lit("~"), F.substring(F.md5(canonical(body)), 1, 12))).otherwise(F.col("call_id"))
+    level = F.when(F.col("_waits"), F.col("level")).otherwise(F.lit(0))
+    valid = F.when(c.isNotNull(), valid_arguments(c["name"], F.map_from_entries(c["args"]), schemas))
+    return rows.select("conv_id", own.alias("call_id"), level.alias("level"), c["place"].alias("place"), "status", valid.alias("valid"), "copies", canonical([("id", json_string(own)), *body]).alias("json"))
+
+
+def _folded(rows: DataFrame, key: list[str], said: Column, named: Column) -> DataFrame:
+    """key, said, copies, first: rows alike counted, and whether one says the least of its key."""
+    each = rows.select(*key, said.alias("said")).groupBy(*key, "said").agg(F.count("*").alias("copies"))
+    least = each.where(named).groupBy(*key).agg(F.min(F.struct("said")).alias("_least"))
+    return each.join(least.hint("shuffle_hash"), key, "left").withColumn("first", F.coalesce(F.col("_least.said").eqNullSafe(F.col("said")), F.lit(True))).drop("_least")
+
+
+def _levels(edges: DataFrame) -> DataFrame:
+    """(conv_id, call_id, level, _waits) of the calls that wait: edges(conv_id, call_id, on).
+
+    An edge says that a level is over that of another by a distance at least. In each round an
+    edge to a call of known level becomes a known bound, and one to a call that waits for a
+    single other goes on to that other, with the distances added; so chains halve, and the rounds
+    grow with the logarithm of their length. A distance over the number of calls that wait goes
+    round in a cycle, and stays.
+    """
+    shared_dir(edges.sparkSession)
     key = ["conv_id", "call_id"]
-    edges = edges.checkpoint()
-    done = ids.join(edges.select(*key).distinct(), key, "left_anti").withColumn("level", F.lit(0)).checkpoint()
+    e = edges.select(*key, "on", F.lit(1).cast("long").alias("far")).checkpoint()
+    most = e.groupBy("conv_id").agg(F.count_distinct("call_id").alias("n")).agg(F.max("n")).first()[0] or 0
+    known, before = F.col("on").isNull(), None
     while True:
-        at = done.select("conv_id", F.col("call_id").alias("on"), F.col("level").alias("l"))
-        ready = edges.join(at, ["conv_id", "on"], "left").groupBy(*key).agg(F.max("l").alias("l"), F.count_if(F.col("l").isNull()).alias("open")).where("open = 0")
-        more = ready.join(done, key, "left_anti").select(*key, (F.col("l") + 1).cast("int").alias("level")).checkpoint()
-        if more.isEmpty():
+        now = tuple(e.agg(F.count("*"), F.sum("far"), F.count_if(known)).first())
+        if now == before or not now[0] or now[0] == now[2]:
             break
-        done = done.unionByName(more).checkpoint()
-    return ids.join(done, key, "left").withColumn("known", F.lit(True))
-
-
-#: The function that a plain chat turn calls, with its arguments.
-CHAT_SCHEMAS = {"reply": {"prompt": ("string", True), "turn": ("integer", True)}}
+        before = now
+        # of each waiting call: its level as far as it is known, and the last one it waits for
+        at = e.groupBy(*key).agg(F.max(F.when(known, F.col("far"))).alias("_base"), F.count_if(~known).alias("_open"), F.max(F.when(~known, F.struct("on", "far"))).alias("_next"))
+        at = at.select("conv_id", F.col("call_id").alias("on"), "_base", "_open", "_next", F.lit(True).alias("_there"))
+        open_ = e.where(~known).join(at.hint("shuffle_hash"), ["conv_id", "on"], "left")
+        to = lambda on, far: F.struct(on.cast("string").alias("on"), far.alias("far"))
+        far, base, nothing = F.col("far"), F.col("_base"), F.lit(None)
+        onward = F.array_compact(F.array(to(F.col("_next.on"), far + F.col("_next.far")), F.when(base.isNotNull(), to(nothing, far + base))))
+        goes = (
+            F.when(F.col("_there").isNull(), F.array(to(nothing, far)))
+            .when(F.col("_open") == 0, F.array(to(nothing, far + base)))
+            .when((F.col("_open") == 1) & (far <= most), onward)
+            .otherwise(F.array(to(F.col("on"), far)))
+        )
+        moved = open_.select(*key, F.inline(goes))
+        e = e.where(known).unionByName(moved.select(e.columns)).groupBy(*key, "on").agg(F.max("far").alias("far")).checkpoint()
+    level = F.when(F.count_if(~known) == 0, F.max("far")).cast("int")
+    return e.groupBy(*key).agg(level.alias("level"), F.lit(True).alias("_waits"))
+
+
+#: Most characters of a prompt, and the function that a plain chat turn calls, with its arguments.
+PROMPT = 8000
+CHAT_SCHEMAS = {"reply": {"prompt": ("string", True, PROMPT), "turn": ("integer", True)}}
 
 
 def format_conversations(messages: DataFrame) -> DataFrame:
     """Chats as linked calls: each user turn calls `reply`, the assistant turn after it answers.
 
-    messages(conv_id, turn, role, text). The call of user turn t has the identifier `t`, and
-    depends on the call of turn t - 2, the exchange before; the assistant turn t answers the
-    call t - 1. Other roles call nothing. Null text is an empty prompt (which does not fit the
-    schema) or an empty answer; rows whose conv_id or turn is null link with nothing (calls) or
-    are left out (answers). Returns link_calls' columns.
+    messages(conv_id, turn, role, text). The call of user turn t has the identifier `t`; it waits
+    for the call of turn t - 1, if that is a user's too, or else of turn t - 2, the exchange
+    before, so that its level is its place in the talk. The assistant turn t answers the call
+    t - 1. Turns of other roles call nothing; each is a row with the status `message`, the role
+    and text in its JSON, level 0 and null call_id and valid. Null text is an empty text (an empty
+    prompt does not fit the schema, nor does one of over PROMPT characters). Rows whose conv_id or
+    turn is null link with nothing. No turn is left out: copies are counted, and what else repeats
+    a turn keeps its row; see link_calls, whose columns these are.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    base = messages.select("conv_id", "turn", "role", text.alias("text"))
+    base = messages.select("conv_id", F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), text.alias("text"))
+    asks = base.where("role = 'user'")
     args = F.create_map(F.lit("prompt"), json_string(F.col("text")), F.lit("turn"), F.coalesce(F.col("turn").cast("string"), F.lit("null")))
-    calls = base.where("role = 'user'").select("conv_id", F.col("turn").cast("string").alias("call_id"), F.lit("reply").alias("name"), args.alias("args"), F.when(F.col("turn") >= 2, F.array((F.col("turn") - 2).cast("string"))).otherwise(F.array().cast("array<string>")).alias("after"), F.col("turn").cast("long").alias("place"))
+    follows = asks.where("conv_id is not null and turn is not null").select("conv_id", (F.col("turn") + 1).alias("turn"), F.lit(1).alias("_back")).distinct()
+    before = F.col("turn") - F.coalesce("_back", F.lit(2))
+    asks = asks.join(follows.hint("shuffle_hash"), ["conv_id", "turn"], "left")
+    calls = asks.select("conv_id", F.col("turn").cast("string").alias("call_id"), F.lit("reply").alias("name"), args.alias("args"), F.when(before >= 0, F.array(before.cast("string"))).otherwise(F.array().cast("array<string>")).alias("after"), F.col("turn").alias("place"))
     results = base.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).cast("string").alias("call_id"), F.col("text").alias("content"))
-    return link_calls(calls, results, CHAT_SCHEMAS)
+    other = base.where("coalesce(role, '') not in ('user', 'assistant')").groupBy("conv_id", "turn", "role", "text").agg(F.count("*").alias("copies"))
+    message = canonical([("content", json_string(F.col("text"))), ("role", json_string(F.col("role")))])
+    rest = other.select("conv_id", F.lit(None).cast("string").alias("call_id"), F.lit(0).alias("level"), F.col("turn").alias("place"), F.lit("message").alias("status"), F.lit(None).cast("boolean").alias("valid"), "copies", message.alias("json"))
+    return link_calls(calls, results, CHAT_SCHEMAS).unionByName(rest)

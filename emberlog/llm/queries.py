@@ -93,19 +93,24 @@ m AS (
   GROUP BY n)
 SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM t LEFT JOIN m USING (n)""",
     "op9_chat_formatting": """
-WITH calls AS (
-  SELECT conv_id, CAST(turn AS VARCHAR) AS call_id, turn AS place,
-         min(CAST(to_json(coalesce(text, '')) AS VARCHAR)) AS prompt
-  FROM conversations WHERE role = 'user' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id, turn),
-results AS (
-  SELECT conv_id, CAST(turn - 1 AS VARCHAR) AS call_id, min(coalesce(text, '')) AS content
-  FROM conversations WHERE role = 'assistant' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id, turn)
-SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id, 0 AS level, place,
-       CASE WHEN prompt IS NULL THEN 'no_call' WHEN content IS NULL THEN 'no_result' ELSE 'linked' END AS status,
-       CASE WHEN prompt IS NOT NULL THEN regexp_matches(prompt, '^"[\\s\\S]*\\S[\\s\\S]*"$') END AS valid,
-       '{' || concat_ws(',', '"arguments":{"prompt":' || prompt || ',"turn":' || place || '}',
-                        '"id":"' || coalesce(c.call_id, r.call_id) || '"',
-                        CASE WHEN prompt IS NOT NULL THEN '"name":"reply"' END,
-                        '"result":' || CAST(to_json(content) AS VARCHAR)) || '}' AS json
-FROM calls c FULL JOIN results r ON c.conv_id = r.conv_id AND c.call_id = r.call_id""",
+WITH m AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, count(*) AS copies FROM conversations GROUP BY ALL),
+u AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY encode(CAST(to_json(text) AS VARCHAR))) = 1 AS main FROM m WHERE role = 'user'),
+a AS (SELECT *, turn - 1 AS asked, row_number() OVER (PARTITION BY conv_id, turn ORDER BY encode(text)) = 1 AS main FROM m WHERE role = 'assistant'),
+chain AS (SELECT conv_id, turn, sum(fresh) OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM
+  (SELECT *, CASE WHEN turn - lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) <= 2 THEN 0 ELSE 1 END AS fresh FROM u WHERE main)),
+lv AS (SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id, run ORDER BY turn) - 1 AS INTEGER) AS level FROM chain),
+r AS (
+  SELECT coalesce(u.conv_id, a.conv_id) AS conv_id, coalesce(u.turn, a.asked) AS call, u.turn AS place, u.text AS prompt, a.text AS content, coalesce(u.copies, a.copies) AS copies,
+         CASE WHEN u.turn IS NULL THEN 'no_call' WHEN a.turn IS NULL THEN 'no_result' ELSE 'linked' END AS status
+  FROM (SELECT * FROM u WHERE main) u FULL JOIN (SELECT * FROM a WHERE main) a ON u.conv_id = a.conv_id AND u.turn = a.asked
+  UNION ALL SELECT conv_id, turn, turn, text, NULL, copies, 'repeated' FROM u WHERE NOT main
+  UNION ALL SELECT conv_id, asked, NULL, NULL, text, copies, 'repeated' FROM a WHERE NOT main),
+j AS (SELECT *, CASE WHEN prompt IS NOT NULL THEN '"arguments":{"prompt":' || CAST(to_json(prompt) AS VARCHAR) || ',"turn":' || call || '}' END AS args,
+      CASE WHEN prompt IS NOT NULL THEN '"name":"reply"' END AS name, '"result":' || CAST(to_json(content) AS VARCHAR) AS result FROM r),
+k AS (SELECT *, CAST(call AS VARCHAR) || CASE WHEN status = 'repeated' THEN '~' || substr(md5('{' || concat_ws(',', args, name, result) || '}'), 1, 12) ELSE '' END AS call_id FROM j)
+SELECT k.conv_id, call_id, coalesce(level, 0) AS level, place, status, CASE WHEN prompt IS NOT NULL THEN regexp_matches(prompt, '\\S') AND length(CAST(to_json(prompt) AS VARCHAR)) <= 8002 END AS valid, copies,
+       '{' || concat_ws(',', args, '"id":"' || call_id || '"', name, result) || '}' AS json
+FROM k LEFT JOIN lv ON k.conv_id = lv.conv_id AND k.call = lv.turn
+UNION ALL SELECT conv_id, NULL, 0, turn, 'message', NULL, copies, '{' || concat_ws(',', '"content":' || CAST(to_json(text) AS VARCHAR), '"role":' || CAST(to_json(role) AS VARCHAR)) || '}'
+FROM m WHERE coalesce(role, '') NOT IN ('user', 'assistant')""",
 }

@@ -1,3 +1,4 @@
+import hashlib
 import json
 import random
 
@@ -75,21 +76,78 @@ def test_many_rules_equal_a_scan(spark):
 MSG = "conv_id long, turn long, role string, text string, json string"
 
 
-def test_conversations(spark):
+def expected(rows):
+    """The rows of format_conversations, by a walk over the turns."""
+    same = {}
+    for conv, turn, role, text, _ in rows:
+        at = (conv, turn, role, text or "")
+        same[at] = same.get(at, 0) + 1
+    order = lambda t: json.dumps(t, ensure_ascii=False).encode()
+    asks, answers, out = {}, {}, []
+    for (conv, turn, role, text), n in same.items():
+        if role == "user":
+            asks.setdefault((conv, turn), []).append((text, n))
+        elif role == "assistant":
+            answers.setdefault((conv, None if turn is None else turn - 1), []).append((text, n))
+        else:
+            body = {k: v for k, v in (("content", text), ("role", role)) if v is not None}
+            out.append((conv, None, 0, turn, "message", None, n, body))
+
+    def level(conv, turn):
+        before = next((t for t in (turn - 1, turn - 2) if (conv, t) in asks), None)
+        return 0 if before is None else level(conv, before) + 1
+
+    def add(conv, turn, call, said, content, status, n):
+        body = {}
+        if said is not None:
+            body |= {"arguments": {"prompt": said, "turn": turn}, "name": "reply"}
+        if content is not None:
+            body["result"] = content
+        own = None if call is None else str(call)
+        if status == "repeated":
+            own += "~" + hashlib.md5(json.dumps(body, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()[:12]
+        if own is not None:
+            body["id"] = own
+        valid = None if said is None else bool(said.strip()) and turn is not None and len(json.dumps(said, ensure_ascii=False)) <= chat.PROMPT + 2
+        depth = level(conv, call) if conv is not None and (conv, call) in asks and call is not None else 0
+        out.append((conv, own, depth, turn if said is not None else None, status, valid, n, body))
+
+    for key in asks.keys() | answers.keys():
+        conv, call = key
+        if None in key:
+            for text, n in asks.get(key, []):
+                add(conv, call, call, text, None, "no_result", n)
+            for text, n in answers.get(key, []):
+                add(conv, None, call, None, text, "no_call", n)
+            continue
+        mine, theirs = sorted(asks.get(key, []), key=lambda x: order(x[0])), sorted(answers.get(key, []), key=lambda x: x[0].encode())
+        if mine:
+            add(conv, call, call, mine[0][0], theirs[0][0] if theirs else None, "linked" if theirs else "no_result", mine[0][1])
+        elif theirs:
+            add(conv, None, call, None, theirs[0][0], "no_call", theirs[0][1])
+        for text, n in mine[1:]:
+            add(conv, call, call, text, None, "repeated", n)
+        for text, n in theirs[1:]:
+            add(conv, None, call, None, text, "repeated", n)
+    return out
+
+
+def test_conversations_equal_a_walk(spark):
+    rng = random.Random(8)
     rows = [
         (1, 0, "user", 'say "hi"\n\\ \u0007', ""), (1, 1, "assistant", "hé", ""), (1, 2, "user", "", ""), (1, 3, "assistant", None, ""), (1, 4, "user", "open", ""),
-        (2, 0, "system", "be nice", ""), (2, 2, "assistant", "unasked", ""), (None, 0, "user", "lost", ""), (None, 1, "assistant", "lost", ""), (3, None, "user", "x", ""),
-        (4, 0, "user", "b", ""), (4, 0, "user", "a", ""), (4, 1, "assistant", "z", ""), (4, 1, "assistant", "y", ""), (5, 0, "user", "x" * 50_000, ""),
+        (2, 0, "system", "be nice", ""), (2, 0, "system", "be nice", ""), (2, 0, "system", "be short", ""), (2, 2, "assistant", "unasked", ""), (2, 3, None, None, ""), (2, 4, "tool", "t", ""),
+        (None, 0, "user", "lost", ""), (None, 1, "assistant", "lost", ""), (3, None, "user", "x", ""), (3, None, "assistant", "y", ""), (3, None, "assistant", "y", ""), (None, None, "system", "s", ""),
+        (4, 0, "user", "b", ""), (4, 0, "user", "a", ""), (4, 0, "user", "a", ""), (4, 1, "assistant", "z", ""), (4, 1, "assistant", "y", ""), (5, 0, "user", "x" * 50_000, ""),
     ]
-    got = {(r.conv_id, r.call_id): r for r in chat.format_conversations(spark.createDataFrame(rows, MSG)).collect()}
-    assert {k: (v.status, v.valid) for k, v in got.items()} == {
-        (1, "0"): ("linked", True), (1, "2"): ("linked", False), (1, "4"): ("no_result", True), (2, "1"): ("no_call", None),
-        (None, "0"): ("no_result", True), (3, None): ("no_result", False), (4, "0"): ("linked", True), (5, "0"): ("no_result", True),
-    }
-    first = got[1, "0"].json
-    assert json.loads(first) == {"arguments": {"prompt": 'say "hi"\n\\ \u0007', "turn": 0}, "id": "0", "name": "reply", "result": "hé"}
-    assert first == json.dumps(json.loads(first), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
-    assert json.loads(got[4, "0"].json) == {"arguments": {"prompt": "a", "turn": 0}, "id": "0", "name": "reply", "result": "y"}
+    rows += [(6, t, "user" if t % 2 else "assistant", f"t{t}", "") for t in range(60)] + [(7, t, "user", f"t{t}", "") for t in range(40)]
+    rows += [(rng.randint(8, 12), rng.randint(0, 30), rng.choice(["user", "user", "assistant", "system"]), rng.choice("abc"), "") for _ in range(200)]
+    got = chat.format_conversations(spark.createDataFrame(rows, MSG)).collect()
+    text = lambda b: json.dumps(b, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    mine = sorted(str((r.conv_id, r.call_id, r.level, r.place, r.status, r.valid, r.copies, json.loads(r.json))) for r in got)
+    assert mine == sorted(str((*x[:7], json.loads(text(x[7])))) for x in expected(rows))
+    assert all(r.json == text(json.loads(r.json)) for r in got)
+    assert {r.level for r in got if r.conv_id == 7} == set(range(40))
     assert chat.format_conversations(spark.createDataFrame([], MSG)).count() == 0
 
 
@@ -103,5 +161,25 @@ def test_levels(spark):
     ]
     res = spark.createDataFrame([(1, "a", "r")], "conv_id long, call_id string, content string")
     got = {(r.conv_id, r.call_id): r for r in chat.link_calls(spark.createDataFrame(rows, call), res, schemas).collect()}
-    assert {k: v.level for k, v in got.items()} == {(1, "a"): 2, (1, "b"): 1, (1, "c"): 0, (1, "d"): 0, (2, "x"): None, (2, "y"): None, (2, "w"): None, (2, "v"): 0, (3, "p"): 0, (3, "q"): 0}
+    assert {k: v.level for k, v in got.items()} == {(1, "a"): 2, (1, "b"): 1, (1, "c"): 0, (1, "d"): 0, (2, "x"): None, (2, "y"): None, (2, "w"): None, (2, "v"): 0, (3, "p"): 0, (3, "q"): 1}
     assert {k: v.valid for k, v in got.items()} == {(1, "a"): True, (1, "b"): False, (1, "c"): True, (1, "d"): False, (2, "x"): False, (2, "y"): True, (2, "w"): False, (2, "v"): False, (3, "p"): False, (3, "q"): True}
+
+
+def test_levels_of_long_chains_and_ladders(spark):
+    """Chains, calls that wait for two others, and cycles, against levels by recursion."""
+    rng, rows, after = random.Random(3), [], {}
+    for conv in range(12):
+        n = rng.choice([1, 5, 40, 90])
+        for i in range(n):
+            waits = [f"c{i - 1}"] if conv < 6 and i else [f"c{rng.randrange(n)}" for _ in range(rng.choice([0, 0, 1, 1, 2]))]
+            after[conv, f"c{i}"] = waits
+            rows.append((conv, f"c{i}", "f", {}, waits, i))
+    call = "conv_id long, call_id string, name string, args map<string,string>, after array<string>, place long"
+    level = {k: 0 if not w else None for k, w in after.items()}
+    while True:
+        more = {k: 1 + max(level[k[0], x] for x in w) for k, w in after.items() if level[k] is None and all(level[k[0], x] is not None for x in w)}
+        if not more:
+            break
+        level |= more
+    none = spark.createDataFrame([], "conv_id long, call_id string, content string")
+    assert {(r.conv_id, r.call_id): r.level for r in chat.link_calls(spark.createDataFrame(rows, call), none, {"f": {}}).collect()} == level
