@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 
 from emberlog.llm import graphindex, vectordedup
 
@@ -44,8 +45,8 @@ def test_near_duplicates_equal_brute_force(spark):
                 a, b = sorted((find(i), find(j)))
                 root[b] = a
     want = sorted(((r[0], links.get(i, 0), rows[find(i)][0] if unit[i] is not None else r[0]) for i, r in enumerate(rows)), key=str)
-    for block in (2048, 16):
-        got = vectordedup.near_duplicates(df, block=block).collect()
+    for pivots, block in ((None, 2048), (None, 16), (1, 64)):
+        got = vectordedup.near_duplicates(df, pivots=pivots, block=block).collect()
         assert sorted(((r.vec_id, r.n_links, r.component_id) for r in got), key=str) == want
         assert all(r.kept == (r.vec_id is None or r.vec_id == r.component_id) for r in got)
 
@@ -56,8 +57,36 @@ def test_near_duplicates_large_lists(spark):
     df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
     u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
     want = ((u @ u.T) >= 0.93).sum(axis=1) - 1
-    got = {r.vec_id: r.n_links for r in vectordedup.near_duplicates(df, block=40).collect()}
-    assert [got[i] for i in range(150)] == want.tolist()
+    for block in (40, 4096):
+        got = {r.vec_id: r.n_links for r in vectordedup.near_duplicates(df, block=block).collect()}
+        assert [got[i] for i in range(150)] == want.tolist()
+
+
+def test_recall_of_planted_links(spark):
+    """Pairs at cosines of 0.93 to 0.95 in 64 dimensions, with some 1000 pivots."""
+    rng = np.random.default_rng(6)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    x = unit(rng.normal(size=(50_000, 64)))
+    c = rng.uniform(0.9301, 0.95, (1500, 1))
+    away = rng.normal(size=(1500, 64))
+    away = unit(away - (away * x[:1500]).sum(axis=1, keepdims=True) * x[:1500])
+    x = np.concatenate([x, c * x[:1500] + np.sqrt(1 - c * c) * away]).astype(np.float32)
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": x.tolist(), "label": np.zeros(len(x), np.int32)}))
+    got = {r.vec_id: r.n_links for r in vectordedup.near_duplicates(df).where("n_links > 0").collect()}
+    assert set(got.values()) == {1} and all(i < 1500 or i >= 50_000 for i in got)
+    assert np.mean([i in got for i in range(1500)]) >= 0.97
+
+
+def test_lists_meet_where_both_permutations_have_them():
+    rng = np.random.default_rng(7)
+    for pivots in (1, 2, 5, 40, 3000):
+        shape = vectordedup.Shape(pivots)
+        a, b = (np.array([rng.permutation(pivots)[: shape.length] for _ in range(300)]) for _ in range(2))
+        count, least = shape.meets(a, b)
+        la, lb = shape.lists(a), shape.lists(b)
+        for k in range(300):
+            assert count[k] == len(set(a[k]) & set(b[k]))
+            assert least[k] == min(set(la[k]) & set(lb[k]), default=-1)
 
 
 def test_empty_vectors(spark):
