@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
+from pyarrow import fs
+from pyarrow.dataset import dataset
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,13 @@ def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def shared_batches(path: str, columns: list[str], where=None, rows: int = 20_000):
+    """In a task: the rows of a table that was stored in the shared folder, batch by batch."""
+    uri = "file://" + path[5:] if path.startswith("file:/") and not path.startswith("file://") else path
+    found, at = fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
+    yield from dataset(at, filesystem=found, format="parquet").to_batches(columns=columns, filter=where, batch_size=rows)
+
+
 def word_count(text: Column) -> Column:
     """Number of words (WORD) of a text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

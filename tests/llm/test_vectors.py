@@ -107,7 +107,11 @@ def brute(rows, every, k):
 
 def test_nearest_equals_brute_force_on_small_tables(spark):
     df, rows = table(spark, n=300)
-    got = graphindex.nearest(df, every=20, k=20, beam=320).collect()
+    for tasks, shard in ((8, 100), (1, 1000)):
+        check_nearest(graphindex.nearest(df, every=20, k=20, beam=320, tasks=tasks, shard=shard).collect(), rows)
+
+
+def check_nearest(got, rows):
     want = brute(rows, 20, 20)
     by = {}
     for r in got:
