@@ -1,10 +1,12 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Words become symbols (insult, threat, target, negation, reported speech, other). Small
-transducers rewrite the symbols of a clause: negation and reported speech weaken what stands
-in their reach, a target near an insult strengthens it. They are composed into one machine;
-what it writes for each clause is weighed by the lexicon and summed over the text, and a
-logistic model turns the sums into a score.
+Words become symbols (insult, threat verb, intention, target, negation, reported speech, other).
+Five small transducers, whose arcs carry factors, rewrite the symbols of a clause: insults that
+follow each other weigh more; a threat verb counts as meant behind an intention; a target aims an
+insult behind it or a threat before it; negation and reported speech weaken what stands in their
+reach. They are composed into one machine. What it writes for a clause is weighed by the lexicon
+and the factors of its path and summed over the text, and a logistic model turns the sums into a
+score. So matched clauses are scored, and not words.
 """
 
 from __future__ import annotations
@@ -33,48 +35,83 @@ THREATS = "kill hurt destroy beat strangle shoot stab umbringen töten vernichte
 TARGETS = "you your yourself he she they him her them du dich dir ihr euch tu toi vous te él ella ustedes usted".split()
 NEGATIONS = "not never no nobody isn aren wasn don doesn nicht nie kein keine pas jamais aucun nunca jamás tampoco".split()
 REPORTS = "said says say wrote writes quoted reported called according sagte sagt schrieb laut dit écrit selon dijo dice escribió según".split()
-CUES = {w: s for s, ws in {"T": THREATS, "Y": TARGETS, "N": NEGATIONS, "R": REPORTS}.items() for w in ws}
+INTENTIONS = "will ll gonna going shall want werde werden will wollen vais va voy vamos quiero".split()
+CUES = {w: s for s, ws in {"M": INTENTIONS, "T": THREATS, "Y": TARGETS, "N": NEGATIONS, "R": REPORTS}.items() for w in ws}
 
-#: What the machine writes: plain, aimed, negated, reported insult; plain, negated, reported threat.
-OUTPUTS = "IAijTtq"
-SYMBOLS = "ITYNRO"
+#: What the machine writes of interest: plain, aimed, negated, reported insult; bare, meant, aimed,
+#: negated, reported threat.
+OUTPUTS = "IAijvTXtq"
+SYMBOLS = "ITMYNRO"
+#: Weight of a threat verb; insults have theirs from the lexicon.
+THREAT = 3.0
 
 
 class Transducer:
-    """Deterministic: step(state, symbol) gives the next state and the symbol it writes."""
+    """Deterministic and weighted: an arc from (state, symbol) gives a state, a symbol and a factor."""
 
-    def __init__(self, start, moves: dict):
-        self.start, self.moves = start, moves
+    def __init__(self, start, arcs: dict):
+        self.start, self.arcs = start, arcs
 
     def __matmul__(self, other: Transducer) -> Transducer:
-        """Composition: other reads what self writes."""
-        start, moves, todo = (self.start, other.start), {}, [(self.start, other.start)]
-        seen = {start}
-        symbols = {s for _, s in self.moves}
+        """Composition: other reads what self writes, and factors multiply."""
+        start, arcs, todo = (self.start, other.start), {}, [(self.start, other.start)]
+        seen, symbols = {start}, {s for _, s in self.arcs}
         while todo:
             a, b = todo.pop()
             for s in symbols:
-                a2, mid = self.moves[a, s]
-                b2, out = other.moves[b, mid]
-                moves[(a, b), s] = (a2, b2), out
+                a2, mid, x = self.arcs[a, s]
+                b2, out, y = other.arcs[b, mid]
+                arcs[(a, b), s] = (a2, b2), out, x * y
                 if (a2, b2) not in seen:
                     seen.add((a2, b2))
                     todo.append((a2, b2))
-        return Transducer(start, moves)
+        return Transducer(start, arcs)
 
+    def numbered(self) -> Transducer:
+        """The same machine with states 0, 1, ... from its start on."""
+        names = {self.start: 0}
+        for state, _ in self.arcs:
+            names.setdefault(state, len(names))
+        return Transducer(0, {(names[a], s): (names[b], out, x) for (a, s), (b, out, x) in self.arcs.items()})
 
-def window(cue: str, rewrite: dict[str, str], reach: int, symbols: str) -> Transducer:
-    """After `cue`, rewrite symbols for `reach` words (0: to the clause's end)."""
-    span = reach or 1
-    moves = {}
+    def run(self, symbols) -> list[tuple[str, float]]:
+        state, out = self.start, []
+        for s in symbols:
+            state, written, factor = self.arcs[state, s]
+            out.append((written, factor))
+        return out
+
+
+def window(cues: str, rewrite: dict[str, str], reach: int, symbols: str, factor: float = 1.0, outside: dict[str, str] | None = None) -> Transducer:
+    """After a cue, rewrite symbols, at a factor, for `reach` words (0: to the clause's end)."""
+    span, arcs = reach or 1, {}
     for state in range(span + 1):
         for s in symbols:
-            left = span if s == cue or (state and not reach) else max(0, state - 1)
-            moves[state, s] = left, rewrite.get(s, s) if state else s
-    return Transducer(0, moves)
+            left = span if s in cues or (state and not reach) else max(0, state - 1)
+            hit = state and s in rewrite
+            arcs[state, s] = left, rewrite[s] if hit else (outside or {}).get(s, s), factor if hit else 1.0
+    return Transducer(0, arcs)
+
+
+def aim(symbols: str, before: int = 4, after: int = 3) -> Transducer:
+    """A target aims the insults up to `before` words behind it, and is itself the aim of a threat
+    up to `after` words before it. A state is how far both still reach."""
+    arcs = {}
+    for near in range(before + 1):
+        for open_ in range(after + 1):
+            for s in symbols:
+                to = (before if s == "Y" else max(0, near - 1), after if s in "vT" else max(0, open_ - 1))
+                out, factor = ("A", 1.2) if s == "I" and near else ("X", 1.0) if s == "Y" and open_ else (s, 1.0)
+                arcs[(near, open_), s] = (to[0], 0 if out == "X" else to[1]), out, factor
+    return Transducer((0, 0), arcs)
 
 
-GRAMMAR = window("N", {"I": "i", "T": "t"}, 3, SYMBOLS) @ window("R", {"I": "j", "i": "j", "T": "q", "t": "q"}, 0, SYMBOLS + "it") @ window("Y", {"I": "A"}, 4, SYMBOLS + "itjq")
+INSULT = window("I", {"I": "I"}, 3, SYMBOLS, factor=1.25)
+THREATEN = window("M", {"T": "T"}, 3, SYMBOLS, factor=1.5, outside={"T": "v"})
+TARGET = aim(SYMBOLS + "v")
+NEGATE = window("N", {"I": "i", "A": "i", "v": "O", "T": "t", "X": "t"}, 3, SYMBOLS + "vAX", factor=0.5)
+REPORT = window("R", {"I": "j", "A": "j", "i": "j", "v": "q", "T": "q", "X": "q", "t": "q"}, 0, SYMBOLS + "vAXit", factor=0.5)
+GRAMMAR = (INSULT @ THREATEN @ TARGET @ NEGATE @ REPORT).numbered()
 
 
 class Model:
@@ -98,7 +135,7 @@ class Model:
         found = {w: x for w in set(_WORD.findall(low)) if (x := self.insult(w) or CUES.get(w) == "T")}
         sums = dict.fromkeys(OUTPUTS, 0.0)
         if found:
-            moves, start = GRAMMAR.moves, GRAMMAR.start
+            arcs, start = GRAMMAR.arcs, GRAMMAR.start
             for clause in _CLAUSE.split(low):
                 words = _WORD.findall(clause)
                 if found.keys().isdisjoint(words):
@@ -107,9 +144,9 @@ class Model:
                 for w in words:
                     x = found.get(w)
                     symbol = CUES.get(w, "O") if x is None or x is True else "I"
-                    state, out = moves[state, symbol]
-                    if out in sums and x is not None:
-                        sums[out] += 3.0 if x is True else x
+                    state, out, factor = arcs[state, symbol]
+                    if out in sums:
+                        sums[out] += factor * (x if symbol == "I" else THREAT)
         return [math.log1p(sums[o]) for o in OUTPUTS]
 
     def score(self, text: str | None) -> float:
@@ -117,14 +154,15 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-PRIOR = np.array([2.0, 2.2, 0.7, 0.7, 1.0, 0.3, 0.3, -4.0])
+PRIOR = np.array([2.0, 2.2, 0.7, 0.7, 0.7, 1.0, 1.5, 0.3, 0.3, -4.0])
 
 
 def lexemes(texts: DataFrame) -> DataFrame:
     """From texts(text, label): (lexeme, toxic, clean, contexts).
 
     Document counts of words and stems by label, and the number of distinct words that they
-    follow in toxic documents; copies of a text share contexts, so they prove little.
+    follow in toxic documents; copies of a text share contexts, so they prove little. The texts
+    are the bounded sample of train, and so are the contexts of a word.
     """
 
     def run(batches):
@@ -199,7 +237,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score) of every whole text of docs(doc_id, text); null counts as empty.
 
-    Repeated rows keep a row each; extra columns are ignored.
+    Repeated rows keep a row each, with equal scores; very long texts are read clause by clause;
+    extra columns are ignored; an empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -213,7 +252,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def judge(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0) -> DataFrame:
     """Train on the labels outside the held-out fold and score all documents.
 
-    Returns doc_id, held_out, score, predicted (1 from 0.5 on).
+    Returns doc_id, held_out (false without an id), score, predicted (1 from 0.5 on, so a tie is
+    toxic), a row for each row of docs; for odd rows see score and train.
     """
     fold = remainder(F.col("doc_id"), folds)
     got = score(docs, train(docs, labels.where(fold != held)))
@@ -221,7 +261,11 @@ def judge(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0) ->
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows of docs whose text scores under `threshold`, with all their columns."""
+    """The rows of docs whose text scores under `threshold`, with all their columns.
+
+    Nulls, empty and long texts and repeated rows are scored as by score; columns of any name go
+    along; an empty table stays empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
 
     def run(batches):

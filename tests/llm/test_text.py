@@ -1,6 +1,8 @@
 import random
 import zlib
 
+import numpy as np
+
 from emberlog.llm import langid, quality, toxicity
 
 DOC = "doc_id long, text string, lang string, source string, score double"
@@ -145,6 +147,47 @@ def test_grammar():
     assert at("he said so. an idiot came")["I"] > 0  # speech ends with its clause
     assert at("not now, and in any case an idiot")["I"] > 0  # out of the negation's reach
     assert at("groblix")["I"] > 0 and at("grob")["I"] == 0
-    assert at("i will kill it")["T"] > 0 and at("never kill it")["t"] > 0 and at("he wrote kill it")["q"] > 0
+    assert at("i will kill it")["T"] > 0 and at("never going to kill it")["t"] > 0 and at("he wrote kill it")["q"] > 0
+    assert at("kill it")["v"] > 0 and at("kill it")["T"] == 0 and at("i will kill you")["X"] > 0 and at("never kill you")["t"] > 0
+    assert at("idiot idiot")["I"] > at("idiot and much later on an idiot")["I"]  # insults in a row weigh more
     assert m.score("you idiot, you idiot") > m.score("he said idiot") > m.score("hello")
     assert m.features(None) == [0.0] * len(toxicity.OUTPUTS)
+
+
+def clause_by_rules(symbols):
+    """What the grammar should write, position by position, from what stands before."""
+    out = []
+    for i, s in enumerate(symbols):
+        f = 1.0
+        before = lambda n, c, i=i: any(x in c for x in symbols[max(0, i - n) : i])
+        if s == "I" and before(3, "I"):
+            f *= 1.25
+        if s == "T":
+            s, f = ("T", f * 1.5) if before(3, "M") else ("v", f)
+        if s == "I" and before(4, "Y"):
+            s, f = "A", f * 1.2
+        elif s == "Y":
+            verbs = [j for j in range(max(0, i - 3), i) if symbols[j] == "T"]
+            if verbs and "Y" not in symbols[verbs[-1] : i]:
+                s = "X"
+        if before(3, "N") and s in "IAvTX":
+            s, f = {"I": "i", "A": "i", "v": "O", "T": "t", "X": "t"}[s], f * 0.5
+        if before(i, "R") and s in "IAivTXt":
+            s, f = "j" if s in "IAi" else "q", f * 0.5
+        out.append((s, f))
+    return out
+
+
+def test_composed_grammar_equals_five_in_sequence_and_the_rules():
+    rng = random.Random(9)
+    parts = (toxicity.INSULT, toxicity.THREATEN, toxicity.TARGET, toxicity.NEGATE, toxicity.REPORT)
+    for _ in range(3000):
+        symbols = rng.choices(toxicity.SYMBOLS, weights=(3, 3, 1, 3, 1, 0.4, 4), k=rng.randint(1, 18))
+        state, factors = symbols, [1.0] * len(symbols)
+        for part in parts:
+            got = part.run(state)
+            state, factors = [s for s, _ in got], [x * f for x, (_, f) in zip(factors, got, strict=True)]
+        whole = toxicity.GRAMMAR.run(symbols)
+        assert [s for s, _ in whole] == state and np.allclose([f for _, f in whole], factors)
+        rules = clause_by_rules(symbols)
+        assert [s for s, _ in whole] == [s for s, _ in rules] and np.allclose(factors, [f for _, f in rules]), symbols
