@@ -25,15 +25,13 @@ _A = _R.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64)[:, None] * np.uint64
 _B = _R.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)[:, None]
 
 
-def shingles(text: str | None, shingle: int = SHINGLE, seed: int = 42) -> np.ndarray:
-    """Sorted distinct hashes of the word shingles of a text; words as in simhash.fingerprint."""
-    words = simhash._WORDS.findall((text or "").encode("utf-8", "surrogatepass").translate(simhash._LOWER))
-    k = min(shingle, len(words))
-    joined, starts = memoryview(b" ".join(words)), [0]
-    for w in words:
-        starts.append(starts[-1] + len(w) + 1)
-    digest = xxhash.xxh64_intdigest
-    return np.array(sorted({digest(joined[starts[i] : starts[i + k] - 1], seed) for i in range(len(words) - k + 1)} if words else ()), dtype=np.uint64)
+def _distinct(blocks) -> np.ndarray:
+    return np.unique(np.concatenate([np.unique(h) for h in blocks])) if blocks else np.zeros(0, np.uint64)
+
+
+def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct hashes of the word shingles of a text, as in simhash.fingerprint."""
+    return _distinct(list(simhash.shingle_hashes(text, shingle)))
 
 
 def _signature(s: np.ndarray) -> int:
@@ -48,9 +46,16 @@ def _bands(s: np.ndarray) -> np.ndarray:
 
 
 def _sketches(batches):
+    """Of each text, from one pass over its words: fingerprint, and signature and bands of its set."""
     for b in batches:
-        found = [(i, s) for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True) if len(s := shingles(t.as_py()))]
-        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int64()), pa.array([_signature(s) for _, s in found], pa.int64()), pa.array([_bands(s) for _, s in found], pa.list_(pa.int64()))], names=["doc_id", "sig", "bands"])
+        fp, sig, bands = [], [], []
+        for t in b.column(1):
+            blocks = list(simhash.shingle_hashes(t.as_py(), SHINGLE))
+            s = _distinct(blocks)
+            fp.append(simhash.majority(blocks))
+            sig.append(_signature(s) if len(s) else None)
+            bands.append(_bands(s) if len(s) else None)
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fp, dtype=np.uint64).astype(np.int64)), pa.array(sig, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "fp", "sig", "bands"])
 
 
 def _sets(batches):
@@ -93,23 +98,25 @@ def _links(similarity: float):
     return run
 
 
-def near_links(docs: DataFrame, groups: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
-    """Edges (a, b) between the groups(doc_id, node) of documents whose shingle sets are near.
+def near_links(docs: DataFrame, sketch: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+    """Edges (a, b) between groups of documents whose shingle sets are near.
 
-    Texts of equal sets count once. Of each bucket of candidates all pairs are compared, by
-    their whole sets; a spanning chain of the near ones comes back, never the pairs.
+    sketch(doc_id, sig, bands, node), with the group of each. Texts of equal sets count once. Of
+    each bucket of candidates all pairs are compared, by their whole sets; a spanning chain of the
+    near ones comes back, never the pairs.
     """
     folder = shared_dir(docs.sparkSession)
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketch = stored(texts.mapInArrow(_sketches, "doc_id long, sig long, bands array<long>").join(groups, "doc_id").groupBy("sig", "node").agg(F.min("doc_id").alias("first"), F.first("bands").alias("bands")), folder, "sketch")
-    named = sketch.groupBy("sig").agg(F.min("node").alias("low"))
-    same = sketch.join(named, "sig").where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"))
-    one = sketch.groupBy("sig").agg(F.min(F.struct("node", "first")).alias("m"), F.first("bands").alias("bands"))
-    rows = stored(one.select("sig", "m.node", "m.first", F.explode("bands").alias("key")), folder, "rows")
-    many = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    each = stored(sketch.where("sig is not null").groupBy("sig", "node").agg(F.min("doc_id").alias("first"), F.min("bands").alias("bands")), folder, "each")
+    named = each.groupBy("sig").agg(F.min("node").alias("low"))
+    same = each.join(named, "sig").where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"))
+    one = each.groupBy("sig").agg(F.min(F.struct("node", "first", "bands")).alias("m"))
+    rows = stored(one.select("sig", "m.node", "m.first", F.explode("m.bands").alias("key")), folder, "rows")
+    # a bucket whose sets are all of one group has nothing to add
+    many = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("n > 1 and lo < hi").select("key", "n")
     members = stored(rows.join(many, "key"), folder, "members")
     wanted = members.select("sig", F.col("first").alias("doc_id")).distinct()
-    sets = texts.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").select("text").mapInArrow(_sets, "sig long, hashes binary").join(wanted.select("sig"), "sig", "left_semi").groupBy("sig").agg(F.first("hashes").alias("hashes"))
+    sets = texts.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").select("text").mapInArrow(_sets, "sig long, hashes binary").join(wanted.select("sig"), "sig", "left_semi").groupBy("sig").agg(F.min("hashes").alias("hashes"))
     sets = stored(sets, folder, "sets")
     parts = F.ceil(F.col("n") / block).cast("int")
     own = F.pmod(F.xxhash64("sig", F.lit(7)), F.col("parts")).cast("int")
@@ -122,10 +129,16 @@ def near_links(docs: DataFrame, groups: DataFrame, similarity: float = SIMILARIT
 def keep_representatives(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of docs that stay when each group of near copies keeps its smallest doc_id.
 
-    Documents link when their fingerprints do (simhash.keep_representatives, also for rows
-    without id) or their shingle sets have at least this Jaccard similarity.
+    Documents link when the fingerprints of their five-word shingles do, in the trie self-join of
+    simhash (2 bits), or when their shingle sets have at least this Jaccard similarity. Texts that
+    are null or without words are copies of each other; very long ones are hashed in blocks.
+    Repeated rows of an id count as copies: one stays. Rows without id cannot be named by a group;
+    of those only exact repeats of a text go. Columns of any name go along; an empty table stays
+    empty.
     """
-    parts = stored(simhash.simhash_components(docs).select("doc_id", "component_id"), shared_dir(docs.sparkSession), "parts")
-    groups = parts.where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("node"))
-    gone = connected_components(near_links(docs, groups, similarity)).where("node <> root").select(F.col("node").alias("doc_id"))
-    return simhash.representatives(docs, parts.where("doc_id = component_id").join(gone, "doc_id", "left_anti"))
+    folder = shared_dir(docs.sparkSession)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    sketch = stored(texts.mapInArrow(_sketches, "doc_id long, fp long, sig long, bands array<long>"), folder, "sketch")
+    parts = stored(simhash.components(sketch).where("doc_id is not null").select("doc_id", "sig", "bands", F.col("component_id").alias("node")), folder, "parts")
+    gone = connected_components(near_links(docs, parts, similarity)).where("node <> root").select(F.col("node").alias("doc_id"))
+    return simhash.representatives(docs, parts.where("doc_id = node").select("doc_id").join(gone, "doc_id", "left_anti"))

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import math
 import re
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -16,36 +14,44 @@ from .common import connected_components, forest, shared_dir, skew_safe_join, st
 
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-#: Residents a trie bucket should have at most on average; the depth at which the trie is cut
-#: follows from it. Each level sends fingerprints to more visitors, so buckets are large.
-BUCKET, DEPTH = 250_000, 3
+#: Residents of a trie node at most: heavier nodes are cut at the next bit. Each cut sends
+#: fingerprints to more visitors, so nodes are large. All nodes are cut at DEPTH at least.
+BUCKET, DEPTH, DEEPEST = 250_000, 3, 40
 
 
-def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
-    """64-bit SimHash: a bit is 1 if it is set in over half the hashes of the word shingles.
+def shingle_hashes(text: str | None, shingle: int = 3, seed: int = 42):
+    """Yield XXH64 of the word shingles of a text as arrays of at most 65,536, repeats included.
 
-    A-Z are lower-cased; shingles count as often as they occur; fewer words than a shingle
-    has make one shingle; no words (or null) give 0.
+    A-Z are lower-cased; fewer words than a shingle has make one shingle; no words (or null) none.
     """
     words = _WORDS.findall((text or "").encode("utf-8", "surrogatepass").translate(_LOWER))
-    if not words:
-        return 0
-    n = max(1, len(words) - shingle + 1)
-    joined = b" ".join(words)
-    starts = [0]
+    k = min(shingle, len(words))
+    view, starts = memoryview(b" ".join(words)), [0]
     for w in words:
         starts.append(starts[-1] + len(w) + 1)
-    digest = xxhash.xxh64_intdigest
-    view = memoryview(joined)
-    k = min(shingle, len(words))
-    votes = np.zeros(64, dtype=np.int64)
+    digest, n = xxhash.xxh64_intdigest, len(words) - k + 1 if words else 0
     for at in range(0, n, 65536):  # a very long text needs no more memory than a block
         hi = min(n, at + 65536)
-        h = np.array([digest(view[starts[i] : starts[i + k] - 1], seed) for i in range(at, hi)], dtype=">u8")
-        votes += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        yield np.array([digest(view[i:j], seed) for i, j in zip(starts[at:hi], [x - 1 for x in starts[at + k : hi + k]], strict=True)], dtype=np.uint64)
+
+
+def majority(blocks) -> int:
+    """The 64 bits that are set in over half of the hashes of all blocks; 0 for none."""
+    votes, n = np.zeros(64, dtype=np.int64), 0
+    for h in blocks:
+        votes += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        n += len(h)
     return int.from_bytes(np.packbits(votes * 2 > n).tobytes(), "big")
 
 
+def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
+    """64-bit SimHash: a bit is 1 if it is set in over half the hashes of the word shingles.
+
+    Shingles count as often as they occur; no words (or null) give 0.
+    """
+    return majority(shingle_hashes(text, shingle, seed))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
     """(doc_id, fp) of every row of docs(doc_id, text); fp holds the 64 bits as a signed long."""
 
@@ -57,13 +63,13 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
-def trie_pairs(fps: np.ndarray, distance: int, depth: int = 0, own: int | None = None, block: int = 65_536):
+def trie_pairs(fps: np.ndarray, distance: int, depth: int = 0, own: int = 0, block: int = 65_536):
     """Yield index arrays (i, j) of pairs of sorted distinct uint64 within `distance` bits.
 
     A node of the binary trie is a range of the sorted array. Pairs of nodes go down together,
     bit by bit; what differs on the way is added up, and a pair of nodes is dropped once it
-    exceeds the budget. Small pairs of nodes are compared at once. With `own`, all nodes at
-    `depth` are paired with node `own` only.
+    exceeds the budget. Small pairs of nodes are compared at once. With `depth`, all nodes there
+    are paired with node `own` only.
     """
     n = len(fps)
     if not n:
@@ -131,39 +137,57 @@ def _split(fps: np.ndarray, lo: np.ndarray, hi: np.ndarray, d: np.ndarray) -> np
     return np.clip(np.searchsorted(fps, bound, side="left"), lo, hi).astype(np.int32)
 
 
+def cut(distinct: DataFrame, bucket: int = BUCKET) -> list[tuple[int, int]]:
+    """Nodes (depth, leading bits) that part the trie of all `fp`, none of over `bucket` residents.
+
+    Level by level, the residents of the nodes that are still too heavy are counted. The nodes
+    are few: each has a parent of over `bucket` residents.
+    """
+    nodes, depth = [(DEPTH, i) for i in range(1 << DEPTH)], DEPTH
+    while depth < DEEPEST:
+        top = F.shiftrightunsigned("fp", 64 - depth).alias("top")
+        open_ = [p for d, p in nodes if d == depth]
+        counted = distinct.select(top).groupBy("top").agg(F.count("*").alias("n")).where(F.col("n") > bucket)
+        heavy = {r.top for r in counted.where(F.col("top").isin(open_)).collect()} if open_ else set()
+        if not heavy:
+            break
+        nodes = [x for x in nodes if x[0] < depth or x[1] not in heavy] + [(depth + 1, 2 * p + bit) for p in sorted(heavy) for bit in (0, 1)]
+        depth += 1
+    return sorted(nodes, key=lambda x: x[1] << (64 - x[0]))
+
+
 def near_links(distinct: DataFrame, distance: int = 2, bucket: int = BUCKET) -> DataFrame:
     """Edges (a, b) that connect the distinct fingerprints `fp` just as all near pairs do.
 
-    The trie is cut at a depth that follows from the number of fingerprints (DEPTH at least). A fingerprint
-    goes to the node it lies below and, as a visitor, to every smaller node whose path is
-    within the budget; each bucket is joined by trie_pairs and returns a spanning forest of
-    its pairs, never the pairs themselves.
+    The trie is cut into nodes of bounded residents, deeper where fingerprints crowd. A
+    fingerprint goes to the node it lies below and, as a visitor, to every node before that
+    whose path is within the budget; each node is joined by trie_pairs and returns a spanning
+    forest of its pairs, never the pairs themselves.
     """
-    n = distinct.count()
-    depth = min(24, max(DEPTH, math.ceil(math.log2(max(1, n) / bucket))))
-    masks = [sum(1 << i for i in c) for k in range(distance + 1) for c in combinations(range(depth), k)]
+    nodes = cut(distinct, bucket)
+    depths = np.array([d for d, _ in nodes], np.uint64)
+    paths = np.array([p for _, p in nodes], np.uint64)
+    low = paths << (np.uint64(64) - depths)
 
     def send(batches):
         for b in batches:
             fp = b.column(0).to_numpy(zero_copy_only=False)
-            top = (fp.view(np.uint64) >> np.uint64(64 - depth)).astype(np.int64) if depth else np.zeros(len(fp), np.int64)
-            for m in masks:
-                to = top ^ m
-                ok = to <= top
-                yield pa.RecordBatch.from_arrays([pa.array(to[ok]), pa.array(fp[ok])], names=["node", "fp"])
+            own = np.searchsorted(low, fp.view(np.uint64), side="right") - 1
+            for i in range(len(nodes)):
+                ok = (own >= i) & (np.bitwise_count((fp.view(np.uint64) >> (np.uint64(64) - depths[i])) ^ paths[i]) <= distance)
+                if ok.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(ok.sum(), i, np.int32)), pa.array(fp[ok])], names=["node", "fp"])
 
     def join(key, table):
         fps = np.sort(table.column("fp").to_numpy().view(np.uint64))
-        out_a, out_b = [], []
+        i = key[0].as_py()
         root = np.arange(len(fps))
-        for i, j in trie_pairs(fps, distance, depth, key[0].as_py()):
-            r = forest(len(fps), root[i], root[j])
-            root = r[root]
+        for a, b in trie_pairs(fps, distance, int(depths[i]), int(paths[i])):
+            root = forest(len(fps), root[a], root[b])[root]
         linked = np.flatnonzero(root != np.arange(len(fps)))
-        out_a, out_b = fps[linked].view(np.int64), fps[root[linked]].view(np.int64)
-        return pa.table({"a": out_a, "b": out_b})
+        return pa.table({"a": fps[linked].view(np.int64), "b": fps[root[linked]].view(np.int64)})
 
-    sent = distinct.select("fp").mapInArrow(send, "node long, fp long")
+    sent = distinct.select("fp").mapInArrow(send, "node int, fp long")
     return sent.groupBy("node").applyInArrow(join, "a long, b long")
 
 
@@ -177,15 +201,19 @@ def simhash_components(docs: DataFrame, distance: int = 2, shingle: int = 3) ->
     none of its rows has an id. Repeated rows and ids give a row each; further columns are
     ignored; an empty table gives an empty result.
     """
-    folder = shared_dir(docs.sparkSession)
-    fps = stored(fingerprints(docs, shingle), folder, "fp")
+    out = components(stored(fingerprints(docs, shingle), shared_dir(docs.sparkSession), "fp"), distance)
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def components(fps: DataFrame, distance: int = 2) -> DataFrame:
+    """Add component_id to the stored rows fps(doc_id, fp): see simhash_components."""
+    folder = shared_dir(fps.sparkSession)
     distinct = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), folder, "distinct")
     roots = connected_components(near_links(distinct, distance)).select(F.col("node").alias("fp"), "root")
     named = stored(distinct.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"), "n"), folder, "named")
     least = named.groupBy("root").agg(F.min("first").alias("component_id"), F.sum("n").alias("n"))
     by_fp = skew_safe_join(named.select("root", "fp"), least.select("root", "component_id"), "root", named.groupBy("root").agg(F.count("*").alias("n"))).select("fp", "component_id")
-    out = skew_safe_join(fps, by_fp, "fp", named.select("fp", "n"))
-    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return skew_safe_join(fps, by_fp, "fp", named.select("fp", "n"))
 
 
 def keep_representatives(docs: DataFrame, distance: int = 2, shingle: int = 3) -> DataFrame:

@@ -73,6 +73,22 @@ def test_buckets_equal_one_bucket(spark):
     assert one == many and one
 
 
+def test_crowded_nodes_are_cut_deeper(spark):
+    rng = np.random.default_rng(3)
+    crowd = (np.uint64(0x5A5) << np.uint64(52)) | rng.integers(0, 2**52, 1500, dtype=np.uint64)
+    near = crowd[:400] ^ (np.uint64(1) << rng.integers(0, 64, 400, dtype=np.uint64))
+    fps = np.unique(np.r_[crowd, near, near[:200] ^ (np.uint64(1) << rng.integers(0, 64, 200, dtype=np.uint64)), rng.integers(0, 2**63, 300, dtype=np.uint64)])
+    df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
+    nodes = simhash.cut(df, 100)
+    held = [sum(int(f) >> (64 - d) == p for f in fps) for d, p in nodes]
+    assert sum(held) == len(fps) and max(held) <= 100 and max(d for d, _ in nodes) > 13
+    from emberlog.llm.common import connected_components
+
+    one = {tuple(r) for r in connected_components(simhash.near_links(df)).collect()}
+    many = {tuple(r) for r in connected_components(simhash.near_links(df, bucket=100)).collect()}
+    assert one == many and one
+
+
 def test_empty_table(spark):
     assert simhash.simhash_components(spark.createDataFrame([], DOC)).count() == 0
     assert simhash.keep_representatives(spark.createDataFrame([], DOC)).count() == 0
