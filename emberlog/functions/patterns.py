@@ -48,6 +48,9 @@ TRIGGER_TYPES = [
     (r"(?:application|service)\s+(?:started|restarted|restart)|restart", "restart"),
 ]
 
+# Fixed value: a version at the end of a lower-cased message.
+VERSION = r"\bv\d+[\d.\-a-z]*$"
+
 # Keys under which log lines hold a field, in the order in which they are tried.
 ALIASES = {
     "timestamp": ["timestamp", "ts", "time", "@timestamp", "datetime", "date", "log_timestamp"],
@@ -93,6 +96,18 @@ TIMESTAMPS = [
     r"\b1[5-9]\d{8}(?:\.\d+)?\b",
 ]
 
+# Other forms of a field that holds a time: what they look like, and how Spark reads them.
+DATE_FORMS = [
+    (r"^\d{1,2} [A-Za-z]{3} \d{4} ", "d MMM yyyy HH:mm[:ss][.SSSSSS][ Z]"),
+    (r"^[A-Za-z]{3} \d{1,2},? \d{4} ", "MMM d[,] yyyy HH:mm[:ss][ Z]"),
+    (r"^[A-Za-z]{3} \d{1,2} \d\d:\d\d:\d\d \d{4}", "MMM d HH:mm:ss yyyy"),
+    (r"^\d{4}/\d{1,2}/\d{1,2}[ T]", "yyyy/M/d[ ]['T']HH:mm[:ss][.SSSSSS][XXX][ Z]"),
+    (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d"),
+    (r"^\d{1,2}/\d{1,2}/\d{4} .*[AaPp][Mm]$", "M/d/yyyy h:mm[:ss] a"),
+    (r"^\d{1,2}/\d{1,2}/\d{4} ", "M/d/yyyy HH:mm[:ss]"),
+    (r"^\d{8}T\d{6}", "yyyyMMdd'T'HHmmss[XXX][X]"),
+]
+
 # Words of a question that say nothing, and those that hint at a level.
 STOP_WORDS = (
     "the a an in on at to is was did do why what when how which who service error fail failed not working happening "
@@ -109,3 +124,31 @@ LEVEL_WORDS = "FATAL|CRITICAL|ERROR|ERR|WARN(?:ING)?|INFO(?:RMATION(?:AL)?)?|DEB
 BRACKET_LEVELS = "FATAL|CRITICAL|ERROR|ERR|WARN(?:ING)?|INFO|DEBUG|TRACE"
 CRI_LINE = r"^(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:\d{2}))\s+(stdout|stderr)\s+([FP])\s+(.*)$"
 KUBECTL_LINE = r"^\[(?:([\w.-]+)/)?([\w.-]+)/([\w.-]+)\]\s+(.*)$"
+
+# Sentences and titles of the texts that are returned.
+INSUFFICIENT = [
+    "Incident summary",
+    "",
+    "Window: {window}",
+    "",
+    "Insufficient evidence to identify a likely issue in the requested window.",
+    "",
+    "Evidence:",
+    "- {total} total logs matched filters",
+    "- No error-level clusters detected",
+    "- No cluster showed meaningful deviation from baseline",
+    "",
+    "Confidence: low",
+]
+NO_EVENTS = "  No significant events found in this window."
+NO_CHANGES = "  No significant changes between windows."
+NOTHING_FOUND = "No logs found in window"
+NO_ANSWER = "No log activity found in the requested window. Try a wider time range with --since."
+REDIRECT = "Operators can redirect this command to a file for tickets and postmortems:"
+DIRECTIONS = [
+    ("new", "+", "New error clusters"),
+    ("disappeared", "-", "Errors that disappeared"),
+    ("increased", "↑", "Errors that increased"),
+    ("decreased", "↓", "Errors that decreased"),
+]
+TRIGGER_SIDES = [("a", "+", "Triggers in A not seen in B"), ("b", "-", "Triggers in B not seen in A")]

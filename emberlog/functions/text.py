@@ -96,8 +96,9 @@ def effect_severity(text: Column) -> Column:
 
 def trigger_key(message: Column) -> Column:
     """What makes two triggers the same: lower-cased, stripped, without a version at the end."""
-    low = F.regexp_replace(F.lower(message), f"(?U)^{_SPACE}+|{_SPACE}+$", "")
-    return F.regexp_replace(low, r"(?U)\s+v\d+[\w.]*$", "")
+    edges = f"(?U)^{_SPACE}+|{_SPACE}+$"
+    low = F.regexp_replace(F.lower(message), edges, "")
+    return F.regexp_replace(F.regexp_replace(low, f"(?U){patterns.VERSION}", ""), edges, "")
 
 
 def whole_minutes(start: Column, end: Column) -> Column:

@@ -6,7 +6,7 @@ import re
 from dataclasses import dataclass
 from datetime import datetime, timedelta, timezone
 
-_UNITS = {"s": 1, "sec": 1, "m": 60, "min": 60, "h": 3600, "hr": 3600, "d": 86400, "day": 86400, "days": 86400, "w": 604800, "week": 604800, "weeks": 604800}
+UNITS = {"s": 1, "sec": 1, "m": 60, "min": 60, "h": 3600, "hr": 3600, "d": 86400, "day": 86400, "days": 86400, "w": 604800, "week": 604800, "weeks": 604800}
 _DURATION = re.compile(r"^\s*(\d+(?:\.\d+)?)\s*([a-zA-Z]+)\s*$")
 
 
@@ -24,9 +24,9 @@ class Window:
 def parse_duration(text: str) -> timedelta:
     """30m, 24h, 1.5h, 7d, 2 weeks."""
     m = _DURATION.match(text or "")
-    if not m or m[2].lower() not in _UNITS:
+    if not m or m[2].lower() not in UNITS:
         raise ValueError(f"invalid duration: {text!r}")
-    return timedelta(seconds=float(m[1]) * _UNITS[m[2].lower()])
+    return timedelta(seconds=float(m[1]) * UNITS[m[2].lower()])
 
 
 def _utc(value: datetime | str) -> datetime:

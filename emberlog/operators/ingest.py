@@ -66,24 +66,34 @@ def new_entries(batch: DataFrame, store: DataFrame | None) -> DataFrame:
     return once.unionByName(batch.where(~filled))
 
 
-def append_entries(batch: DataFrame, path: str) -> dict[str, int]:
-    """Write what is new to the store (Parquet by scope and day) and count: parsed, inserted, skipped."""
+def append_entries(batch: DataFrame, path: str, replayed: bool = False) -> dict[str, int]:
+    """Write what is new to the store (Parquet by scope and day) and count: parsed, inserted, skipped.
+
+    The batch is parsed once and kept until it is written. Entries without time (or another part
+    of the key) are new each time; with `replayed`, for batches that may come again after a
+    failure, those whose id is stored already are not.
+    """
     spark = batch.sparkSession
-    batch = batch.withColumn("event_date", F.to_date("timestamp"))
+    batch = batch.withColumn("event_date", F.to_date("timestamp")).persist()
     try:
         store = spark.read.parquet(path)
-        # only days that the batch touches can hold the same entries
+        # only days that the batch touches can hold the same entries; those without a day stand apart
         days = [r[0] for r in batch.select("event_date").distinct().limit(400).collect()]
-        store = store.where(F.col("event_date").isin([d for d in days if d])) if len(days) < 400 else store
+        store = store.where(F.col("event_date").isin([d for d in days if d]) | F.col("event_date").isNull()) if len(days) < 400 else store
     except Exception as e:  # the first batch finds no store
         if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
             raise
         store = None
     parsed = batch.count()
-    fresh = new_entries(batch, store).persist()
+    fresh = new_entries(batch, store)
+    if replayed and store is not None:
+        loose = store.where(F.coalesce(*[F.when(F.col(k).isNull(), F.lit(True)) for k in KEY], F.lit(False)))
+        fresh = fresh.join(loose.select("id"), "id", "left_anti").select(batch.columns)
+    fresh = fresh.persist()
     inserted = fresh.count()
     fresh.write.mode("append").partitionBy("scope", "event_date").parquet(path)
     fresh.unpersist()
+    batch.unpersist()
     return {"parsed": parsed, "inserted": inserted, "skipped": parsed - inserted}
 
 

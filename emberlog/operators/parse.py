@@ -37,9 +37,26 @@ def timestamp_in(line: Column) -> Column:
 
 
 def timestamp_field(value: Column) -> Column:
-    """A field that holds a time: epoch seconds or milliseconds, or text."""
+    """A field that holds a time: epoch seconds or milliseconds, or text in one of the usual forms.
+
+    A weekday at the front says nothing more; without a zone the time is UTC. Texts of other forms
+    are searched for a time.
+    """
     number = F.when(value.rlike(r"^\s*-?\d+(\.\d+)?([eE][+-]?\d+)?\s*$"), value.try_cast("double"))
-    return F.when(number.isNotNull(), _epoch(number, True)).otherwise(F.coalesce(F.when(value.rlike(r"^\s*\d{4}-\d\d?-\d\d?"), F.try_to_timestamp(strip(value))), timestamp_in(value)))
+    day = F.regexp_replace(F.regexp_replace(strip(value), r"(?i)^(mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+", ""), r"\b(GMT|UTC|Z)$", "+0000")
+    iso = F.when(day.rlike(r"^\d{4}-\d\d?-\d\d?"), F.try_to_timestamp(strip(value)))
+    forms = [F.when(day.rlike(shape), F.try_to_timestamp(day, F.lit(form))) for shape, form in patterns.DATE_FORMS]
+    return F.when(number.isNotNull(), _epoch(number, True)).otherwise(F.coalesce(iso, *forms, timestamp_in(value)))
+
+
+def json_object(text: Column, values: str = "string") -> Column:
+    """The members of a text that is one JSON object and nothing else; null for any other text.
+
+    The text is read as the only element of an array, so that nothing may stand behind the object.
+    """
+    strict = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+    found = F.from_json(F.concat(F.lit("["), text, F.lit("]")), f"array<map<string,{values}>>", strict)
+    return F.when(F.size(found) == 1, F.get(found, F.lit(0)))
 
 
 def once(rows: DataFrame, name: str, value: Column) -> DataFrame:
@@ -72,7 +89,7 @@ def with_parsed_json(lines: DataFrame, column: str = "text", default_service: st
     """
     t = lines.withColumn("_raw", strip(F.col(column)))
     m = F.col("_m")
-    t = once(t, "_m", F.from_json("_raw", "map<string,string>"))
+    t = once(t, "_m", json_object(F.col("_raw")))
     keys = F.map_keys(m)
     t = once(t, "_k", F.struct(keys.alias("keys"), F.transform(keys, lambda k: F.lower(k)).alias("low"), F.map_values(m).alias("values")))
     k = F.col("_k")

@@ -8,8 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.timeutil import parse_duration
+from ..functions.timeutil import UNITS, parse_duration
 
+_LENGTH = r"^(\d+(?:\.\d+)?)([a-zA-Z]+)$"
 #: Words that switch a tier off.
 NEVER = ("", "0", "off", "none", "never", "false")
 
@@ -30,30 +31,27 @@ def cutoff(interval: str | None, now: datetime) -> datetime | None:
     return None if length is None else now - length
 
 
+def interval_seconds(text: Column) -> tuple[Column, Column]:
+    """parse_interval for a column: seconds (null: never expires), and whether the text is invalid."""
+    clean = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    off = F.lower(clean).isin(list(NEVER))
+    units = F.create_map(*[F.lit(x) for pair in UNITS.items() for x in pair])
+    seconds = F.regexp_extract(clean, _LENGTH, 1).try_cast("double") * units[F.lower(F.regexp_extract(clean, _LENGTH, 2))]
+    return F.when(~off & (seconds > 0), seconds), text.isNotNull() & ~off & seconds.isNull()
+
+
 def policies(scopes: DataFrame, overrides: DataFrame, raw: str | None, summary: str | None, now: datetime) -> DataFrame:
     """(scope, raw_cutoff, summary_cutoff) of each scope; null cutoffs never expire.
 
     overrides(scope, raw_interval, summary_interval): null takes the default, an empty text
-    switches off. A scope with an invalid interval is skipped: nothing of it expires. The
-    intervals are few distinct texts, read by the driver.
+    switches off. A scope with an invalid interval is skipped: nothing of it expires.
     """
     t = scopes.select("scope").distinct().join(overrides, "scope", "left")
     for tier, default in (("raw", raw), ("summary", summary)):
         column = f"{tier}_interval"
-        known = {r[0] for r in overrides.select(column).distinct().limit(10_000).collect() if r[0] is not None} | ({default} if default is not None else set())
-        micros, bad = {}, []
-        for text in known:
-            try:
-                length = parse_interval(text)
-                if length is not None:
-                    micros[text] = now - length
-            except ValueError:
-                bad.append(text)
-        chosen = F.coalesce(F.col(column), F.lit(default).cast("string"))
-        at: Column = F.lit(None).cast("timestamp")
-        for text, moment in sorted(micros.items()):
-            at = F.when(chosen == text, F.lit(moment)).otherwise(at)
-        t = t.withColumn(f"{tier}_cutoff", at).withColumn(f"_bad_{tier}", F.coalesce(chosen.isin(bad), F.lit(False)) if bad else F.lit(False))
+        seconds, bad = interval_seconds(F.coalesce(F.col(column), F.lit(default).cast("string")))
+        at = F.timestamp_micros(F.unix_micros(F.lit(now)) - F.round(seconds * 1_000_000).cast("bigint"))
+        t = t.withColumn(f"{tier}_cutoff", at).withColumn(f"_bad_{tier}", F.coalesce(bad, F.lit(False)))
     skip = F.col("_bad_raw") | F.col("_bad_summary")
     return t.select("scope", F.when(~skip, F.col("raw_cutoff")).alias("raw_cutoff"), F.when(~skip, F.col("summary_cutoff")).alias("summary_cutoff"))
 

@@ -41,14 +41,14 @@ def _newest(t: DataFrame, limit: int) -> DataFrame:
 
 
 def keyword_search(entries: DataFrame, words: list[str], window: Span | None = None, service: str | None = None, level: str | None = None, job_id: str | None = None, scope: str | None = None, limit: int = 500) -> DataFrame:
-    """The newest entries that hold any of the first six words, in either message, in any case.
+    """The newest entries whose template holds any of the first six words, in any case.
 
     In a word, `_` stands for any character and `%` for any characters. Without words all match.
     """
     t = _candidates(entries, window, service, level, job_id, scope)
     hit: Column | None = None
     for w in words[:6]:
-        one = F.coalesce(F.col("normalized_message").ilike(f"%{w}%"), F.lit(False)) | F.coalesce(F.col("raw_message").ilike(f"%{w}%"), F.lit(False))
+        one = F.col("normalized_message").ilike(f"%{w}%")
         hit = one if hit is None else hit | one
     return _newest(t if hit is None else t.where(hit), limit)
 
@@ -115,10 +115,13 @@ def resolve_visibility(auth: bool, scope: str, requested: bool | None, role: str
 
 
 def visible(rows: DataFrame, v: Visibility, query_scope: str, fingerprints: list[str]) -> DataFrame:
-    """Across scopes: all but the query's. Else: its scope without its own fingerprints."""
+    """Across scopes: all but the query's, or the visible one if that is another. Else: the visible
+    scope, or the query's, without its own fingerprints."""
     if v.cross_scope:
-        return rows.where(F.col("scope") != query_scope)
-    return rows.where((F.col("scope") == v.scope) & ~F.col("fingerprint").isin(fingerprints))
+        other = rows.where(F.col("scope") != query_scope)
+        return other if v.scope is None else other.where(F.col("scope") == v.scope)
+    own = rows.where(F.col("scope") == (v.scope or query_scope))
+    return own.where(~F.col("fingerprint").isin(fingerprints)) if fingerprints else own
 
 
 def similar_semantic(queries: DataFrame, stored: DataFrame, v: Visibility, query_scope: str, min_similarity: float = 0.8, top: int = 10) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import is_trigger
 from .cluster import change_ratio, importance, rank, severity
 from .graph import min_label_components
 
@@ -48,7 +49,8 @@ def merge_clusters(ranked: DataFrame, vectors: DataFrame, threshold: float = 0.9
     vectors(fingerprint, embedding). Only clusters of at least `min_count` entries with a
     message and a vector that is not zero merge. Of a merged group the most important one
     (then the largest, then of smallest fingerprint) gives fingerprint and message; counts and
-    histograms add up; the score is computed anew.
+    histograms add up; the group is a trigger if one of its clusters is or its message says so; the
+    score is computed anew.
     """
     eligible = ranked.where((F.col("count") >= min_count) & (F.trim(F.coalesce("representative_message", F.lit(""))) != "")).join(vectors.where(F.exists("embedding", lambda x: x != 0)), "fingerprint")
     parts = min_label_components(ranked.select(F.col("fingerprint").alias("node")), merge_edges(eligible.select("fingerprint", "embedding"), threshold)).withColumnRenamed("node", "fingerprint")
@@ -66,6 +68,7 @@ def merge_clusters(ranked: DataFrame, vectors: DataFrame, threshold: float = 0.9
         F.col("_c.fingerprint").alias("fingerprint"), F.col("_c.representative_message").alias("representative_message"), "count", F.coalesce("services", empty).alias("services"), F.coalesce("levels", empty).alias("levels"),
         "first_seen", "last_seen", "baseline_count", "is_trigger", "log_entry_ids", "_n", "_kept", F.when(F.col("_n") > 1, F.array_remove("_all", F.col("_c.fingerprint"))).otherwise(F.array().cast("array<string>")).alias("merged_fingerprints"),
     )
+    t = t.withColumn("is_trigger", F.col("is_trigger") | ((F.col("_n") > 1) & is_trigger(F.col("representative_message"))))
     t = t.withColumn("change_ratio", change_ratio(F.col("count"), F.col("baseline_count")))
     anew = importance(severity(F.col("levels")), F.col("count"), F.col("change_ratio"), F.size("services"), F.col("is_trigger"))
     t = t.withColumn("importance_score", F.when(F.col("_n") > 1, anew).otherwise(F.col("_kept"))).drop("_n", "_kept")

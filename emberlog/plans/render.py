@@ -6,6 +6,7 @@ import re
 import shlex
 from datetime import timedelta
 
+from ..functions import patterns
 from ..functions.timeutil import Window, format_window
 
 
@@ -88,6 +89,11 @@ def summary(packet: dict) -> str:
     return "\n".join(out)
 
 
+def insufficient(window: Window, total: int) -> str:
+    """What is said where no cluster can be the cause."""
+    return "\n".join(line.format(window=format_window(window), total=total) for line in patterns.INSUFFICIENT)
+
+
 def short_summary(text: str, most: int = 200) -> str:
     """The primary issue of a summary, or else its first line that says something."""
     lines = [x.strip() for x in text.splitlines() if x.strip()]
@@ -95,28 +101,38 @@ def short_summary(text: str, most: int = 200) -> str:
     return cut(issue or next((x for x in lines if x != "Incident summary"), ""), most)
 
 
-def timeline_text(events: list) -> str:
-    """One line an event; a blank one where more than a minute passes."""
-    out = []
+def timeline_text(events: list, window: Window) -> str:
+    """The events of a timeline, a blank line where more than a minute passes."""
+    out = ["", f"Incident timeline  {format_window(window)}", ""]
     for e in events:
-        if e["gap_before"]:
-            out.append("")
-        extra = "".join((f" x{e['count']}" if e["count"] else "", f" [{', '.join(e['services'])}]" if e["services"] else "", f" ({e['duration_minutes']}m)" if e["duration_minutes"] else ""))
-        out.append(f"{e['timestamp']:%H:%M:%S}  {e['category']:<8} {e['description']}{extra}")
-    return "\n".join(out)
+        label = "error ↑" if e["category"] == "error" and e["count"] is not None else e["category"]
+        head = f"  {e['timestamp']:%H:%M:%S}  {label:<10} {e['description']}"
+        if e["count"] is None:
+            facts = []
+            head = " · ".join([head, *([" · ".join(e["services"])] if e["services"] else [])])
+        else:
+            facts = [_events(e["count"])] + ([", ".join(e["services"])] if e["services"] else []) + ([f"{e['duration_minutes']} min span"] if e["duration_minutes"] else [])
+        out += [""] * bool(e["gap_before"]) + [head] + ([" " * 13 + " · ".join(facts)] if facts else [])
+    return "\n".join([*out, ""] if events else [*out, patterns.NO_EVENTS, ""])
 
 
 def compare_text(a: Window, b: Window, diff: list, triggers: list) -> str:
-    marks = {"new": "+", "disappeared": "-", "increased": "↑", "decreased": "↓", "stable": "="}
-    out = [f"A: {format_window(a)}", f"B: {format_window(b)}"]
-    for name, mark in marks.items():
-        rows = [d for d in diff if d["direction"] == name]
-        if rows:
-            out += ["", f"{name.capitalize()}:", *(f"  {mark} {cut(d['message'], 90)} ({d['count_b'] or 0} → {d['count_a'] or 0})" for d in rows)]
-    new = [t for t in triggers if t["only_in"] == "a"]
-    if new:
-        out += ["", "New triggers:", *(f"  ! {cut(t['message'], 90)}" for t in new)]
-    return "\n".join(out)
+    """The differences of two windows by kind; stable clusters are not told."""
+    counts = lambda d: " → ".join(str(n) for n in (d["count_b"], d["count_a"]) if n is not None) + ("" if None not in (d["count_a"], d["count_b"]) else " events")
+    out = ["", "Incident comparison", "", f"  Window A (now):      {format_window(a)}", f"  Window B (baseline): {format_window(b)}", ""]
+    found = []
+    for direction, mark, title in patterns.DIRECTIONS:
+        rows = [f"  {mark} {cut(d['message'], 72):<74} {counts(d)}".rstrip() for d in diff if d["direction"] == direction]
+        found += [title, *rows, ""] if rows else []
+    for side, mark, title in patterns.TRIGGER_SIDES:
+        rows = [f"  {mark}⚡ {cut(t['message'], 72)}" + (f" · {t['service']}" if t["service"] else "") for t in triggers if t["only_in"] == side]
+        found += [title, *rows, ""] if rows else []
+    return "\n".join(out + (found or [patterns.NO_CHANGES, ""]))
+
+
+def answer_evidence(groups: list) -> list[str]:
+    """One line for each group of log lines."""
+    return [f"{g['count']} events: '{(g['message'] or '')[:80]}' in {', '.join(g['services']) or 'unknown'}" for g in groups] or [patterns.NOTHING_FOUND]
 
 
 def answer(question: str, groups: list, total: int) -> str:
@@ -128,30 +144,64 @@ def answer(question: str, groups: list, total: int) -> str:
     return "\n".join([*out, "", f"Total matching log events: {total}"])
 
 
-def similar_text(queries: list[str], matches: list) -> str:
+def similar_text(matches: list, mode: str) -> str:
+    """The nearest of the similar clusters, and how many more there are."""
     if not matches:
-        return f"No similar incidents found for {len(queries)} clusters"
-    return "\n".join([f"{len(matches)} similar clusters for {len(queries)} of the query:", *(f"- {m['similarity']:.4f} {m['scope']}/{m['fingerprint']} x{m['count']} {cut(m['template'], 80)}" for m in matches)])
+        return "No similar incidents found" + (" (fingerprint match)." if mode == "fingerprint" else ".")
+    m, more = matches[0], len(matches) - 1
+    return f"Saw fingerprint {m['fingerprint']} in {m['scope']} (similarity {m['similarity']:.2f})" + (f" and {more} more." if more else ".")
 
 
 def human_duration(length: timedelta) -> str:
-    minutes = int(length.total_seconds() // 60)
-    hours, minutes = divmod(minutes, 60)
-    days, hours = divmod(hours, 24)
-    return " ".join(f"{n}{u}" for n, u in ((days, "d"), (hours, "h"), (minutes, "m")) if n) or "0m"
+    """Days, hours, minutes; seconds only below a day."""
+    left, parts = abs(round(length.total_seconds())), []
+    for unit, size in (("d", 86_400), ("h", 3600), ("m", 60), ("s", 1)):
+        n, left = divmod(left, size)
+        if n and not (unit == "s" and parts and parts[0].endswith("d")):
+            parts.append(f"{n}{unit}")
+    return " ".join(parts) or "0s"
 
 
 def _escape(text: str) -> str:
-    return re.sub(r"([\\`*_{}\[\]<>#|])", r"\\\1", " ".join((text or "").split()))
-
-
-def report(packet: dict, command: list[str] | None = None) -> str:
-    """An explanation as Markdown, with the command that makes it again."""
-    w = packet["window"]
-    out = ["# Incident report", "", f"**Window:** {format_window(w)} ({human_duration(w.end - w.start)})", f"**Confidence:** {packet['confidence']}", f"**Services:** {_escape(', '.join(packet['services_affected'])) or 'unknown'}", "", "## Primary issue", "", _escape(packet["primary"]["representative_message"]) if packet["primary"] else "None identified.", "", "## Evidence", ""]
-    out += [f"- {_escape(x)}" for x in packet["evidence"]]
+    return re.sub(r"([\\`*_{}\[\]<>|#])", r"\\\1", " ".join((text or "").split()))
+
+
+def _code(text: str) -> str:
+    """A text as inline code, between more backticks than it has in a row."""
+    flat = " ".join((text or "").split())
+    if not flat:
+        return "` `"
+    ticks = "`" * (max(map(len, re.findall("`+", flat)), default=0) + 1)
+    return ticks + " " * flat.startswith("`") + flat + " " * flat.endswith("`") + ticks
+
+
+def reproduce_command(program: list[str], options: dict[str, str | bool | None]) -> str:
+    """A command line from the options that are set."""
+    words = [w for name, value in options.items() if value for w in ([f"--{name}"] if value is True else [f"--{name}", str(value)])]
+    return " ".join(shlex.quote(w) for w in [*program, *words])
+
+
+def _facts(pairs: list[tuple[str, object]]) -> list[str]:
+    return [f"- **{name}:** {value}" for name, value in pairs if value not in (None, "", [])]
+
+
+def report(packet: dict, command: str | None = None, environment: str | None = None) -> str:
+    """An explanation as Markdown, with the command that makes it again; empty sections are left out."""
+    w, c = packet["window"], packet["primary"]
+    names = lambda x: ", ".join(_escape(s) for s in sorted(x["services"] or ()))
+    when = lambda t: t.isoformat() if t else None
+    title = cut(" ".join((c["representative_message"] or "").split()), 100) if c else "Insufficient evidence to identify a likely issue in the requested window."
+    about = [("Window", f"{w.start.isoformat()} → {w.end.isoformat()} ({human_duration(w.end - w.start)})"), ("Services", _escape(", ".join(packet["services_affected"])) or "none"), ("Environment", _escape(environment or "")), ("Total logs", str(packet["total_logs"])), ("Confidence", _escape(packet["confidence"])), ("Mode", packet.get("mode", "rules"))]
+    out = ["# Incident report", "", _escape(title), "", *_facts(about), "", "## Summary", "", packet["summary"].rstrip(), "", "## Evidence", "", *(f"- {_escape(x)}" for x in packet["evidence"]), ""]
+    if c:
+        facts = [("Fingerprint", _code(c["fingerprint"])), ("Count", str(c["count"])), ("Importance", str(round(c["importance_score"], 4))), ("Message", _code(c["representative_message"])), ("Services", names(c)), ("First seen", _escape(when(c["first_seen"]))), ("Last seen", _escape(when(c["last_seen"]))), ("Baseline count", str(c["baseline_count"])), ("Change ratio", str(round(c["change_ratio"], 2)))]
+        out += ["## Primary cluster", "", *_facts(facts), ""]
+    if packet["secondary"]:
+        each = [f"- {_code(x['representative_message'])} — {_events(x['count'])} ({'; '.join(y for y in (_code(x['fingerprint']), names(x)) if y)})" for x in packet["secondary"]]
+        out += ["## Secondary clusters", "", *each, ""]
     if packet["triggers"]:
-        out += ["", "## Triggers", "", *(f"- {t['timestamp']:%H:%M:%S} {_escape(t['message'])}" for t in packet["triggers"])]
+        each = [f"- {_escape(when(t['timestamp']) or 'unknown time')}" + (f" · {_escape(t['service'])}" if t["service"] else "") + f" — {_code(t['message'])}" for t in packet["triggers"]]
+        out += ["## Trigger candidates", "", *each, ""]
     if command:
-        out += ["", "## Reproduce", "", "```", shlex.join(command), "```"]
-    return "\n".join(out) + "\n"
+        out += ["## Reproduce", "", patterns.REDIRECT, "", "```bash", command, "```", "", f"`{command} > postmortem.md`", ""]
+    return "\n".join(out).rstrip() + "\n"

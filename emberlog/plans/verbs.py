@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.timeutil import Window, baseline_window
+from ..functions import patterns
+from ..functions.timeutil import Window
 from ..operators import cluster, compare, evidence, retrieval, semantic
 from ..operators import timeline as timelines
 from . import render
@@ -53,8 +54,14 @@ class Analyzer:
         if not merging:
             return found
         found = found.persist()
-        vectors = self.embed(found.select("fingerprint", F.col("representative_message").alias("template"))).select("fingerprint", "embedding")
-        return semantic.merge_clusters(found, vectors, o.merge_threshold, o.merge_min_count, top)
+        try:
+            vectors = self.embed(found.select("fingerprint", F.col("representative_message").alias("template"))).select("fingerprint", "embedding")
+            merged = semantic.merge_clusters(found, vectors, o.merge_threshold, o.merge_min_count, top)
+            return found.sparkSession.createDataFrame(merged.collect(), merged.schema)  # at most `top` rows
+        except Exception:  # noqa: BLE001 - clusters must come also where the provider fails
+            return cluster.rank(found, top)
+        finally:
+            found.unpersist()
 
     def explain(self, window: Window, service: str | None = None, environment: str | None = None, job_id: str | None = None) -> dict:
         """The evidence packet with confidence and texts."""
@@ -66,27 +73,20 @@ class Analyzer:
         total = cluster.in_window(self.entries, window, self.scope, service, job_id=job_id).count()
         primary, secondary = (roles[0], roles[1:]) if roles else (None, [])
         packet = {"window": window, "total_logs": total, "primary": primary, "secondary": secondary, "triggers": triggers, "services_affected": services}
-        packet["points"] = self._points(packet)
-        packet["confidence"] = self._label(packet)
-        packet["confidence_score"] = {"low": 0.25, "medium": 0.5, "medium-high": 0.72, "high": 0.9}[packet["confidence"]]
+        packet["points"], packet["confidence"], packet["confidence_score"] = self._confidence(packet)
         packet["evidence"] = render.evidence_items(primary, secondary, triggers, total, self.options.max_evidence)
-        packet["summary"] = render.summary(packet)
+        packet["summary"] = render.summary(packet) if primary else render.insufficient(window, total)
+        packet["mode"] = "rules"
         return packet
 
-    @staticmethod
-    def _points(p: dict) -> int:
-        c = p["primary"]
-        if c is None:
-            return 0
-        change = (2 if c["change_ratio"] > 10 else 1 if c["change_ratio"] > 3 else 0) if c["baseline_count"] > 0 else 0
-        return (2 if c["count"] >= 50 else 1 if c["count"] >= 10 else 0) + change + 2 * bool(p["triggers"]) + bool(p["secondary"]) + (len(p["services_affected"]) > 1)
-
-    @staticmethod
-    def _label(p: dict) -> str:
-        if p["primary"] is None:
-            return "low"
-        n = p["points"]
-        return "high" if n >= 5 and p["triggers"] else "medium-high" if n >= 4 else "medium" if n >= 2 else "low"
+    def _confidence(self, p: dict) -> tuple[int, str, float]:
+        """Points, label and score, by the column expressions of evidence over one row."""
+        c, spark = p["primary"], self.entries.sparkSession
+        facts = (c["count"], c["baseline_count"], float(c["change_ratio"])) if c else (0, 0, 0.0)
+        row = spark.createDataFrame([(*facts, bool(p["triggers"]), bool(p["secondary"]), len(p["services_affected"]), c is not None)], "n long, b long, r double, t boolean, s boolean, k long, c boolean")
+        points = F.when(F.col("c"), evidence.confidence_points(F.col("n"), F.col("b"), F.col("r"), F.col("t"), F.col("s"), F.col("k"))).otherwise(0)
+        row = row.withColumn("points", points).withColumn("label", evidence.confidence_label(F.col("points"), F.col("t"), F.col("c")))
+        return tuple(row.select("points", "label", evidence.confidence_score(F.col("label"))).first())
 
     def timeline(self, window: Window, service: str | None = None, environment: str | None = None, job_id: str | None = None) -> DataFrame:
         found = self.clusters(window, service, environment, job_id)
@@ -99,12 +99,14 @@ class Analyzer:
         triggers = [evidence.trigger_candidates(self.entries, w, scope=self.scope, job_id=job_id) for w in (a, b)]
         return compare.ordered_diff(compare.cluster_diff(*lists)), compare.trigger_diff(*triggers)
 
-    def ask(self, question: str, window: Window | None = None, service: str | None = None, job_id: str | None = None) -> dict:
+    def ask(self, question: str, window: Window | None = None, service: str | None = None, job_id: str | None = None, now: datetime | None = None, top: int = 8) -> dict:
+        """What the log lines that fit a question have in common; without a window, of the last 24 hours."""
+        window = window or now_window(now or datetime.now(timezone.utc), timedelta(hours=24))
         hits, mode = retrieval.retrieve(self.entries, question, self.log_embeddings, self.embed_text, window=window, service=service, job_id=job_id, scope=self.scope)
         hits = hits.persist()
-        groups, total = [r.asDict() for r in retrieval.group_hits(hits).collect()], hits.count()
+        groups, total = [r.asDict() for r in retrieval.group_hits(hits, top).collect()], hits.count()
         hits.unpersist()
-        return {"question": question, "mode": mode, "clusters": groups, "total_matches": total, "answer": render.answer(question, groups, total)}
+        return {"question": question, "window": window, "mode": mode, "clusters": groups, "total_matches": total, "evidence": render.answer_evidence(groups)[: self.options.max_evidence], "answer": render.answer(question, groups, total) if total else patterns.NO_ANSWER}
 
     def similar(self, window: Window | None = None, fingerprints: list[str] | None = None, top: int = 10, visibility: retrieval.Visibility | None = None) -> tuple[DataFrame, str]:
         """Clusters of other scopes (or times) like those of a window, or of given fingerprints."""
@@ -122,9 +124,5 @@ class Analyzer:
         return retrieval.similar_fingerprint(fingerprints, self.entries, self.cluster_embeddings, v, self.scope, top), "fingerprint"
 
 
-def baseline_of(window: Window, options: Options) -> Window:
-    return baseline_window(window, options.baseline)
-
-
 def now_window(now: datetime, length: timedelta) -> Window:
     return Window(now - length, now)

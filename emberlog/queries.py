@@ -11,7 +11,7 @@ from datetime import datetime, timedelta, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import embed, patterns, text
+from .functions import patterns, text
 from .functions.timeutil import Window
 from .operators import cluster, compare, evidence, ingest, parse, retention, retrieval, semantic
 from .operators import timeline as timelines
@@ -147,7 +147,7 @@ def trigger_type(spark, sf_dir):
 
 @query(f"""WITH {LOGS} SELECT id, regexp_matches(raw_message, '(?i)retry') AND regexp_matches(raw_message, '(?i)evt_') AS is_retry,
 regexp_matches(raw_message, '(?i)queue.{{0,30}}(growing|pending|backlog)') OR regexp_matches(raw_message, '(?i)(pending|backlog).{{0,30}}queue') AS is_queue,
-regexp_replace(trim(lower(raw_message)), '\\s+v\\d+[\\w.]*$', '') AS trigger_key, greatest(1, CAST(ceil(length(raw_message) / 4.0) AS INTEGER)) AS tokens,
+trim(regexp_replace(trim(lower(raw_message)), '{patterns.VERSION}', '')) AS trigger_key, greatest(1, CAST(ceil(length(raw_message) / 4.0) AS INTEGER)) AS tokens,
 CASE WHEN regexp_matches(lower(raw_message), 'deploy|release|rollout|pushed|promote') THEN 'deploy' WHEN regexp_matches(lower(raw_message), 'started|starting|boot|launch|listening|port') THEN 'startup' ELSE 'trigger' END AS trigger_class,
 CASE WHEN regexp_matches(lower(raw_message), '500|error|fail') THEN 0 WHEN regexp_matches(lower(raw_message), 'latency|slow|timeout') THEN 1 ELSE 2 END AS severity FROM logs""")
 def message_classes(spark, sf_dir):
@@ -318,7 +318,7 @@ def compare_collapsed(spark, sf_dir):
 
 def _window_triggers_sql(name: str, w: Window) -> str:
     return f"""{name}_t AS (SELECT substr(normalized_message, 1, 500) AS message, timestamp, service FROM logs WHERE {_between(Window(w.start - timedelta(minutes=10), w.end))} AND regexp_matches(normalized_message, '{_any(patterns.TRIGGERS)}') AND level = 'info'),
-{name} AS (SELECT message, service, regexp_replace(trim(lower(message)), '\\s+v\\d+[\\w.]*$', '') AS k FROM (SELECT *, row_number() OVER (PARTITION BY trim(substr(message, 1, 100)) ORDER BY timestamp, message, service) AS r FROM {name}_t) WHERE r = 1)"""
+{name} AS (SELECT message, service, trim(regexp_replace(trim(lower(message)), '{patterns.VERSION}', '')) AS k FROM (SELECT *, row_number() OVER (PARTITION BY trim(substr(message, 1, 100)) ORDER BY timestamp, message, service) AS r FROM {name}_t) WHERE r = 1)"""
 
 
 C = Window(datetime(2024, 1, 10, tzinfo=UTC), datetime(2024, 1, 10, 3, tzinfo=UTC))
@@ -347,7 +347,7 @@ def has_changes(spark, sf_dir):
 
 QUESTION = "Why did checkout fail with upstream problems on release day?"
 _WORDS = retrieval.keywords(QUESTION)[:6]
-_ASK_SQL = f"""hits AS (SELECT * FROM logs WHERE {_between(A)} AND scope = 'default' AND level = 'error' AND ({" OR ".join(f"normalized_message ILIKE '%{w}%' OR raw_message ILIKE '%{w}%'" for w in _WORDS)}) ORDER BY timestamp DESC, id LIMIT 500)"""
+_ASK_SQL = f"""hits AS (SELECT * FROM logs WHERE {_between(A)} AND scope = 'default' AND level = 'error' AND ({" OR ".join(f"normalized_message ILIKE '%{w}%'" for w in _WORDS)}) ORDER BY timestamp DESC, id LIMIT 500)"""
 
 
 def _hits(spark, sf_dir):
@@ -428,13 +428,32 @@ def merge_components(spark, sf_dir):
     return parts.join(sizes, "node").groupBy("component").agg(F.count("*").alias("size"), F.sum("c").alias("count"))
 
 
-@query()
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def _letter_counts(template):
+    """A vector that SQL can give, too: how often each letter occurs."""
+    return F.array(*[(F.length(template) - F.length(F.replace(template, F.lit(x), F.lit("")))).cast("float") for x in _LETTERS])
+
+
+_VECTOR = "[" + ", ".join(f"CAST(length(message) - length(replace(message, '{x}', '')) AS DOUBLE)" for x in _LETTERS) + "]"
+
+
+@query(f"""WITH RECURSIVE {LOGS}, {_clusters_sql("k", A)}, v AS (SELECT fingerprint, {_VECTOR} AS e FROM k WHERE trim(message) <> ''),
+edges AS (SELECT a.fingerprint AS a, b.fingerprint AS b FROM v a JOIN v b ON a.fingerprint <> b.fingerprint WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach AS (SELECT fingerprint AS n, fingerprint AS m FROM k UNION SELECT n, b FROM reach JOIN edges ON m = a),
+comp AS (SELECT n AS fingerprint, min(m) AS component FROM reach GROUP BY n),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY component {_RANKED}) AS r FROM k JOIN comp USING (fingerprint)) WHERE r = 1),
+g AS (SELECT component, count(*) AS n, sum(c)::BIGINT AS c, sum(sev * c) / sum(c) AS sev, sum(baseline_count)::BIGINT AS b, len(list_distinct(flatten(list(services)))) AS s FROM k JOIN comp USING (fingerprint) GROUP BY 1),
+t AS (SELECT g.*, best.fingerprint, message, best.score AS own, regexp_matches(message, '{_any(patterns.TRIGGERS)}') AND n > 1 AS trig, (g.c + 1.0) / (b + 1.0) AS ratio FROM g JOIN best USING (component))
+SELECT fingerprint, message AS representative_message, c AS "count", b AS baseline_count, trig AS is_trigger,
+  round(CASE WHEN n > 1 THEN sev + ln(c + 1) + ln(ratio + 1) + 0.5 * ln(s + 1) + CASE WHEN trig THEN 2 ELSE 0 END ELSE own END, 6) AS importance, n - 1 AS merged FROM t""")
 def merge_clusters(spark, sf_dir):
-    """Clusters of the window merged by vectors of their templates."""
-    ranked = cluster.clusters(logs(spark, sf_dir), A, DAY, "default", top=None).persist()
-    vectors = embed.embed(ranked.select("fingerprint", F.col("representative_message").alias("template"))).select("fingerprint", "embedding")
-    merged = semantic.merge_clusters(ranked, vectors, 0.8, top=50)
-    return merged.select("fingerprint", "representative_message", "count", "baseline_count", F.round("importance_score", 6).alias("importance"), F.size("merged_fingerprints").alias("merged"))
+    """All clusters of the window, merged by vectors of their templates."""
+    ranked = cluster.clusters(logs(spark, sf_dir), A, DAY, "default", top=None)
+    vectors = ranked.select("fingerprint", _letter_counts(F.col("representative_message")).alias("embedding"))
+    merged = semantic.merge_clusters(ranked, vectors, 0.98)
+    return merged.select("fingerprint", "representative_message", "count", "baseline_count", "is_trigger", F.round("importance_score", 6).alias("importance"), F.size("merged_fingerprints").alias("merged"))
 
 
 # Storing
@@ -527,7 +546,7 @@ def _raw(spark, sf_dir, line: str) -> DataFrame:
 
 _ISO_SPARK = "date_format(date_trunc('second', CAST(ts AS TIMESTAMP)), \"yyyy-MM-dd'T'HH:mm:ss'Z'\")"
 _JSON_LINE = f"""CASE event_id % 4 WHEN 0 THEN to_json(named_struct('ts', {_ISO_SPARK}, 'severity', upper(event_type), 'app', concat('svc-', user_id % 5), 'msg', {MESSAGE}, 'k', props))
-WHEN 1 THEN to_json(named_struct('time', unix_seconds(CAST(ts AS TIMESTAMP)) * 1000, 'LEVEL', 'WARNING', 'kubernetes', named_struct('container_name', 'web', 'namespace_name', 'prod', 'pod_name', 'p1'), 'log', event_type)) WHEN 2 THEN '{{broken' ELSE '  ' END"""
+WHEN 1 THEN to_json(named_struct('time', unix_seconds(CAST(ts AS TIMESTAMP)) * 1000, 'LEVEL', 'WARNING', 'kubernetes', named_struct('container_name', 'web', 'namespace_name', 'prod', 'pod_name', 'p1'), 'log', event_type)) WHEN 2 THEN CASE event_id % 3 WHEN 0 THEN '{{broken' WHEN 1 THEN concat('{{"msg":"', event_type, '"}} tail}}') ELSE replace('{{~msg~:~single~}}', '~', chr(39)) END ELSE '  ' END"""
 
 
 @query("""SELECT event_id AS ordinal, CASE event_id % 4 WHEN 0 THEN epoch_us(date_trunc('second', CAST(ts AS TIMESTAMP))) WHEN 1 THEN epoch_us(date_trunc('second', CAST(ts AS TIMESTAMP))) END AS timestamp,
@@ -564,11 +583,12 @@ def cri_reassembly(spark, sf_dir):
     return sources.reassemble_cri(_raw(spark, sf_dir, _CRI)).select("source_ref", "ordinal", "text")
 
 
-@query("""SELECT event_id AS ordinal, CASE event_id % 4 WHEN 0 THEN 'plain ' || event_type WHEN 1 THEN event_type || ' "quoted"' WHEN 2 THEN event_type ELSE event_type END AS message FROM events""")
+@query("""SELECT event_id AS ordinal, CASE event_id % 7 WHEN 0 THEN 'plain ' || event_type WHEN 1 THEN event_type || ' "quoted"' WHEN 2 THEN '{"raw":"' || event_type || '","k":' || user_id || ',"n":{"a":[1,true,null]},"message":"' || event_type || '"}'
+WHEN 3 THEN '{"message":"' || event_type || '","k":1}' WHEN 4 THEN '{"message":null,"raw":"' || event_type || '"}' WHEN 5 THEN '{"text":null,"msg":7,"message":7}' ELSE replace('{~msg~:~' || event_type || '~}', '~', chr(39)) END AS text FROM events""")
 def push_ndjson(spark, sf_dir):
-    line = """CASE event_id % 4 WHEN 0 THEN concat(' plain ', event_type, ' ') WHEN 1 THEN concat('"', event_type, ' \\\\"quoted\\\\""') WHEN 2 THEN concat('{"raw":"', event_type, '"}') ELSE concat('{"message":"', event_type, '"}') END"""
-    t = sources.parse_push(_raw(spark, sf_dir, line))
-    return t.select("ordinal", F.coalesce(F.get_json_object("text", "$.message"), "text").alias("message"))
+    line = """CASE event_id % 7 WHEN 0 THEN concat(' plain ', event_type, ' ') WHEN 1 THEN concat('"', event_type, ' \\\\"quoted\\\\""') WHEN 2 THEN concat('{"raw": "', event_type, '", "k": ', user_id, ', "n": {"a": [1, true, null]}}')
+WHEN 3 THEN concat('{"message": "', event_type, '", "k": 1}') WHEN 4 THEN concat('{"message":null,"raw":"', event_type, '"}') WHEN 5 THEN '{"text":null,"msg":7}' ELSE replace(concat('{~msg~:~', event_type, '~}'), '~', chr(39)) END"""
+    return sources.parse_push(_raw(spark, sf_dir, line)).select("ordinal", "text")
 
 
 @query(f"""WITH {LOGS} SELECT fingerprint, raw_message AS raw, service, level, epoch_us(date_trunc('second', timestamp)) AS timestamp FROM logs""")

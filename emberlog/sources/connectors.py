@@ -11,21 +11,25 @@ from __future__ import annotations
 
 import importlib
 import json
+import re
 import time
+import warnings
 from collections.abc import Iterator
 from datetime import datetime, timezone
+from urllib.parse import urlsplit
 
+import pandas as pd
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
 SCHEMA = "text string, source_ref string, received_at timestamp, default_service string, default_environment string, default_host string"
 
 # Sites that the Datadog source may call.
-DATADOG_SITES = ["datadoghq.com", "us3.datadoghq.com", "us5.datadoghq.com", "datadoghq.eu", "ap1.datadoghq.com", "ap2.datadoghq.com", "ddog-gov.com"]
+DATADOG_SITES = ["datadoghq.com", "us3.datadoghq.com", "us5.datadoghq.com", "datadoghq.eu", "ap1.datadoghq.com", "ap2.datadoghq.com", "uk1.datadoghq.com", "ddog-gov.com", "us1.ddog-gov.com", "us2.ddog-gov.com"]
 # Labels of a stream that hold a field.
 LOKI_LABELS = {"service": ["app", "service", "job"], "environment": ["namespace", "env", "environment"], "host": ["pod", "instance", "host", "node"]}
 # Attributes of an event that hold an identifier.
-DATADOG_TRACE = ["trace_id", "dd.trace_id", "otel.trace_id"]
-DATADOG_REQUEST = ["request_id", "http.request_id", "req_id"]
+DATADOG_TRACE = ["trace_id", "traceId", "dd.trace_id", "dd.traceId"]
+DATADOG_REQUEST = ["request_id", "requestId", "req_id", "correlation_id", "correlationId", "http.request_id", "http.requestId"]
 
 
 class Unavailable(RuntimeError):
@@ -78,13 +82,30 @@ class CloudWatchPages:
         return rows, None if following == token else following
 
 
+def datadog_site(site: str | None) -> str:
+    """The host of a site that may be called: by name, as an app. or api. host, or as an https URL.
+
+    Anything else is refused, so that keys go nowhere else.
+    """
+    given = (site or "").strip()
+    if not given:
+        return DATADOG_SITES[0]
+    scheme, separator, rest = given.rpartition("://")
+    if separator:
+        host = urlsplit(given).hostname or "" if scheme == "https" else ""
+    else:
+        host = "" if "/" in rest or "@" in rest else rest
+    host = re.sub(r"^(app|api)\.", "", host.lower().rstrip("."))
+    if host not in DATADOG_SITES:
+        raise Unavailable(f"unknown site {given!r}")
+    return host
+
+
 class DatadogPages:
     """One stream for each index, or one for all."""
 
     def streams(self, options: dict) -> list[str]:
-        site = (options.get("site") or "datadoghq.com").lower().removeprefix("https://").rstrip("/").removeprefix("api.")
-        if site not in DATADOG_SITES:
-            raise Unavailable(f"unknown site {site!r}")
+        datadog_site(options.get("site"))
         return [i.strip() for i in (options.get("index") or "*").split(",") if i.strip()]
 
     def page(self, client, stream: str, start: datetime, end: datetime, token: str | None, options: dict):
@@ -102,14 +123,12 @@ class DatadogPages:
 def _dotted(data: dict, keys: list[str]):
     """The value of the first key that is there, as it stands or as a path of dots."""
     for key in keys:
-        at = data
         if key in data:
             return data[key]
-        for part in key.split("."):
-            at = at[part] if isinstance(at, dict) and part in at else None
-            if at is None:
-                break
-        if at is not None and "." in key:
+        at, path = data, key.split(".")
+        while path and isinstance(at, dict) and path[0] in at:
+            at = at[path.pop(0)]
+        if not path:
             return at
     return None
 
@@ -132,10 +151,10 @@ def event_time(event: dict) -> datetime | None:
     if isinstance(value, (int, float)) and not isinstance(value, bool):
         return _utc(value / 1000 if value > 1e12 else value)
     try:
-        at = datetime.fromisoformat(str(value).replace("Z", "+00:00"))
-    except ValueError:
+        at = pd.to_datetime(str(value), utc=True) if value is not None else None
+    except (ValueError, OverflowError):
         return None
-    return at if at.tzinfo else at.replace(tzinfo=timezone.utc)
+    return at.to_pydatetime() if at is not None and not pd.isna(at) else None
 
 
 class LokiPages:
@@ -169,13 +188,18 @@ PAGES = {"cloudwatch": CloudWatchPages, "datadog": DatadogPages, "loki": LokiPag
 
 
 def read_stream(kind: str, client, stream: str, start: datetime, end: datetime, options: dict) -> Iterator[tuple]:
-    """All rows of a stream's window, page by page; `max_rows` ends it early where it is set."""
-    pages, token, left = PAGES[kind](), None, int(options.get("max_rows", 10_000 if kind == "datadog" else 1 << 62))
-    while left > 0:
+    """All rows of a stream's window, page by page.
+
+    Only where the caller sets `max_rows` the window ends early, and a warning says so.
+    """
+    pages, token, left = PAGES[kind](), None, int(options.get("max_rows", 1 << 62))
+    while True:
         rows, token = pages.page(client, stream, start, end, token, options)
         yield from rows[:left]
         left -= len(rows)
-        if not token:
+        if left < 0 or (left == 0 and token):
+            warnings.warn(f"{stream}: more rows than max_rows in the window", stacklevel=2)
+        if left <= 0 or not token:
             return
 
 
@@ -266,8 +290,25 @@ class Loki(_Source):
 SOURCES = {"cloudwatch": CloudWatch, "datadog": Datadog, "loki": Loki}
 
 
+#: Sources that Spark reads itself, and the functions of sources.lines that do it.
+FILES = {"file": "read_lines", "k8s": "read_k8s_export", "kubernetes": "read_k8s_export"}
+
+
 def register(spark, names=tuple(SOURCES)) -> None:
+    """Make remote sources known to spark.read.format; files need no registration."""
     for n in names:
+        if n in FILES:
+            continue
         if n not in SOURCES:
-            raise Unavailable(f"unknown source {n!r}; known: {', '.join(sorted(SOURCES))}, and files")
+            raise Unavailable(f"unknown source {n!r}; known: {', '.join(sorted([*SOURCES, *FILES]))}")
         spark.dataSource.register(SOURCES[n])
+
+
+def read(spark, kind: str, options: dict, **files):
+    """Raw lines of any source by its name: files by paths, remote ones by their options."""
+    if kind in FILES:
+        from . import lines
+
+        return getattr(lines, FILES[kind])(spark, **files)
+    register(spark, [kind])
+    return spark.read.format(kind).options(**options).load()

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns
-from ..operators.parse import strip
+from ..operators.parse import json_object, once, strip
 
 #: Two layouts of kubelet paths: /pods/<ns>_<pod>_<uid>/<container>/ and containers/<pod>_<ns>_<container>-<id>.log
 _POD_DIR = r"/?([^/_]+)_([^/_]+)_([0-9a-fA-F-]+)/([^/]+)/[^/]+$"
@@ -17,10 +17,11 @@ _CONTAINER_FILE = r"([^/_]+)_([^/_]+)_([^/]+)-([0-9a-f]{8,64})\.log[^/]*$"
 
 
 def service_from_path(path: Column) -> Column:
-    """Service by file name: without extensions, a date behind it, and digits and dashes at the end."""
-    name = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"(\.(log|json|jsonl|ndjson|txt|gz|out|err))+$", "")
-    name = F.regexp_replace(name, r"[-_.]?\d{4}[-_]?\d{2}[-_]?\d{2}.*$", "")
-    return F.nullif(F.regexp_replace(F.regexp_replace(name, r"\d+$", ""), r"^[-_]+|[-_]+$", ""), F.lit(""))
+    """Service by file name: without the last extension, a date with separators and all behind it,
+    and digits and dashes at the end."""
+    name = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"(?<=.)\.[^.]*$", "")
+    name = F.regexp_replace(name, r"[-_]?\d{4}[-_]\d{2}[-_]\d{2}.*$", "")
+    return F.nullif(F.regexp_replace(F.regexp_replace(name, r"[-_]?\d+$", ""), r"^[-_]+|[-_]+$", ""), F.lit(""))
 
 
 def read_lines(spark: SparkSession, paths: list[str] | str, recursive: bool = False, glob: str | None = None, default_service: str | None = None) -> DataFrame:
@@ -121,15 +122,20 @@ def read_k8s_export(spark: SparkSession, paths: list[str] | str, recursive: bool
 
 
 def parse_push(lines: DataFrame) -> DataFrame:
-    """Pushed NDJSON to raw lines: blank ones go, JSON strings become their text, objects without
-    message get one from raw, text or msg; all else stays as it is."""
+    """Pushed NDJSON to raw lines: blank ones go, JSON strings become their text, objects are written
+    anew without spaces; one that lacks a message gets the value of raw, text or msg, whichever is
+    the first that is not null. All else stays as it is. The members keep their kinds and order
+    (those of nested objects are sorted)."""
     s = strip(F.col("text"))
-    m = F.from_json(s, "map<string,string>")
-    string = F.from_json(F.concat(F.lit('{"x":'), s, F.lit("}")), "x string")["x"]
-    substitute = F.coalesce(m["raw"], m["text"], m["msg"])
-    filled = F.to_json(F.map_concat(F.map_filter(m, lambda k, _: k != "message"), F.create_map(F.lit("message"), substitute)))
-    text = F.when(s.startswith('"') & s.endswith('"') & string.isNotNull(), string).when(s.startswith("{") & m.isNotNull() & m["message"].isNull() & substitute.isNotNull(), filled).otherwise(s)
-    return lines.where(s != "").withColumn("text", text)
+    t = once(lines.where(s != ""), "_s", s)
+    t = once(t, "_m", F.when(F.col("_s").startswith("{"), json_object(F.col("_s"), "variant")))
+    m = F.col("_m")
+    string = json_object(F.concat(F.lit('{"x":'), F.col("_s"), F.lit("}")))["x"]
+    value = F.coalesce(*[F.when(~F.is_variant_null(m[k]), m[k]) for k in ("raw", "text", "msg")])
+    lacks = ~F.map_contains_key(m, F.lit("message")) & value.isNotNull()
+    entire = F.when(lacks, F.map_concat(m, F.create_map(F.lit("message"), value))).otherwise(m)
+    text = F.when(m.isNotNull(), F.to_json(entire)).when(F.col("_s").startswith('"') & string.isNotNull(), string).otherwise(F.col("_s"))
+    return t.withColumn("text", text).select(lines.columns)
 
 
 def push_payload(spark: SparkSession, body: str, max_lines: int = 5000) -> DataFrame:

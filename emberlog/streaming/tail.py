@@ -24,19 +24,22 @@ def with_line_fields(lines: DataFrame) -> DataFrame:
 
 def read_file_stream(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
     """Lines of files as they come into a folder."""
-    raw = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path)
+    raw = spark.readStream.option("maxFilesPerTrigger", str(files_per_trigger)).text(path)
     return with_line_fields(raw.select(F.make_valid_utf8("value").alias("text"), F.col("_metadata.file_path").alias("source_ref")))
 
 
 def start_ingest(lines: DataFrame, store: str, checkpoint: str, scope: str = DEFAULT_SCOPE, job_id: str | None = None, interval: str | None = "30 seconds", on_batch=None) -> StreamingQuery:
     """Parse and append each micro-batch; a batch that is repeated after a failure inserts nothing twice.
 
+    A line without a place of its own gets one from its batch, so that it has the same id when the
+    batch comes again, with or without a time.
     Without an interval it takes what there is and ends, which is how an interrupted job goes on
     from its checkpoint. `on_batch` gets the batch number and counts.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        counts = append_entries(to_entries(batch, scope, job_id, adapter="tail"), store)
+        place = F.coalesce("ordinal", F.lit(number) * F.lit(1 << 40) + F.monotonically_increasing_id())
+        counts = append_entries(to_entries(batch.withColumn("ordinal", place), scope, job_id, adapter="tail"), store, replayed=True)
         if on_batch:
             on_batch(number, counts)
 
