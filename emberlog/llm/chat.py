@@ -63,17 +63,18 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict) -> DataFrame
     their schema; null for results), copies, json. Sorting by (conv_id, level, place, call_id) is
     a topological order: level is 0 for a call that waits for none, else one more than the highest
     it waits for, and null in or behind a cycle. Dependencies on calls that do not exist count as
-    met. Empty and very long texts are texts like others; an empty table gives an empty result;
+    met; of several rows of one identifier all dependencies count. Empty and very long texts are texts like others; an empty table gives an empty result;
     extra columns are ignored.
     """
     key = ["conv_id", "call_id"]
     named = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
-    said = F.struct("place", "name", F.sort_array(F.map_entries("args")).alias("args"), F.array_sort(F.array_distinct("after")).alias("after"))
+    said = F.struct("place", "name", F.sort_array(F.map_entries("args")).alias("args"))
     asked = _folded(calls, key, said, named)
     answered = _folded(results, key, F.col("content"), named)
     first = asked.where("first")
-    waits = first.where(named).select(*key, F.explode("said.after").alias("on")).where("on is not null")
-    known = first.where(named).select("conv_id", F.col("call_id").alias("on"))
+    # the order follows from identifiers alone, no text goes along
+    waits = calls.where(named).select(*key, F.explode("after").alias("on")).where("on is not null").distinct()
+    known = calls.where(named).groupBy("conv_id", F.col("call_id").alias("on")).agg(F.min("place").alias("at"))
     levels = _levels(waits.join(known.hint("shuffle_hash"), ["conv_id", "on"]))
     linked = (
         first.where(named).select(*key, "said", "copies")
@@ -103,7 +104,8 @@ def _folded(rows: DataFrame, key: list[str], said: Column, named: Column) -> Dat
 
 
 def _levels(edges: DataFrame) -> DataFrame:
-    """(conv_id, call_id, level, _waits) of the calls that wait: edges(conv_id, call_id, on).
+    """(conv_id, call_id, level, _waits) of the calls that wait: edges(conv_id, call_id, on, at),
+    where `at` is the place of the one waited for.
 
     An edge says that a level is over that of another by a distance at least. In each round an
     edge to a call of known level becomes a known bound, and one to a call that waits for a
@@ -113,7 +115,12 @@ def _levels(edges: DataFrame) -> DataFrame:
     """
     shared_dir(edges.sparkSession)
     key = ["conv_id", "call_id"]
-    e = edges.select(*key, "on", F.lit(1).cast("long").alias("far")).checkpoint()
+    e = edges.select(*key, "on", "at").checkpoint()
+    # who waits for another through a later third waits for the third only, so that ladders are
+    # chains; the last that a call waits for always stays, also in cycles
+    through = e.select("conv_id", F.col("call_id").alias("on"), F.col("on").alias("beyond"), F.col("at").alias("at_beyond")).hint("shuffle_hash")
+    implied = e.join(through, ["conv_id", "on"]).where("at > at_beyond").select(*key, F.col("beyond").alias("on"))
+    e = e.join(implied.hint("shuffle_hash"), [*key, "on"], "left_anti").select(*key, "on", F.lit(1).cast("long").alias("far")).checkpoint()
     most = e.groupBy("conv_id").agg(F.count_distinct("call_id").alias("n")).agg(F.max("n")).first()[0] or 0
     known, before = F.col("on").isNull(), None
     while True:
@@ -149,8 +156,8 @@ def format_conversations(messages: DataFrame) -> DataFrame:
     """Chats as linked calls: each user turn calls `reply`, the assistant turn after it answers.
 
     messages(conv_id, turn, role, text). The call of user turn t has the identifier `t`; it waits
-    for the call of turn t - 1, if that is a user's too, or else of turn t - 2, the exchange
-    before, so that its level is its place in the talk. The assistant turn t answers the call
+    for the calls of the two turns before, as far as these are a user's, so that its level is its
+    place in the talk. The assistant turn t answers the call
     t - 1. Turns of other roles call nothing; each is a row with the status `message`, the role
     and text in its JSON, level 0 and null call_id and valid. Null text is an empty text (an empty
     prompt does not fit the schema, nor does one of over PROMPT characters). Rows whose conv_id or
@@ -161,10 +168,7 @@ def format_conversations(messages: DataFrame) -> DataFrame:
     base = messages.select("conv_id", F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), text.alias("text"))
     asks = base.where("role = 'user'")
     args = F.create_map(F.lit("prompt"), json_string(F.col("text")), F.lit("turn"), F.coalesce(F.col("turn").cast("string"), F.lit("null")))
-    follows = asks.where("conv_id is not null and turn is not null").select("conv_id", (F.col("turn") + 1).alias("turn"), F.lit(1).alias("_back")).distinct()
-    before = F.col("turn") - F.coalesce("_back", F.lit(2))
-    asks = asks.join(follows.hint("shuffle_hash"), ["conv_id", "turn"], "left")
-    calls = asks.select("conv_id", F.col("turn").cast("string").alias("call_id"), F.lit("reply").alias("name"), args.alias("args"), F.when(before >= 0, F.array(before.cast("string"))).otherwise(F.array().cast("array<string>")).alias("after"), F.col("turn").alias("place"))
+    calls = asks.select("conv_id", F.col("turn").cast("string").alias("call_id"), F.lit("reply").alias("name"), args.alias("args"), F.array(*[(F.col("turn") - n).cast("string") for n in (1, 2)]).alias("after"), F.col("turn").alias("place"))
     results = base.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).cast("string").alias("call_id"), F.col("text").alias("content"))
     other = base.where("coalesce(role, '') not in ('user', 'assistant')").groupBy("conv_id", "turn", "role", "text").agg(F.count("*").alias("copies"))
     message = canonical([("content", json_string(F.col("text"))), ("role", json_string(F.col("role")))])

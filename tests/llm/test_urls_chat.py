@@ -174,6 +174,10 @@ def test_levels_of_long_chains_and_ladders(spark):
             waits = [f"c{i - 1}"] if conv < 6 and i else [f"c{rng.randrange(n)}" for _ in range(rng.choice([0, 0, 1, 1, 2]))]
             after[conv, f"c{i}"] = waits
             rows.append((conv, f"c{i}", "f", {}, waits, i))
+    # all of a's edges lead into a cycle, through one another
+    for name, waits in (("a", ["b", "c", "d"]), ("b", ["c"]), ("c", ["d"]), ("d", ["b"])):
+        after[99, name] = waits
+        rows.append((99, name, "f", {}, waits, ord(name)))
     call = "conv_id long, call_id string, name string, args map<string,string>, after array<string>, place long"
     level = {k: 0 if not w else None for k, w in after.items()}
     while True:
