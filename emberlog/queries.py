@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import patterns, text
 from .functions.timeutil import Window
-from .operators import cluster, compare, evidence, ingest, parse, retention, retrieval, semantic
+from .operators import cluster, compare, evidence, ingest, parse, registry, retention, retrieval, semantic
 from .operators import timeline as timelines
 from .plans.verbs import Analyzer
 from .session import shared_dir
@@ -599,6 +599,121 @@ def ingest_entries(spark, sf_dir):
     return e.select("fingerprint", F.get_json_object("raw_message", "$.message").alias("raw"), "service", "level", _micros("timestamp"))
 
 
+# Jobs, keys, runs and vectors: events stand for jobs of customers' sources
+
+
+_JOB = "CASE event_type WHEN 'error' THEN 'failed' WHEN 'view' THEN 'running' WHEN 'click' THEN 'pending' WHEN 'signup' THEN 'paused' ELSE 'completed' END"
+_MODE = "CASE WHEN user_id % 2 = 0 THEN 'tail' ELSE 'batch' END"
+
+
+def _jobs(spark, sf_dir):
+    return table(spark, sf_dir, "events").selectExpr("CAST(event_id AS STRING) AS id", f"{_JOB} AS status", f"{_MODE} AS mode", f"{SCOPE} AS scope", "concat('src-', user_id % 20) AS source_id", "event_id % 100 AS parsed_count", "CAST(ts AS TIMESTAMP) AS finished_at")
+
+
+def _sources(spark, sf_dir):
+    return table(spark, sf_dir, "customer").where("c_custkey < 15").selectExpr("concat('src-', c_custkey) AS id", "c_name AS name", "c_mktsegment AS type")
+
+
+_JOBS_SQL = f"jobs AS (SELECT CAST(event_id AS VARCHAR) AS id, {_JOB} AS status, {_MODE} AS mode, {SCOPE} AS scope, concat('src-', user_id % 20) AS source_id, event_id % 100 AS parsed_count, CAST(ts AS TIMESTAMP) AS finished_at FROM events)"
+_SOURCES_SQL = "sources AS (SELECT concat('src-', c_custkey) AS id, c_name AS name, c_mktsegment AS type FROM customer WHERE c_custkey < 15)"
+
+
+@query(f"WITH {_JOBS_SQL}, {_SOURCES_SQL} SELECT j.id, name AS source_name, parsed_count, epoch_us(finished_at) AS finished_at FROM jobs j JOIN sources s ON s.id = source_id WHERE status = 'completed' AND scope = 'default' ORDER BY j.finished_at DESC, j.id LIMIT 25")
+def list_ingestions(spark, sf_dir):
+    return registry.list_jobs(_jobs(spark, sf_dir), _sources(spark, sf_dir), "default").withColumn("finished_at", F.unix_micros("finished_at"))
+
+
+@query(f"WITH {_JOBS_SQL} SELECT id, status, scope FROM jobs WHERE status = 'completed' AND scope = 'default' ORDER BY finished_at DESC, id LIMIT 1")
+def latest_completed_job(spark, sf_dir):
+    return registry.latest_job(_jobs(spark, sf_dir), "default").select("id", "status", "scope")
+
+
+@query(f"WITH {_JOBS_SQL} SELECT id, status, mode, parsed_count FROM jobs WHERE id = '20' AND scope = (SELECT scope FROM jobs WHERE id = '20')")
+def ingestion_detail(spark, sf_dir):
+    jobs = _jobs(spark, sf_dir)
+    scope = jobs.where("id = '20'").first().scope
+    return registry.job_detail(jobs, "20", scope).select("id", "status", "mode", "parsed_count")
+
+
+@query(f"WITH {_JOBS_SQL} SELECT count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (mode = 'tail' AND status = 'running') AS running, count(*) FILTER (mode = 'tail' AND status = 'paused') AS paused FROM jobs")
+def tail_counts(spark, sf_dir):
+    return registry.job_counts(_jobs(spark, sf_dir))
+
+
+@query(f"""WITH {_SOURCES_SQL} SELECT 'log_entries' AS "table", count(*) AS n FROM events UNION ALL SELECT 'sources', count(*) FROM sources UNION ALL SELECT 'jobs', count(*) FROM events""")
+def status_counts(spark, sf_dir):
+    return registry.store_counts({"log_entries": logs(spark, sf_dir), "sources": _sources(spark, sf_dir), "jobs": _jobs(spark, sf_dir)})
+
+
+@query(f"""WITH {_SOURCES_SQL}, w AS (SELECT DISTINCT c_name AS name, c_mktsegment AS type FROM customer WHERE c_custkey < 40)
+SELECT id, name, type FROM sources UNION ALL SELECT sha256(name), name, min(type) FROM w WHERE name NOT IN (SELECT name FROM sources) GROUP BY name""")
+def find_or_create_source(spark, sf_dir):
+    return registry.add_sources(_sources(spark, sf_dir), table(spark, sf_dir, "customer").where("c_custkey < 40").selectExpr("c_name AS name", "c_mktsegment AS type"))
+
+
+@query(f"WITH {LOGS} SELECT DISTINCT scope FROM logs WHERE scope <> '' ORDER BY 1")
+def purge_scopes(spark, sf_dir):
+    return registry.scopes_to_purge(logs(spark, sf_dir))
+
+
+_KEYS_SQL = """keys AS (SELECT concat('k', event_id) AS key, concat('job-', event_id) AS job_id, CAST(ts AS TIMESTAMP) AS expires_at FROM events WHERE event_id % 3 = 0),
+reqs AS (SELECT concat('k', event_id) AS key, concat('new-', min(user_id)) AS job_id FROM events WHERE event_id % 2 = 0 GROUP BY 1),
+live AS (SELECT * FROM keys WHERE expires_at > TIMESTAMP '2024-01-15')"""
+
+
+@query(f"WITH {_KEYS_SQL} SELECT r.key, coalesce(l.job_id, r.job_id) AS job_id, l.key IS NOT NULL AS replayed FROM reqs r LEFT JOIN live l ON l.key = r.key")
+def idempotency_keys(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    keys = e.where("event_id % 3 = 0").selectExpr("concat('k', event_id) AS key", "concat('job-', event_id) AS job_id", "CAST(ts AS TIMESTAMP) AS expires_at")
+    requests = e.where("event_id % 2 = 0").selectExpr("concat('k', event_id) AS key", "concat('new-', user_id) AS job_id", "CAST(ts AS TIMESTAMP) AS expires_at")
+    return registry.claim_keys(keys, requests, datetime(2024, 1, 15, tzinfo=UTC))[1]
+
+
+@query(f"""WITH {LOGS}, {_clusters_sql("k", A)} SELECT 'run-1' AS run_id, k.fingerprint, message, c AS "count", least(c, 100) > 0 AS has_members FROM k""")
+def stored_run(spark, sf_dir):
+    """Rows of a stored run: its clusters, with whether members were kept."""
+    c, members = cluster.cluster_rows(cluster.clusters(logs(spark, sf_dir), A, DAY, "default", top=None), "run-1")
+    kept = members.groupBy("run_id", "fingerprint").agg((F.count("*") > 0).alias("has_members"))
+    return c.join(kept, ["run_id", "fingerprint"]).select("run_id", "fingerprint", F.col("representative_message").alias("message"), "count", "has_members")
+
+
+@query(f"""WITH {LOGS}, x AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, CASE WHEN o_orderkey % 3 = 0 THEN concat('svc-', o_custkey % 5) END AS service_filter, CASE WHEN o_orderkey % 4 = 0 THEN 'prod' END AS environment_filter, TIMESTAMP '2024-01-01' + INTERVAL (o_orderkey % 600) HOUR + INTERVAL 17 MINUTE AS a, o_orderkey % 50 AS h FROM orders WHERE o_orderkey % 20 = 0),
+n AS (SELECT x.id, l.scope, count(*) AS n FROM x JOIN logs l ON l.timestamp BETWEEN a AND a + INTERVAL (h) HOUR AND (service_filter IS NULL OR l.service = service_filter) AND (environment_filter IS NULL OR environment_filter = 'prod') GROUP BY 1, 2)
+SELECT id, scope FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, scope) AS r FROM n) WHERE r = 1""")
+def explanation_scopes(spark, sf_dir):
+    x = table(spark, sf_dir, "orders").where("o_orderkey % 20 = 0").selectExpr("CAST(o_orderkey AS STRING) AS id", "CASE WHEN o_orderkey % 3 = 0 THEN concat('svc-', o_custkey % 5) END AS service_filter", "CASE WHEN o_orderkey % 4 = 0 THEN 'prod' END AS environment_filter", "TIMESTAMP '2024-01-01' + make_interval(0, 0, 0, 0, CAST(o_orderkey % 600 AS INT), 17) AS window_start", "CAST(o_orderkey % 50 AS INT) AS h")
+    x = x.withColumn("window_end", F.expr("window_start + make_interval(0, 0, 0, 0, h)"))
+    return registry.majority_scope_by_window(x, logs(spark, sf_dir))
+
+
+@query("""WITH n AS (SELECT CAST(label AS VARCHAR) AS scope, CAST(vec_id AS VARCHAR) AS fingerprint, vec_id FROM embeddings)
+SELECT scope, fingerprint, CASE WHEN vec_id % 2 = 0 THEN 'new' ELSE 'old' END AS template FROM n WHERE vec_id % 2 = 1 OR vec_id % 10 <> 0
+UNION ALL SELECT scope, fingerprint, 'old' FROM n WHERE vec_id % 10 = 0""")
+def cluster_vector_upsert(spark, sf_dir):
+    """Vectors of templates written over stored ones; every tenth has a blank template and stays."""
+    v = table(spark, sf_dir, "embeddings").selectExpr("CAST(label AS STRING) AS scope", "CAST(vec_id AS STRING) AS fingerprint", "vec_id", "embedding")
+    at = F.lit(NOW - DAY)
+    stored = v.select("scope", "fingerprint", F.lit("old").alias("template"), "embedding", at.alias("first_seen"), at.alias("last_seen"), F.lit(1).cast("bigint").alias("count"), at.alias("updated_at"), at.alias("created_at"))
+    fresh = v.where("vec_id % 2 = 0").select("scope", "fingerprint", F.when(F.expr("vec_id % 10 = 0"), " ").otherwise("new").alias("template"), "embedding", at.alias("first_seen"), at.alias("last_seen"), F.lit(2).cast("bigint").alias("count"), F.lit(NOW).alias("updated_at"), F.lit(NOW).alias("created_at"))
+    kept = registry.usable_vectors(fresh.where(F.trim("template") != ""), lambda t: t, 64)
+    return ingest.upsert_latest(stored, kept, ["scope", "fingerprint"]).select("scope", "fingerprint", "template")
+
+
+@query(f"""WITH {LOGS}, {_clusters_sql("k", A)} SELECT fingerprint, message, c AS "count", list_aggregate(services, 'string_agg', ',') AS services, round(change_ratio, 1) AS change_ratio, round(score, 1) AS importance_score FROM k {_RANKED} LIMIT 10""")
+def cluster_response(spark, sf_dir):
+    out = registry.cluster_rows_out(cluster.clusters(logs(spark, sf_dir), A, DAY, "default", top=10))
+    one = [F.round(c, 1).alias(c) for c in ("change_ratio", "importance_score")]
+    return out.select("fingerprint", "message", "count", F.array_join("services", ",").alias("services"), *one)
+
+
+@query(f"""WITH {LOGS}, {_ROLES_SQL}, {_TRIGGER_SQL}, p AS (SELECT first_seen FROM roles WHERE role = 0)
+SELECT message, service, epoch_us(timestamp) AS timestamp, CASE {" ".join(f"WHEN regexp_matches(message, '(?i){x}') THEN '{t}'" for x, t in patterns.TRIGGER_TYPES)} END AS type, CASE WHEN timestamp <= first_seen THEN 'precedes_primary_spike' END AS correlation FROM cand, p""")
+def trigger_response(spark, sf_dir):
+    first = evidence.roles(_capped(spark, sf_dir)).where("role = 0").first().first_seen
+    found = evidence.trigger_candidates(logs(spark, sf_dir), A, scope="default", top=None)
+    return registry.trigger_out(found, F.lit(first)).withColumn("timestamp", F.unix_micros("timestamp"))
+
+
 # Verbs
 
 
