@@ -6,10 +6,10 @@ from datetime import datetime, timedelta, timezone
 import pytest
 from pyspark.sql import functions as F
 
-from emberlog.functions import text
+from emberlog.functions import embed, text
 from emberlog.functions.timeutil import Window
-from emberlog.operators import cluster, ingest, parse, retention, retrieval, semantic
-from emberlog.plans import render
+from emberlog.operators import cluster, ingest, parse, registry, retention, retrieval, semantic
+from emberlog.plans import render, writes
 from emberlog.plans.verbs import Analyzer, Options
 from emberlog.sources import connectors, lines
 from emberlog.streaming import tail
@@ -165,3 +165,41 @@ def test_repeated_batches_insert_nothing_twice(spark, tmp_path):
     assert ingest.append_entries(entries, store, replayed=True) == {"parsed": 7, "inserted": 0, "skipped": 7}
     assert ingest.append_entries(entries, store)["inserted"] == 6  # a file that is read again: lines without time are new
     assert {r.default_service for r in lines.read_lines(spark, __file__).select("default_service").distinct().collect()} == {"test_expectations"}
+
+
+def test_files_are_read_in_one_format_each(spark, tmp_path):
+    (tmp_path / "api.log").write_text('\n{"message":"first","ts":"2026-03-12T22:01:10Z"}\nnot json\n')
+    (tmp_path / "web.log").write_text('plain first\n{"message":"an object in a text file"}\n')
+    (tmp_path / "x.jsonl").write_text("no object\n")
+    store = str(tmp_path / "store")
+    where = [str(tmp_path / n) for n in ("api.log", "web.log", "x.jsonl", "gone.log", "api.log")]
+    assert writes.ingest_files(spark, where, store) == {"parsed": 3, "inserted": 3, "skipped": 0}
+    got = {(r.service, r.parser_type, r.raw_message) for r in spark.read.parquet(store).collect()}
+    assert got == {("api", "json", '{"message":"first","ts":"2026-03-12T22:01:10Z"}'), ("web", "text", "plain first"), ("web", "text", '{"message":"an object in a text file"}')}
+    assert writes.ingest_files(spark, [str(tmp_path / "none")], store)["parsed"] == 0
+    assert writes.ingest_push(spark, '{"raw":"pushed","ts":"2026-03-12T22:01:10Z"}\nplain\n', store) == {"parsed": 2, "inserted": 2, "skipped": 0}
+
+
+def test_stored_runs_and_explanations(spark):
+    a = Analyzer(incident(spark))
+    tables = writes.store_run(a, W, "r1")
+    assert tables["cluster_runs"].first().status == "completed" and tables["clusters"].count() == 5
+    assert tables["cluster_members"].groupBy("fingerprint").count().agg(F.max("count")).first()[0] <= 100
+    none = spark.createDataFrame([], "prompt_hash string, scope string, result_json string, created_at timestamp")
+    packet, kept, hit = writes.explain_cached(a, none, W, T0)
+    again, after, second = writes.explain_cached(a, kept, W, T0)
+    assert (hit, second, again, after.count()) == (False, True, packet, 1) and packet["confidence"] == "high"
+    assert not writes.explain_cached(a, kept, W, T0, service="api")[2] and not writes.explain_cached(a, kept, W, T0, refresh=True)[2]
+    assert registry.purge_due(None, False, T0, 60) and not registry.purge_due(None, True, T0, 60) and not registry.purge_due(T0, False, T0 + timedelta(seconds=59), 60) and not registry.purge_due(None, False, T0, 0)
+    assert registry.evidence_out(["x", {"detail": "d", "kind": "k", "ref": "r"}])[1] == {"kind": "k", "detail": "d", "ref": "r", "source_ref": None}
+
+
+def test_vectors_of_entries(spark):
+    e = spark.createDataFrame([("1", "a b", "r"), ("2", " ", " "), ("3", None, "raw"), (None, "x", "x")], "id string, normalized_message string, raw_message string")
+    got = registry.log_vectors(e, embed.embed, 64, "hash")
+    assert sorted(r.log_entry_id for r in got.collect()) == ["1", "3"] and got.first().model_name == "hash"
+    assert registry.log_vectors(e, embed.embed, 1536, "hash").count() == registry.log_vectors(e, None, 64, "hash").count() == 0
+    stored = spark.createDataFrame([("s", "f", "old", [1.0], T0, T0, 1, T0, T0)], "scope string, fingerprint string, template string, embedding array<float>, first_seen timestamp, last_seen timestamp, count bigint, updated_at timestamp, created_at timestamp")
+    ranked = spark.createDataFrame([("f", "new", T0, T0, 5), ("g", " ", T0, T0, 5), ("", "x", T0, T0, 5)], "fingerprint string, representative_message string, first_seen timestamp, last_seen timestamp, count bigint")
+    rows = registry.cluster_vectors(stored, ranked, "s", embed.embed, 64, T0 + timedelta(days=1)).collect()
+    assert [(r.fingerprint, r.template, r["count"], len(r.embedding), r.created_at) for r in rows] == [("f", "new", 5, 64, T0.replace(tzinfo=None))]
