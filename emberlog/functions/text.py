@@ -22,9 +22,28 @@ def _unicode(pattern: str) -> str:
 
 
 def normalize(message: Column) -> Column:
-    """Replace the varying parts of a message by placeholders and collapse white space."""
-    out = reduce(lambda c, rule: F.regexp_replace(c, _unicode(rule[0]), rule[1]), patterns.NORMALIZATION, message)
-    return F.regexp_replace(F.regexp_replace(out, f"(?U){_SPACE}+", " "), "^ | $", "")
+    """Replace the varying parts of a message by placeholders and collapse white space.
+
+    A rule runs only where a text holds what each of its matches must hold, which is cheap to find;
+    most rules have nothing to do in most texts.
+    """
+    out = reduce(_rule, zip(patterns.NORMALIZATION, _NEEDED, strict=True), message)
+    return F.trim(F.regexp_replace(out, f"(?U){_SPACE}+", " "))
+
+
+#: What a match of each normalisation rule holds at least: a text, or a digit and what is next to
+#: it; None where to look for it would cost as much as the rule.
+_NEEDED = ["-", "eyJ", None, None, r"\p{Nd}\.\p{Nd}", ":", "@", "://", "_id=", r"\p{Nd}", r"\p{Nd}", r":\p{Nd}", r"\p{Nd}", "/", r"\p{Nd}-\p{Nd}"]
+
+
+def _rule(text: Column, rule) -> Column:
+    (pattern, replacement), needed = rule
+    replaced = lambda x: F.regexp_replace(x, _unicode(pattern), replacement)
+    if needed is None:
+        return replaced(text)
+    there = lambda x: x.rlike(needed) if "{" in needed else x.contains(needed)
+    # an argument of a function is computed once, however often the function names it
+    return F.get(F.transform(F.array(text), lambda x: F.when(there(x), replaced(x)).otherwise(x)), F.lit(0))
 
 
 def fingerprint(normalized: Column) -> Column:
