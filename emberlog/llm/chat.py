@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import itertools
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import shared_dir, stored
+
+#: What names a call.
+KEY = ["conv_id", "call_id"]
 
 
 def json_string(text: Column) -> Column:
@@ -47,12 +52,19 @@ def valid_arguments(name: Column, args: Column, schemas: dict[str, dict[str, tup
     return F.coalesce(out, F.lit(False))
 
 
+def _named() -> Column:
+    """Whether a row names its call in full."""
+    return F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
+
+
 def link_calls(calls: DataFrame, results: DataFrame, schemas: dict) -> DataFrame:
     """Calls with their results, in topological order, as canonical JSON.
 
     calls(conv_id, call_id, name, args map<string, JSON text>, after array of call_ids that it
     depends on, place: any order of conversation), results(conv_id, call_id, content).
-    Calls and results meet in a hash join on (conv_id, call_id). Rows that are alike are one row
+    Calls and results meet in a hash join on (conv_id, call_id), by which they are shuffled once;
+    identifiers that hold over 1/256 of a table are folded before they are shuffled, and of those
+    only the first call and result meet. Rows that are alike are one row
     with their number as `copies`. Of different calls or results with one identifier the smallest
     in (place, content) order stands for it; each other keeps a row with an identifier of its own
     (the old one, `~` and a hash of what it says) and the status `repeated`. Nulls among
@@ -63,30 +75,22 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict) -> DataFrame
     their schema; null for results), copies, json. Sorting by (conv_id, level, place, call_id) is
     a topological order: level is 0 for a call that waits for none, else one more than the highest
     it waits for, and null in or behind a cycle. Dependencies on calls that do not exist count as
-    met; of several rows of one identifier all dependencies count. Empty and very long texts are texts like others; an empty table gives an empty result;
-    extra columns are ignored.
+    met; of several rows of one identifier all dependencies count. Empty and very long texts are texts
+    like others; an empty table gives an empty result; extra columns are ignored.
     """
-    key = ["conv_id", "call_id"]
-    named = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
     said = F.struct("place", "name", F.sort_array(F.map_entries("args")).alias("args"))
-    asked = _folded(calls, key, said, named)
-    answered = _folded(results, key, F.col("content"), named)
-    first = asked.where("first")
+    asked, answered = calls.select(*KEY, said.alias("said")), results.select(*KEY, F.col("content").alias("said"))
     # the order follows from identifiers alone, no text goes along
-    waits = calls.where(named).select(*key, F.explode("after").alias("on")).where("on is not null").distinct()
-    known = calls.where(named).groupBy("conv_id", F.col("call_id").alias("on")).agg(F.min("place").alias("at"))
+    waits = calls.where(_named()).select(*KEY, F.explode("after").alias("on")).where("on is not null").distinct()
+    known = calls.where(_named()).groupBy("conv_id", F.col("call_id").alias("on")).agg(F.min("place").alias("at"))
     levels = _levels(waits.join(known.hint("shuffle_hash"), ["conv_id", "on"]))
-    linked = (
-        first.where(named).select(*key, "said", "copies")
-        .join(answered.where(named & F.col("first")).select(*key, F.col("said").alias("content"), F.col("copies").alias("_answers")).hint("shuffle_hash"), key, "full")
-        .withColumn("status", F.when(F.col("said").isNull(), "no_call").when(F.col("_answers").isNull(), "no_result").otherwise("linked"))
-        .withColumn("copies", F.coalesce("copies", "_answers"))
+    crowded = _crowded(asked, answered)
+    # one shuffle by identifier serves to fold copies, to find the first, to add levels and to meet
+    even = [t.where(~crowded).repartition(*KEY).groupBy(*KEY, "said").agg(F.count("*").alias("copies")) for t in (asked, answered)]
+    even = [t.withColumn("first", F.row_number().over(Window.partitionBy(*KEY).orderBy("said")) == 1) for t in even]
+    rows = _meet(*even, levels.where(~crowded).hint("shuffle_hash")).unionByName(
+        _meet(*[_folded(t.where(crowded)) for t in (asked, answered)], F.broadcast(levels.where(crowded)))
     )
-    none = F.lit(None).cast("string")
-    loose = asked.where(~named).select(*key, "said", "copies", none.alias("content"), F.lit(None).cast("long").alias("_answers"), F.lit("no_result").alias("status"))
-    again = asked.where(named & ~F.col("first")).select(*key, "said", "copies", none.alias("content"), F.lit(None).cast("long").alias("_answers"), F.lit("repeated").alias("status"))
-    unasked = answered.where(~(named & F.col("first"))).select(*key, F.lit(None).cast(asked.schema["said"].dataType).alias("said"), "copies", F.col("said").alias("content"), F.col("copies").alias("_answers"), F.when(named, "repeated").otherwise("no_call").alias("status"))
-    rows = linked.select(loose.columns).unionByName(loose).unionByName(again).unionByName(unasked).join(levels.hint("shuffle_hash"), key, "left")
     c = F.col("said")
     args = F.concat(F.lit("{"), F.array_join(F.transform(c["args"], lambda e: F.concat(json_string(e["key"]), F.lit(":"), F.coalesce(e["value"], F.lit("null")))), ","), F.lit("}"))
     body = [("arguments", args), ("name", json_string(c["name"])), ("result", json_string(F.col("content")))]
@@ -96,11 +100,40 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict) -> DataFrame
     return rows.select("conv_id", own.alias("call_id"), level.alias("level"), c["place"].alias("place"), "status", valid.alias("valid"), "copies", canonical([("id", json_string(own)), *body]).alias("json"))
 
 
-def _folded(rows: DataFrame, key: list[str], said: Column, named: Column) -> DataFrame:
-    """key, said, copies, first: rows alike counted, and whether one says the least of its key."""
-    each = rows.select(*key, said.alias("said")).groupBy(*key, "said").agg(F.count("*").alias("copies"))
-    least = each.where(named).groupBy(*key).agg(F.min(F.struct("said")).alias("_least"))
-    return each.join(least.hint("shuffle_hash"), key, "left").withColumn("first", F.coalesce(F.col("_least.said").eqNullSafe(F.col("said")), F.lit(True))).drop("_least")
+def _crowded(asked: DataFrame, answered: DataFrame, share: int = 256) -> Column:
+    """Whether a row has no full identifier, or one that holds over 1/share of the calls or of the
+    results (and over 1000 rows); of those there are under `share` in each table."""
+    hot = []
+    for t in (asked, answered):
+        most = max(t.count() / share, 1000)
+        hot += t.where(_named()).groupBy(*KEY).agg(F.count("*").alias("n")).where(F.col("n") > most).select(*KEY).collect()
+    same = [F.struct(*[F.lit(r[k]).cast(asked.schema[k].dataType).alias(k) for k in KEY]) for r in hot]
+    return ~_named() | (F.struct(*KEY).isin(same) if same else F.lit(False))
+
+
+def _folded(rows: DataFrame) -> DataFrame:
+    """Crowded rows as KEY, said, copies, first: folded by what they say before they are shuffled,
+    and by that, too; the first ones are a row for each crowded identifier."""
+    each = rows.groupBy(*KEY, "said").agg(F.count("*").alias("copies"))
+    least = each.where(_named()).groupBy(*KEY).agg(F.min(F.struct("said")).alias("_least"))
+    return each.join(F.broadcast(least), KEY, "left").withColumn("first", F.coalesce(F.col("_least.said").eqNullSafe(F.col("said")), F.lit(True))).drop("_least")
+
+
+def _meet(asked: DataFrame, answered: DataFrame, levels: DataFrame) -> DataFrame:
+    """Rows of KEY, said (the call's), copies, content, level, _waits, status: the first call of an
+    identifier with its first result, and all others alone. Both sides are KEY, said, copies, first."""
+    first = _named() & F.col("first")
+    asked = asked.join(levels, KEY, "left")
+    answered = answered.withColumnRenamed("said", "content")
+    linked = (
+        asked.where(first).select(*KEY, "said", "copies", "level", "_waits")
+        .join(answered.where(first).select(*KEY, "content", F.col("copies").alias("_answers")).hint("shuffle_hash"), KEY, "full")
+        .withColumn("status", F.when(F.col("copies").isNull(), "no_call").when(F.col("_answers").isNull(), "no_result").otherwise("linked"))
+        .withColumn("copies", F.coalesce("copies", "_answers")).drop("_answers")
+    )
+    again = asked.where(~first).withColumn("status", F.when(_named(), "repeated").otherwise("no_result"))
+    unasked = answered.where(~first).join(levels, KEY, "left").withColumn("status", F.when(_named(), "repeated").otherwise("no_call"))
+    return linked.unionByName(again.drop("first"), allowMissingColumns=True).unionByName(unasked.drop("first"), allowMissingColumns=True)
 
 
 def _levels(edges: DataFrame) -> DataFrame:
@@ -113,17 +146,16 @@ def _levels(edges: DataFrame) -> DataFrame:
     grow with the logarithm of their length. A distance over the number of calls that wait goes
     round in a cycle, and stays.
     """
-    shared_dir(edges.sparkSession)
-    key = ["conv_id", "call_id"]
-    e = edges.select(*key, "on", "at").checkpoint()
+    folder, key = shared_dir(edges.sparkSession), KEY
+    e = stored(edges.select(*key, "on", "at"), folder, "edges")
     # who waits for another through a later third waits for the third only, so that ladders are
     # chains; the last that a call waits for always stays, also in cycles
     through = e.select("conv_id", F.col("call_id").alias("on"), F.col("on").alias("beyond"), F.col("at").alias("at_beyond")).hint("shuffle_hash")
     implied = e.join(through, ["conv_id", "on"]).where("at > at_beyond").select(*key, F.col("beyond").alias("on"))
-    e = e.join(implied.hint("shuffle_hash"), [*key, "on"], "left_anti").select(*key, "on", F.lit(1).cast("long").alias("far")).checkpoint()
+    e = stored(e.join(implied.hint("shuffle_hash"), [*key, "on"], "left_anti").select(*key, "on", F.lit(1).cast("long").alias("far")), folder, "round0")
     most = e.groupBy("conv_id").agg(F.count_distinct("call_id").alias("n")).agg(F.max("n")).first()[0] or 0
     known, before = F.col("on").isNull(), None
-    while True:
+    for turn in itertools.count(1):
         now = tuple(e.agg(F.count("*"), F.sum("far"), F.count_if(known)).first())
         if now == before or not now[0] or now[0] == now[2]:
             break
@@ -142,7 +174,8 @@ def _levels(edges: DataFrame) -> DataFrame:
             .otherwise(F.array(to(F.col("on"), far)))
         )
         moved = open_.select(*key, F.inline(goes))
-        e = e.where(known).unionByName(moved.select(e.columns)).groupBy(*key, "on").agg(F.max("far").alias("far")).checkpoint()
+        e = e.where(known).unionByName(moved.select(e.columns)).groupBy(*key, "on").agg(F.max("far").alias("far"))
+        e = stored(e, folder, f"round{turn}")
     level = F.when(F.count_if(~known) == 0, F.max("far")).cast("int")
     return e.groupBy(*key).agg(level.alias("level"), F.lit(True).alias("_waits"))
 

@@ -151,6 +151,16 @@ def test_conversations_equal_a_walk(spark):
     assert chat.format_conversations(spark.createDataFrame([], MSG)).count() == 0
 
 
+def test_crowded_identifiers_equal_a_walk(spark):
+    """Identifiers that hold over 1000 rows go a way of their own, and meet as all others do."""
+    rows = [(1, 1, "user", f"t{i % 1100}", "") for i in range(1300)] + [(1, 2, "assistant", f"r{i % 3}", "") for i in range(5)]
+    rows += [(1, 3, "user", "next", ""), (2, 1, "user", "even", ""), (2, 2, "assistant", "yes", ""), (None, 1, "user", "lost", "")]
+    rows += [(3, 0, "user", "asks", "")] + [(3, 1, "assistant", f"a{i % 1050}", "") for i in range(1200)]
+    got = chat.format_conversations(spark.createDataFrame(rows, MSG)).collect()
+    mine = sorted(str((r.conv_id, r.call_id, r.level, r.place, r.status, r.valid, r.copies, json.loads(r.json))) for r in got)
+    assert mine == sorted(str((*x[:7], json.loads(json.dumps(x[7], sort_keys=True)))) for x in expected(rows))
+
+
 def test_levels(spark):
     call = "conv_id long, call_id string, name string, args map<string,string>, after array<string>, place long"
     schemas = {"f": {"n": ("integer", True), "s": ("string", False), "x": ("number", False), "b": ("boolean", False)}}
