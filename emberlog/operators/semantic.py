@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,14 +30,32 @@ def with_unit(vectors: DataFrame, column: str, name: str = "_unit") -> DataFrame
     return t.withColumn(name, F.transform(column, lambda x: x.cast("double") / F.col("_norm"))).drop("_norm")
 
 
-def merge_edges(vectors: DataFrame, threshold: float = 0.92, key: str = "fingerprint") -> DataFrame:
-    """Pairs (a, b, similarity) of a < b whose vectors have cosine >= threshold.
+def _apart(a: Column, b: Column) -> Column:
+    """Distance of two vectors; the shorter one goes on with zeros."""
+    square = F.zip_with(a, b, lambda x, y: F.pow(F.coalesce(x, F.lit(0.0)) - F.coalesce(y, F.lit(0.0)), F.lit(2)))
+    return F.sqrt(F.aggregate(square, F.lit(0.0), lambda s, x: s + x))
+
+
+def merge_edges(vectors: DataFrame, threshold: float = 0.92, key: str = "fingerprint", pivots: int = 8) -> DataFrame:
+    """Pairs (a, b, similarity) of a < b whose vectors have cosine >= threshold; all of them.
 
-    All pairs are compared, in a nested loop: the work grows with the square of their number.
+    Unit vectors of such a cosine lie at most sqrt(2 - 2 * threshold) apart, and by no more do their
+    distances to any third vector differ. `pivots` vectors of the table serve as third ones. The
+    distances to the first two, in steps of that width, are the cell of a vector; a pair stands in
+    one cell or in neighbouring ones, so vectors meet by equality of cells. The other distances
+    rule pairs out before cosines are computed. Vectors with null or NaN components link with
+    nothing, nor do those of different dimensions.
     """
-    u = with_unit(vectors, "embedding").select(F.col(key).alias("k"), "_unit")
-    left, right = u.select(F.col("k").alias("a"), F.col("_unit").alias("va")), u.select(F.col("k").alias("b"), F.col("_unit").alias("vb"))
-    return left.join(right, F.col("a") < F.col("b")).withColumn("similarity", dot(F.col("va"), F.col("vb"))).where(F.col("similarity") >= threshold).select("a", "b", "similarity")
+    reach = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-6  # more than rounding can amount to
+    u = with_unit(vectors, "embedding").select(F.col(key).alias("k"), "_unit").where(~F.exists("_unit", lambda x: F.isnull(x) | F.isnan(x)))
+    thirds = [F.array(*[F.lit(float(x)) for x in r["_unit"]]) for r in u.orderBy(F.xxhash64("_unit"), "k").limit(pivots).collect()]
+    u = u.withColumn("_far", F.array(*[_apart(F.col("_unit"), p) for p in thirds]).cast("array<double>"))
+    step = lambda i, by=0: F.floor(F.coalesce(F.get("_far", F.lit(i)), F.lit(0.0)) / reach) + by
+    left = u.select(F.col("k").alias("a"), F.col("_unit").alias("va"), F.col("_far").alias("fa"), F.explode(F.array(*[F.struct(step(0, i).alias("x"), step(1, j).alias("y")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("cell"))
+    right = u.select(F.col("k").alias("b"), F.col("_unit").alias("vb"), F.col("_far").alias("fb"), F.struct(step(0).alias("x"), step(1).alias("y")).alias("cell"))
+    near = F.forall(F.zip_with("fa", "fb", lambda x, y: F.abs(x - y) <= reach), lambda ok: ok)
+    met = left.join(right, "cell").where((F.col("a") < F.col("b")) & (F.size("va") == F.size("vb")) & near)
+    return met.withColumn("similarity", dot(F.col("va"), F.col("vb"))).where(F.col("similarity") >= threshold).select("a", "b", "similarity")
 
 
 def _sum_maps(members: DataFrame, column: str) -> DataFrame:
