@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, graphindex, langid, mixing, packing, quality, simhash, toxicity, urlfilter, vectordedup
+from . import alignment, chat, graphindex, langid, linededup, mixing, packing, quality, simhash, toxicity, urlfilter, vectorcodes, vectordedup
 
 #: The rules that op6 judges by.
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
+#: Where the public vocabularies lie, on each machine.
+TOKENIZERS = "/opt/tokenizers"
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -57,6 +60,19 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge(_table(spark, sf_dir, "documents"), labels)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.compress(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(_table(spark, sf_dir, "documents"))
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabularies = [f"{TOKENIZERS}/{name}" for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    return alignment.align_documents(_table(spark, sf_dir, "documents"), *vocabularies)
+
+
 QUERIES = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_graph_nearest_neighbours": op2_graph_nearest_neighbours,
@@ -68,11 +84,42 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_toxicity": op10_toxicity,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_line_dedup": op12_line_dedup,
+    "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
 
 _RULES = """(VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')) r(h, p, v)"""
 
+
+
+def _codes_sql(rounds: int = 4) -> str:
+    """op11 in SQL: the rounds one after the other, each as tables of codes (a) and of entries (c)."""
+    near = """a{r} AS MATERIALIZED (SELECT n, p, min({{'d': d, 'i': i}}) AS m FROM (
+  SELECT w.n, w.p, c.i, list_sum(list_transform(range(1, 17), lambda j: (w.w[j] - c.w[j]) * (w.w[j] - c.w[j])))::BIGINT AS d FROM w JOIN c{r} c ON w.p = c.p) GROUP BY n, p)"""
+    move = """s{r} AS (SELECT p, i, j, CAST(floor(sum(x) / count(*)) AS BIGINT) AS x FROM (SELECT a.p, a.m.i AS i, unnest(range(1, 17)) AS j, unnest(w.w) AS x FROM a{r} a JOIN w ON a.n = w.n AND a.p = w.p) GROUP BY p, i, j),
+c{next} AS MATERIALIZED (SELECT c.p, c.i, coalesce(l.w, c.w) AS w FROM c{r} c LEFT JOIN (SELECT p, i, list(x ORDER BY j) AS w FROM s{r} GROUP BY p, i) l ON c.p = l.p AND c.i = l.i)"""
+    steps = [x.format(r=r, next=r + 1) for r in range(rounds) for x in (near, move)] + [near.format(r=rounds)]
+    return f"""WITH k AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v, row_number() OVER (ORDER BY vec_id) AS n
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+w AS MATERIALIZED (SELECT n, p, v[p * 16 + 1 : p * 16 + 16] AS w FROM k, range(4) t(p)),
+c0 AS MATERIALIZED (SELECT p, n - 1 AS i, w FROM w WHERE n <= 256),
+{", ".join(steps)},
+e AS (SELECT n, string_agg(lower(lpad(hex(m.i), 2, '0')), '' ORDER BY p) AS code, sum(m.d)::BIGINT AS error FROM a{rounds} GROUP BY n),
+h AS (SELECT sha256(string_agg(array_to_string(w, ','), ',' ORDER BY p, i)) AS codebooks_sha256 FROM c{rounds})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256, label FROM k JOIN e USING (n), h"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_vector_codes": _codes_sql(),
+    "op12_line_dedup": """
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+k AS (SELECT doc_id, lines, list_transform(lines, lambda x: translate(trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS keys FROM d),
+l AS (SELECT DISTINCT doc_id, unnest(keys) AS key FROM k),
+r AS (SELECT key, min(doc_id) AS first FROM l WHERE length(key) >= 10 GROUP BY key HAVING count(*) > 1),
+g AS (SELECT l.doc_id, list(l.key) AS gone FROM l JOIN r USING (key) WHERE l.doc_id > first GROUP BY 1),
+f AS (SELECT k.doc_id, lines, CASE WHEN gone IS NULL THEN lines ELSE list_transform(list_filter(range(1, len(lines) + 1), lambda i: NOT list_contains(gone, keys[i])), lambda i: lines[i]) END AS stay FROM k LEFT JOIN g USING (doc_id))
+SELECT doc_id, len(lines)::BIGINT AS n_lines, (len(lines) - len(stay))::BIGINT AS n_dropped, sha256(array_to_string(stay, chr(10))) AS kept_sha256 FROM f""",
     "op6_url_filter": f"""
 WITH u AS (
   SELECT page_id, coalesce(url, '') AS url, strpos(coalesce(url, ''), '://') AS cut,
