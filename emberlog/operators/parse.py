@@ -49,14 +49,114 @@ def timestamp_field(value: Column) -> Column:
     return F.when(number.isNotNull(), _epoch(number, True)).otherwise(F.coalesce(iso, *forms, timestamp_in(value)))
 
 
-def json_object(text: Column, values: str = "string") -> Column:
-    """The members of a text that is one JSON object and nothing else; null for any other text.
+_STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 
-    The text is read as the only element of an array, so that nothing may stand behind the object.
+
+def _shielded(c: Column) -> Column:
+    """JSON text in which a quote only begins or ends a string: what is escaped stands as a control character,
+    of which valid JSON has none."""
+    return F.replace(F.replace(c, F.lit("\\\\"), F.lit("\x01")), F.lit('\\"'), F.lit("\x02"))
+
+
+def _bare(c: Column) -> Column:
+    return F.replace(F.replace(c, F.lit("\x02"), F.lit('\\"')), F.lit("\x01"), F.lit("\\\\"))
+
+
+def _close(c: Column) -> Column:
+    """Shielded JSON without white space between its tokens."""
+    return F.regexp_replace(_shielded(c), r'("[^"]*+")|[ \t\r\n]+', "$1")
+
+
+def compact_json(c: Column) -> Column:
+    """Valid JSON without white space between its tokens; numbers stay as written, strings read the same."""
+    return _bare(_close(c))
+
+
+def json_members(c: Column) -> Column:
+    """The members of a valid JSON object as texts `"key":value`, in order, equal keys included."""
+    tokens = F.regexp_extract_all(_close(c), F.lit(r'"[^"]*+"|[{}\[\],]|[^"{}\[\],]+'), F.lit(0))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(0).alias("begin"), F.array().cast("array<struct<begin:int,n:int>>").alias("found"))
+
+    def step(s: Column, t: Column) -> Column:
+        at = s["at"] + 1
+        end = (s["depth"] == 1) & t.isin(",", "}")
+        n = at - s["begin"]
+        return F.struct(
+            (s["depth"] + F.when(t.isin("{", "["), 1).when(t.isin("}", "]"), -1).otherwise(0)).alias("depth"),
+            at.alias("at"),
+            F.when(end | (s["depth"] == 0), at + 1).otherwise(s["begin"]).alias("begin"),
+            F.when(end & (n > 0), F.array_append(s["found"], F.struct(s["begin"].alias("begin"), n.alias("n")))).otherwise(s["found"]).alias("found"),
+        )
+
+    parts = F.aggregate(tokens, start, step, lambda s: s["found"])
+    return F.transform(parts, lambda p: _bare(F.array_join(F.slice(tokens, p["begin"], p["n"]), "")))
+
+
+def _last_members(c: Column) -> Column:
+    """The members of json_members, of equal keys the last, in the place of the first."""
+    named = F.transform(json_members(c), lambda m: F.struct(F.get(F.json_object_keys(F.concat(F.lit("{"), m, F.lit("}"))), F.lit(0)).alias("key"), m.alias("member")))
+    names = F.array_distinct(F.transform(named, lambda m: m["key"]))
+    return F.transform(names, lambda n: F.element_at(F.filter(named, lambda m: m["key"] == n), -1))
+
+
+def last_members(c: Column) -> Column:
+    return F.transform(_last_members(c), lambda m: m["member"])
+
+
+def readable_strings(c: Column) -> Column:
+    """JSON whose strings have no escapes but those they need."""
+    tokens = F.regexp_extract_all(_shielded(c), F.lit(r'"[^"]*+"|[^"]+'), F.lit(0))
+
+    def read(t: Column) -> Column:
+        written = F.to_json(F.from_json(F.concat(F.lit("["), _bare(t), F.lit("]")), "array<string>"))
+        return F.when(t.rlike(r'^".*\\[u/]'), F.substr(written, F.lit(2), F.length(written) - 2)).otherwise(_bare(t))
+
+    return F.array_join(F.transform(tokens, read), "")
+
+
+def _one_map(member: Column) -> Column:
+    return F.from_json(F.concat(F.lit("{"), member, F.lit("}")), "map<string,string>", _STRICT)
+
+
+def is_json_object(text: Column) -> Column:
+    """Whether a text is one JSON object and nothing else.
+
+    It is read as the only element of an array and as the only member of an object: text behind it
+    that would close the one doesn't close the other.
+    """
+    alone = F.json_object_keys(F.concat(F.lit('{"x":'), text, F.lit("}"))).isNotNull()
+    first = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<struct<x:string>>", _STRICT)
+    return F.coalesce(F.json_object_keys(text).isNotNull() & alone & (F.size(first) == 1), F.lit(False))
+
+
+def repeats_keys(text: Column) -> Column:
+    keys = F.json_object_keys(text)
+    return F.size(keys) > F.size(F.array_distinct(keys))
+
+
+def json_object(text: Column) -> Column:
+    """The members of a text that is one JSON object and nothing else, as map<string,string>; null for any other text.
+
+    Of equal keys the last one counts. Values that are no strings are the text of the value.
     """
-    strict = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
-    found = F.from_json(F.concat(F.lit("["), text, F.lit("]")), f"array<map<string,{values}>>", strict)
-    return F.when(F.size(found) == 1, F.get(found, F.lit(0)))
+    alone = F.json_object_keys(F.concat(F.lit('{"x":'), text, F.lit("}"))).isNotNull()
+    plain = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<map<string,string>>", _STRICT)
+    last = _last_members(text)
+    kept = F.map_from_arrays(F.transform(last, lambda m: m["key"]), F.transform(last, lambda m: F.element_at(_one_map(m["member"]), m["key"])))
+    rare = F.when(is_json_object(text), kept)
+    return F.when(alone, F.when(repeats_keys(text), rare).otherwise(F.when(F.size(plain) == 1, F.get(plain, F.lit(0)))))
+
+
+def solid(found: Column, text: Column) -> Column:
+    """A map of json_object without the members that count as missing: JSON's null, false, zero, and what is empty.
+
+    The strings "0" and "false" are values; only where a value looks like one of these is the text asked.
+    """
+    empty = r':(null|false|-?0(\.0+)?([eE][+-]?\d+)?|""|\[\]|\{\})$'
+    looks = F.exists(F.map_values(found), lambda v: v.rlike(r"^(false|-?0(\.0+)?([eE][+-]?\d+)?|\[\]|\{\})$"))
+    gone = F.transform(F.filter(_last_members(text), lambda m: m["member"].rlike(empty)), lambda m: m["key"])
+    asked = F.map_filter(found, lambda k, v: v.isNotNull() & (v != "") & ~F.array_contains(gone, k))
+    return F.when(looks, asked).otherwise(F.map_filter(found, lambda _, v: v.isNotNull() & (v != "")))
 
 
 def once(rows: DataFrame, name: str, value: Column) -> DataFrame:
@@ -76,11 +176,6 @@ def _place(names: list[str], keys: Column, low: Column) -> Column:
     return F.coalesce(*found)
 
 
-def _filled(c: Column) -> Column:
-    """Null for what counts as missing: null, empty, false and zero."""
-    return F.when(~c.isin("", "false", "0"), c)
-
-
 def with_parsed_json(lines: DataFrame, column: str = "text", default_service: str = "default_service", into: str = "parsed") -> DataFrame:
     """Add a struct of all parsed fields; null for a blank line, parse_error set where there is no object.
 
@@ -90,32 +185,36 @@ def with_parsed_json(lines: DataFrame, column: str = "text", default_service: st
     t = lines.withColumn("_raw", strip(F.col(column)))
     m = F.col("_m")
     t = once(t, "_m", json_object(F.col("_raw")))
+    t = once(t, "_solid", solid(m, F.col("_raw")))
     keys = F.map_keys(m)
-    t = once(t, "_k", F.struct(keys.alias("keys"), F.transform(keys, lambda k: F.lower(k)).alias("low"), F.map_values(m).alias("values")))
+    t = once(t, "_k", F.struct(keys.alias("keys"), F.transform(keys, lambda k: F.lower(k)).alias("low")))
     k = F.col("_k")
-    alias = [F.get(k["values"], (_place(names, k["keys"], k["low"]) - 1).cast("int")).alias(field) for field, names in patterns.ALIASES.items()]
-    t = once(t, "_f", F.struct(*alias, F.from_json(m["kubernetes"], "map<string,string>").alias("k8s")))
-    f, k8s = F.col("_f"), F.col("_f")["k8s"]
-    t = once(t, "_l", F.from_json(F.coalesce(_filled(k8s["labels"]), k8s["pod_labels"]), "map<string,string>"))
+    # a field is the first alias that is there, be it missing by its value
+    named = lambda names: F.get(k["keys"], (_place(names, k["keys"], k["low"]) - 1).cast("int"))
+    alias = [F.element_at(m if field in ("timestamp", "message") else F.col("_solid"), named(names)).alias(field) for field, names in patterns.ALIASES.items()]
+    t = once(t, "_f", F.struct(*alias, json_object(m["kubernetes"]).alias("k8s")))
+    f = F.col("_f")
+    t = once(t, "_k8s", solid(f["k8s"], m["kubernetes"]))
+    k8s, labelled = F.col("_k8s"), F.coalesce(F.col("_k8s")["labels"], F.col("_f")["k8s"]["pod_labels"])
+    t = once(t, "_l", solid(json_object(labelled), labelled))
     labels = F.col("_l")
-    first = lambda *cs: F.coalesce(*[_filled(c) for c in cs])
     known = F.array(*[F.lit(n) for names in patterns.ALIASES.values() for n in names])
-    ok, level = m.isNotNull(), _filled(f["level"])
+    ok, level = m.isNotNull(), f["level"]
     row = F.struct(
         F.col("_raw").alias("raw_line"),
         F.when(ok, timestamp_field(f["timestamp"])).alias("timestamp"),
         F.when(ok & level.isNotNull(), text.canonical_level(level)).alias("level"),
-        F.when(ok, first(f["service"], labels["app"], labels["app.kubernetes.io/name"], labels["k8s-app"], k8s["container_name"], k8s["container"], F.col(default_service))).alias("service"),
-        F.when(ok, first(f["environment"], k8s["namespace_name"], k8s["pod_namespace"], k8s["namespace"])).alias("environment"),
-        F.when(ok, _filled(f["trace_id"])).alias("trace_id"),
-        F.when(ok, _filled(f["request_id"])).alias("request_id"),
-        F.when(ok, first(f["host"], k8s["pod_name"], k8s["pod"], k8s["host"])).alias("host"),
+        F.when(ok, F.coalesce(f["service"], labels["app"], labels["app.kubernetes.io/name"], labels["k8s-app"], k8s["container_name"], k8s["container"], F.nullif(F.col(default_service), F.lit("")))).alias("service"),
+        F.when(ok, F.coalesce(f["environment"], k8s["namespace_name"], k8s["pod_namespace"], k8s["namespace"])).alias("environment"),
+        F.when(ok, f["trace_id"]).alias("trace_id"),
+        F.when(ok, f["request_id"]).alias("request_id"),
+        F.when(ok, F.coalesce(f["host"], k8s["pod_name"], k8s["pod"], k8s["host"])).alias("host"),
         F.when(ok, F.coalesce(f["message"], F.col("_raw"))).alias("message"),
         F.when(ok, F.map_filter(m, lambda k, _: ~F.array_contains(known, k))).alias("extra"),
         F.lit("json").alias("parser_type"),
         F.when(~ok, F.lit("not a JSON object")).alias("parse_error"),
     )
-    return once(t, into, F.when(F.col("_raw") != "", row)).drop("_raw", "_m", "_k", "_f", "_l")
+    return once(t, into, F.when(F.col("_raw") != "", row)).drop("_raw", "_m", "_solid", "_k", "_f", "_k8s", "_l")
 
 
 def with_parsed_text(lines: DataFrame, column: str = "text", default_service: str = "default_service") -> DataFrame:

@@ -546,17 +546,19 @@ def _raw(spark, sf_dir, line: str) -> DataFrame:
 
 _ISO_SPARK = "date_format(date_trunc('second', CAST(ts AS TIMESTAMP)), \"yyyy-MM-dd'T'HH:mm:ss'Z'\")"
 _JSON_LINE = f"""CASE event_id % 4 WHEN 0 THEN to_json(named_struct('ts', {_ISO_SPARK}, 'severity', upper(event_type), 'app', concat('svc-', user_id % 5), 'msg', {MESSAGE}, 'k', props))
-WHEN 1 THEN to_json(named_struct('time', unix_seconds(CAST(ts AS TIMESTAMP)) * 1000, 'LEVEL', 'WARNING', 'kubernetes', named_struct('container_name', 'web', 'namespace_name', 'prod', 'pod_name', 'p1'), 'log', event_type)) WHEN 2 THEN CASE event_id % 3 WHEN 0 THEN '{{broken' WHEN 1 THEN concat('{{"msg":"', event_type, '"}} tail}}') ELSE replace('{{~msg~:~single~}}', '~', chr(39)) END ELSE '  ' END"""
+WHEN 1 THEN to_json(named_struct('time', unix_seconds(CAST(ts AS TIMESTAMP)) * 1000, 'LEVEL', 'WARNING', 'kubernetes', named_struct('container_name', 'web', 'namespace_name', 'prod', 'pod_name', 'p1'), 'log', event_type)) WHEN 2 THEN CASE event_id % 5 WHEN 0 THEN '{{broken' WHEN 1 THEN concat('{{"msg":"', event_type, '"}} tail}}') WHEN 2 THEN replace('{{~msg~:~single~}}', '~', chr(39)) WHEN 3 THEN concat('{{"msg":"', event_type, '"}}] {{y}}')
+ELSE concat('{{"a":1,"msg":"old","a":2,"level":"warning","service":"0","msg":"', event_type, '"}}') END ELSE '  ' END"""
 
 
 @query("""SELECT event_id AS ordinal, CASE event_id % 4 WHEN 0 THEN epoch_us(date_trunc('second', CAST(ts AS TIMESTAMP))) WHEN 1 THEN epoch_us(date_trunc('second', CAST(ts AS TIMESTAMP))) END AS timestamp,
-CASE event_id % 4 WHEN 0 THEN CASE WHEN event_type = 'error' THEN 'error' ELSE event_type END WHEN 1 THEN 'warn' END AS level, CASE event_id % 4 WHEN 0 THEN concat('svc-', user_id % 5) WHEN 1 THEN 'web' END AS service,
-CASE event_id % 4 WHEN 1 THEN 'prod' END AS environment, CASE event_id % 4 WHEN 1 THEN 'p1' END AS host, CASE event_id % 4 WHEN 0 THEN """ + MESSAGE + """ WHEN 1 THEN event_type END AS message,
-CASE event_id % 4 WHEN 0 THEN props END AS extra_k, event_id % 4 = 2 AS failed FROM events WHERE event_id % 4 <> 3""")
+CASE event_id % 4 WHEN 0 THEN CASE WHEN event_type = 'error' THEN 'error' ELSE event_type END WHEN 1 THEN 'warn' WHEN 2 THEN CASE WHEN event_id % 5 = 4 THEN 'warn' END END AS level,
+CASE event_id % 4 WHEN 0 THEN concat('svc-', user_id % 5) WHEN 1 THEN 'web' WHEN 2 THEN CASE WHEN event_id % 5 = 4 THEN '0' END END AS service,
+CASE event_id % 4 WHEN 1 THEN 'prod' END AS environment, CASE event_id % 4 WHEN 1 THEN 'p1' END AS host, CASE event_id % 4 WHEN 0 THEN """ + MESSAGE + """ WHEN 1 THEN event_type WHEN 2 THEN CASE WHEN event_id % 5 = 4 THEN event_type END END AS message,
+CASE event_id % 4 WHEN 0 THEN props WHEN 2 THEN CASE WHEN event_id % 5 = 4 THEN '2' END END AS extra_k, event_id % 4 = 2 AND event_id % 5 <> 4 AS failed FROM events WHERE event_id % 4 <> 3""")
 def parse_json_lines(spark, sf_dir):
     p = F.col("parsed")
     t = parse.with_parsed_json(_raw(spark, sf_dir, _JSON_LINE)).where(p.isNotNull())
-    return t.select("ordinal", F.unix_micros(p["timestamp"]).alias("timestamp"), p["level"].alias("level"), p["service"].alias("service"), p["environment"].alias("environment"), p["host"].alias("host"), p["message"].alias("message"), p["extra"]["k"].alias("extra_k"), p["parse_error"].isNotNull().alias("failed"))
+    return t.select("ordinal", F.unix_micros(p["timestamp"]).alias("timestamp"), p["level"].alias("level"), p["service"].alias("service"), p["environment"].alias("environment"), p["host"].alias("host"), p["message"].alias("message"), F.coalesce(p["extra"]["k"], p["extra"]["a"]).alias("extra_k"), p["parse_error"].isNotNull().alias("failed"))
 
 
 _TEXT_LINE = f"""CASE event_id % 6 WHEN 0 THEN concat({_ISO_SPARK}, ' ERROR svc-', user_id % 5, ' failed ', event_type) WHEN 1 THEN concat({_ISO_SPARK}, ' stdout F WARN billing slow ', event_type)
@@ -583,11 +585,14 @@ def cri_reassembly(spark, sf_dir):
     return sources.reassemble_cri(_raw(spark, sf_dir, _CRI)).select("source_ref", "ordinal", "text")
 
 
-@query("""SELECT event_id AS ordinal, CASE event_id % 7 WHEN 0 THEN 'plain ' || event_type WHEN 1 THEN event_type || ' "quoted"' WHEN 2 THEN '{"raw":"' || event_type || '","k":' || user_id || ',"n":{"a":[1,true,null]},"message":"' || event_type || '"}'
-WHEN 3 THEN '{"message":"' || event_type || '","k":1}' WHEN 4 THEN '{"message":null,"raw":"' || event_type || '"}' WHEN 5 THEN '{"text":null,"msg":7,"message":7}' ELSE replace('{~msg~:~' || event_type || '~}', '~', chr(39)) END AS text FROM events""")
+@query("""SELECT event_id AS ordinal, CASE event_id % 10 WHEN 0 THEN 'plain ' || event_type WHEN 1 THEN event_type || ' "quoted"' WHEN 2 THEN '{"raw":"' || event_type || '","k":' || user_id || ',"n":{"a":[1,true,null]},"message":"' || event_type || '"}'
+WHEN 3 THEN '{"message":"' || event_type || '","k":1}' WHEN 4 THEN '{"message":null,"raw":"' || event_type || '"}' WHEN 5 THEN '{"text":null,"msg":7,"message":7}'
+WHEN 6 THEN '{"k":2,"msg":"' || event_type || '","message":"' || event_type || '"}' WHEN 7 THEN '{"message":"' || event_type || '"}] t' WHEN 8 THEN '{"z":1.0,"n":' || event_id || '12345678901234567890123,"a":{"z":2.50,"a":[1]},"raw":{"t":"a \\"b\\""},"message":{"t":"a \\"b\\""}}'
+ELSE replace('{~msg~:~' || event_type || '~}', '~', chr(39)) END AS text FROM events""")
 def push_ndjson(spark, sf_dir):
-    line = """CASE event_id % 7 WHEN 0 THEN concat(' plain ', event_type, ' ') WHEN 1 THEN concat('"', event_type, ' \\\\"quoted\\\\""') WHEN 2 THEN concat('{"raw": "', event_type, '", "k": ', user_id, ', "n": {"a": [1, true, null]}}')
-WHEN 3 THEN concat('{"message": "', event_type, '", "k": 1}') WHEN 4 THEN concat('{"message":null,"raw":"', event_type, '"}') WHEN 5 THEN '{"text":null,"msg":7}' ELSE replace(concat('{~msg~:~', event_type, '~}'), '~', chr(39)) END"""
+    line = """CASE event_id % 10 WHEN 0 THEN concat(' plain ', event_type, ' ') WHEN 1 THEN concat('"', event_type, ' \\\\"quoted\\\\""') WHEN 2 THEN concat('{"raw": "', event_type, '", "k": ', user_id, ', "n": {"a": [1, true, null]}}')
+WHEN 3 THEN concat('{"message": "', event_type, '", "k": 1}') WHEN 4 THEN concat('{"message":null,"raw":"', event_type, '"}') WHEN 5 THEN '{"text":null,"msg":7}'
+WHEN 6 THEN concat('{"k":1,"msg":"', event_type, '","k":2}') WHEN 7 THEN concat('{"message":"', event_type, '"}] t') WHEN 8 THEN concat('{"z": 1.0, "n":', event_id, '12345678901234567890123, "a":{"z":2.50,"a":[1]},"raw":{"t":"a \\\\"b\\\\""}}') ELSE replace(concat('{~msg~:~', event_type, '~}'), '~', chr(39)) END"""
     return sources.parse_push(_raw(spark, sf_dir, line)).select("ordinal", "text")
 
 

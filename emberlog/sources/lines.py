@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns
-from ..operators.parse import json_object, once, strip
+from ..operators.parse import compact_json, is_json_object, json_members, json_object, last_members, once, readable_strings, repeats_keys, strip
 
 #: Two layouts of kubelet paths: /pods/<ns>_<pod>_<uid>/<container>/ and containers/<pod>_<ns>_<container>-<id>.log
 _POD_DIR = r"/?([^/_]+)_([^/_]+)_([0-9a-fA-F-]+)/([^/]+)/[^/]+$"
@@ -123,18 +123,24 @@ def read_k8s_export(spark: SparkSession, paths: list[str] | str, recursive: bool
 
 def parse_push(lines: DataFrame) -> DataFrame:
     """Pushed NDJSON to raw lines: blank ones go, JSON strings become their text, objects are written
-    anew without spaces; one that lacks a message gets the value of raw, text or msg, whichever is
-    the first that is not null. All else stays as it is. The members keep their kinds and order
-    (those of nested objects are sorted)."""
-    s = strip(F.col("text"))
-    t = once(lines.where(s != ""), "_s", s)
-    t = once(t, "_m", F.when(F.col("_s").startswith("{"), json_object(F.col("_s"), "variant")))
-    m = F.col("_m")
-    string = json_object(F.concat(F.lit('{"x":'), F.col("_s"), F.lit("}")))["x"]
-    value = F.coalesce(*[F.when(~F.is_variant_null(m[k]), m[k]) for k in ("raw", "text", "msg")])
-    lacks = ~F.map_contains_key(m, F.lit("message")) & value.isNotNull()
-    entire = F.when(lacks, F.map_concat(m, F.create_map(F.lit("message"), value))).otherwise(m)
-    text = F.when(m.isNotNull(), F.to_json(entire)).when(F.col("_s").startswith('"') & string.isNotNull(), string).otherwise(F.col("_s"))
+    without spaces; one that lacks a message gets the value of raw, text or msg, whichever is the
+    first that is not null. All else stays as it is. Members keep their order, of equal keys the
+    last one stands in the place of the first; numbers stay as they are written."""
+    t = once(lines.withColumn("_s", strip(F.col("text"))).where("_s <> ''"), "_object", F.col("_s").startswith("{") & is_json_object(F.col("_s")))
+    s, keys = F.col("_s"), F.json_object_keys("_s")
+    t = once(t, "_whole", F.when(F.col("_object"), F.when(repeats_keys(s), F.concat(F.lit("{"), F.array_join(last_members(s), ","), F.lit("}"))).otherwise(compact_json(s))))
+    whole = F.col("_whole")
+    # escapes that need not be are read: the text as it is
+    escaped = whole.rlike(r"\\[u/]")
+    t = once(t, "_whole", F.when(escaped, readable_strings(whole)).otherwise(whole))
+    members = json_members(whole)
+    named = lambda k: F.try_element_at(F.filter(members, lambda m: F.startswith(m, F.lit(f'"{k}":')) & (m != f'"{k}":null')), F.lit(-1))
+    value = F.coalesce(*[F.substr(named(k), F.lit(len(k) + 4)) for k in ("raw", "text", "msg")])
+    lacks = F.col("_object") & ~F.array_contains(keys, "message") & F.arrays_overlap(keys, F.array(F.lit("raw"), F.lit("text"), F.lit("msg")))
+    t = once(t, "_value", F.when(lacks, value))
+    entire = F.when(F.col("_value").isNull(), whole).otherwise(F.concat(F.substr(whole, F.lit(1), F.length(whole) - 1), F.lit(',"message":'), F.col("_value"), F.lit("}")))
+    string = F.when(s.startswith('"'), json_object(F.concat(F.lit('{"x":'), s, F.lit("}")))["x"])
+    text = F.when(F.col("_object"), entire).otherwise(F.coalesce(string, s))
     return t.withColumn("text", text).select(lines.columns)
 
 
