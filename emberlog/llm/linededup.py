@@ -197,6 +197,7 @@ def repeated_lines(documents: DataFrame, shortest: int = SHORTEST, bits: int | N
     held = suspects(filters(found, folder, bits), bits, shortest)(text)
     rows = stored(documents.select(F.col("doc_id").alias("id"), held.alias("held")).select("id", F.explode("held").alias("digest")), folder, "suspects")
     several = rows.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last").select("digest", "first")
+    several = stored(several, folder, "several")  # both sides of the join below are plain shuffles, which are split where a digest is hot
     lost = rows.join(several, "digest").where("id <> first").groupBy("id").agg(F.collect_set("digest").alias("lost"))
     return stored(lost, folder, "lost"), held
 
