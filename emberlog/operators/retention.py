@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.timeutil import UNITS, parse_duration
+from ..sources.store import Rewrite, Store, Version
+from .registry import purge_due
 
 _LENGTH = r"^(\d+(?:\.\d+)?)([a-zA-Z]+)$"
 #: Words that switch a tier off.
@@ -104,12 +106,81 @@ def purge(tables: dict[str, DataFrame], policy: DataFrame) -> dict[str, DataFram
             gone[name] = expired(tables[name], policy, age(), tier)
             t = tables[name].join(policy.select("scope", F.col(f"{tier}_cutoff").alias("_cut")), "scope", "left")
             kept[name] = t.where(F.coalesce(age() >= F.col("_cut"), F.lit(True))).select(tables[name].columns)
-    for child, parent, foreign in (("log_embeddings", "log_entries", "log_entry_id"), ("cluster_members", "log_entries", "log_entry_id"), ("clusters", "cluster_runs", "run_id")):
+    for child, parent, foreign in CHILDREN:
         if child in tables and parent in gone:
             kept[child] = tables[child].join(gone[parent].select(F.col("id").alias(foreign)), foreign, "left_anti").select(tables[child].columns)
     return kept
 
 
+#: Rows that fall with a parent: table, parent, and the column that names it.
+CHILDREN = (("log_embeddings", "log_entries", "log_entry_id"), ("cluster_members", "log_entries", "log_entry_id"), ("clusters", "cluster_runs", "run_id"))
+
+
+def purge_store(store: Store, overrides: DataFrame, raw: str | None, summary: str | None, now: datetime) -> dict[tuple[str, str], int]:
+    """Take what has expired out of a store, with what falls with it, in one version: {(scope, table): rows}.
+
+    Pieces all of whose rows are old go without being read, younger ones stay as they are, and only
+    those of mixed age are written anew. The time is kept with the version (`last_purge_at`). Tables
+    are partitioned by scope, children too; a reader sees all of it or nothing.
+    """
+    spark = store.spark
+
+    def change(v: Version) -> dict[str, Rewrite] | None:
+        scopes = sorted({p["at"]["scope"] for name in AGES for p in v.pieces(name) if p["at"]["scope"] is not None})
+        policy = policies(spark.createDataFrame([(s,) for s in scopes], "scope string"), overrides, raw, summary, now)
+        limits = {r.scope: r for r in policy.select("scope", *[F.unix_micros(f"{t}_cutoff").alias(t) for t in ("raw", "summary")]).collect()}
+        out: dict[str, Rewrite] = {}
+        ids: dict[str, tuple[DataFrame, set]] = {}
+        for name, (tier, age) in AGES.items():
+            old, mixed = [], []
+            for p in v.pieces(name):
+                cut = limits[p["at"]["scope"]][tier] if p["at"]["scope"] in limits else None
+                if cut is not None and p["low"] is not None and p["low"] < cut:
+                    (old if p["high"] is not None and p["high"] < cut else mixed).append(p)
+            if not old and not mixed:
+                continue
+            t = store.read(name, v, mixed)
+            late = t.join(F.broadcast(policy.select("scope", F.col(f"{tier}_cutoff").alias("_cut"))), "scope", "left").withColumn("_gone", F.coalesce(age() < F.col("_cut"), F.lit(False)))
+            out[name] = Rewrite(old + mixed, late.where("not _gone").select(t.columns) if mixed else None, age())
+            if "id" in t.columns:
+                ids[name] = store.read(name, v, old).select("id").unionByName(late.where("_gone").select("id")), {p["at"]["scope"] for p in old + mixed}
+        for child, parent, foreign in CHILDREN:
+            if parent in ids:
+                gone, of = ids[parent]
+                pieces = [p for p in v.pieces(child) if p["at"]["scope"] in of]
+                if pieces:
+                    t = store.read(child, v, pieces)
+                    out[child] = Rewrite(pieces, t.join(gone.select(F.col("id").alias(foreign)), foreign, "left_anti").select(t.columns))
+        return out or None
+
+    def stamp(v: Version) -> None:
+        v.notes.setdefault("settings", {})["last_purge_at"] = now.isoformat()
+
+    counts: dict[tuple[str, str], int] = {}
+    done = store.rewrite(change, stamp)
+    if not done:
+        store.put("settings", {"last_purge_at": now.isoformat()})
+    for name, sides in done.items():
+        for sign, pieces in zip((1, -1), sides, strict=True):
+            for p in pieces:
+                k = p["at"]["scope"], name
+                counts[k] = counts.get(k, 0) + sign * p["rows"]
+    return {k: n for k, n in counts.items() if n}
+
+
+def purge_if_due(store: Store, overrides: DataFrame, raw: str | None, summary: str | None, now: datetime, seconds: int) -> dict[tuple[str, str], int] | None:
+    """Purge if the last one is `seconds` ago, by the stamp that the store keeps; None if it isn't.
+
+    Files that no version has named for a day go with it.
+    """
+    last = store.version().note("settings", "last_purge_at")
+    if not purge_due(datetime.fromisoformat(last) if last else None, False, now, seconds):
+        return None
+    found = purge_store(store, overrides, raw, summary, now)
+    store.vacuum(now - timedelta(days=1))
+    return found
+
+
 def scopes_of(tables: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.union, [t.select("scope") for t in tables]).distinct()
 

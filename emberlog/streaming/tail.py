@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
+import json
+import logging
+import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
-from ..operators.ingest import append_entries, to_entries
+from ..functions import patterns
+from ..functions.timeutil import parse_duration
+from ..operators.ingest import KEY, append_entries, to_entries
 from ..schema import DEFAULT_SCOPE
+from ..sources.store import Store, Version
 
 
 def with_line_fields(lines: DataFrame) -> DataFrame:
@@ -28,28 +38,91 @@ def read_file_stream(spark: SparkSession, path: str, files_per_trigger: int = 10
     return with_line_fields(raw.select(F.make_valid_utf8("value").alias("text"), F.col("_metadata.file_path").alias("source_ref")))
 
 
-def start_ingest(lines: DataFrame, store: str, checkpoint: str, scope: str = DEFAULT_SCOPE, job_id: str | None = None, interval: str | None = "30 seconds", on_batch=None) -> StreamingQuery:
-    """Parse and append each micro-batch; a batch that is repeated after a failure inserts nothing twice.
+def start_ingest(lines: DataFrame, store: str, checkpoint: str, scope: str = DEFAULT_SCOPE, job_id: str | None = None, interval: str | None = "30 seconds", on_batch=None, lateness: str | None = None, alone: bool = False) -> StreamingQuery:
+    """Parse and append each micro-batch, once.
 
-    A line without a place of its own gets one from its batch, so that it has the same id when the
-    batch comes again, with or without a time.
-    Without an interval it takes what there is and ends, which is how an interrupted job goes on
-    from its checkpoint. `on_batch` gets the batch number and counts.
+    The store keeps the number of the stream's last batch with that batch's rows: one that comes
+    again after a failure adds nothing, lines without time included. Without an interval it takes
+    what there is and ends, which is how an interrupted job goes on from its checkpoint. `on_batch`
+    gets the batch number and counts. With `lateness`, repeats that arrive within it go in the
+    stream's own state; a stream that is `alone` in writing its sources need not be compared with
+    the store then.
     """
+    name = f"{job_id or ''}@{checkpoint}"
+    entries = to_entries(with_line_fields(lines), scope, job_id, adapter="tail")
+    if lateness:
+        entries = dedup_in_stream(entries, lateness)
 
     def write(batch: DataFrame, number: int) -> None:
-        place = F.coalesce("ordinal", F.lit(number) * F.lit(1 << 40) + F.monotonically_increasing_id())
-        counts = append_entries(to_entries(batch.withColumn("ordinal", place), scope, job_id, adapter="tail"), store, replayed=True)
+        counts = append_entries(batch, store, token=(name, number), job_id=job_id, compare=not (lateness and alone))
         if on_batch:
             on_batch(number, counts)
 
-    w = with_line_fields(lines).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    w = entries.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (w.trigger(processingTime=interval) if interval else w.trigger(availableNow=True)).start()
 
 
 def dedup_in_stream(entries: DataFrame, lateness: str = "10 minutes") -> DataFrame:
-    """Drop repeats within a stream while both may still come; the store holds off older ones."""
-    return entries.withWatermark("timestamp", lateness).dropDuplicatesWithinWatermark(["scope", "source_ref", "original_line_hash", "timestamp"])
+    """Of the same entries (see `new_entries`) that arrive within `lateness` of each other, the first.
+
+    State holds a digest for each entry of that span. Entries without all of the key are never the
+    same; each has a key of its own. What repeats later, the store holds off.
+    """
+    whole = F.lit(True)
+    for k in KEY:
+        whole = whole & F.col(k).isNotNull()
+    key = F.when(whole, F.sha2(F.concat_ws("|", *[F.col(k).cast("string") for k in KEY]), 256)).otherwise(F.expr("uuid()"))
+    seen = entries.withColumn("_arrived", F.current_timestamp()).withColumn("_key", key)
+    return seen.withWatermark("_arrived", lateness).dropDuplicatesWithinWatermark(["_key"]).drop("_arrived", "_key")
+
+
+def join_fragments(lines: DataFrame, wait: str = "10 minutes") -> DataFrame:
+    """reassemble_cri for a stream: a fragment at the end of a micro-batch waits for what follows.
+
+    State is one open line a source_ref (a container's file or stream), whose batches come in
+    order; within a batch `ordinal` orders lines, and those without one stand first. A line that
+    nothing follows within `wait` comes out as it stands, as complete.
+    """
+    rest = [f for f in lines.schema.fields if f.name not in ("source_ref", "ordinal", "text")]
+    packed = lines.select("source_ref", "ordinal", "text", F.to_json(F.struct(*[f.name for f in rest])).alias("rest"))
+    line, ms = re.compile(patterns.CRI_LINE), int(parse_duration(wait).total_seconds() * 1000)
+
+    def complete(held: dict) -> tuple:
+        return held["ordinal"], f"{held['stamp']} {held['stream']} F {''.join(held['parts'])}", held["rest"]
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        out, held = [], json.loads(state.get[0]) if state.exists else None
+        if state.hasTimedOut:
+            out.append(complete(held))
+            held = None
+        else:
+            rows = [(None if o is None or o != o else int(o), t, r) for b in batches for o, t, r in zip(b["ordinal"], b["text"], b["rest"], strict=True)]
+            for ordinal, text, more in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+                found = line.match(text or "")
+                goes_on = held is not None and found is not None and found[2] == held["stream"]
+                if held and not goes_on:
+                    out.append(complete(held))
+                    held = None
+                if not found:
+                    out.append((ordinal, text, more))
+                    continue
+                held = held or {"ordinal": ordinal, "stamp": found[1], "stream": found[2], "parts": [], "rest": more}
+                held["parts"].append(found[4])
+                if found[3] == "F":
+                    out.append(complete(held))
+                    held = None
+        if held:
+            state.update((json.dumps(held),))
+            state.setTimeoutDuration(ms)
+        elif state.exists:
+            state.remove()
+        if out:
+            t = pd.DataFrame(out, columns=["ordinal", "text", "rest"]).astype({"ordinal": "Int64"})
+            yield t.assign(source_ref=key[0])[["source_ref", "ordinal", "text", "rest"]]
+
+    joined = packed.groupBy("source_ref").applyInPandasWithState(step, "source_ref string, ordinal long, text string, rest string", "held string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    back = F.from_json("rest", StructType(rest))
+    return joined.withColumn("_r", back).select([F.col(c) if c in ("source_ref", "ordinal", "text") else F.col(f"_r.{c}").alias(c) for c in lines.columns])
 
 
 def windowed_counts(entries: DataFrame, size: str = "5 minutes", lateness: str = "10 minutes") -> DataFrame:
@@ -80,10 +153,94 @@ class TailJob:
             raise ValueError("a stopped job cannot go on")
         return replace(self, status=target, consecutive_errors=0 if action == "resume" else self.consecutive_errors)
 
-    def succeeded(self, now: datetime, counts: dict[str, int]) -> TailJob:
-        return replace(self, last_polled_at=now, consecutive_errors=0, parsed=self.parsed + counts["parsed"], inserted=self.inserted + counts["inserted"], skipped=self.skipped + counts["skipped"])
+    def succeeded(self, now: datetime) -> TailJob:
+        return replace(self, last_polled_at=now, consecutive_errors=0)
 
     def failed(self, now: datetime, limit: int = 5) -> TailJob:
         """Count an error; at the limit the job pauses itself."""
         n = self.consecutive_errors + 1
         return replace(self, last_polled_at=now, consecutive_errors=n, status="paused" if n >= limit else self.status)
+
+
+class Supervisor(StreamingQueryListener):
+    """Keeps tail jobs going: starts what is due, counts failures of their queries, pauses at the limit.
+
+    A job's state is a note of the store (kind `tails`); its counters are those that its batches
+    have committed with their rows (kind `jobs`). `start(job_id)` of a job gives a query that takes
+    what there is and ends. Spark's events tell how it went: an end by an exception adds an error,
+    any other end resets their count.
+    """
+
+    def __init__(self, store: Store, limit: int = 5, interval: timedelta = timedelta(seconds=30), clock: Callable[[], datetime] = lambda: datetime.now(timezone.utc)):
+        self.store, self.limit, self.interval, self.clock = store, limit, interval, clock
+        self.starts: dict[str, Callable[[str], StreamingQuery]] = {}
+        self.running: dict[str, str] = {}
+        store.spark.streams.addListener(self)
+
+    def job(self, job_id: str) -> TailJob:
+        """A job's state as the store has it."""
+        v = self.store.version()
+        kept, counts = v.note("tails", job_id), v.note("jobs", job_id, {})
+        if kept is None:
+            raise KeyError(job_id)
+        at = kept["last_polled_at"]
+        return TailJob(kept["status"], datetime.fromisoformat(at) if at else None, kept["consecutive_errors"], *[counts.get(k, 0) for k in ("parsed", "inserted", "skipped")])
+
+    def _change(self, job_id: str, change: Callable[[TailJob], TailJob]) -> TailJob:
+        out = []
+
+        def apply(v: Version) -> Version:
+            kept = v.note("tails", job_id) or {"status": "running", "last_polled_at": None, "consecutive_errors": 0}
+            at = kept["last_polled_at"]
+            job = change(TailJob(kept["status"], datetime.fromisoformat(at) if at else None, kept["consecutive_errors"]))
+            out[:] = [job]
+            v.notes.setdefault("tails", {})[job_id] = {"status": job.status, "last_polled_at": job.last_polled_at.isoformat() if job.last_polled_at else None, "consecutive_errors": job.consecutive_errors}
+            return v
+
+        self.store.update(apply)
+        return out[0]
+
+    def add(self, job_id: str, start: Callable[[str], StreamingQuery]) -> None:
+        """Take up a job, as it was if the store knows it."""
+        self.starts[job_id] = start
+        if self.store.version().note("tails", job_id) is None:
+            self._change(job_id, lambda job: job)
+
+    def apply(self, job_id: str, action: str) -> TailJob:
+        """pause, resume or stop; a running query of a job that is no longer to run ends."""
+        job = self._change(job_id, lambda job: job.apply(action))
+        if job.status != "running":
+            for q in self.store.spark.streams.active:
+                if self.running.get(str(q.runId)) == job_id:
+                    q.stop()
+        return job
+
+    def tick(self) -> list[StreamingQuery]:
+        """Start a query for each job that is due and has none."""
+        now, busy, out = self.clock(), set(self.running.values()), []
+        for job_id, start in self.starts.items():
+            if job_id not in busy and self.job(job_id).due(now, self.interval):
+                try:
+                    q = start(job_id)
+                except Exception:  # a source that can't even be opened counts as one that fails while it is read
+                    logging.getLogger(__name__).exception("tail job %s", job_id)
+                    self._change(job_id, lambda job: job.failed(now, self.limit))
+                    continue
+                self.running[str(q.runId)] = job_id
+                out.append(q)
+        return out
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        job_id = self.running.pop(str(event.runId), None)
+        if job_id is not None:
+            now = self.clock()
+            self._change(job_id, (lambda job: job.failed(now, self.limit)) if event.exception else (lambda job: job.succeeded(now)))

@@ -12,6 +12,7 @@ from emberlog.operators import cluster, ingest, parse, registry, retention, retr
 from emberlog.plans import render, writes
 from emberlog.plans.verbs import Analyzer, Options
 from emberlog.sources import connectors, lines
+from emberlog.sources.store import Store
 from emberlog.streaming import tail
 
 UTC = timezone.utc
@@ -161,8 +162,8 @@ def test_repeated_batches_insert_nothing_twice(spark, tmp_path):
     batch = tail.with_line_fields(spark.createDataFrame(rows, "text string, source_ref string, ordinal bigint"))
     store = str(tmp_path / "store")
     entries = ingest.to_entries(batch, created_at=F.lit(T0))
-    assert ingest.append_entries(entries, store, replayed=True) == {"parsed": 7, "inserted": 7, "skipped": 0}
-    assert ingest.append_entries(entries, store, replayed=True) == {"parsed": 7, "inserted": 0, "skipped": 7}
+    assert ingest.append_entries(entries, store, token=("s", 0)) == {"parsed": 7, "inserted": 7, "skipped": 0}
+    assert ingest.append_entries(entries, store, token=("s", 0)) == {"parsed": 0, "inserted": 0, "skipped": 0}
     assert ingest.append_entries(entries, store)["inserted"] == 6  # a file that is read again: lines without time are new
     assert {r.default_service for r in lines.read_lines(spark, __file__).select("default_service").distinct().collect()} == {"test_expectations"}
 
@@ -174,7 +175,7 @@ def test_files_are_read_in_one_format_each(spark, tmp_path):
     store = str(tmp_path / "store")
     where = [str(tmp_path / n) for n in ("api.log", "web.log", "x.jsonl", "gone.log", "api.log")]
     assert writes.ingest_files(spark, where, store) == {"parsed": 3, "inserted": 3, "skipped": 0}
-    got = {(r.service, r.parser_type, r.raw_message) for r in spark.read.parquet(store).collect()}
+    got = {(r.service, r.parser_type, r.raw_message) for r in Store(spark, store).read("log_entries").collect()}
     assert got == {("api", "json", '{"message":"first","ts":"2026-03-12T22:01:10Z"}'), ("web", "text", "plain first"), ("web", "text", '{"message":"an object in a text file"}')}
     assert writes.ingest_files(spark, [str(tmp_path / "none")], store)["parsed"] == 0
     assert writes.ingest_push(spark, '{"raw":"pushed","ts":"2026-03-12T22:01:10Z"}\nplain\n', store) == {"parsed": 2, "inserted": 2, "skipped": 0}
