@@ -129,10 +129,10 @@ def append_entries(batch: DataFrame, path: str, token: tuple[str, int] | None =
 
 
 def upsert_latest(current: DataFrame, updates: DataFrame, key: list[str], updated: str = "updated_at", keep: tuple[str, ...] = ("created_at",)) -> DataFrame:
-    """Rows by key, the newest of each; columns in `keep` come from the oldest."""
+    """Rows by key, the newest of each; columns in `keep` (times) have the least value of all."""
     both = current.unionByName(updates)
     rest = [c for c in both.columns if c not in key]
-    aggs = [(F.min_by(c, updated) if c in keep else F.max_by(c, updated)).alias(c) for c in rest]
+    aggs = [(F.min(c) if c in keep else F.max_by(c, updated)).alias(c) for c in rest]
     return both.groupBy(*key).agg(*aggs).select(both.columns)
 
 

@@ -7,6 +7,7 @@ whose varying parts normalise away. Times are returned as microseconds, maps and
 from __future__ import annotations
 
 from datetime import datetime, timedelta, timezone
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from .operators import timeline as timelines
 from .plans.verbs import Analyzer
 from .session import shared_dir
 from .sources import lines as sources
+from .sources.store import Store
 from .streaming import tail
 
 UTC = timezone.utc
@@ -750,6 +752,73 @@ def stream_windowed_counts(spark, sf_dir):
     return spark.read.schema(counts.schema).parquet(f"{folder}/counts")
 
 
+def _stream_of(spark, folder: str, slices: list[DataFrame]) -> DataFrame:
+    """A stream whose micro-batches are these slices, one after the other."""
+    for part in slices:
+        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    return spark.readStream.schema(slices[0].schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+
+
+def _thirds(lines: DataFrame) -> list[DataFrame]:
+    top = lines.agg(F.max("ordinal")).first()[0] or 0
+    cuts = [top // 3, 2 * top // 3]
+    return [lines.where(F.col("ordinal") <= cuts[0]), lines.where(F.col("ordinal").between(cuts[0] + 1, cuts[1])), lines.where(F.col("ordinal") > cuts[1])]
+
+
+@query(ORACLE_SQL["cri_reassembly"])
+def stream_cri_reassembly(spark, sf_dir):
+    """Container lines in three micro-batches: fragments that are open between them wait in the state."""
+    folder, raw = shared_dir(spark), _raw(spark, sf_dir, _CRI)
+    # a blank line at the end of each file closes what is open
+    ends = raw.groupBy("source_ref").agg((F.max("ordinal") + 1).alias("ordinal")).select("ordinal", F.lit("").alias("text"), "source_ref")
+    lines = _stream_of(spark, folder, [*_thirds(raw), tail.with_line_fields(ends).select(raw.columns)])
+    q = tail.join_fragments(lines).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(raw.schema).parquet(f"{folder}/out").where("text <> ''").select("source_ref", "ordinal", "text")
+
+
+_TIMED = f"concat({_ISO_SPARK}, ' ERROR svc-', user_id % 5, ' failed ', event_type)"
+
+
+@query("""SELECT DISTINCT concat('file-', event_id % 3) AS source_ref, strftime(date_trunc('second', CAST(ts AS TIMESTAMP)), '%Y-%m-%dT%H:%M:%SZ') || ' ERROR svc-' || user_id % 5 || ' failed ' || event_type AS raw_message,
+epoch_us(date_trunc('second', CAST(ts AS TIMESTAMP))) AS timestamp FROM events""")
+def stream_dedup(spark, sf_dir):
+    """Lines of which half come a second time, through the stream's state into a store."""
+    folder, raw = shared_dir(spark), _raw(spark, sf_dir, _TIMED)
+    lines = _stream_of(spark, folder, [raw.where("ordinal % 2 = 0"), raw])
+    tail.start_ingest(lines, f"{folder}/store", f"{folder}/state", job_id="j", interval=None, lateness="1 hour", alone=True).awaitTermination()
+    return Store(spark, f"{folder}/store").read("log_entries").select("source_ref", "raw_message", _micros("timestamp"))
+
+
+_ENTRY = "CAST(event_id AS STRING) AS id", f"{SCOPE} AS scope", "event_type AS level", "CAST(ts AS TIMESTAMP) AS created_at", "CAST(CAST(ts AS TIMESTAMP) AS DATE) AS event_date"
+
+
+@query(f"""WITH {_CUT_SQL}, e AS (SELECT *, {SCOPE} AS scope, CAST(ts AS TIMESTAMP) AS t FROM events),
+k AS (SELECT e.*, coalesce(t >= raw, true) AS kept, coalesce(t >= summary, true) AS fresh FROM e JOIN cuts USING (scope))
+SELECT scope, 'log_entries' AS "table", count(*) FILTER (kept) AS n, count(*) FILTER (NOT kept) AS purged FROM k GROUP BY 1
+UNION ALL SELECT scope, 'cluster_members', count(*) FILTER (kept), count(*) FILTER (NOT kept) FROM k WHERE event_id % 2 = 0 GROUP BY 1
+UNION ALL SELECT scope, 'explanations', count(*) FILTER (fresh), count(*) FILTER (NOT fresh) FROM k WHERE event_type = 'error' GROUP BY 1""")
+def store_purge(spark, sf_dir):
+    """A stored copy of events with members and explanations, purged in one version: what is left and what went."""
+    e, store = table(spark, sf_dir, "events").selectExpr(*_ENTRY), Store(spark, shared_dir(spark))
+    store.append("log_entries", e, ("scope", "event_date"), F.col("created_at"))
+    store.append("cluster_members", e.where("CAST(id AS BIGINT) % 2 = 0").select(F.col("id").alias("log_entry_id"), "scope"), ("scope",))
+    store.append("explanations", e.where("level = 'error'").select("id", "scope", "created_at"), ("scope",), F.col("created_at"))
+    overrides = spark.createDataFrame(_POLICY, "scope string, raw_interval string, summary_interval string")
+    gone = spark.createDataFrame([(*k, n) for k, n in retention.purge_store(store, overrides, "30d", "20d", NOW).items()], "scope string, table string, purged long")
+    left = [store.read(t).groupBy("scope").agg(F.count("*").alias("n")).select("scope", F.lit(t).alias("table"), "n") for t in ("log_entries", "cluster_members", "explanations")]
+    return reduce(DataFrame.unionByName, left).join(gone, ["scope", "table"], "full").na.fill(0)
+
+
+@query(ORACLE_SQL["upsert_latest"])
+def store_upsert(spark, sf_dir):
+    """upsert_latest on a stored table, in two versions."""
+    t, store = table(spark, sf_dir, "events").selectExpr("event_id", "concat('s', user_id % 3) AS scope", "event_type AS fingerprint", "value", "event_id AS created_at", "event_id AS updated_at"), Store(spark, shared_dir(spark))
+    for part in (0, 1):
+        ingest.upsert_store(store, "vectors", t.where(F.col("event_id") % 2 == part).drop("event_id"), ["scope", "fingerprint"])
+    return store.read("vectors")
+
+
 def _is_folder(spark, path: str) -> bool:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import logging
 import re
+import threading
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 from datetime import datetime, timedelta, timezone
@@ -76,16 +77,18 @@ def dedup_in_stream(entries: DataFrame, lateness: str = "10 minutes") -> DataFra
     return seen.withWatermark("_arrived", lateness).dropDuplicatesWithinWatermark(["_key"]).drop("_arrived", "_key")
 
 
-def join_fragments(lines: DataFrame, wait: str = "10 minutes") -> DataFrame:
+def join_fragments(lines: DataFrame, wait: str = "10m") -> DataFrame:
     """reassemble_cri for a stream: a fragment at the end of a micro-batch waits for what follows.
 
     State is one open line a source_ref (a container's file or stream), whose batches come in
     order; within a batch `ordinal` orders lines, and those without one stand first. A line that
-    nothing follows within `wait` comes out as it stands, as complete.
+    nothing has followed comes out as it stands, as complete, once lines of any source have
+    arrived `wait` later: time goes on with arrivals, so that a stream that ends, ends.
     """
     rest = [f for f in lines.schema.fields if f.name not in ("source_ref", "ordinal", "text")]
-    packed = lines.select("source_ref", "ordinal", "text", F.to_json(F.struct(*[f.name for f in rest])).alias("rest"))
-    line, ms = re.compile(patterns.CRI_LINE), int(parse_duration(wait).total_seconds() * 1000)
+    ms = int(parse_duration(wait).total_seconds() * 1000)
+    packed = lines.select("source_ref", "ordinal", "text", F.to_json(F.struct(*[f.name for f in rest])).alias("rest"), F.current_timestamp().alias("arrived")).withWatermark("arrived", f"{ms} milliseconds")
+    line = re.compile(patterns.CRI_LINE)
 
     def complete(held: dict) -> tuple:
         return held["ordinal"], f"{held['stamp']} {held['stream']} F {''.join(held['parts'])}", held["rest"]
@@ -96,8 +99,9 @@ def join_fragments(lines: DataFrame, wait: str = "10 minutes") -> DataFrame:
             out.append(complete(held))
             held = None
         else:
-            rows = [(None if o is None or o != o else int(o), t, r) for b in batches for o, t, r in zip(b["ordinal"], b["text"], b["rest"], strict=True)]
-            for ordinal, text, more in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+            rows = [(None if o is None or o != o else int(o), t, r, int(at.value // 1_000_000)) for b in batches for o, t, r, at in zip(b["ordinal"], b["text"], b["rest"], b["arrived"], strict=True)]
+            for ordinal, text, more, at in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+                now = at
                 found = line.match(text or "")
                 goes_on = held is not None and found is not None and found[2] == held["stream"]
                 if held and not goes_on:
@@ -113,14 +117,14 @@ def join_fragments(lines: DataFrame, wait: str = "10 minutes") -> DataFrame:
                     held = None
         if held:
             state.update((json.dumps(held),))
-            state.setTimeoutDuration(ms)
+            state.setTimeoutTimestamp(max(now, state.getCurrentWatermarkMs()) + 1)
         elif state.exists:
             state.remove()
         if out:
             t = pd.DataFrame(out, columns=["ordinal", "text", "rest"]).astype({"ordinal": "Int64"})
             yield t.assign(source_ref=key[0])[["source_ref", "ordinal", "text", "rest"]]
 
-    joined = packed.groupBy("source_ref").applyInPandasWithState(step, "source_ref string, ordinal long, text string, rest string", "held string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    joined = packed.groupBy("source_ref").applyInPandasWithState(step, "source_ref string, ordinal long, text string, rest string", "held string", "append", GroupStateTimeout.EventTimeTimeout)
     back = F.from_json("rest", StructType(rest))
     return joined.withColumn("_r", back).select([F.col(c) if c in ("source_ref", "ordinal", "text") else F.col(f"_r.{c}").alias(c) for c in lines.columns])
 
@@ -175,6 +179,7 @@ class Supervisor(StreamingQueryListener):
         self.store, self.limit, self.interval, self.clock = store, limit, interval, clock
         self.starts: dict[str, Callable[[str], StreamingQuery]] = {}
         self.running: dict[str, str] = {}
+        self.lock = threading.Lock()  # a query may end before it is known as a job's
         store.spark.streams.addListener(self)
 
     def job(self, job_id: str) -> TailJob:
@@ -221,12 +226,13 @@ class Supervisor(StreamingQueryListener):
         for job_id, start in self.starts.items():
             if job_id not in busy and self.job(job_id).due(now, self.interval):
                 try:
-                    q = start(job_id)
+                    with self.lock:
+                        q = start(job_id)
+                        self.running[str(q.runId)] = job_id
                 except Exception:  # a source that can't even be opened counts as one that fails while it is read
                     logging.getLogger(__name__).exception("tail job %s", job_id)
                     self._change(job_id, lambda job: job.failed(now, self.limit))
                     continue
-                self.running[str(q.runId)] = job_id
                 out.append(q)
         return out
 
@@ -240,7 +246,9 @@ class Supervisor(StreamingQueryListener):
         pass
 
     def onQueryTerminated(self, event) -> None:
-        job_id = self.running.pop(str(event.runId), None)
+        with self.lock:
+            job_id = self.running.get(str(event.runId))
         if job_id is not None:
             now = self.clock()
             self._change(job_id, (lambda job: job.failed(now, self.limit)) if event.exception else (lambda job: job.succeeded(now)))
+            del self.running[str(event.runId)]
