@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import wraps
 from pathlib import Path
 
@@ -39,7 +41,8 @@ def shipped(f):
     return run
 
 
-_FOLDERS: list[str] = []
+#: Folders made since each `scratch` that is open here began.
+_MADE: ContextVar[tuple[list[str], ...]] = ContextVar("made", default=())
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -57,18 +60,25 @@ def shared_dir(spark: SparkSession) -> str:
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(root)
     folder = f"{root.rstrip('/')}/emberlog-{uuid.uuid4().hex}"
-    _FOLDERS.append(folder)
+    for made in _MADE.get():
+        made.append(folder)
     return folder
 
 
-def clear_shared(spark: SparkSession, keep: tuple[str, ...] = ()) -> None:
-    """Remove the folders that this session's operators have made, but for `keep`.
+@contextmanager
+def scratch(spark: SparkSession):
+    """What operators called inside have stored on the way goes at the end, and nothing else.
 
-    For the time when their results are written or collected: a result that is still lazy reads
-    from them.
+    For results that are written or collected inside: one that is still lazy then has lost its
+    tables. Results of other calls keep theirs.
     """
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in [f for f in _FOLDERS if f not in keep]:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
-        _FOLDERS.remove(folder)
+    made: list[str] = []
+    token = _MADE.set((*_MADE.get(), made))
+    try:
+        yield made
+    finally:
+        _MADE.reset(token)
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for folder in made:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
