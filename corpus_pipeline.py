@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog.llm import mixing, nearcopies, packing, quality, toxicity
-from emberlog.session import clear_shared, shared_dir
+from emberlog.session import scratch, shared_dir
 
 
 def _labels(spark: SparkSession, sf_dir: str, column: str) -> DataFrame:
@@ -66,12 +66,13 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages to documents; each stage reads what the one before has written.
 
-    What the operators of a stage have stored on the way is removed once its result is written.
+    What the operators of a stage have stored on the way is removed once its result is written; what
+    other results still read stays.
     """
     folder = shared_dir(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}_{name}")
-        clear_shared(spark, keep=(folder,))
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}_{name}")
         docs = spark.read.parquet(f"{folder}/{i}_{name}")
     return docs
