@@ -114,18 +114,23 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray, strength: float = 1e-2, rounds: int = 50) -> np.ndarray:
-    """Weights (bias last) of a logistic model, drawn towards prior; Newton steps."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray, strength: float = 1e-2, rounds: int = 50, even: float = 0.0) -> np.ndarray:
+    """Weights (bias last) of a logistic model, drawn towards prior; Newton steps.
+
+    `even` is how far the labels' weights in sum come together: 0 as many as there are of each, 1 the same for both.
+    """
     x = np.hstack([x, np.ones((len(x), 1))])
     w = prior.astype(float).copy()
     if not len(y):
         return w
+    share = y.mean()
+    each = np.where(y > 0.5, 0.5 / share, 0.5 / (1 - share)) ** even if 0 < share < 1 else np.ones(len(y))
     ridge = np.full(len(w), strength * max(1.0, len(y) / 100))
     ridge[-1] *= 1e-2
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (p - y) + ridge * (w - prior)
-        hess = (x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(ridge)
+        grad = x.T @ (each * (p - y)) + ridge * (w - prior)
+        hess = (x * (each * p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(ridge)
         step = np.linalg.solve(hess, grad)
         step *= min(1.0, 5 / max(1e-12, np.abs(step).max()))
         w -= step

@@ -109,8 +109,12 @@ def _plan(sized: DataFrame, seed: int = 11, block: int = BLOCK, shard: int = SHA
     blocks = aimed.withColumn("seats", F.round(F.sum("target").over(Window.partitionBy("_one")) / block).cast("long"))
     quotas = stored(apportion(blocks, ["source"], "target", "seats", ["_one"]).select("source", "source_size", "target", F.col("quota").alias("source_quota"), F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard)).cast("int").alias("shards")), folder, "quotas")
     alike = ["doc_id", "size", "text_hash"]
+    # rows without words are taken by none, so no shard has to order them
+    blank = sized.where("size = 0").join(quotas.select(F.col("source").alias("_s"), "source_size", "target"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    blank = blank.select("*", *[F.lit(0).cast("long").alias(c) for c in ("whole", "cut_from", "cut_words", "wrap_words", "taken")])
     dealt = (
-        sized.join(quotas.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")))
+        sized.where("size > 0")
+        .join(quotas.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")))
         .drop("_s")
         .withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), *alike), F.col("shards")).cast("int"))
     )
@@ -128,7 +132,7 @@ def _plan(sized: DataFrame, seed: int = 11, block: int = BLOCK, shard: int = SHA
     n = F.col("shard_size")
     lo, hi = F.col("_end") - F.col("size"), F.col("_end")
     stop = F.col("_start") + F.col("_rem")
-    return (
+    planned = (
         placed.join(got, F.col("source").eqNullSafe(F.col("_s")) & (F.col("shard") == F.col("_k")))
         .withColumn("whole", F.when(n > 0, F.floor(F.col("_take") / n)).otherwise(0).cast("long"))
         .withColumn("_rem", F.col("_take") - F.col("whole") * n)
@@ -136,8 +140,10 @@ def _plan(sized: DataFrame, seed: int = 11, block: int = BLOCK, shard: int = SHA
         .withColumn("cut_words", F.greatest(F.lit(0), F.least(hi, stop) - F.greatest(lo, F.col("_start"))).cast("long"))
         .withColumn("wrap_words", F.greatest(F.lit(0), F.least(hi, stop - n) - lo).cast("long"))
         .withColumn("whole", F.when(F.col("size") > 0, F.col("whole")).otherwise(0))
+        .withColumn("cut_from", F.col("cut_from").cast("long"))
         .withColumn("taken", F.col("whole") * F.col("size") + F.col("cut_words") + F.col("wrap_words"))
     )
+    return planned.select(blank.columns).unionByName(blank)
 
 
 def apply_mix(docs: DataFrame, **kwargs) -> DataFrame:

@@ -19,6 +19,8 @@ BANDS, ROWS = 20, 5
 #: Sets of a band's bucket that meet the others at once (longer buckets are cut into blocks, and all
 #: pairs of blocks meet), and shingles counted at once.
 BLOCK, COLUMNS = 1024, 4096
+#: Bytes of the sets of a block, about: long texts make smaller blocks.
+BYTES = 64 << 20
 
 _R = np.random.default_rng(5)
 _A = _R.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64)[:, None] * np.uint64(2) + np.uint64(1)
@@ -48,14 +50,15 @@ def _bands(s: np.ndarray) -> np.ndarray:
 def _sketches(batches):
     """Of each text, from one pass over its words: fingerprint, and signature and bands of its set."""
     for b in batches:
-        fp, sig, bands = [], [], []
+        fp, sig, bands, n = [], [], [], []
         for t in b.column(1):
             blocks = list(simhash.shingle_hashes(t.as_py(), SHINGLE))
             s = _distinct(blocks)
             fp.append(simhash.majority(blocks))
             sig.append(_signature(s) if len(s) else None)
             bands.append(_bands(s) if len(s) else None)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fp, dtype=np.uint64).astype(np.int64)), pa.array(sig, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "fp", "sig", "bands"])
+            n.append(len(s))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fp, dtype=np.uint64).astype(np.int64)), pa.array(sig, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(n, pa.int64())], names=["doc_id", "fp", "sig", "bands", "hashes"])
 
 
 def _sets(batches):
@@ -101,24 +104,26 @@ def _links(similarity: float):
 def near_links(docs: DataFrame, sketch: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """Edges (a, b) between groups of documents whose shingle sets are near.
 
-    sketch(doc_id, sig, bands, node), with the group of each. Texts of equal sets count once. Of
+    sketch(doc_id, sig, bands, hashes, node), with the group of each. Texts of equal sets count once. Of
     each bucket of candidates all pairs are compared, by their whole sets; a spanning chain of the
     near ones comes back, never the pairs.
     """
     folder = shared_dir(docs.sparkSession)
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    each = stored(sketch.where("sig is not null").groupBy("sig", "node").agg(F.min("doc_id").alias("first"), F.min("bands").alias("bands")), folder, "each")
+    each = stored(sketch.where("sig is not null").groupBy("sig", "node").agg(F.min("doc_id").alias("first"), F.min("bands").alias("bands"), F.min("hashes").alias("hashes")), folder, "each")
     named = each.groupBy("sig").agg(F.min("node").alias("low"))
     same = each.join(named, "sig").where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"))
-    one = each.groupBy("sig").agg(F.min(F.struct("node", "first", "bands")).alias("m"))
-    rows = stored(one.select("sig", "m.node", "m.first", F.explode("m.bands").alias("key")), folder, "rows")
+    one = each.groupBy("sig").agg(F.min(F.struct("node", "first", "bands", "hashes")).alias("m"))
+    rows = stored(one.select("sig", "m.node", "m.first", "m.hashes", F.explode("m.bands").alias("key")), folder, "rows")
     # a bucket whose sets are all of one group has nothing to add
-    many = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("n > 1 and lo < hi").select("key", "n")
+    many = rows.groupBy("key").agg(F.count("*").alias("n"), F.sum("hashes").alias("hashes"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.sum(F.xxhash64("sig").cast("decimal(20,0)")).alias("s"), F.bit_xor(F.xxhash64(F.lit(1), "sig")).alias("x")).where("n > 1 and lo < hi")
+    # near copies share many bands: of buckets with the same sets one is compared
+    many = many.groupBy("n", "s", "x").agg(F.min(F.struct("key", "hashes")).alias("m")).select("m.key", "n", F.col("m.hashes").alias("total"))
     members = stored(rows.join(many, "key"), folder, "members")
     wanted = members.select("sig", F.col("first").alias("doc_id")).distinct()
     sets = texts.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").select("text").mapInArrow(_sets, "sig long, hashes binary").join(wanted.select("sig"), "sig", "left_semi").groupBy("sig").agg(F.min("hashes").alias("hashes"))
     sets = stored(sets, folder, "sets")
-    parts = F.ceil(F.col("n") / block).cast("int")
+    parts = F.greatest(F.ceil(F.col("n") / block), F.least(F.col("n"), F.ceil(8 * F.col("total") / BYTES))).cast("int")
     own = F.pmod(F.xxhash64("sig", F.lit(7)), F.col("parts")).cast("int")
     others = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("parts") - 1), F.col("own")))
     dealt = members.withColumn("parts", parts).withColumn("own", own).withColumn("other", F.explode(others))
@@ -138,7 +143,7 @@ def keep_representatives(docs: DataFrame, similarity: float = SIMILARITY) -> Dat
     """
     folder = shared_dir(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketch = stored(texts.mapInArrow(_sketches, "doc_id long, fp long, sig long, bands array<long>"), folder, "sketch")
-    parts = stored(simhash.components(sketch).where("doc_id is not null").select("doc_id", "sig", "bands", F.col("component_id").alias("node")), folder, "parts")
+    sketch = stored(texts.mapInArrow(_sketches, "doc_id long, fp long, sig long, bands array<long>, hashes long"), folder, "sketch")
+    parts = stored(simhash.components(sketch).where("doc_id is not null").select("doc_id", "sig", "bands", "hashes", F.col("component_id").alias("node")), folder, "parts")
     gone = connected_components(near_links(docs, parts, similarity)).where("node <> root").select(F.col("node").alias("doc_id"))
     return simhash.representatives(docs, parts.where("doc_id = node").select("doc_id").join(gone, "doc_id", "left_anti"))

@@ -17,6 +17,9 @@ SAMPLE, PIECE, LONGEST, DICTIONARY, CALIBRATE = 1200, 400, 8000, 1 << 18, 3000
 LEVEL, BLOCK = 3, 2048
 #: Parts of the labelled ids; each is calibrated with dictionaries of the others.
 FOLDS = 5
+#: How far good and bad documents weigh the same when the score is calibrated (0: each document the
+#: same, 1: each label). Bad documents are few; in between, both kinds of error are rare.
+EVEN = 0.5
 #: Added to a text's length, so that the coder's few bytes a block weigh little on short texts.
 PAD = 50
 
@@ -85,7 +88,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, piece: int =
     judged = judged.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("part").cast("int").alias("part")).select("text", "part")
     got = sorted((r.score, r.label) for r in judged.mapInArrow(run, "score double, label int").collect())
     x, y = np.array([[100 * s] for s, _ in got]).reshape(-1, 1), np.array([k for _, k in got], float)
-    w = fit_logistic(x, y, np.array([1.0, 0.0]), strength=1e-3)
+    w = fit_logistic(x, y, np.array([1.0, 0.0]), strength=1e-3, even=EVEN)
     return Model(bad, good, (max(0.0, float(w[0])), float(w[1])))
 
 

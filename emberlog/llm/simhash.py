@@ -15,8 +15,9 @@ from .common import connected_components, forest, shared_dir, skew_safe_join, st
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: Residents of a trie node at most: heavier nodes are cut at the next bit. Each cut sends
-#: fingerprints to more visitors, so nodes are large. All nodes are cut at DEPTH at least.
-BUCKET, DEPTH, DEEPEST = 250_000, 3, 40
+#: fingerprints to more visitors, so nodes are large. All nodes are cut at DEPTH at least; at all 64
+#: bits a node has one distinct fingerprint.
+BUCKET, DEPTH, DEEPEST = 250_000, 3, 64
 
 
 def shingle_hashes(text: str | None, shingle: int = 3, seed: int = 42):
@@ -198,8 +199,8 @@ def simhash_components(docs: DataFrame, distance: int = 2, shingle: int = 3) ->
     doc_id reachable over links, itself included. Texts that are null or have no word have
     fingerprint zero and link like any other. Rows with a null doc_id keep a row; they
     connect others through their fingerprint but never name a component, which is null if
-    none of its rows has an id. Repeated rows and ids give a row each; further columns are
-    ignored; an empty table gives an empty result.
+    none of its rows has an id. Repeated rows and ids give a row each; very long texts are hashed
+    whole, in blocks; further columns are ignored; an empty table gives an empty result.
     """
     out = components(stored(fingerprints(docs, shingle), shared_dir(docs.sparkSession), "fp"), distance)
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -226,9 +227,14 @@ def keep_representatives(docs: DataFrame, distance: int = 2, shingle: int = 3) -
 
 
 def representatives(docs: DataFrame, named: DataFrame) -> DataFrame:
-    """The rows of docs whose id is in named(doc_id), each id once, and the texts without id."""
+    """The rows of docs whose id is in named(doc_id), each id once, and the texts without id.
+
+    Of rows that share an id the one of least text stays (null first), then of least other columns.
+    """
+    every = F.struct(*[F.col(f"`{c}`").alias(c) for c in docs.columns])
     keep = named.groupBy("doc_id").agg(F.count("*").alias("n"))
     once = docs.join(keep.where("n = 1").select("doc_id"), "doc_id", "left_semi")
-    again = docs.join(keep.where("n > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    again = docs.join(keep.where("n > 1").select("doc_id"), "doc_id", "left_semi")
+    again = again.groupBy("doc_id").agg(F.min_by(every, F.struct("text", F.to_json(every))).alias("_row")).select("_row.*")
     unnamed = docs.where("doc_id is null").dropDuplicates(["text"])
     return once.unionByName(again).unionByName(unnamed).select(docs.columns)

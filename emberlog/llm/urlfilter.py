@@ -67,11 +67,12 @@ def build_index(spark, rules: list[tuple[str, str]]) -> tuple[str, Bounds]:
         host, _, path = rule.partition("/")
         key = f"{host.translate(_UPPER)}/{path}"
         merged[key] = merged.get(key, False) or verdict == "block"
-    lengths: dict[str, set[int]] = {}
+    # hosts whose digests meet share their lengths: a wrong host costs probes of whole rules, which are confirmed
+    named, lengths = {key.partition("/")[0] for key in merged}, {}
     for key in merged:
         host, _, path = key.partition("/")
-        lengths.setdefault(host, set()).add(len(path))
-    hosts = sorted((_digest(h), sorted(n)) for h, n in lengths.items())
+        lengths.setdefault(_digest(host), set()).add(len(path))
+    hosts = sorted((d, sorted(n)) for d, n in lengths.items())
     items = sorted((_digest(k), k.encode("utf-8", "surrogatepass"), v) for k, v in merged.items())
     name = f"rules-{uuid.uuid4().hex}.bin"
     path = os.path.join(tempfile.mkdtemp(prefix="spark-rules-"), name)
@@ -85,7 +86,7 @@ def build_index(spark, rules: list[tuple[str, str]]) -> tuple[str, Bounds]:
         f.write(np.array([v for _, _, v in items], "u1").tobytes())
         f.write(b"".join(k for _, k, _ in items))
     spark.sparkContext.addFile(path)
-    return name, Bounds(max((h.count(".") + 1 for h in lengths), default=0), max(map(len, lengths), default=0))
+    return name, Bounds(max((h.count(".") + 1 for h in named), default=0), max(map(len, named), default=0))
 
 
 @lru_cache(maxsize=4)
