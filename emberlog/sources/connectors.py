@@ -4,22 +4,26 @@
     spark.read.format("datadog").options(client="package.module:make_client", start=..., end=...).load()
 
 `client` names a function that the executors import; it gets the options and returns an
-object with the one method that a source calls. A partition is one stream.
+object with the one method that a source calls. A partition is a slice of the time of one stream
+(`slice_seconds`, 300), so that a busy stream is read by many tasks. Conditions on received_at
+narrow the time that is asked for, those on source_ref choose the streams, and what a text must
+contain goes into Loki's query (Spark pushes them with spark.sql.python.filterPushdown.enabled).
 """
 
 from __future__ import annotations
 
 import importlib
 import json
+import math
 import re
 import time
 import warnings
 from collections.abc import Iterator
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 from urllib.parse import urlsplit
 
 import pandas as pd
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, StringContains
 
 SCHEMA = "text string, source_ref string, received_at timestamp, default_service string, default_environment string, default_host string"
 
@@ -203,27 +207,74 @@ def read_stream(kind: str, client, stream: str, start: datetime, end: datetime,
             return
 
 
-class _Stream(InputPartition):
-    def __init__(self, name: str):
-        self.name = name
+class _Slice(InputPartition):
+    """A stream's rows from `start` on and before `end`, or up to it where it is the last."""
 
+    def __init__(self, stream: str, start: datetime, end: datetime, last: bool):
+        self.stream, self.start, self.end, self.last = stream, start, end, last
+
+
+def slices(streams: list[str], start: datetime, end: datetime, seconds: float, closed: bool = True) -> list[_Slice]:
+    """Disjoint slices of a window for each stream; a window that ends where it starts is one."""
+    n = max(1, math.ceil((end - start).total_seconds() / seconds))
+    edges = [start + timedelta(seconds=seconds * i) for i in range(n)] + [end]
+    return [_Slice(s, a, b, closed and b == end) for s in streams for a, b in zip(edges, edges[1:], strict=False)]
+
+
+def read_slice(kind: str, client, part: _Slice, options: dict) -> Iterator[tuple]:
+    """The rows of a slice; services whose windows are closed give rows of the next slice, too, which are left there."""
+    for row in read_stream(kind, client, part.stream, part.start, part.end, options):
+        if row[2] is None or part.start <= row[2] and (row[2] < part.end or part.last and row[2] == part.end):
+            yield row
+
+
+class Reader(DataSourceReader):
+    """Streams and slices of a batch read; filters go to the service as far as it can tell exactly."""
 
-class _Reader(DataSourceReader):
     def __init__(self, kind: str, options: dict):
         self.kind, self.options = kind, options
+        self.start, self.end = (datetime.fromisoformat(options[k]) for k in ("start", "end"))
+        self.only: set[str] | None = None
+        self.asked: list[str] = []
+
+    def pushFilters(self, filters):
+        for f in filters:
+            name = ".".join(f.attribute) if hasattr(f, "attribute") else ""
+            if name == "received_at" and isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual)):
+                at = f.value if f.value.tzinfo else f.value.replace(tzinfo=timezone.utc)
+                if not isinstance(f, (LessThan, LessThanOrEqual)):
+                    self.start = max(self.start, at)
+                if not isinstance(f, (GreaterThan, GreaterThanOrEqual)):
+                    self.end = min(self.end, at)
+                self.asked.append(f"received_at {type(f).__name__} {at.isoformat()}")
+                yield f  # the edge itself, and rows without a time, are Spark's to judge
+            elif name == "source_ref" and self.kind != "loki" and isinstance(f, (EqualTo, In)):
+                wanted = {f.value} if isinstance(f, EqualTo) else set(f.value)
+                self.only = wanted if self.only is None else self.only & wanted
+                self.asked.append(f"source_ref in {sorted(map(str, wanted))}")
+            elif name == "text" and self.kind == "loki" and isinstance(f, StringContains):
+                quoted = json.dumps(f.value, ensure_ascii=False)
+                self.options = self.options | {"query": f"{self.options['query']} |= {quoted}"}
+                self.asked.append(f"text contains {quoted}")
+            else:
+                yield f
 
     def partitions(self):
-        return [_Stream(s) for s in PAGES[self.kind]().streams(self.options)]
+        streams = [s for s in PAGES[self.kind]().streams(self.options) if self.only is None or s in self.only]
+        if self.start > self.end:
+            return []
+        return slices(streams, self.start, self.end, float(self.options.get("slice_seconds", 300)))
 
     def read(self, partition):
-        start, end = (datetime.fromisoformat(self.options[k]) for k in ("start", "end"))
-        return read_stream(self.kind, make_client(self.options), partition.name, start, end, self.options)
+        # where nothing is to be read Spark asks for one partition without a name
+        return read_slice(self.kind, make_client(self.options), partition, self.options) if partition else iter([])
 
 
-class TailReader(SimpleDataSourceStreamReader):
-    """Polls streams: offsets hold the polled window and the page tokens that are still open.
+class TailReader(DataSourceStreamReader):
+    """Follows streams: an offset is the time up to which they are read, `lag_seconds` (0) before now.
 
-    Tokens are valid only for their window, so the window moves on only when no stream has one.
+    A batch is the window between two offsets. Its slices are read in tasks, all pages of a slice in
+    one, so page tokens live and end there; a batch that comes again reads the same windows.
     """
 
     def __init__(self, kind: str, options: dict, clock=None):
@@ -231,31 +282,22 @@ class TailReader(SimpleDataSourceStreamReader):
         self.clock = clock or (lambda: datetime.now(timezone.utc))
 
     def initialOffset(self) -> dict:
-        return {"start": self.options["start"], "end": self.options["start"], "open": {}}
-
-    def read(self, start: dict):
-        pages, client = PAGES[self.kind](), make_client(self.options)
-        if start["open"]:
-            begin, end, tokens = start["start"], start["end"], dict(start["open"])
-        else:
-            begin, end = start["end"], self.options.get("now") or self.clock().isoformat()
-            tokens = dict.fromkeys(pages.streams(self.options), "")
-            if begin >= end:
-                return iter([]), start
-        rows, still = [], {}
-        for stream, token in tokens.items():
-            got, following = pages.page(client, stream, datetime.fromisoformat(begin), datetime.fromisoformat(end), token or None, self.options)
-            rows += got
-            if following:
-                still[stream] = following
-        return iter(rows), {"start": begin, "end": end, "open": still}
-
-    def readBetweenOffsets(self, start: dict, end: dict):
-        """The same page again, after a failure."""
-        if start == end:
-            return iter([])
-        again = TailReader(self.kind, self.options | {"now": end["end"]})
-        return again.read(start)[0]
+        return {"at": self.options["start"]}
+
+    def latestOffset(self) -> dict:
+        now = datetime.fromisoformat(self.options["now"]) if "now" in self.options else self.clock()
+        at = now - timedelta(seconds=float(self.options.get("lag_seconds", 0)))
+        return {"at": max(at, datetime.fromisoformat(self.options["start"])).isoformat()}
+
+    def partitions(self, start: dict, end: dict):
+        begin, stop = datetime.fromisoformat(start["at"]), datetime.fromisoformat(end["at"])
+        if begin >= stop:
+            return []
+        return slices(PAGES[self.kind]().streams(self.options), begin, stop, float(self.options.get("slice_seconds", 300)), closed=False)
+
+    def read(self, partition):
+        # where nothing is to be read Spark asks for one partition without a name
+        return read_slice(self.kind, make_client(self.options), partition, self.options) if partition else iter([])
 
 
 class _Source(DataSource):
@@ -263,9 +305,9 @@ class _Source(DataSource):
         return SCHEMA
 
     def reader(self, schema):
-        return _Reader(self.name(), dict(self.options))
+        return Reader(self.name(), dict(self.options))
 
-    def simpleStreamReader(self, schema):
+    def streamReader(self, schema):
         return TailReader(self.name(), dict(self.options))
 
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-import io
 import tarfile
+from collections.abc import Iterator
+from urllib.parse import quote
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -88,30 +91,50 @@ def k8s_identity(path: Column) -> Column:
     return F.struct(part(1, 2).alias("namespace"), part(2, 1).alias("pod"), part(4, 3).alias("container"), F.when(pods, F.regexp_extract(path, _POD_DIR, 3)).alias("uid"))
 
 
+def archive_lines(path: str, rows: int = 4096, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """In a task: the lines of the log files in a tar archive, in batches of bounded rows and bytes."""
+    scheme, rest = ("", path) if ":/" not in path else path.split(":", 1)
+    uri = f"{scheme}:{quote(rest if rest.startswith('//') else '//' + rest, safe='/@:')}"
+    source, at = fs.FileSystem.from_uri(uri) if scheme else (fs.LocalFileSystem(), path)
+    # as they are, whatever their extension: tarfile unpacks them while it reads
+    with source.open_input_stream(at, compression=None) as raw, tarfile.open(fileobj=raw, mode="r|*") as tar:
+        for m in tar:
+            if not m.isfile() or not (m.name.endswith((".log", ".txt", ".json")) or ".log." in m.name):
+                continue
+            text, first, held = [], 0, 0
+            for line in tar.extractfile(m):
+                text.append(line.decode("utf-8", "replace").rstrip("\n\r"))
+                held += len(line)
+                if len(text) == rows or held >= size:
+                    yield _member_lines(text, f"{path}!/{m.name}", first)
+                    text, first, held = [], first + len(text), 0
+            if text:
+                yield _member_lines(text, f"{path}!/{m.name}", first)
+
+
+def _member_lines(text: list[str], name: str, first: int) -> pa.RecordBatch:
+    n = len(text)
+    return pa.RecordBatch.from_pydict({"text": text, "source_ref": [name] * n, "ordinal": range(first, first + n)}, pa.schema([("text", pa.string()), ("source_ref", pa.string()), ("ordinal", pa.int64())]))
+
+
 def read_k8s_export(spark: SparkSession, paths: list[str] | str, recursive: bool = True) -> DataFrame:
     """Lines of exported container logs: plain and .gz files, and members of tar archives.
 
-    Fields missing in a line come from the path (namespace, pod, container). Archives are
-    opened one to a task; their lines stream, so that none is held whole.
+    Fields missing in a line come from the path (namespace, pod, container). Archives are opened
+    one to a task and read forward, line by line; no archive or member is held whole. They are
+    opened by pyarrow, so they must lie where it reads: local, HDFS, S3 or GCS paths.
     """
     reader = spark.read.option("recursiveFileLookup", str(recursive).lower())
     archives = r"(?i)\.(tar|tgz|tar\.gz|tar\.bz2|tar\.xz)$"
     plain = read_lines(spark, paths, recursive).where(~F.col("source_ref").rlike(archives))
 
     def members(rows):
-        import pandas as pd
-
-        for pdf in rows:
-            for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                with tarfile.open(fileobj=io.BytesIO(content), mode="r:*") as tar:
-                    for m in tar:
-                        if not m.isfile() or not (m.name.endswith((".log", ".txt", ".json")) or ".log." in m.name):
-                            continue
-                        data = tar.extractfile(m).read()
-                        lines = data.decode("utf-8", "replace").splitlines()
-                        yield pd.DataFrame({"text": lines, "source_ref": f"{path}!/{m.name}", "ordinal": range(len(lines))})
-
-    packed = reader.format("binaryFile").load(paths).where(F.col("path").rlike(archives)).select("path", "content").mapInPandas(members, "text string, source_ref string, ordinal long")
+        for batch in rows:
+            for path in batch.column(0).to_pylist():
+                yield from archive_lines(path)
+
+    found = reader.format("binaryFile").load(paths).where(F.col("path").rlike(archives)).select("path")
+    packed = found.mapInArrow(members, "text string, source_ref string, ordinal long")
     none = lambda kind: F.lit(None).cast(kind)
     packed = packed.select("text", "source_ref", "ordinal", none("timestamp").alias("received_at"), none("string").alias("default_service"), none("string").alias("default_environment"), none("string").alias("default_host"), none("map<string,string>").alias("extra"))
     k = k8s_identity(F.col("source_ref"))

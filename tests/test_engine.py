@@ -153,19 +153,6 @@ def test_connectors(spark, monkeypatch):
         connectors.register(spark, ["nope"])
 
 
-def test_tail_offsets(monkeypatch):
-    monkeypatch.setattr(connectors, "make_client", lambda o: FakeCloudWatch.__new__(FakeCloudWatch))
-    monkeypatch.setattr(FakeCloudWatch, "calls", 5, raising=False)
-    r = connectors.TailReader("cloudwatch", {"start": T0.isoformat(), "log_group": "g"}, clock=lambda: T0 + timedelta(minutes=1))
-    start = r.initialOffset()
-    rows, one = r.read(start)
-    assert [x[0] for x in rows] == ["line 0"] and one["open"] == {"g": "1"}
-    assert [x[0] for x in r.readBetweenOffsets(start, one)] == ["line 0"]
-    rows, two = r.read(one)
-    assert two["end"] == one["end"] and two["open"] == {"g": "2"}  # the window stays while tokens are open
-    assert r.read(two)[1]["open"] == {}
-
-
 def test_stream_ingest_is_exactly_once(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()
