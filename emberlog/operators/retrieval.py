@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import re
 from dataclasses import dataclass
 
@@ -85,11 +86,12 @@ def retrieve(entries: DataFrame, question: str, vectors: DataFrame | None = None
     if embed is not None and vectors is not None:
         try:
             query = embed(question)
-            hits = semantic_search(entries, vectors, query, level=level, **filters) if query else None
-            if hits is not None and not hits.isEmpty():
-                return hits, "semantic"
-        except Exception:  # noqa: BLE001 - any failure of the provider falls through to keywords
-            pass
+        except Exception as e:  # any failure of the provider falls through to keywords, none of the tables
+            logging.getLogger(__name__).warning("keywords in place of vectors: %s", e)
+            query = None
+        hits = semantic_search(entries, vectors, query, level=level, **filters) if query else None
+        if hits is not None and not hits.isEmpty():
+            return hits, "semantic"
     hits = keyword_search(entries, keywords(question), level=level, **filters)
     if not hits.isEmpty():
         return hits, "keyword"

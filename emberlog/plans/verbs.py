@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass, replace
 from datetime import datetime, timedelta, timezone
 
@@ -44,6 +45,8 @@ class Analyzer:
 
     def __init__(self, entries: DataFrame, scope: str = "default", options: Options | None = None, embed=None, embed_text=None, cluster_embeddings: DataFrame | None = None, log_embeddings: DataFrame | None = None):
         self.entries, self.scope, self.options = entries, scope, options or Options()
+        #: How the last clusters were merged: by fingerprint alone, or by vectors, too.
+        self.merge_mode = "fingerprint"
         self.embed, self.embed_text, self.cluster_embeddings, self.log_embeddings = embed, embed_text, cluster_embeddings, log_embeddings
 
     def clusters(self, window: Window, service: str | None = None, environment: str | None = None, job_id: str | None = None, top: int | None = None) -> DataFrame:
@@ -55,11 +58,20 @@ class Analyzer:
             return found
         found = found.persist()
         try:
-            vectors = self.embed(found.select("fingerprint", F.col("representative_message").alias("template"))).select("fingerprint", "embedding")
-            merged = semantic.merge_clusters(found, vectors, o.merge_threshold, o.merge_min_count, top)
-            return found.sparkSession.createDataFrame(merged.collect(), merged.schema)  # at most `top` rows
-        except Exception:  # noqa: BLE001 - clusters must come also where the provider fails
-            return cluster.rank(found, top)
+            try:
+                vectors = self.embed(found.select("fingerprint", F.col("representative_message").alias("template"))).select("fingerprint", "embedding").persist()
+                vectors.count()  # here and nowhere else the provider works
+            except Exception as e:  # clusters come also where the provider fails; other failures are no one's to hide
+                logging.getLogger(__name__).warning("clusters stay unmerged: %s", e)
+                self.merge_mode = "fingerprint"
+                ranked = cluster.rank(found, top)
+                return ranked.sparkSession.createDataFrame(ranked.collect(), ranked.schema)
+            try:
+                self.merge_mode = "semantic"
+                merged = semantic.merge_clusters(found, vectors, o.merge_threshold, o.merge_min_count, top)
+                return found.sparkSession.createDataFrame(merged.collect(), merged.schema)  # at most `top` rows
+            finally:
+                vectors.unpersist()
         finally:
             found.unpersist()
 

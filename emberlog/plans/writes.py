@@ -16,24 +16,36 @@ from ..sources import lines
 from .verbs import Analyzer
 
 
-def found_paths(spark: SparkSession, paths: list[str]) -> list[str]:
-    """The paths at which there are files, each once, in order; others are left out."""
+def found_paths(spark: SparkSession, paths: list[str], recursive: bool = False) -> list[str]:
+    """The paths at which there are files, each once, in order, as the file system names them.
 
-    def there(path: str) -> bool:
+    What is read with another listed folder anyway is left out: its files, and with `recursive`
+    all below it.
+    """
+    folders: set[str] = set()
+
+    def where(path: str) -> str | None:
         try:
-            spark.read.text(path)
+            spark.read.option("recursiveFileLookup", str(recursive).lower()).text(path)
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return False
-        return True
+            return None
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        name = fs.makeQualified(p).toString().rstrip("/")
+        if fs.exists(p) and fs.getFileStatus(p).isDirectory():
+            folders.add(name)
+        return name
 
-    return [p for p in dict.fromkeys(p.rstrip("/") for p in paths) if there(p)]
+    found = list(dict.fromkeys(w for p in paths if (w := where(p.rstrip("/") or "/"))))
+    within = lambda p, q: p != q and p.startswith(f"{q}/") and (recursive or p not in folders and p.rpartition("/")[0] == q)
+    return [p for p in found if not any(within(p, q) for q in folders)]
 
 
 def ingest_files(spark: SparkSession, paths: list[str], store: str, fmt: str = "auto", recursive: bool = False, scope: str = DEFAULT_SCOPE, job_id: str | None = None, service: str | None = None) -> dict[str, int]:
     """Files into the store; the format of a file is decided once for all of its lines."""
-    paths = found_paths(spark, paths)
+    paths = found_paths(spark, paths, recursive)
     if not paths:
         return {"parsed": 0, "inserted": 0, "skipped": 0}
     raw = lines.file_format(lines.read_lines(spark, paths, recursive, default_service=service), fmt)

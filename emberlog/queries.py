@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .functions import patterns, text
 from .functions.timeutil import Window
-from .operators import cluster, compare, evidence, ingest, parse, registry, retention, retrieval, semantic
+from .operators import cluster, compare, evidence, ingest, parse, registry, retention, retrieval, semantic, vectorindex
 from .operators import timeline as timelines
 from .plans.verbs import Analyzer
 from .session import shared_dir
@@ -43,11 +43,16 @@ LEVEL = "CASE event_type WHEN 'error' THEN 'error' WHEN 'purchase' THEN 'warn' W
 SCOPE = "CASE WHEN user_id % 10 = 0 THEN 'other' ELSE 'default' END"
 
 
-def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events as log entries."""
+def plain_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as log entries without template and fingerprint, for what needs neither."""
     e = table(spark, sf_dir, "events").selectExpr("CAST(event_id AS STRING) AS id", "CAST(ts AS TIMESTAMP) AS timestamp", "concat('svc-', user_id % 5) AS service", f"{LEVEL} AS level", f"{SCOPE} AS scope", f"{MESSAGE} AS raw_message", "concat('job-', event_id % 4) AS ingestion_job_id")
-    norm = text.normalize(F.col("raw_message"))
-    return e.withColumn("environment", F.lit("prod")).withColumn("normalized_message", norm).withColumn("fingerprint", text.fingerprint(F.col("normalized_message")))
+    return e.withColumn("environment", F.lit("prod"))
+
+
+def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as log entries; each message is normalised once, however often a plan names it."""
+    e = parse.once(plain_logs(spark, sf_dir), "normalized_message", text.normalize(F.col("raw_message")))
+    return e.withColumn("fingerprint", text.fingerprint(F.col("normalized_message")))
 
 
 def _sql_normal(column: str) -> str:
@@ -139,12 +144,12 @@ def level_canonical(spark, sf_dir):
 
 @query(f"WITH {LOGS} SELECT id, regexp_matches(raw_message, '{_any(patterns.TRIGGERS)}') AS is_trigger FROM logs")
 def trigger_flag(spark, sf_dir):
-    return logs(spark, sf_dir).select("id", text.is_trigger(F.col("raw_message")).alias("is_trigger"))
+    return plain_logs(spark, sf_dir).select("id", text.is_trigger(F.col("raw_message")).alias("is_trigger"))
 
 
 @query(f"""WITH {LOGS} SELECT id, CASE {" ".join(f"WHEN regexp_matches(raw_message, '(?i){p}') THEN '{t}'" for p, t in patterns.TRIGGER_TYPES)} END AS trigger_type FROM logs""")
 def trigger_type(spark, sf_dir):
-    return logs(spark, sf_dir).select("id", text.trigger_type(F.col("raw_message")).alias("trigger_type"))
+    return plain_logs(spark, sf_dir).select("id", text.trigger_type(F.col("raw_message")).alias("trigger_type"))
 
 
 @query(f"""WITH {LOGS} SELECT id, regexp_matches(raw_message, '(?i)retry') AND regexp_matches(raw_message, '(?i)evt_') AS is_retry,
@@ -154,7 +159,7 @@ CASE WHEN regexp_matches(lower(raw_message), 'deploy|release|rollout|pushed|prom
 CASE WHEN regexp_matches(lower(raw_message), '500|error|fail') THEN 0 WHEN regexp_matches(lower(raw_message), 'latency|slow|timeout') THEN 1 ELSE 2 END AS severity FROM logs""")
 def message_classes(spark, sf_dir):
     m = F.col("raw_message")
-    return logs(spark, sf_dir).select("id", text.is_retry(m).alias("is_retry"), text.is_queue_growth(m).alias("is_queue"), text.trigger_key(m).alias("trigger_key"), text.token_estimate(m).alias("tokens"), text.timeline_trigger_class(m).alias("trigger_class"), text.effect_severity(m).alias("severity"))
+    return plain_logs(spark, sf_dir).select("id", text.is_retry(m).alias("is_retry"), text.is_queue_growth(m).alias("is_queue"), text.trigger_key(m).alias("trigger_key"), text.token_estimate(m).alias("tokens"), text.timeline_trigger_class(m).alias("trigger_class"), text.effect_severity(m).alias("severity"))
 
 
 @query("""SELECT doc_id, CASE WHEN length(text) <= 60 THEN text WHEN p > 30 THEN substr(h, 1, p) || '…' ELSE h || '…' END AS short
@@ -193,12 +198,12 @@ def baseline_count(spark, sf_dir):
 
 @query(f"WITH {LOGS} SELECT count(*) AS n FROM logs WHERE {_between(A)} AND service = 'svc-1' AND ingestion_job_id = 'job-2'")
 def window_count(spark, sf_dir):
-    return cluster.in_window(logs(spark, sf_dir), A, service="svc-1", job_id="job-2").agg(F.count("*").alias("n"))
+    return cluster.in_window(plain_logs(spark, sf_dir), A, service="svc-1", job_id="job-2").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {LOGS} SELECT ingestion_job_id AS job_id, max(epoch_us(timestamp)) AS finished_at FROM logs GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1")
 def latest_job(spark, sf_dir):
-    jobs = logs(spark, sf_dir).groupBy(F.col("ingestion_job_id").alias("job_id")).agg(F.max(F.unix_micros("timestamp")).alias("finished_at"))
+    jobs = plain_logs(spark, sf_dir).groupBy(F.col("ingestion_job_id").alias("job_id")).agg(F.max(F.unix_micros("timestamp")).alias("finished_at"))
     return jobs.orderBy(F.desc("finished_at"), "job_id").limit(1)
 
 
@@ -487,7 +492,7 @@ _CUTS = {"default": ("2024-01-21", "2024-01-11"), "other": (None, "2024-01-26")}
 
 
 def _tables(spark, sf_dir):
-    e = logs(spark, sf_dir).withColumn("created_at", F.col("timestamp"))
+    e = plain_logs(spark, sf_dir).withColumn("created_at", F.col("timestamp"))
     runs = e.where("level = 'info'").select("id", "scope", F.lit(None).cast("timestamp").alias("window_end"), "created_at")
     members = e.select(F.col("id").alias("log_entry_id"), F.concat(F.lit("c"), F.pmod(F.col("id").cast("bigint"), F.lit(100))).alias("cluster_id"))
     return {"log_entries": e, "cluster_members": members, "cluster_runs": runs, "clusters": runs.select(F.col("id").alias("run_id"), F.concat(F.lit("c"), "id").alias("cluster_id")), "explanations": e.where("level = 'error'").select("id", "scope", "created_at")}
@@ -495,7 +500,11 @@ def _tables(spark, sf_dir):
 
 def _policies(spark, tables):
     overrides = spark.createDataFrame(_POLICY, "scope string, raw_interval string, summary_interval string")
-    return retention.policies(retention.scopes_of([tables["log_entries"], tables["cluster_runs"], tables["explanations"]]), overrides, "30d", "20d", NOW)
+    policy = retention.policies(retention.scopes_of([tables["log_entries"], tables["cluster_runs"], tables["explanations"]]), overrides, "30d", "20d", NOW)
+    # a row for each scope, found once and not for each table that it judges
+    folder = shared_dir(spark)
+    policy.write.parquet(f"{folder}/policy")
+    return spark.read.schema(policy.schema).parquet(f"{folder}/policy")
 
 
 _CUT_SQL = "cuts(scope, raw, summary) AS (VALUES ('default', TIMESTAMP '2024-01-21', TIMESTAMP '2024-01-11'), ('other', NULL, TIMESTAMP '2024-01-26'))"
@@ -525,13 +534,13 @@ def retention_purge(spark, sf_dir):
 
 @query(f"WITH {LOGS} SELECT DISTINCT scope FROM logs UNION SELECT DISTINCT concat('label-', label) FROM embeddings")
 def scopes_union(spark, sf_dir):
-    return retention.scopes_of([logs(spark, sf_dir), table(spark, sf_dir, "embeddings").select(F.concat(F.lit("label-"), "label").alias("scope"))])
+    return retention.scopes_of([plain_logs(spark, sf_dir), table(spark, sf_dir, "embeddings").select(F.concat(F.lit("label-"), "label").alias("scope"))])
 
 
 @query(f"""WITH {LOGS}, g AS (SELECT concat('run-', CAST(id AS BIGINT) % 100 % 10) AS run_id, scope, count(*) AS n FROM logs GROUP BY 1, 2)
 SELECT run_id, scope FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY n DESC, scope) AS r FROM g) WHERE r = 1""")
 def majority_scope(spark, sf_dir):
-    e = logs(spark, sf_dir)
+    e = plain_logs(spark, sf_dir)
     n = F.pmod(F.col("id").cast("bigint"), F.lit(100))
     members = e.select(F.col("id").alias("log_entry_id"), F.concat(F.lit("c"), n).alias("cluster_id"))
     clusters = e.select(F.concat(F.lit("c"), n).alias("cluster_id"), F.concat(F.lit("run-"), n % 10).alias("run_id")).distinct()
@@ -649,7 +658,7 @@ def tail_counts(spark, sf_dir):
 
 @query(f"""WITH {_SOURCES_SQL} SELECT 'log_entries' AS "table", count(*) AS n FROM events UNION ALL SELECT 'sources', count(*) FROM sources UNION ALL SELECT 'jobs', count(*) FROM events""")
 def status_counts(spark, sf_dir):
-    return registry.store_counts({"log_entries": logs(spark, sf_dir), "sources": _sources(spark, sf_dir), "jobs": _jobs(spark, sf_dir)})
+    return registry.store_counts({"log_entries": plain_logs(spark, sf_dir), "sources": _sources(spark, sf_dir), "jobs": _jobs(spark, sf_dir)})
 
 
 @query(f"""WITH {_SOURCES_SQL}, w AS (SELECT DISTINCT c_name AS name, c_mktsegment AS type FROM customer WHERE c_custkey < 40)
@@ -660,7 +669,7 @@ def find_or_create_source(spark, sf_dir):
 
 @query(f"WITH {LOGS} SELECT DISTINCT scope FROM logs WHERE scope <> '' ORDER BY 1")
 def purge_scopes(spark, sf_dir):
-    return registry.scopes_to_purge(logs(spark, sf_dir))
+    return registry.scopes_to_purge(plain_logs(spark, sf_dir))
 
 
 _KEYS_SQL = """keys AS (SELECT concat('k', event_id) AS key, concat('job-', event_id) AS job_id, CAST(ts AS TIMESTAMP) AS expires_at FROM events WHERE event_id % 3 = 0),
@@ -690,7 +699,7 @@ SELECT id, scope FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n D
 def explanation_scopes(spark, sf_dir):
     x = table(spark, sf_dir, "orders").where("o_orderkey % 20 = 0").selectExpr("CAST(o_orderkey AS STRING) AS id", "CASE WHEN o_orderkey % 3 = 0 THEN concat('svc-', o_custkey % 5) END AS service_filter", "CASE WHEN o_orderkey % 4 = 0 THEN 'prod' END AS environment_filter", "TIMESTAMP '2024-01-01' + make_interval(0, 0, 0, 0, CAST(o_orderkey % 600 AS INT), 17) AS window_start", "CAST(o_orderkey % 50 AS INT) AS h")
     x = x.withColumn("window_end", F.expr("window_start + make_interval(0, 0, 0, 0, h)"))
-    return registry.majority_scope_by_window(x, logs(spark, sf_dir))
+    return registry.majority_scope_by_window(x, plain_logs(spark, sf_dir))
 
 
 @query("""WITH n AS (SELECT CAST(label AS VARCHAR) AS scope, CAST(vec_id AS VARCHAR) AS fingerprint, vec_id FROM embeddings)
@@ -819,6 +828,18 @@ def store_upsert(spark, sf_dir):
     return store.read("vectors")
 
 
+@query(ORACLE_SQL["similar_semantic"])
+def similar_indexed(spark, sf_dir):
+    """similar_semantic over stored vectors in cells, written in two parts; all cells are read, so it is exact."""
+    store, at = Store(spark, shared_dir(spark)), F.lit(NOW)
+    s = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("string").alias("scope"), F.col("vec_id").cast("string").alias("fingerprint"), F.lit("t").alias("template"), "embedding", F.lit(None).cast("timestamp").alias("first_seen"), F.lit(None).cast("timestamp").alias("last_seen"), F.lit(1).cast("bigint").alias("count"), at.alias("updated_at"), at.alias("created_at"))
+    for part in (0, 1):
+        vectorindex.put_vectors(store, s.where(F.col("vec_id") % 2 == part).drop("vec_id"))
+    q = s.where(F.col("fingerprint").isin("0", "1", "2", "3", "4")).select("fingerprint", "embedding")
+    found = retrieval.similar_semantic(q, vectorindex.near_vectors(store, q, exact=True), retrieval.Visibility(True, None), "0", 0.3)
+    return found.select("scope", "fingerprint", F.round("similarity", 6).alias("similarity"))
+
+
 def _is_folder(spark, path: str) -> bool:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
