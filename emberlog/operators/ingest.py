@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ from .parse import parse_lines
 KEY = ["scope", "source_ref", "original_line_hash", "timestamp"]
 #: The table of entries in a store, and what it is partitioned by.
 ENTRIES, BY = "log_entries", ("scope", "event_date")
+#: The table of templates: (scope, fingerprint, template), each once, or again where two writers were at work.
+TEMPLATES = "templates"
 
 
 def to_entries(lines: DataFrame, scope: str = DEFAULT_SCOPE, job_id: str | None = None, source_id: str | None = None, adapter: str = "file", created_at: Column | None = None, fmt: Column | None = None) -> DataFrame:
@@ -75,14 +79,16 @@ def new_entries(batch: DataFrame, store: DataFrame | None) -> DataFrame:
     return t.select([F.col(c) if c in KEY else number.alias("id") if c == "id" else F.col(f"_e.{c}").alias(c) for c in batch.columns])
 
 
-def append_entries(batch: DataFrame, path: str, token: tuple[str, int] | None = None, job_id: str | None = None, cursors: dict | None = None, compare: bool = True, tries: int = 5) -> dict[str, int]:
+def append_entries(batch: DataFrame, path: str, token: tuple[str, int] | None = None, job_id: str | None = None, cursors: dict | None = None, compare: bool = True, vectors: Callable[[DataFrame], DataFrame] | None = None, tries: int = 5) -> dict[str, int]:
     """Write what is new to the store at `path` in one version, and count: parsed, inserted, skipped.
 
     Two jobs: the batch is parsed once and kept for the days that it touches, then written;
     rows are counted from what was written. Of the store only these days (and entries
     without a day) are compared; nothing is without `compare`, for a source whose repeats are gone. With a token (name, number), such as of a stream's batch, a batch
     whose number is not above the last one of that name adds nothing: its rows are in the store
-    already, those without time included. The job's counts and cursors are committed with the rows.
+    already, those without time included. The job's counts and cursors are committed with the rows, and
+    so are the templates that are new (table `templates`) and what `vectors` makes of the new entries
+    (table `log_embeddings`; registry.log_vectors with its provider).
     """
     store, none = Store(batch.sparkSession, path), {"parsed": 0, "inserted": 0, "skipped": 0}
     done = lambda v: token is not None and token[1] <= v.note("tokens", token[0], -1)
@@ -120,7 +126,14 @@ def append_entries(batch: DataFrame, path: str, token: tuple[str, int] | None =
                         job["cursors"] = {**job.get("cursors", {}), **cursors}
                 return v
 
-            store.append(ENTRIES, fresh, BY, F.col("created_at"), note)
+            known = store.read(TEMPLATES, version)
+
+            def also(written: DataFrame, known: DataFrame | None = known) -> list[tuple[str, DataFrame, tuple[str, ...]]]:
+                found = written.groupBy("scope", "fingerprint").agg(F.min("normalized_message").alias("template"))
+                out = [(TEMPLATES, found if known is None else found.join(known, ["scope", "fingerprint"], "left_anti"), ("scope",))]
+                return out if vectors is None else [*out, ("log_embeddings", vectors(written), ("scope",))]
+
+            store.append(ENTRIES, fresh, BY, F.col("created_at"), note, also)
             if told:
                 return told[0]
         raise Conflict("other writers have added to these days each time")

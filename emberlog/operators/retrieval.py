@@ -41,17 +41,21 @@ def _newest(t: DataFrame, limit: int) -> DataFrame:
     return t.orderBy(F.desc_nulls_first("timestamp"), "id").limit(limit)
 
 
-def keyword_search(entries: DataFrame, words: list[str], window: Span | None = None, service: str | None = None, level: str | None = None, job_id: str | None = None, scope: str | None = None, limit: int = 500) -> DataFrame:
+def keyword_search(entries: DataFrame, words: list[str], window: Span | None = None, service: str | None = None, level: str | None = None, job_id: str | None = None, scope: str | None = None, limit: int = 500, templates: DataFrame | None = None) -> DataFrame:
     """The newest entries whose template holds any of the first six words, in any case.
 
     In a word, `_` stands for any character and `%` for any characters. Without words all match.
+    With templates(fingerprint, template), as a store keeps them, words are sought in each template
+    once, and lines are found by their fingerprint.
     """
     t = _candidates(entries, window, service, level, job_id, scope)
     hit: Column | None = None
     for w in words[:6]:
-        one = F.col("normalized_message").ilike(f"%{w}%")
+        one = F.col("normalized_message" if templates is None else "template").ilike(f"%{w}%")
         hit = one if hit is None else hit | one
-    return _newest(t if hit is None else t.where(hit), limit)
+    if hit is None:
+        return _newest(t, limit)
+    return _newest(t.where(hit) if templates is None else t.join(templates.where(hit).select("fingerprint").distinct(), "fingerprint", "left_semi").select(t.columns), limit)
 
 
 def fallback_search(entries: DataFrame, window: Span | None = None, service: str | None = None, job_id: str | None = None, scope: str | None = None, limit: int = 500) -> DataFrame:
@@ -76,7 +80,7 @@ def group_hits(hits: DataFrame, top: int = 8) -> DataFrame:
     return g.select("key", F.col("_n.m").alias("message"), F.col("_n.level").alias("level"), "count", "services", "first_seen", "last_seen").orderBy(F.desc("count"), "key").limit(top)
 
 
-def retrieve(entries: DataFrame, question: str, vectors: DataFrame | None = None, embed=None, **filters) -> tuple[DataFrame, str]:
+def retrieve(entries: DataFrame, question: str, vectors: DataFrame | None = None, embed=None, templates: DataFrame | None = None, **filters) -> tuple[DataFrame, str]:
     """Entries that answer a question, and how they were found: semantic, keyword or fallback.
 
     `embed` maps a text to a vector; without it, or if it fails or finds nothing, keywords
@@ -92,7 +96,7 @@ def retrieve(entries: DataFrame, question: str, vectors: DataFrame | None = None
         hits = semantic_search(entries, vectors, query, level=level, **filters) if query else None
         if hits is not None and not hits.isEmpty():
             return hits, "semantic"
-    hits = keyword_search(entries, keywords(question), level=level, **filters)
+    hits = keyword_search(entries, keywords(question), level=level, templates=templates, **filters)
     if not hits.isEmpty():
         return hits, "keyword"
     return fallback_search(entries, **filters), "fallback"

@@ -43,8 +43,9 @@ class Options:
 class Analyzer:
     """Analyses of one scope. `embed` maps a DataFrame with `template` to one with `embedding`."""
 
-    def __init__(self, entries: DataFrame, scope: str = "default", options: Options | None = None, embed=None, embed_text=None, cluster_embeddings: DataFrame | None = None, log_embeddings: DataFrame | None = None):
+    def __init__(self, entries: DataFrame, scope: str = "default", options: Options | None = None, embed=None, embed_text=None, cluster_embeddings: DataFrame | None = None, log_embeddings: DataFrame | None = None, templates: DataFrame | None = None):
         self.entries, self.scope, self.options = entries, scope, options or Options()
+        self.templates = templates
         #: How the last clusters were merged: by fingerprint alone, or by vectors, too.
         self.merge_mode = "fingerprint"
         self.embed, self.embed_text, self.cluster_embeddings, self.log_embeddings = embed, embed_text, cluster_embeddings, log_embeddings
@@ -114,7 +115,7 @@ class Analyzer:
     def ask(self, question: str, window: Window | None = None, service: str | None = None, job_id: str | None = None, now: datetime | None = None, top: int = 8) -> dict:
         """What the log lines that fit a question have in common; without a window, of the last 24 hours."""
         window = window or now_window(now or datetime.now(timezone.utc), timedelta(hours=24))
-        hits, mode = retrieval.retrieve(self.entries, question, self.log_embeddings, self.embed_text, window=window, service=service, job_id=job_id, scope=self.scope)
+        hits, mode = retrieval.retrieve(self.entries, question, self.log_embeddings, self.embed_text, self.templates, window=window, service=service, job_id=job_id, scope=self.scope)
         hits = hits.persist()
         groups, total = [r.asDict() for r in retrieval.group_hits(hits, top).collect()], hits.count()
         hits.unpersist()

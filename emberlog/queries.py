@@ -410,29 +410,29 @@ def similar_fingerprint(spark, sf_dir):
 # Merging by vectors: the vectors stand for ranked clusters
 
 
-def _representatives(spark, sf_dir):
-    """One vector for each label, the one of smallest vec_id; not the whole table."""
-    return table(spark, sf_dir, "embeddings").groupBy("label").agg(F.min_by("embedding", "vec_id").alias("embedding")).select(F.col("label").cast("string").alias("fingerprint"), "embedding")
+def _vectors(spark, sf_dir):
+    """All vectors of the table, each a cluster of its own."""
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("fingerprint"), "embedding")
 
 
-_REPS = "reps AS (SELECT CAST(label AS VARCHAR) AS fingerprint, CAST(arg_min(embedding, vec_id) AS DOUBLE[]) AS e FROM embeddings GROUP BY label)"
-_EDGES = "edges AS (SELECT a.fingerprint AS a, b.fingerprint AS b, list_cosine_similarity(a.e, b.e) AS s FROM reps a JOIN reps b ON a.fingerprint < b.fingerprint WHERE list_cosine_similarity(a.e, b.e) >= 0.12)"
+_REPS = "reps AS MATERIALIZED (SELECT CAST(vec_id AS VARCHAR) AS fingerprint, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)"
+_EDGES = "edges AS MATERIALIZED (SELECT * FROM (SELECT a.fingerprint AS a, b.fingerprint AS b, list_cosine_similarity(a.e, b.e) AS s FROM reps a JOIN reps b ON a.fingerprint < b.fingerprint) WHERE s >= 0.45)"
 
 
 @query(f"WITH {_REPS}, {_EDGES} SELECT a, b, round(s, 6) AS similarity FROM edges")
 def merge_edges(spark, sf_dir):
-    return semantic.merge_edges(_representatives(spark, sf_dir), 0.12).select("a", "b", F.round("similarity", 6).alias("similarity"))
+    return semantic.merge_edges(_vectors(spark, sf_dir), 0.45).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 @query(f"""WITH RECURSIVE {_REPS}, {_EDGES}, both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges), reach AS (SELECT fingerprint AS n, fingerprint AS m FROM reps UNION SELECT n, b FROM reach JOIN both_ways ON m = a),
-comp AS (SELECT n, min(m) AS component FROM reach GROUP BY n) SELECT component, count(*) AS size, sum(c)::BIGINT AS "count" FROM comp JOIN (SELECT CAST(label AS VARCHAR) AS n, count(*) AS c FROM embeddings GROUP BY label) USING (n) GROUP BY 1""")
+comp AS (SELECT n, min(m) AS component FROM reach GROUP BY n) SELECT component, count(*) AS size, sum(label)::BIGINT AS labels FROM comp JOIN (SELECT CAST(vec_id AS VARCHAR) AS n, label FROM embeddings) USING (n) GROUP BY 1""")
 def merge_components(spark, sf_dir):
     from .operators.graph import min_label_components
 
-    reps = _representatives(spark, sf_dir)
-    parts = min_label_components(reps.select(F.col("fingerprint").alias("node")), semantic.merge_edges(reps, 0.12))
-    sizes = table(spark, sf_dir, "embeddings").groupBy(F.col("label").cast("string").alias("node")).agg(F.count("*").alias("c"))
-    return parts.join(sizes, "node").groupBy("component").agg(F.count("*").alias("size"), F.sum("c").alias("count"))
+    v = _vectors(spark, sf_dir)
+    parts = min_label_components(v.select(F.col("fingerprint").alias("node")), semantic.merge_edges(v, 0.45))
+    labels = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("node"), "label")
+    return parts.join(labels, "node").groupBy("component").agg(F.count("*").alias("size"), F.sum("label").alias("labels"))
 
 
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -840,6 +840,17 @@ def similar_indexed(spark, sf_dir):
     return found.select("scope", "fingerprint", F.round("similarity", 6).alias("similarity"))
 
 
+@query(ORACLE_SQL["ask_keyword"])
+def ask_templates(spark, sf_dir):
+    """ask_keyword over stored entries: words are sought in the store's templates, lines found by fingerprint."""
+    folder = shared_dir(spark)
+    e = logs(spark, sf_dir).withColumn("source_ref", F.col("ingestion_job_id")).withColumn("original_line_hash", F.col("id")).withColumn("created_at", F.lit(NOW))
+    ingest.append_entries(e, folder)
+    store = Store(spark, folder)
+    hits = retrieval.keyword_search(store.read("log_entries"), retrieval.keywords(QUESTION), A, level=retrieval.level_hint(QUESTION), scope="default", templates=store.read("templates"))
+    return hits.select("id", _micros("timestamp"), "fingerprint")
+
+
 def _is_folder(spark, path: str) -> bool:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()

@@ -146,23 +146,26 @@ class Store:
         version = version or self.version()
         if name not in version.tables:
             return None
-        schema = T.StructType.fromJson(json.loads(version.tables[name]["schema"]))
-        pieces = version.pieces(name) if pieces is None else pieces
+        return self._rows(version.tables[name]["schema"], version.pieces(name) if pieces is None else pieces)
+
+    def _rows(self, schema_json: str, pieces: list[dict]) -> DataFrame:
+        schema = T.StructType.fromJson(json.loads(schema_json))
         if not pieces:
             return self.spark.createDataFrame([], schema)
         reader = self.spark.read.schema(schema).option("basePath", f"{self.root}/data")
         return reader.parquet(*[f"{self.root}/data/{p['path']}" for p in pieces]).select(schema.names)
 
-    def append(self, name: str, rows: DataFrame, by: Iterable[str], age: Column | None = None, note: Callable[[Version, int], Version | None] | None = None) -> int:
+    def append(self, name: str, rows: DataFrame, by: Iterable[str], age: Column | None = None, note: Callable[[Version, int], Version | None] | None = None, also: Callable[[DataFrame], list[tuple[str, DataFrame, tuple[str, ...]]]] | None = None) -> int:
         """Add rows in one version, and return their number.
 
         `note` is given the version before the rows are added, and their number; it may change the
-        version's notes along with them, and withdraws the rows by None.
+        version's notes along with them, and withdraws the rows by None. `also` is given the rows as
+        they were written, and names rows of other tables that come with them: (table, rows, by).
         """
         by = list(by)
         schema, pieces = self.write(rows, by, age)
         n = sum(p["rows"] for p in pieces)
-
+        more = [(t, *self.write(r, b), list(b)) for t, r, b in also(self._rows(schema, pieces))] if also and n else []
         added = []
 
         def change(v: Version) -> Version | None:
@@ -170,7 +173,8 @@ class Store:
             if note and note(v, n) is None:
                 added[:] = [0]
                 return None
-            v.with_table(name, schema, by).tables[name]["pieces"] += pieces
+            for table, kind, parts, columns in [(name, schema, pieces, by), *more]:
+                v.with_table(table, kind, columns).tables[table]["pieces"] += parts
             return v
 
         self.update(change)

@@ -32,6 +32,31 @@ def test_policies_are_found_once(spark):
     assert plan(queries.retention_counts(spark, SF)).count("Relation") <= 12
 
 
+def test_words_are_sought_in_templates_only(spark):
+    text = queries.ask_templates(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    sought = [x for x in text.splitlines() if "like" in x.lower() or "contains" in x.lower()]
+    assert sought and all("normalized_message" not in x.split("Filter")[-1] for x in sought)
+
+
+def test_vectors_come_with_the_batch(spark, tmp_path):
+    from functools import partial
+
+    from emberlog.operators import ingest, registry
+    from emberlog.sources.store import Store
+    from emberlog.streaming import tail
+
+    lines = tail.with_line_fields(spark.createDataFrame([("2026-03-12T22:01:10Z ERROR api down 17", "f"), ("2026-03-12T22:01:11Z ERROR api down 18", "f")], "text string, source_ref string"))
+    path, vectors = str(tmp_path / "s"), partial(registry.log_vectors, embed=embed.embed, dim=64, model="m")
+    entries = ingest.to_entries(lines)
+    for _ in range(2):
+        ingest.append_entries(entries, path, vectors=vectors)
+    store = Store(spark, path)
+    assert {r.log_entry_id for r in store.read("log_embeddings").collect()} == {r.id for r in store.read("log_entries").collect()}
+    assert store.read("log_embeddings").count() == 2 and store.read("templates").count() == store.read("log_entries").select("fingerprint").distinct().count()
+    hits, mode = retrieval.retrieve(store.read("log_entries"), "api down", store.read("log_embeddings").select(F.col("log_entry_id").alias("id"), "embedding"), embed.embed_text)
+    assert mode in ("semantic", "keyword") and hits.count() == 2
+
+
 def test_paths_are_read_once(spark, tmp_path):
     (tmp_path / "d" / "sub").mkdir(parents=True)
     for p in ("d/a.log", "d/sub/b.log"):
