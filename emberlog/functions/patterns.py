@@ -125,6 +125,40 @@ BRACKET_LEVELS = "FATAL|CRITICAL|ERROR|ERR|WARN(?:ING)?|INFO|DEBUG|TRACE"
 CRI_LINE = r"^(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:\d{2}))\s+(stdout|stderr)\s+([FP])\s+(.*)$"
 KUBECTL_LINE = r"^\[(?:([\w.-]+)/)?([\w.-]+)/([\w.-]+)\]\s+(.*)$"
 
+# The four shapes of text lines, by what they begin with: a time and service, a level, a
+# time behind a prefix that names the service, brackets.
+LINE_SHAPES = {
+    "s": rf"(?iuUd)^(\S+(?:\s\S+)?)\s+({LEVEL_WORDS})\s+(\S+)\s+(.+)$",
+    "l": rf"(?iuUd)^({LEVEL_WORDS})\s+(\S+)\s+(.+)$",
+    "t": rf"(?iuUd)^(\S+(?:\s\S+)?)\s+({LEVEL_WORDS})\s+(.+)$",
+    "b": rf"(?iuUd)^\[([^\]]+)\]\s*\[?({BRACKET_LEVELS})\]?\s*(.+)$",
+}
+
+# Words of timeline events and effects.
+DEPLOY_WORDS = "deploy release rollout pushed promote"
+STARTUP_WORDS = "started starting boot launch listening port"
+SYMPTOM_WORDS = "queue pending backlog"
+FAILURE_WORDS = "500 error fail"
+SLOWNESS_WORDS = "latency slow timeout"
+
+# Sentences of evidence, each with the condition under which it stands.
+NO_EVIDENCE = ["Total logs in window: {total}", "No significant error clusters detected"]
+PRIMARY_EVIDENCE = [
+    ("found", "{count} similar failures in {where}"),
+    ("unseen", "Not observed in prior 24h baseline"),
+    ("surging", "Count increased {change_ratio:.0f}x vs baseline ({baseline_count} prior events)"),
+    ("recurring", "Baseline had {baseline_count} similar events (change ratio: {change_ratio:.1f}x)"),
+    ("triggered", "First error spike occurred {minutes}m after {trigger}"),
+    ("endpoint", "Endpoint '{endpoint}' appears in the primary error cluster"),
+]
+SECONDARY_EVIDENCE = [
+    ("pending", "Webhook queue grew to {pending} pending items (observed in {log_events})"),
+    ("later failures", "{count} checkout 500s in {where} started after the primary failure spike"),
+    ("later slowness", "{count} elevated-latency checkout responses followed the same period"),
+    ("later", "{count} '{short}' events in {where} (started after primary)"),
+    ("found", "Related: {count} '{short}' events in {where}"),
+]
+
 # Sentences and titles of the texts that are returned.
 INSUFFICIENT = [
     "Incident summary",

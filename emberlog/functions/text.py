@@ -102,15 +102,15 @@ def _has(text: Column, words: str) -> Column:
 
 
 def timeline_trigger_class(message: Column) -> Column:
-    return F.when(_has(message, "deploy release rollout pushed promote"), F.lit("deploy")).when(_has(message, "started starting boot launch listening port"), F.lit("startup")).otherwise(F.lit("trigger"))
+    return F.when(_has(message, patterns.DEPLOY_WORDS), F.lit("deploy")).when(_has(message, patterns.STARTUP_WORDS), F.lit("startup")).otherwise(F.lit("trigger"))
 
 
 def timeline_effect_class(message: Column, same_as_primary: Column) -> Column:
-    return F.when(_has(message, "queue pending backlog"), F.lit("symptom")).when(same_as_primary, F.lit("error")).otherwise(F.lit("effect"))
+    return F.when(_has(message, patterns.SYMPTOM_WORDS), F.lit("symptom")).when(same_as_primary, F.lit("error")).otherwise(F.lit("effect"))
 
 
 def effect_severity(text: Column) -> Column:
-    return F.when(_has(text, "500 error fail"), 0).when(_has(text, "latency slow timeout"), 1).otherwise(2)
+    return F.when(_has(text, patterns.FAILURE_WORDS), 0).when(_has(text, patterns.SLOWNESS_WORDS), 1).otherwise(2)
 
 
 def trigger_key(message: Column) -> Column:

@@ -226,14 +226,8 @@ def with_parsed_text(lines: DataFrame, column: str = "text", default_service: st
     `[time] [LEVEL] message`, and else time and level wherever they stand. The shape is found
     first; groups are then taken from its pattern alone.
     """
-    lv = patterns.LEVEL_WORDS
+    lv, shapes = patterns.LEVEL_WORDS, patterns.LINE_SHAPES
     cri, kubectl = "(?Ud)" + patterns.CRI_LINE, "(?Ud)" + patterns.KUBECTL_LINE
-    shapes = {
-        "s": rf"(?iuUd)^(\S+(?:\s\S+)?)\s+({lv})\s+(\S+)\s+(.+)$",
-        "l": rf"(?iuUd)^({lv})\s+(\S+)\s+(.+)$",
-        "t": rf"(?iuUd)^(\S+(?:\s\S+)?)\s+({lv})\s+(.+)$",
-        "b": rf"(?iuUd)^\[([^\]]+)\]\s*\[?({patterns.BRACKET_LEVELS})\]?\s*(.+)$",
-    }
     c, group = F.col, F.regexp_extract
     fits = lambda text, pattern: F.coalesce(c(text).rlike(pattern), F.lit(False))
     t = once(lines, "_raw", strip(c(column)))

@@ -131,7 +131,7 @@ def majority_scope_by_window(explanations: DataFrame, entries: DataFrame) -> Dat
     inside = (F.col("hour") >= F.col("window_start")) & (F.col("hour") + F.expr("interval 1 hour") <= F.col("window_end") + F.expr("interval 1 microsecond"))
     summed = at.groupBy("scope", "service", "environment", "hour", "day").agg(F.count("*").alias("n"))
     whole = spans.join(summed, "day").where(inside & fits).select("id", "scope", "n")
-    cut = spans.select("id", "window_start", "window_end", "service_filter", "environment_filter", F.explode(F.array_distinct(F.array(hour("window_start"), hour("window_end")))).alias("hour"))
+    cut = e.select("id", "window_start", "window_end", "service_filter", "environment_filter", F.explode(F.array_distinct(F.array(hour("window_start"), hour("window_end")))).alias("hour"))
     edges = cut.where(~inside).join(at.drop("day"), "hour").where(fits & F.col("timestamp").between(F.col("window_start"), F.col("window_end"))).select("id", "scope", F.lit(1).cast("bigint").alias("n"))
     counted = whole.unionByName(edges).groupBy("id", "scope").agg(F.sum("n").alias("n"))
     return counted.groupBy("id").agg(F.min(F.struct((-F.col("n")).alias("n"), "scope")).alias("_b")).select("id", F.col("_b.scope").alias("scope"))

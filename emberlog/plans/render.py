@@ -31,41 +31,37 @@ def _events(n: int) -> str:
     return f"{n} {'event' if n == 1 else 'events'}"
 
 
-def _baseline_item(c) -> str:
-    if c["baseline_count"] == 0:
-        return "Not observed in prior 24h baseline"
-    if c["change_ratio"] > 10:
-        return f"Count increased {c['change_ratio']:.0f}x vs baseline ({c['baseline_count']} prior events)"
-    return f"Baseline had {c['baseline_count']} similar events (change ratio: {c['change_ratio']:.1f}x)"
-
-
-def _secondary_item(c, primary) -> str:
+def _primary_facts(c, triggers: list) -> dict:
+    """What holds of the primary cluster: the values of its sentences, None where one does not hold."""
+    facts, message = dict(c, where=services_label(c["services"]), found=True), c["representative_message"] or ""
+    facts |= {"unseen": c["baseline_count"] == 0 or None, "endpoint": m[0] if (m := re.search(r"/\S+", message)) else None}
+    facts["surging"] = not facts["unseen"] and c["change_ratio"] > 10 or None
+    facts["recurring"] = not facts["unseen"] and not facts["surging"] or None
+    first = next((t for t in triggers[:1] if t["timestamp"] and c["first_seen"]), None)
+    apart = int((c["first_seen"] - first["timestamp"]).total_seconds() / 60) if first else -1
+    return facts | {"minutes": apart, "triggered": 0 <= apart <= 30 or None, "trigger": cut(first["message"], 50).lower() if first else None}
+
+
+def _secondary_facts(c, primary) -> dict:
+    """What holds of another cluster beside the primary one."""
+    short = cut(c["representative_message"], 60)
+    later = bool(c["first_seen"] and primary["first_seen"] and c["first_seen"] >= primary["first_seen"]) or None
     queue = re.search(r"(\d+)\s+events?\s+pending", c["representative_message"] or "")
-    if queue:
-        return f"Webhook queue grew to {queue[1]} pending items (observed in {c['count']} log {'event' if c['count'] == 1 else 'events'})"
-    message, where = cut(c["representative_message"], 60), services_label(c["services"])
-    if not (c["first_seen"] and primary["first_seen"] and c["first_seen"] >= primary["first_seen"]):
-        return f"Related: {c['count']} '{message}' events in {where}"
-    if "500" in message or "error" in message.lower():
-        return f"{c['count']} checkout 500s in {where} started after the primary failure spike"
-    if "latency" in message.lower():
-        return f"{c['count']} elevated-latency checkout responses followed the same period"
-    return f"{c['count']} '{message}' events in {where} (started after primary)"
+    failing = "500" in short or "error" in short.lower()
+    return dict(c, where=services_label(c["services"]), short=short, log_events=f"{c['count']} log {'event' if c['count'] == 1 else 'events'}", found=True, later=later, pending=queue[1] if queue else None) | {
+        "later failures": later and failing or None,
+        "later slowness": later and "latency" in short.lower() or None,
+    }
 
 
 def evidence_items(primary, secondary: list, triggers: list, total: int, most: int = 8) -> list[str]:
-    """Sentences that support an explanation, the strongest first."""
+    """Sentences that support an explanation, the strongest first: all that hold of the primary
+    cluster, and of up to three others the first that holds."""
     if primary is None:
-        return [f"Total logs in window: {total}", "No significant error clusters detected"]
-    items = [f"{primary['count']} similar failures in {services_label(primary['services'])}", _baseline_item(primary)]
-    if triggers and primary["first_seen"] and triggers[0]["timestamp"]:
-        minutes = int((primary["first_seen"] - triggers[0]["timestamp"]).total_seconds() / 60)
-        if 0 <= minutes <= 30:
-            items.append(f"First error spike occurred {minutes}m after {cut(triggers[0]['message'], 50).lower()}")
-    endpoint = re.search(r"/\S+", primary["representative_message"] or "")
-    if endpoint:
-        items.append(f"Endpoint '{endpoint[0]}' appears in the primary error cluster")
-    return (items + [_secondary_item(c, primary) for c in secondary[:3]])[:most]
+        return [x.format(total=total) for x in patterns.NO_EVIDENCE]
+    said = lambda facts, table: [x.format_map(facts) for condition, x in table if facts[condition] is not None]
+    items = said(_primary_facts(primary, triggers), patterns.PRIMARY_EVIDENCE)
+    return (items + [said(_secondary_facts(c, primary), patterns.SECONDARY_EVIDENCE)[0] for c in secondary[:3]])[:most]
 
 
 def summary(packet: dict) -> str:

@@ -627,11 +627,11 @@ def _jobs(spark, sf_dir):
 
 
 def _sources(spark, sf_dir):
-    return table(spark, sf_dir, "customer").where("c_custkey < 15").selectExpr("concat('src-', c_custkey) AS id", "c_name AS name", "c_mktsegment AS type")
+    return table(spark, sf_dir, "customer").selectExpr("concat('src-', c_custkey) AS id", "c_name AS name", "c_mktsegment AS type")
 
 
 _JOBS_SQL = f"jobs AS (SELECT CAST(event_id AS VARCHAR) AS id, {_JOB} AS status, {_MODE} AS mode, {SCOPE} AS scope, concat('src-', user_id % 20) AS source_id, event_id % 100 AS parsed_count, CAST(ts AS TIMESTAMP) AS finished_at FROM events)"
-_SOURCES_SQL = "sources AS (SELECT concat('src-', c_custkey) AS id, c_name AS name, c_mktsegment AS type FROM customer WHERE c_custkey < 15)"
+_SOURCES_SQL = "sources AS (SELECT concat('src-', c_custkey) AS id, c_name AS name, c_mktsegment AS type FROM customer)"
 
 
 @query(f"WITH {_JOBS_SQL}, {_SOURCES_SQL} SELECT j.id, name AS source_name, parsed_count, epoch_us(finished_at) AS finished_at FROM jobs j JOIN sources s ON s.id = source_id WHERE status = 'completed' AND scope = 'default' ORDER BY j.finished_at DESC, j.id LIMIT 25")
@@ -661,10 +661,10 @@ def status_counts(spark, sf_dir):
     return registry.store_counts({"log_entries": plain_logs(spark, sf_dir), "sources": _sources(spark, sf_dir), "jobs": _jobs(spark, sf_dir)})
 
 
-@query(f"""WITH {_SOURCES_SQL}, w AS (SELECT DISTINCT c_name AS name, c_mktsegment AS type FROM customer WHERE c_custkey < 40)
+@query(f"""WITH {_SOURCES_SQL}, w AS (SELECT DISTINCT c_name AS name, c_mktsegment AS type FROM customer UNION SELECT s_name, 'SUPPLIER' FROM supplier)
 SELECT id, name, type FROM sources UNION ALL SELECT sha256(name), name, min(type) FROM w WHERE name NOT IN (SELECT name FROM sources) GROUP BY name""")
 def find_or_create_source(spark, sf_dir):
-    return registry.add_sources(_sources(spark, sf_dir), table(spark, sf_dir, "customer").where("c_custkey < 40").selectExpr("c_name AS name", "c_mktsegment AS type"))
+    return registry.add_sources(_sources(spark, sf_dir), table(spark, sf_dir, "customer").selectExpr("c_name AS name", "c_mktsegment AS type").union(table(spark, sf_dir, "supplier").selectExpr("s_name AS name", "'SUPPLIER' AS type")))
 
 
 @query(f"WITH {LOGS} SELECT DISTINCT scope FROM logs WHERE scope <> '' ORDER BY 1")
@@ -693,11 +693,11 @@ def stored_run(spark, sf_dir):
     return c.join(kept, ["run_id", "fingerprint"]).select("run_id", "fingerprint", F.col("representative_message").alias("message"), "count", "has_members")
 
 
-@query(f"""WITH {LOGS}, x AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, CASE WHEN o_orderkey % 3 = 0 THEN concat('svc-', o_custkey % 5) END AS service_filter, CASE WHEN o_orderkey % 4 = 0 THEN 'prod' END AS environment_filter, TIMESTAMP '2024-01-01' + INTERVAL (o_orderkey % 600) HOUR + INTERVAL 17 MINUTE AS a, o_orderkey % 50 AS h FROM orders WHERE o_orderkey % 20 = 0),
+@query(f"""WITH {LOGS}, x AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, CASE WHEN o_orderkey % 3 = 0 THEN concat('svc-', o_custkey % 5) END AS service_filter, CASE WHEN o_orderkey % 4 = 0 THEN 'prod' END AS environment_filter, TIMESTAMP '2024-01-01' + INTERVAL (o_orderkey % 600) HOUR + INTERVAL 17 MINUTE AS a, o_orderkey % 50 AS h FROM orders),
 n AS (SELECT x.id, l.scope, count(*) AS n FROM x JOIN logs l ON l.timestamp BETWEEN a AND a + INTERVAL (h) HOUR AND (service_filter IS NULL OR l.service = service_filter) AND (environment_filter IS NULL OR environment_filter = 'prod') GROUP BY 1, 2)
 SELECT id, scope FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, scope) AS r FROM n) WHERE r = 1""")
 def explanation_scopes(spark, sf_dir):
-    x = table(spark, sf_dir, "orders").where("o_orderkey % 20 = 0").selectExpr("CAST(o_orderkey AS STRING) AS id", "CASE WHEN o_orderkey % 3 = 0 THEN concat('svc-', o_custkey % 5) END AS service_filter", "CASE WHEN o_orderkey % 4 = 0 THEN 'prod' END AS environment_filter", "TIMESTAMP '2024-01-01' + make_interval(0, 0, 0, 0, CAST(o_orderkey % 600 AS INT), 17) AS window_start", "CAST(o_orderkey % 50 AS INT) AS h")
+    x = table(spark, sf_dir, "orders").selectExpr("CAST(o_orderkey AS STRING) AS id", "CASE WHEN o_orderkey % 3 = 0 THEN concat('svc-', o_custkey % 5) END AS service_filter", "CASE WHEN o_orderkey % 4 = 0 THEN 'prod' END AS environment_filter", "TIMESTAMP '2024-01-01' + make_interval(0, 0, 0, 0, CAST(o_orderkey % 600 AS INT), 17) AS window_start", "CAST(o_orderkey % 50 AS INT) AS h")
     x = x.withColumn("window_end", F.expr("window_start + make_interval(0, 0, 0, 0, h)"))
     return registry.majority_scope_by_window(x, plain_logs(spark, sf_dir))
 
