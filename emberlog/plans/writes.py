@@ -9,10 +9,12 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.timeutil import Window
+from ..functions.timeutil import Window, parse_duration
 from ..operators import cluster, ingest, registry
 from ..schema import DEFAULT_SCOPE
-from ..sources import lines
+from ..sources import connectors, lines
+from ..sources.store import Store
+from ..streaming.tail import with_line_fields
 from .verbs import Analyzer
 
 
@@ -58,6 +60,26 @@ def ingest_push(spark: SparkSession, body: str, store: str, source_ref: str = "p
     return ingest.append_entries(ingest.to_entries(raw, scope, job_id, adapter="push"), store)
 
 
+def ingest_source(spark: SparkSession, kind: str, options: dict, store: str, job_id: str, scope: str = DEFAULT_SCOPE, chunk: str = "1h") -> dict[str, int]:
+    """A window of a log service into the store, chunk by chunk; a job that broke off goes on behind its last chunk.
+
+    Each chunk's rows, the job's counters and the time up to which it is read (`cursors`) are one
+    version of the store, so no chunk is read twice or lost. Returns the job's counters.
+    """
+    start, end = (datetime.fromisoformat(options[k]) for k in ("start", "end"))
+    length, kept = parse_duration(chunk), Store(spark, store)
+    job = kept.version().note("jobs", job_id, {})
+    at = max(start, datetime.fromisoformat(job["cursors"]["at"])) if job.get("cursors") else start
+    while at < end or (at == start == end and not job):
+        stop = min(end, at + length)
+        # both edges of a window are read; the store holds off what stands on the edge of two
+        rows = with_line_fields(connectors.read(spark, kind, options | {"start": at.isoformat(), "end": stop.isoformat()}))
+        number = int((stop - start).total_seconds() * 1_000_000)
+        ingest.append_entries(ingest.to_entries(rows, scope, job_id, adapter=kind), store, token=(f"{job_id}@{start.isoformat()}", number), job_id=job_id, cursors={"at": stop.isoformat()})
+        at, job = stop, {"done": True}
+    return {k: kept.version().note("jobs", job_id, {}).get(k, 0) for k in ("parsed", "inserted", "skipped")}
+
+
 def store_run(analyzer: Analyzer, window: Window, run_id: str, service: str | None = None, environment: str | None = None, top: int = 50) -> dict[str, DataFrame]:
     """Tables of a run: its header, its clusters and up to 100 members of each."""
     found = analyzer.clusters(window, service, environment, top=top)

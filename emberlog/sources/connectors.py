@@ -346,11 +346,24 @@ def register(spark, names=tuple(SOURCES)) -> None:
         spark.dataSource.register(SOURCES[n])
 
 
-def read(spark, kind: str, options: dict, **files):
+def file_options(options: dict | None, paths: list[str] | None = None, recursive: bool = False) -> dict:
+    """What a file source reads: paths and recursion of its options before those that are given beside them."""
+    out = dict(options or {})
+    if paths and not out.get("paths") and not out.get("path"):
+        out["paths"] = list(paths)
+    if recursive:
+        out.setdefault("recursive", True)
+    named = out.pop("path", None)
+    given = out.get("paths") or named or []
+    out["paths"] = [given] if isinstance(given, str) else list(given)
+    return out
+
+
+def read(spark, kind: str, options: dict | None = None, paths: list[str] | None = None, recursive: bool = False, **more):
     """Raw lines of any source by its name: files by paths, remote ones by their options."""
     if kind in FILES:
         from . import lines
 
-        return getattr(lines, FILES[kind])(spark, **files)
+        return getattr(lines, FILES[kind])(spark, **file_options(options, paths, recursive), **more)
     register(spark, [kind])
-    return spark.read.format(kind).options(**options).load()
+    return spark.read.format(kind).options(**(options or {})).load()

@@ -21,6 +21,7 @@ from ..functions import patterns
 from ..functions.timeutil import parse_duration
 from ..operators.ingest import KEY, append_entries, to_entries
 from ..schema import DEFAULT_SCOPE
+from ..sources import connectors
 from ..sources.store import Store, Version
 
 
@@ -39,7 +40,7 @@ def read_file_stream(spark: SparkSession, path: str, files_per_trigger: int = 10
     return with_line_fields(raw.select(F.make_valid_utf8("value").alias("text"), F.col("_metadata.file_path").alias("source_ref")))
 
 
-def start_ingest(lines: DataFrame, store: str, checkpoint: str, scope: str = DEFAULT_SCOPE, job_id: str | None = None, interval: str | None = "30 seconds", on_batch=None, lateness: str | None = None, alone: bool = False) -> StreamingQuery:
+def start_ingest(lines: DataFrame, store: str, checkpoint: str, scope: str = DEFAULT_SCOPE, job_id: str | None = None, interval: str | None = "30 seconds", on_batch=None, lateness: str | None = None, alone: bool = False, fragments: str | None = None) -> StreamingQuery:
     """Parse and append each micro-batch, once.
 
     The store keeps the number of the stream's last batch with that batch's rows: one that comes
@@ -47,10 +48,13 @@ def start_ingest(lines: DataFrame, store: str, checkpoint: str, scope: str = DEF
     what there is and ends, which is how an interrupted job goes on from its checkpoint. `on_batch`
     gets the batch number and counts. With `lateness`, repeats that arrive within it go in the
     stream's own state; a stream that is `alone` in writing its sources need not be compared with
-    the store then.
+    the store then. With `fragments`, lines of container logs are put together first, which wait so
+    long for what follows; Spark allows one such state a stream, so not with `lateness`.
     """
-    name = f"{job_id or ''}@{checkpoint}"
-    entries = to_entries(with_line_fields(lines), scope, job_id, adapter="tail")
+    if fragments and lateness:
+        raise ValueError("fragments or lateness, not both")
+    name, lines = f"{job_id or ''}@{checkpoint}", with_line_fields(lines)
+    entries = to_entries(join_fragments(lines, fragments) if fragments else lines, scope, job_id, adapter="tail")
     if lateness:
         entries = dedup_in_stream(entries, lateness)
 
@@ -211,6 +215,32 @@ class Supervisor(StreamingQueryListener):
         if self.store.version().note("tails", job_id) is None:
             self._change(job_id, lambda job: job)
 
+    def add_source(self, job_id: str, kind: str, options: dict, checkpoint: str, **ingest) -> None:
+        """Take up a job that follows a log service; its source stays in the store, for `restore`.
+
+        Options are kept as they are, so they hold no keys: a client takes those from elsewhere.
+        """
+
+        def keep(v: Version) -> Version:
+            v.notes.setdefault("tail_sources", {})[job_id] = {"kind": kind, "options": options, "checkpoint": checkpoint, "ingest": ingest}
+            return v
+
+        self.store.update(keep)
+        self.restore(job_id)
+
+    def restore(self, *job_ids: str) -> None:
+        """Take up the jobs whose sources the store has: those named, or all, as they were."""
+        for job_id, source in self.store.version().notes.get("tail_sources", {}).items():
+            if not job_ids or job_id in job_ids:
+
+                def start(job_id: str, source: dict = source) -> StreamingQuery:
+                    connectors.register(self.store.spark, [source["kind"]])
+                    lines = self.store.spark.readStream.format(source["kind"]).options(**source["options"]).load()
+                    # a service without an end is read up to now, and the query ends
+                    return start_ingest(lines, self.store.root, source["checkpoint"], job_id=job_id, interval=None, **source["ingest"])
+
+                self.add(job_id, start)
+
     def apply(self, job_id: str, action: str) -> TailJob:
         """pause, resume or stop; a running query of a job that is no longer to run ends."""
         job = self._change(job_id, lambda job: job.apply(action))

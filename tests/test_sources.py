@@ -7,8 +7,12 @@ from datetime import datetime, timedelta, timezone
 
 import pytest
 
+from emberlog.operators import ingest
+from emberlog.plans import writes
 from emberlog.session import ship
 from emberlog.sources import connectors, lines
+from emberlog.sources.store import Store
+from emberlog.streaming import tail
 
 UTC = timezone.utc
 T0 = datetime(2026, 3, 12, 22, tzinfo=UTC)
@@ -108,6 +112,50 @@ def test_stream_windows_are_read_in_tasks(spark, service, tmp_path):
     assert len(rows) == 720 == len({(r.source_ref, r.received_at) for r in rows})
 
 
+def test_a_batch_goes_on_behind_its_last_chunk(spark, service, tmp_path, monkeypatch):
+    o, store = service(log_groups="a,b"), str(tmp_path / "store")
+    append, n = ingest.append_entries, []
+
+    def breaks(*a, **k):
+        n.append(1)
+        if len(n) == 3:
+            raise ConnectionError("gone")
+        return append(*a, **k)
+
+    monkeypatch.setattr(ingest, "append_entries", breaks)
+    with pytest.raises(ConnectionError):
+        writes.ingest_source(spark, "cloudwatch", o, store, "j", chunk="20m")
+    at = Store(spark, store).version().note("jobs", "j")["cursors"]["at"]
+    assert at == (T0 + timedelta(minutes=40)).isoformat()
+    o["calls"] = service()["calls"]
+    got = writes.ingest_source(spark, "cloudwatch", o, store, "j", chunk="20m")
+    assert got["inserted"] == 720 == Store(spark, store).read("log_entries").count()
+    assert all(c[1] >= int((T0 + timedelta(minutes=40)).timestamp() * 1000) for c in calls(o))
+    assert writes.ingest_source(spark, "cloudwatch", o, store, "j", chunk="20m") == got
+
+
+def test_tails_of_services_are_taken_up_again(spark, service, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    for minutes, want in ((10, 60), (30, 180)):
+        o = service(log_groups="a", now=(T0 + timedelta(minutes=minutes)).isoformat())
+        watch = tail.Supervisor(store, interval=timedelta(0), clock=lambda m=minutes: T0 + timedelta(minutes=m))
+        try:
+            if minutes == 10:
+                watch.add_source("j", "cloudwatch", o, str(tmp_path / "state"), scope="team")
+            else:  # another process: the store tells what runs; only its clock is another
+                store.update(lambda v, o=o: v.notes["tail_sources"]["j"]["options"].update(o) or v)
+                watch.restore()
+            (q,) = watch.tick()
+            assert q.awaitTermination(120)
+            until = time.time() + 60
+            while watch.running and time.time() < until:
+                time.sleep(0.1)
+            assert watch.job("j").inserted == want and watch.job("j").consecutive_errors == 0
+        finally:
+            spark.streams.removeListener(watch)
+    assert {r.scope for r in store.read("log_entries").collect()} == {"team"}
+
+
 def test_slices_of_a_window():
     parts = connectors.slices(["s"], T0, T0 + timedelta(seconds=25), 10)
     assert [(p.start - T0).total_seconds() for p in parts] == [0, 10, 20] and [p.last for p in parts] == [False, False, True]
@@ -160,3 +208,12 @@ def test_archives_lines_keep_path_and_place(spark, tmp_path):
         tar.addfile(info, io.BytesIO(data))
     rows = sorted((r.ordinal, r.text, r.default_service, r.default_environment) for r in lines.read_k8s_export(spark, str(folder)).collect())
     assert rows == [(0, "one", "web", "ns"), (1, "two\x0bhalf", "web", "ns"), (2, "", "web", "ns"), (3, "last \u00e9", "web", "ns")]
+
+
+def test_paths_of_options_come_first(spark, tmp_path):
+    (tmp_path / "a.log").write_text("one\n")
+    assert connectors.file_options({"path": "p"}, ["q"], True) == {"paths": ["p"], "recursive": True}
+    assert connectors.file_options({"recursive": False}, ["q"], True) == {"paths": ["q"], "recursive": False}
+    assert connectors.file_options(None) == {"paths": []}
+    for kind in ("file", "k8s"):
+        assert [r.text for r in connectors.read(spark, kind, {"paths": [str(tmp_path)]}, ["elsewhere"]).collect()] == ["one"]
