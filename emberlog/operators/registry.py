@@ -68,11 +68,6 @@ def purge_due(last: datetime | None, active: bool, now: datetime, seconds: int)
     return not active and seconds > 0 and (last is None or (now - last).total_seconds() >= seconds)
 
 
-def put_settings(settings: DataFrame, changed: DataFrame) -> DataFrame:
-    """settings(key, value, updated_at) after some were written; the stamp of the last purge is one."""
-    return upsert_latest(settings, changed, ["key"], keep=())
-
-
 # Keys that make a request count once
 
 

@@ -89,9 +89,27 @@ class Analyzer:
         packet["points"], packet["confidence"], packet["confidence_score"] = self._confidence(packet)
         packet["evidence"] = render.evidence_items(primary, secondary, triggers, total, self.options.max_evidence)
         packet["summary"] = render.summary(packet) if primary else render.insufficient(window, total)
-        packet["mode"] = "rules"
+        packet["short_summary"], packet["mode"] = render.short_summary(packet["summary"]), "rules"
         return packet
 
+    # the same as texts: each ends in a short list that the driver holds
+
+    def report(self, window: Window, command: str | None = None, service: str | None = None, environment: str | None = None, job_id: str | None = None) -> str:
+        """The explanation as Markdown."""
+        return render.report(self.explain(window, service, environment, job_id), command, environment)
+
+    def timeline_text(self, window: Window, **filters) -> str:
+        events = self.timeline(window, **filters).orderBy("position").collect()
+        return render.timeline_text([e.asDict() for e in events], window)
+
+    def compare_text(self, a: Window, b: Window, **filters) -> str:
+        diff, triggers = self.compare(a, b, **filters)
+        return render.compare_text(a, b, [d.asDict() for d in diff.collect()], [t.asDict() for t in triggers.orderBy("only_in", "message").collect()])
+
+    def similar_text(self, window: Window | None = None, **more) -> str:
+        hits, mode = self.similar(window, **more)
+        return render.similar_text([h.asDict() for h in hits.collect()], mode)
+
     def _confidence(self, p: dict) -> tuple[int, str, float]:
         """Points, label and score, by the column expressions of evidence over one row."""
         c, spark = p["primary"], self.entries.sparkSession
@@ -133,7 +151,7 @@ class Analyzer:
         if self.embed is not None and self.cluster_embeddings is not None and fingerprints:
             hits = retrieval.similar_semantic(self.embed(queries), self.cluster_embeddings, v, self.scope, self.options.similar_similarity, top)
             if not hits.isEmpty():
-                return hits, "semantic"
+                return hits.withColumn("similarity", F.round("similarity", 4)), "semantic"
         return retrieval.similar_fingerprint(fingerprints, self.entries, self.cluster_embeddings, v, self.scope, top), "fingerprint"
 
 

@@ -211,6 +211,22 @@ class Store:
                 return {name: (w.gone, made[name]) for name, w in wanted.items()}
         raise Conflict("the pieces to rewrite changed each time")
 
+    def compact(self, name: str, age: Column | None = None, most: int = 8) -> int:
+        """Write partitions of over `most` pieces anew, as few files of even size; returns how many pieces went.
+
+        Small batches leave a piece in each partition that they touch. Rows that are added meanwhile
+        stay pieces of their own. `age` is that of the rows, as when they were added.
+        """
+
+        def change(v: Version) -> dict[str, Rewrite] | None:
+            by: dict[str, list[dict]] = {}
+            for p in v.pieces(name):
+                by.setdefault(json.dumps(p["at"], sort_keys=True), []).append(p)
+            gone = [p for ps in by.values() if len(ps) > most for p in ps]
+            return {name: Rewrite(gone, self.read(name, v, gone).hint("rebalance", *v.tables[name]["by"]), age)} if gone else None
+
+        return len(self.rewrite(change).get(name, ([], []))[0])
+
     def vacuum(self, older: datetime) -> int:
         """Remove the files of batches that the newest version doesn't name and that were made before `older`."""
         named = {p["path"].partition("/")[0] for t in self.version().tables.values() for p in t["pieces"]}

@@ -79,3 +79,15 @@ def test_only_the_provider_may_fail(spark):
     with pytest.raises(Exception, match="table is broken"):
         bad = e.select("id", F.raise_error(F.lit("table is broken")).cast("array<float>").alias("embedding"))
         retrieval.retrieve(e, "why", bad, lambda q: [1.0, 0.0])
+
+
+def test_verbs_give_texts(spark):
+    a = Analyzer(queries.logs(spark, SF).persist())
+    told = a.report(queries.A, command="again")
+    assert told.startswith("# Incident report") and "```bash" in told
+    p = a.explain(queries.A)
+    assert p["short_summary"] and p["short_summary"] in p["summary"].replace("Primary issue: ", "")
+    assert "Incident timeline" in a.timeline_text(queries.A) and a.timeline_text(queries.A).count("\n") > 5
+    assert "Errors that" in a.compare_text(queries.A, queries.B) or "No significant" in a.compare_text(queries.A, queries.B)
+    assert a.similar_text(queries.A).startswith("Saw fingerprint")
+    a.entries.unpersist()

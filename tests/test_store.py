@@ -112,6 +112,18 @@ def test_upsert_writes_touched_partitions_only(spark, tmp_path):
     assert now["b"] == first["b"] and now["a"] != first["a"]
 
 
+def test_small_pieces_are_written_together(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    for i in range(4):
+        store.append("log_entries", rows(spark, (f"a{i}", "a", i), *([(f"b{i}", "b", i)] if i < 2 else [])), BY, F.col("created_at"))
+    before = ids(store)
+    assert store.compact("log_entries", F.col("created_at"), most=2) == 4 and store.compact("log_entries", F.col("created_at"), most=2) == 0
+    pieces = store.version().pieces("log_entries")
+    assert ids(store) == before and sorted(p["at"]["scope"] for p in pieces) == ["a", "b", "b"]
+    over = spark.createDataFrame([], "scope string, raw_interval string, summary_interval string")
+    assert retention.purge_store(store, over, "36h", None, T0) == {("a", "log_entries"): 2}
+
+
 def test_rewrites_meet(spark, tmp_path, monkeypatch):
     """An upsert whose partition another one changes meanwhile starts over and loses nothing."""
     store, kind = Store(spark, str(tmp_path)), "fingerprint string, scope string, created_at timestamp, updated_at timestamp"
