@@ -28,6 +28,16 @@ def shared_batches(path: str, columns: list[str], where=None, rows: int = 20_000
     yield from dataset(at, filesystem=found, format="parquet").to_batches(columns=columns, filter=where, batch_size=rows)
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, longer where a column has one already."""
+    out = []
+    for n in names:
+        while n in columns:
+            n += "_"
+        out.append(n)
+    return out
+
+
 def word_count(text: Column) -> Column:
     """Number of words (WORD) of a text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

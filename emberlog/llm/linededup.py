@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_batches, shared_dir, stored
+from .common import fresh, shared_batches, shared_dir, stored
 
 #: Code points that a key has at least.
 SHORTEST = 10
@@ -203,17 +203,20 @@ def repeated_lines(documents: DataFrame, shortest: int = SHORTEST, bits: int | N
 
 
 def drop_repeated_lines(documents: DataFrame, shortest: int = SHORTEST, bits: int | None = None) -> DataFrame:
-    """documents with `kept` (the text that stays), `n_lines` before and `n_dropped`.
+    """documents with `kept` (the text that stays), `n_lines` before and `n_dropped`, in place of columns of these names.
 
     Documents without a suspected line pass by; the others meet what they lose by their id.
     """
     lost, held = repeated_lines(documents, shortest, bits)
-    columns, d = documents.columns, documents.withColumn("_held", F.size(held))
+    columns = [c for c in documents.columns if c not in ("kept", "n_lines", "n_dropped")]
+    size, own, gone, done = fresh(columns, "_held", "_id", "_lost", "_cut")
+    columns = [f"`{c}`" for c in columns]
+    d = documents.select(*columns, F.size(held).alias(size))
     whole = F.coalesce("text", F.lit(""))
-    free = d.where("_held = 0").select(*columns, whole.alias("kept"), F.lit(0).cast("long").alias("n_dropped"))
-    rest = d.where("_held > 0").join(lost.select(F.col("id").alias("_id"), "lost"), F.col("doc_id") == F.col("_id"), "left")
-    rest = rest.select(*columns, without(shortest)(F.col("text").cast("binary"), F.col("lost")).alias("_cut"))
-    rest = rest.select(*columns, F.col("_cut.kept").cast("string").alias("kept"), F.col("_cut.n_dropped").alias("n_dropped"))
+    free = d.where(F.col(size) == 0).select(*columns, whole.alias("kept"), F.lit(0).cast("long").alias("n_dropped"))
+    rest = d.where(F.col(size) > 0).join(lost.select(F.col("id").alias(own), F.col("lost").alias(gone)), F.col("doc_id") == F.col(own), "left")
+    rest = rest.select(*columns, without(shortest)(F.col("text").cast("binary"), F.col(gone)).alias(done))
+    rest = rest.select(*columns, F.col(done)["kept"].cast("string").alias("kept"), F.col(done)["n_dropped"].alias("n_dropped"))
     n_lines = F.length(whole) - F.length(F.replace(whole, F.lit("\n"), F.lit(""))) + 1
     return free.unionByName(rest).select(*columns, "kept", n_lines.cast("long").alias("n_lines"), "n_dropped")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, shared_dir, stored, word_count
+from .common import WORD, fresh, shared_dir, stored, word_count
 
 WEIGHTS = (5, 2, 1)
 #: Words of a block at most, blocks that the smallest target holds at least, and words of the
@@ -61,16 +61,6 @@ def apportion(rows: DataFrame, party: list[str], votes: str, seats: str, of: lis
     return base.join(won, on, "left").withColumn("quota", F.col("_sure") + F.coalesce("_won", F.lit(0))).drop("_sure", "_more", "_open", "_won", *[f"_p{i}" for i in range(len(party))])
 
 
-def _fresh(columns: list[str], *names: str) -> list[str]:
-    """The names, longer where a column has one already."""
-    out = []
-    for n in names:
-        while n in columns:
-            n += "_"
-        out.append(n)
-    return out
-
-
 def _sized(docs: DataFrame, *more: str) -> DataFrame:
     """What the mix needs of each row: its id, source, size, and a hash that tells texts apart."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), F.xxhash64(F.col("text")).alias("text_hash"), *[F.col(c).alias(f"_{c}") for c in more])
@@ -153,7 +143,7 @@ def apply_mix(docs: DataFrame, **kwargs) -> DataFrame:
     length. Rows are numbered and stored first, so that each meets its own decision however many
     are alike; columns of any name go along.
     """
-    row, plan, new = _fresh(docs.columns, "_row", "_plan", "_text")
+    row, plan, new = fresh(docs.columns, "_row", "_plan", "_text")
     rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), shared_dir(docs.sparkSession), "rows")
     planned = _plan(stored(_sized(rows, row), shared_dir(docs.sparkSession), "sized"), **kwargs)
     planned = planned.where("taken > 0").select(F.col(f"_{row}").alias(row), F.struct("size", "whole", "cut_from", "cut_words", "wrap_words").alias(plan))

@@ -54,6 +54,16 @@ def test_a_full_filter_changes_nothing(spark):
     assert digest_columns(got) == brute(rows)
 
 
+def test_columns_go_along(spark):
+    rows = [(1, "a line of them\nb", "x"), (2, "b\nA line of them", "y"), (3, None, "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lost string")
+    for name in ("_held", "_id", "_lost", "_cut", "kept", "n_lines", "id", "digest", "a.b"):
+        df = df.withColumn(name, df["lost"])
+    got = {r.doc_id: r for r in linededup.drop_repeated_lines(df).collect()}
+    assert [(got[i].kept, got[i].n_lines, got[i].n_dropped) for i in (1, 2, 3)] == [("a line of them\nb", 2, 0), ("b", 2, 1), ("", 1, 0)]
+    assert all(r["lost"] == r["_held"] == r["_id"] == r["a.b"] == "xyz"[i - 1] for i, r in got.items())
+
+
 def test_empty_table(spark):
     assert linededup.dedup_lines(spark.createDataFrame([], SCHEMA)).collect() == []
 
