@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tarfile
 from collections.abc import Iterator
 from urllib.parse import quote
@@ -70,9 +71,9 @@ def reassemble_cri(lines: DataFrame) -> DataFrame:
     window is one file, which the container runtime rotates at a bounded size.
     """
     order = Window.partitionBy("source_ref").orderBy("ordinal")
-    line = F.col("text")
-    cri = F.coalesce(line.rlike(patterns.CRI_LINE), F.lit(False))
-    g = lambda i: F.when(cri, F.regexp_extract(line, patterns.CRI_LINE, i))
+    line, shape = F.col("text"), "(?Ud)" + patterns.CRI_LINE
+    cri = F.coalesce(line.rlike(shape), F.lit(False))
+    g = lambda i: F.when(cri, F.regexp_extract(line, shape, i))
     t = lines.withColumn("_ts", g(1)).withColumn("_stream", g(2)).withColumn("_tag", g(3)).withColumn("_msg", g(4))
     goes_on = (F.lag("_tag").over(order) == "P") & (F.lag("_stream").over(order) == F.col("_stream"))
     t = t.withColumn("_group", F.sum(F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
@@ -84,6 +85,51 @@ def reassemble_cri(lines: DataFrame) -> DataFrame:
     return joined.withColumn("text", whole).select(lines.columns)
 
 
+def join_within_splits(lines: DataFrame) -> DataFrame:
+    """reassemble_cri where the lines are read, for rows that stand as a scan gave them.
+
+    lines(text, source_ref, ordinal) come in order, split by split (the high bits of `ordinal`), so
+    fragments join in passing. What may go on in another split has `edge`: the first line or group
+    of a split, and a fragment that is open at its end, which stays one. All else is complete.
+    """
+    line = re.compile(patterns.CRI_LINE)
+
+    def joined(held: dict, tag: str, edge: bool) -> tuple:
+        return f"{held['stamp']} {held['stream']} {tag} {''.join(held['parts'])}", held["ref"], held["ordinal"], edge
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, first = None, None, True
+        for batch in batches:
+            out = []
+            for text, ref, ordinal in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (ref, ordinal >> 33) != at:
+                    out += [joined(held, "P", True)] if held else []
+                    at, held, first = (ref, ordinal >> 33), None, True
+                found = line.match(text or "")
+                if held and not (found and found[2] == held["stream"]):
+                    out.append(joined(held, "F", held["first"]))
+                    held = None
+                if not found:
+                    out.append((text, ref, ordinal, first))
+                else:
+                    held = held or {"stamp": found[1], "stream": found[2], "parts": [], "ref": ref, "ordinal": ordinal, "first": first}
+                    held["parts"].append(found[4])
+                    if found[3] == "F":
+                        out.append(joined(held, "F", held["first"]))
+                        held = None
+                first = False
+            yield _edged(out)
+        if held:
+            yield _edged([joined(held, "P", True)])
+
+    return lines.select("text", "source_ref", "ordinal").mapInArrow(step, "text string, source_ref string, ordinal long, edge boolean")
+
+
+def _edged(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [("text", pa.string()), ("source_ref", pa.string()), ("ordinal", pa.int64()), ("edge", pa.bool_())]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, (_, k) in enumerate(kinds)], schema=pa.schema(kinds))
+
+
 def k8s_identity(path: Column) -> Column:
     """Struct of namespace, pod, container and uid from a kubelet path; nulls where it is none."""
     pods, files = path.rlike(_POD_DIR), path.rlike(_CONTAINER_FILE)
@@ -135,11 +181,12 @@ def read_k8s_export(spark: SparkSession, paths: list[str] | str, recursive: bool
 
     found = reader.format("binaryFile").load(paths).where(F.col("path").rlike(archives)).select("path")
     packed = found.mapInArrow(members, "text string, source_ref string, ordinal long")
-    none = lambda kind: F.lit(None).cast(kind)
-    packed = packed.select("text", "source_ref", "ordinal", none("timestamp").alias("received_at"), none("string").alias("default_service"), none("string").alias("default_environment"), none("string").alias("default_host"), none("map<string,string>").alias("extra"))
+    # fragments join where they are read; only what lies at the edges of splits is shuffled
+    rows = join_within_splits(plain).unionByName(join_within_splits(packed))
+    every = rows.where("not edge").drop("edge").unionByName(reassemble_cri(rows.where("edge").drop("edge")))
     k = k8s_identity(F.col("source_ref"))
     ref = F.nullif(F.concat_ws("/", k["namespace"], k["pod"], k["container"]), F.lit(""))
-    every = reassemble_cri(plain.unionByName(packed)).withColumn("_k", k)
+    every = every.withColumn("_k", k).withColumn("default_service", F.when(F.contains("source_ref", F.lit("!/")), F.lit(None)).otherwise(service_from_path(F.col("source_ref")))).withColumn("received_at", F.lit(None).cast("timestamp"))
     extra = F.when(k["pod"].isNotNull(), F.map_filter(F.create_map(F.lit("pod_uid"), k["uid"], F.lit("container"), k["container"]), lambda _, v: v.isNotNull()))
     return every.select("text", F.coalesce(ref, "source_ref").alias("source_ref"), "ordinal", "received_at", F.coalesce(k["container"], "default_service").alias("default_service"), k["namespace"].alias("default_environment"), k["pod"].alias("default_host"), extra.alias("extra"))
 

@@ -100,3 +100,22 @@ def test_supervised_tail_pauses_and_goes_on(spark, tmp_path):
             watch.apply("j", "resume")
     finally:
         spark.streams.removeListener(watch)
+
+
+@pytest.mark.parametrize("size", [1, 64, 200, 4096])
+def test_fragments_join_in_and_over_splits(spark, tmp_path, size):
+    """Files cut into splits anywhere give what one window over each file gives."""
+    folder = tmp_path / "var/log/pods"
+    for f in ("a", "b"):
+        path = folder / f"ns_pod-{f}_0a1b" / "web"
+        path.mkdir(parents=True)
+        (path / "0.log").write_text("".join(t + "\n" for t, ref, _ in container_lines() * 3 if ref == f))
+    df = tail.with_line_fields(spark.createDataFrame([(t, ref, i) for i, (t, ref, _) in enumerate(container_lines() * 3)], "text string, source_ref string, ordinal bigint"))
+    want = sorted((f"ns/pod-{r.source_ref}/web", r.text) for r in sources.reassemble_cri(df).collect())
+    # splits of so many lines, as a scan would number them
+    cut = df.select("text", "source_ref", (F.shiftleft(F.floor(F.col("ordinal") / size).cast("long"), 33) + F.col("ordinal")).alias("ordinal")).coalesce(1).sortWithinPartitions("source_ref", "ordinal")
+    rows = sources.join_within_splits(cut)
+    both = rows.where("not edge").drop("edge").unionByName(sources.reassemble_cri(rows.where("edge").drop("edge")))
+    assert sorted((f"ns/pod-{r.source_ref}/web", r.text) for r in both.collect()) == want
+    got = sources.read_k8s_export(spark, str(folder)).collect()
+    assert sorted((r.source_ref, r.text) for r in got) == want and {r.default_service for r in got} == {"web"}
