@@ -136,13 +136,14 @@ def majority_scope_by_window(explanations: DataFrame, entries: DataFrame) -> Dat
 
 
 def log_vectors(entries: DataFrame, embed, dim: int, model: str) -> DataFrame:
-    """(log_entry_id, scope, embedding, model_name) of entries with an id and a template that is not blank.
+    """(log_entry_id, scope where entries have one, embedding, model_name) of entries with an id and a template that is not blank.
 
     `embed` adds `embedding` to a DataFrame with `template`; vectors of another length are left
     out, and without a provider there are none.
     """
-    t = entries.where("id is not null").select(F.col("id").alias("log_entry_id"), "scope", F.coalesce(F.nullif("normalized_message", F.lit("")), "raw_message").alias("template"))
-    return usable_vectors(t.where(F.trim("template") != ""), embed, dim).select("log_entry_id", "scope", "embedding", F.lit(model).alias("model_name"))
+    own = [c for c in ("scope",) if c in entries.columns]
+    t = entries.where("id is not null").select(F.col("id").alias("log_entry_id"), *own, F.coalesce(F.nullif("normalized_message", F.lit("")), "raw_message").alias("template"))
+    return usable_vectors(t.where(F.trim("template") != ""), embed, dim).select("log_entry_id", *own, "embedding", F.lit(model).alias("model_name"))
 
 
 def usable_vectors(rows: DataFrame, embed, dim: int) -> DataFrame:
