@@ -228,13 +228,18 @@ class Store:
         return len(self.rewrite(change).get(name, ([], []))[0])
 
     def vacuum(self, older: datetime) -> int:
-        """Remove the files of batches that the newest version doesn't name and that were made before `older`."""
+        """Remove the files of batches that the newest version doesn't name and that were made before `older`,
+        and the documents of versions before that, but for the newest ten; returns how many batches went."""
         named = {p["path"].partition("/")[0] for t in self.version().tables.values() for p in t["pieces"]}
         limit, gone = older.timestamp() * 1000, 0
         for name in self._names("data"):
             path, fs = self._path(f"data/{name}")
             if name not in named and fs.getFileStatus(path).getModificationTime() < limit:
                 gone += bool(fs.delete(path, True))
+        for name in sorted(n for n in self._names("_log") if n.endswith(".json") and not n.startswith("."))[:-10]:
+            path, fs = self._path(f"_log/{name}")
+            if fs.getFileStatus(path).getModificationTime() < limit:
+                fs.delete(path, False)
         return gone
 
     # notes

@@ -112,6 +112,17 @@ def test_upsert_writes_touched_partitions_only(spark, tmp_path):
     assert now["b"] == first["b"] and now["a"] != first["a"]
 
 
+def test_old_versions_go(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    for i in range(15):
+        store.put("settings", {"k": i})
+    store.vacuum(datetime.now(UTC) - timedelta(hours=1))
+    assert len(store._names("_log")) >= 15
+    store.vacuum(datetime.now(UTC) + timedelta(hours=1))
+    assert sorted(n for n in store._names("_log") if n.endswith(".json") and n[0] != ".") == [f"{i:010d}.json" for i in range(6, 16)]
+    assert store.version().note("settings", "k") == 14
+
+
 def test_small_pieces_are_written_together(spark, tmp_path):
     store = Store(spark, str(tmp_path))
     for i in range(4):
