@@ -761,11 +761,11 @@ def stream_windowed_counts(spark, sf_dir):
     return spark.read.schema(counts.schema).parquet(f"{folder}/counts")
 
 
-def _stream_of(spark, folder: str, slices: list[DataFrame]) -> DataFrame:
-    """A stream whose micro-batches are these slices, one after the other."""
+def _replay(spark, folder: str, slices: list[DataFrame], start) -> None:
+    """Run a stream over slices, a micro-batch each, however many files a slice has; it goes on from its checkpoint."""
     for part in slices:
-        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    return spark.readStream.schema(slices[0].schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+        part.write.mode("append").parquet(f"{folder}/in")
+        start(spark.readStream.schema(slices[0].schema).parquet(f"{folder}/in")).awaitTermination()
 
 
 def _thirds(lines: DataFrame) -> list[DataFrame]:
@@ -780,9 +780,11 @@ def stream_cri_reassembly(spark, sf_dir):
     folder, raw = shared_dir(spark), _raw(spark, sf_dir, _CRI)
     # a blank line at the end of each file closes what is open
     ends = raw.groupBy("source_ref").agg((F.max("ordinal") + 1).alias("ordinal")).select("ordinal", F.lit("").alias("text"), "source_ref")
-    lines = _stream_of(spark, folder, [*_thirds(raw), tail.with_line_fields(ends).select(raw.columns)])
-    q = tail.join_fragments(lines).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
-    q.awaitTermination()
+
+    def start(lines):
+        return tail.join_fragments(lines).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+
+    _replay(spark, folder, [*_thirds(raw), tail.with_line_fields(ends).select(raw.columns)], start)
     return spark.read.schema(raw.schema).parquet(f"{folder}/out").where("text <> ''").select("source_ref", "ordinal", "text")
 
 
@@ -794,8 +796,7 @@ epoch_us(date_trunc('second', CAST(ts AS TIMESTAMP))) AS timestamp FROM events""
 def stream_dedup(spark, sf_dir):
     """Lines of which half come a second time, through the stream's state into a store."""
     folder, raw = shared_dir(spark), _raw(spark, sf_dir, _TIMED)
-    lines = _stream_of(spark, folder, [raw.where("ordinal % 2 = 0"), raw])
-    tail.start_ingest(lines, f"{folder}/store", f"{folder}/state", job_id="j", interval=None, lateness="1 hour", alone=True).awaitTermination()
+    _replay(spark, folder, [raw.where("ordinal % 2 = 0"), raw], lambda lines: tail.start_ingest(lines, f"{folder}/store", f"{folder}/state", job_id="j", interval=None, lateness="1 hour", alone=True))
     return Store(spark, f"{folder}/store").read("log_entries").select("source_ref", "raw_message", _micros("timestamp"))
 
 

@@ -125,9 +125,13 @@ class Store:
     # rows
 
     def write(self, rows: DataFrame, by: Iterable[str], age: Column | None = None) -> tuple[str, list[dict]]:
-        """Files of a new batch, which no version names yet: the rows' schema and the pieces."""
+        """Files of a new batch, which no version names yet: the rows' schema and the pieces.
+
+        Rows of a partition come together before they are written, in as many files as they need, and
+        not in one for each task that had some.
+        """
         by, batch = list(by), uuid.uuid4().hex
-        rows.write.partitionBy(*by).parquet(f"{self.root}/data/batch={batch}")
+        rows.hint("rebalance", *by).write.partitionBy(*by).parquet(f"{self.root}/data/batch={batch}")
         t = self.spark.read.schema(rows.schema).option("basePath", f"{self.root}/data").parquet(f"{self.root}/data/batch={batch}")
         micros = F.unix_micros((age if age is not None else F.lit(None)).cast("timestamp"))
         # a row for each partition of this batch
@@ -223,7 +227,7 @@ class Store:
             for p in v.pieces(name):
                 by.setdefault(json.dumps(p["at"], sort_keys=True), []).append(p)
             gone = [p for ps in by.values() if len(ps) > most for p in ps]
-            return {name: Rewrite(gone, self.read(name, v, gone).hint("rebalance", *v.tables[name]["by"]), age)} if gone else None
+            return {name: Rewrite(gone, self.read(name, v, gone), age)} if gone else None
 
         return len(self.rewrite(change).get(name, ([], []))[0])
 
