@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -114,22 +115,32 @@ def majority_scope_by_window(explanations: DataFrame, entries: DataFrame) -> Dat
     """(id, scope): the scope that most entries have in an explanation's window, ties to the smaller.
 
     explanations(id, window_start, window_end, service_filter, environment_filter); windows are
-    closed and null filters take all. A window is laid out by the days that it touches, so that
-    the range join is an equal join on days; entries are added up by hour first, and only hours
-    that a window cuts are compared entry by entry.
+    closed and null filters take all. Explanations of the same window and filters are counted once.
+    A window is laid out by the days that it touches, so that the range join is an equal join on
+    days. It takes its whole hours from sums by hour, the whole minutes of hours that it cuts from
+    sums by minute, and only minutes that it cuts are compared entry by entry.
     """
-    hour = lambda c: F.date_trunc("hour", c)
-    e = explanations.select("id", "window_start", "window_end", "service_filter", "environment_filter").where("window_start <= window_end")
-    spans = e.withColumn("day", F.explode(F.sequence(F.to_date("window_start"), F.to_date("window_end"))))
-    at = entries.where("timestamp is not null").select("scope", "service", "environment", "timestamp", hour("timestamp").alias("hour"), F.to_date("timestamp").alias("day"))
+    fields = ["window_start", "window_end", "service_filter", "environment_filter"]
+    e = explanations.select("id", *fields).where("window_start <= window_end")
+    windows = e.select(*fields).distinct()
+    part = lambda unit, c: F.date_trunc(unit, c)
+    inside = lambda unit: (F.col(unit) >= F.col("window_start")) & (F.col(unit) + F.expr(f"interval 1 {unit}") <= F.col("window_end") + F.expr("interval 1 microsecond"))
+    cut = lambda unit: windows.select("*", F.explode(F.array_distinct(F.array(part(unit, "window_start"), part(unit, "window_end")))).alias(unit)).where(~inside(unit))
     fits = (F.col("service_filter").isNull() | (F.col("service") == F.col("service_filter"))) & (F.col("environment_filter").isNull() | (F.col("environment") == F.col("environment_filter")))
-    inside = (F.col("hour") >= F.col("window_start")) & (F.col("hour") + F.expr("interval 1 hour") <= F.col("window_end") + F.expr("interval 1 microsecond"))
-    summed = at.groupBy("scope", "service", "environment", "hour", "day").agg(F.count("*").alias("n"))
-    whole = spans.join(summed, "day").where(inside & fits).select("id", "scope", "n")
-    cut = e.select("id", "window_start", "window_end", "service_filter", "environment_filter", F.explode(F.array_distinct(F.array(hour("window_start"), hour("window_end")))).alias("hour"))
-    edges = cut.where(~inside).join(at.drop("day"), "hour").where(fits & F.col("timestamp").between(F.col("window_start"), F.col("window_end"))).select("id", "scope", F.lit(1).cast("bigint").alias("n"))
-    counted = whole.unionByName(edges).groupBy("id", "scope").agg(F.sum("n").alias("n"))
-    return counted.groupBy("id").agg(F.min(F.struct((-F.col("n")).alias("n"), "scope")).alias("_b")).select("id", F.col("_b.scope").alias("scope"))
+    at = entries.where("timestamp is not null").select("scope", "service", "environment", "timestamp", part("minute", "timestamp").alias("minute"))
+    minutes = at.groupBy("scope", "service", "environment", "minute").agg(F.count("*").alias("n")).withColumn("hour", part("hour", "minute"))
+    hours = minutes.groupBy("scope", "service", "environment", "hour").agg(F.sum("n").alias("n")).withColumn("day", F.to_date("hour"))
+    spans = windows.withColumn("day", F.explode(F.sequence(F.to_date("window_start"), F.to_date("window_end"))))
+    found = [
+        spans.join(hours, "day").where(inside("hour") & fits).select(*fields, "scope", "n"),
+        cut("hour").join(minutes, "hour").where(inside("minute") & fits).select(*fields, "scope", "n"),
+        cut("minute").join(at, "minute").where(fits & F.col("timestamp").between(F.col("window_start"), F.col("window_end"))).select(*fields, "scope", F.lit(1).cast("bigint").alias("n")),
+    ]
+    counted = reduce(DataFrame.unionByName, found).groupBy(*fields, "scope").agg(F.sum("n").alias("n")).alias("w")
+    same = reduce(lambda x, y: x & y, [F.col(f"e.{c}").eqNullSafe(F.col(f"w.{c}")) for c in fields])
+    # one shuffle by id serves both sums
+    each = e.alias("e").join(counted, same).select("id", "scope", "n").repartition("id").groupBy("id", "scope").agg(F.sum("n").alias("n"))
+    return each.groupBy("id").agg(F.min(F.struct((-F.col("n")).alias("n"), "scope")).alias("_b")).select("id", F.col("_b.scope").alias("scope"))
 
 
 # Vectors
