@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,32 +32,80 @@ def with_unit(vectors: DataFrame, column: str, name: str = "_unit") -> DataFrame
     return t.withColumn(name, F.transform(column, lambda x: x.cast("double") / F.col("_norm"))).drop("_norm")
 
 
-def _apart(a: Column, b: Column) -> Column:
-    """Distance of two vectors; the shorter one goes on with zeros."""
-    square = F.zip_with(a, b, lambda x, y: F.pow(F.coalesce(x, F.lit(0.0)) - F.coalesce(y, F.lit(0.0)), F.lit(2)))
-    return F.sqrt(F.aggregate(square, F.lit(0.0), lambda s, x: s + x))
+#: A block of vectors: no fewer than this many where there are more, and no more bytes than these.
+BLOCK, BLOCK_BYTES = 4096, 64 << 20
 
 
-def merge_edges(vectors: DataFrame, threshold: float = 0.92, key: str = "fingerprint", pivots: int = 8) -> DataFrame:
+def _block_edges(threshold: float):
+    """For rows in the order of (dim, i, j, side): pairs of a row of side 0 and one of side 1 of the same tile.
+
+    A task holds one block and meets the other batch by batch. Products in single precision find
+    candidates, with more room than their rounding needs; products in double precision decide.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, held, left = None, [], None
+
+        def units(keys: pa.Array, v: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+            with np.errstate(all="ignore"):
+                norm = np.sqrt(np.einsum("ij,ij->i", v, v))
+                x = v / np.where(norm == 0, 1.0, norm)[:, None]
+            good = ~np.isnan(x).any(axis=1)
+            return keys.filter(pa.array(good)), x[good]
+
+        def pairs(keys: pa.Array, x: np.ndarray):
+            low = np.float32(threshold - 1e-5 - 2e-7 * x.shape[1])
+            x32 = x.astype(np.float32)
+            for at in range(0, len(left[1]), 1024):
+                i, j = np.nonzero(left[2][at : at + 1024] @ x32.T >= low)
+                for of in range(0, len(i), 100_000):
+                    a, b = i[of : of + 100_000] + at, j[of : of + 100_000]
+                    s = np.einsum("ij,ij->i", left[1][a], x[b])
+                    ok = s >= threshold
+                    if ok.any():
+                        yield pa.RecordBatch.from_arrays([left[0].take(pa.array(a[ok])), keys.take(pa.array(b[ok])), pa.array(s[ok]), pa.array(np.full(int(ok.sum()), tile[1] == tile[2]))], names=["x", "y", "similarity", "inner"])
+
+        for batch in batches:
+            heads = np.stack([batch.column(c).to_numpy() for c in ("dim", "i", "j", "side")])
+            cuts = [0, *(np.flatnonzero((heads[:, 1:] != heads[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+            for start, end in zip(cuts, cuts[1:]):
+                if start == end:
+                    continue
+                dim, i, j, side = heads[:, start].tolist()
+                if (dim, i, j) != tile:
+                    tile, held, left = (dim, i, j), [], None
+                part = batch.slice(start, end - start)
+                keys, x = units(part.column("k"), part.column("v").flatten().to_numpy().reshape(end - start, dim))
+                if side == 0:
+                    held.append((keys, x))
+                    continue
+                if left is None and held:
+                    x64 = np.concatenate([v for _, v in held])
+                    left, held = (pa.concat_arrays([k for k, _ in held]), x64, x64.astype(np.float32)), []
+                if left is not None:
+                    yield from pairs(keys, x)
+
+    return run
+
+
+def merge_edges(vectors: DataFrame, threshold: float = 0.92, key: str = "fingerprint") -> DataFrame:
     """Pairs (a, b, similarity) of a < b whose vectors have cosine >= threshold; all of them.
 
-    Unit vectors of such a cosine lie at most sqrt(2 - 2 * threshold) apart, and by no more do their
-    distances to any third vector differ. `pivots` vectors of the table serve as third ones. The
-    distances to the first two, in steps of that width, are the cell of a vector; a pair stands in
-    one cell or in neighbouring ones, so vectors meet by equality of cells. The other distances
-    rule pairs out before cosines are computed. Vectors with null or NaN components link with
+    Vectors are dealt to blocks by their keys, and each two blocks meet in one tile, as a product of
+    matrices. So the work grows with the square of the table, evenly over the tasks; what is
+    shuffled is the table once for each block. Vectors with null or NaN components link with
     nothing, nor do those of different dimensions.
     """
-    reach = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-6  # more than rounding can amount to
-    u = with_unit(vectors, "embedding").select(F.col(key).alias("k"), "_unit").where(~F.exists("_unit", lambda x: F.isnull(x) | F.isnan(x)))
-    thirds = [F.array(*[F.lit(float(x)) for x in r["_unit"]]) for r in u.orderBy(F.xxhash64("_unit"), "k").limit(pivots).collect()]
-    u = u.withColumn("_far", F.array(*[_apart(F.col("_unit"), p) for p in thirds]).cast("array<double>"))
-    step = lambda i, by=0: F.floor(F.coalesce(F.get("_far", F.lit(i)), F.lit(0.0)) / reach) + by
-    left = u.select(F.col("k").alias("a"), F.col("_unit").alias("va"), F.col("_far").alias("fa"), F.explode(F.array(*[F.struct(step(0, i).alias("x"), step(1, j).alias("y")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("cell"))
-    right = u.select(F.col("k").alias("b"), F.col("_unit").alias("vb"), F.col("_far").alias("fb"), F.struct(step(0).alias("x"), step(1).alias("y")).alias("cell"))
-    near = F.forall(F.zip_with("fa", "fb", lambda x, y: F.abs(x - y) <= reach), lambda ok: ok)
-    met = left.join(right, "cell").where((F.col("a") < F.col("b")) & (F.size("va") == F.size("vb")) & near)
-    return met.withColumn("similarity", dot(F.col("va"), F.col("vb"))).where(F.col("similarity") >= threshold).select("a", "b", "similarity")
+    u = vectors.select(F.col(key).alias("k"), F.col("embedding").cast("array<double>").alias("v"), F.size("embedding").alias("dim")).where(F.col("k").isNotNull() & ~F.exists("v", lambda x: F.isnull(x) | F.isnan(x)))
+    of = u.agg(F.count("*").alias("n"), F.max("dim").alias("dim")).first()
+    blocks = max(1, -(-of.n // max(1, min(max(BLOCK, of.n // 24), BLOCK_BYTES // (8 * max(1, of.dim or 1))))))
+    b, o = F.col("b"), F.col("o")
+    dealt = u.withColumn("b", F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = dealt.withColumn("side", F.explode(F.when(b == o, F.array(F.lit(0), F.lit(1))).when(b < o, F.array(F.lit(0))).otherwise(F.array(F.lit(1)))))
+    tiles = dealt.select("dim", F.least(b, o).alias("i"), F.greatest(b, o).alias("j"), "side", "k", "v").repartition(min(blocks * (blocks + 1) // 2, 1000), "dim", "i", "j").sortWithinPartitions("dim", "i", "j", "side")
+    kind = u.schema["k"].dataType.simpleString()
+    met = tiles.mapInArrow(_block_edges(threshold), f"x {kind}, y {kind}, similarity double, inner boolean").where("not inner or x < y")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
 
 
 def _sum_maps(members: DataFrame, column: str) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from datetime import datetime, timedelta
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from emberlog.operators import registry
+from emberlog.operators import registry, semantic
 
 T0 = datetime(2024, 5, 1, 10)
 
@@ -46,3 +47,19 @@ def test_explanations_of_one_window_are_counted_once(spark):
             want[i.partition("-")[0]] = min(n, key=lambda k: (-n[k], k))
     assert got == {f"{i}-{k}": s for i, s in want.items() for k in range(100)}
     assert _joined(found) <= 2 * len(rows)  # not each explanation with each entry
+
+
+def test_vectors_of_many_dimensions_meet_in_blocks(spark, monkeypatch):
+    """Evenly spread vectors share their cells, so rows of a join were pairs; products of blocks have no such rows."""
+    monkeypatch.setattr(semantic, "BLOCK", 100, raising=False)
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(900, 64))
+    x[600:] = x[:300] + 0.8 * rng.normal(size=(300, 64))
+    odd = [("inf", [float("inf")] + [0.0] * 63), ("zero", [0.0] * 64), (None, x[0].tolist()), ("empty", []), ("k001", x[0].tolist())]
+    found = semantic.merge_edges(spark.createDataFrame([(f"k{i:03}", v.tolist()) for i, v in enumerate(x)] + odd, "fingerprint string, embedding array<double>").repartition(3), 0.45)
+    keys, all_x = [f"k{i:03}" for i in range(900)] + ["k001"], np.vstack([x, x[:1]])
+    unit = all_x / np.linalg.norm(all_x, axis=1)[:, None]
+    cos = unit @ unit.T
+    want = sorted((keys[i], keys[j], round(cos[i, j], 9)) for i in range(901) for j in range(901) if keys[i] < keys[j] and cos[i, j] >= 0.45)
+    assert sorted((r.a, r.b, round(r.similarity, 9)) for r in found.collect()) == want and len(want) > 250
+    assert _joined(found) <= 9000
