@@ -178,10 +178,13 @@ def cluster_vectors(stored: DataFrame, clusters: DataFrame, scope: str, embed, d
 # Results as they are returned
 
 
-def cluster_rows_out(ranked: DataFrame) -> DataFrame:
-    """Ranked clusters for a reader: services as a list, ratios and scores to two digits."""
-    rounded = [F.bround(c, 2).alias(c) for c in ("change_ratio", "importance_score")]
-    return ranked.select("fingerprint", F.col("representative_message").alias("message"), "count", F.map_keys("services").alias("services"), "levels", "first_seen", "last_seen", "baseline_count", *rounded, "is_trigger", "merged_fingerprints")
+def cluster_rows_out(ranked: DataFrame, rounded=lambda c: F.bround(c, 2)) -> DataFrame:
+    """Ranked clusters for a reader: services as a list, ratios and scores to two digits.
+
+    `rounded` rounds them otherwise; a second rounding of the result would go up where the first did.
+    """
+    figures = [rounded(F.col(c)).alias(c) for c in ("change_ratio", "importance_score")]
+    return ranked.select("fingerprint", F.col("representative_message").alias("message"), "count", F.map_keys("services").alias("services"), "levels", "first_seen", "last_seen", "baseline_count", *figures, "is_trigger", "merged_fingerprints")
 
 
 def trigger_out(triggers: DataFrame, primary_first_seen: Column) -> DataFrame:

@@ -717,9 +717,8 @@ def cluster_vector_upsert(spark, sf_dir):
 
 @query(f"""WITH {LOGS}, {_clusters_sql("k", A)} SELECT fingerprint, message, c AS "count", list_aggregate(services, 'string_agg', ',') AS services, round(change_ratio, 1) AS change_ratio, round(score, 1) AS importance_score FROM k {_RANKED} LIMIT 10""")
 def cluster_response(spark, sf_dir):
-    out = registry.cluster_rows_out(cluster.clusters(logs(spark, sf_dir), A, DAY, "default", top=10))
-    one = [F.round(c, 1).alias(c) for c in ("change_ratio", "importance_score")]
-    return out.select("fingerprint", "message", "count", F.array_join("services", ",").alias("services"), *one)
+    out = registry.cluster_rows_out(cluster.clusters(logs(spark, sf_dir), A, DAY, "default", top=10), lambda c: F.round(c, 1))
+    return out.select("fingerprint", "message", "count", F.array_join("services", ",").alias("services"), "change_ratio", "importance_score")
 
 
 @query(f"""WITH {LOGS}, {_ROLES_SQL}, {_TRIGGER_SQL}, p AS (SELECT first_seen FROM roles WHERE role = 0)

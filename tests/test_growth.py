@@ -2,9 +2,11 @@
 
 from datetime import datetime, timedelta
 
+import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
+from emberlog import queries
 from emberlog.operators import registry, semantic
 
 T0 = datetime(2024, 5, 1, 10)
@@ -50,7 +52,7 @@ def test_explanations_of_one_window_are_counted_once(spark):
 
 
 def test_vectors_of_many_dimensions_meet_in_blocks(spark, monkeypatch):
-    """Evenly spread vectors share their cells, so rows of a join were pairs; products of blocks have no such rows."""
+    """Evenly spread vectors share their cells, so a join by cells met most pairs; products of blocks need no join."""
     monkeypatch.setattr(semantic, "BLOCK", 100, raising=False)
     rng = np.random.default_rng(7)
     x = rng.normal(size=(900, 64))
@@ -62,4 +64,15 @@ def test_vectors_of_many_dimensions_meet_in_blocks(spark, monkeypatch):
     cos = unit @ unit.T
     want = sorted((keys[i], keys[j], round(cos[i, j], 9)) for i in range(901) for j in range(901) if keys[i] < keys[j] and cos[i, j] >= 0.45)
     assert sorted((r.a, r.b, round(r.similarity, 9)) for r in found.collect()) == want and len(want) > 250
-    assert _joined(found) <= 9000
+    assert _joined(found) == 0
+
+
+def test_responses_are_rounded_once(spark, tmp_path):
+    """A ratio of 9.645 is 9.6 and not 9.65 first and then 9.7."""
+    path = str(tmp_path / "events.parquet")
+    spark.range(1000 + 9644).selectExpr("id AS event_id", "TIMESTAMP '2024-01-09 05:00:00' + make_interval(0, 0, 0, IF(id < 999, 0, 2)) AS ts", "5L AS user_id", "'view' AS event_type", "1.0D AS value", "'' AS props").write.parquet(path)
+    got = queries.cluster_response(spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{path}/*.parquet'")
+    assert [tuple(r) for r in got] == [tuple(float(v) if i > 3 else v for i, v in enumerate(r)) for r in con.execute(queries.ORACLE_SQL["cluster_response"]).fetchall()]
+    assert got[0].change_ratio == 9.6
