@@ -116,7 +116,7 @@ def _sum_maps(members: DataFrame, column: str) -> DataFrame:
 def merge_clusters(ranked: DataFrame, vectors: DataFrame, threshold: float = 0.92, min_count: int = 1, top: int | None = None) -> DataFrame:
     """Ranked clusters with those merged that links of cosine >= threshold connect.
 
-    vectors(fingerprint, embedding). Only clusters of at least `min_count` entries with a
+    ranked and vectors(fingerprint, embedding) are read several times, so they should be stored. Only clusters of at least `min_count` entries with a
     message and a vector that is not zero merge. Of a merged group the most important one
     (then the largest, then of smallest fingerprint) gives fingerprint and message; counts and
     histograms add up; the group is a trigger if one of its clusters is or its message says so; the
