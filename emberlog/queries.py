@@ -457,7 +457,9 @@ SELECT fingerprint, message AS representative_message, c AS "count", b AS baseli
   round(CASE WHEN n > 1 THEN sev + ln(c + 1) + ln(ratio + 1) + 0.5 * ln(s + 1) + CASE WHEN trig THEN 2 ELSE 0 END ELSE own END, 6) AS importance, n - 1 AS merged FROM t""")
 def merge_clusters(spark, sf_dir):
     """All clusters of the window, merged by vectors of their templates."""
-    ranked = cluster.clusters(logs(spark, sf_dir), A, DAY, "default", top=None)
+    shared_dir(spark)  # names a checkpoint folder where a local session has none
+    # one row a cluster; merging names them several times, and the log is read once
+    ranked = cluster.clusters(logs(spark, sf_dir), A, DAY, "default", top=None).checkpoint()
     vectors = ranked.select("fingerprint", _letter_counts(F.col("representative_message")).alias("embedding"))
     merged = semantic.merge_clusters(ranked, vectors, 0.98)
     return merged.select("fingerprint", "representative_message", "count", "baseline_count", "is_trigger", F.round("importance_score", 6).alias("importance"), F.size("merged_fingerprints").alias("merged"))

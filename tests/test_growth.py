@@ -76,3 +76,11 @@ def test_responses_are_rounded_once(spark, tmp_path):
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{path}/*.parquet'")
     assert [tuple(r) for r in got] == [tuple(float(v) if i > 3 else v for i, v in enumerate(r)) for r in con.execute(queries.ORACLE_SQL["cluster_response"]).fetchall()]
     assert got[0].change_ratio == 9.6
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_merging_reads_the_log_once(spark):
+    plan = queries.merge_clusters(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "parquet" not in plan  # clusters are stored before they are named several times
