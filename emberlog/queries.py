@@ -769,15 +769,25 @@ def _replay(spark, folder: str, slices: list[DataFrame], start) -> None:
         start(spark.readStream.schema(slices[0].schema).parquet(f"{folder}/in")).awaitTermination()
 
 
-def _thirds(lines: DataFrame) -> list[DataFrame]:
-    top = lines.agg(F.max("ordinal")).first()[0] or 0
-    cuts = [top // 3, 2 * top // 3]
-    return [lines.where(F.col("ordinal") <= cuts[0]), lines.where(F.col("ordinal").between(cuts[0] + 1, cuts[1])), lines.where(F.col("ordinal") > cuts[1])]
+#: Lines of a micro-batch, at most about so many.
+SLICE = 1_000_000
+
+
+def _slices(lines: DataFrame, folder: str) -> list[DataFrame]:
+    """All lines in the order of `ordinal`, in three slices or as many more as keep each small; stored once."""
+    n = lines.count()
+    k = max(3, -(-n // SLICE))
+    cuts = lines.agg(F.percentile_approx("ordinal", [i / k for i in range(1, k)], 100 * k)).first()[0] or []
+    at = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<bigint>"), lambda c: c < F.col("ordinal")))
+    dealt = lines.withColumn("_slice", at)
+    dealt.write.partitionBy("_slice").parquet(f"{folder}/slices")
+    stored = lines.sparkSession.read.schema(dealt.schema).parquet(f"{folder}/slices")
+    return [stored.where(F.col("_slice") == i).select(lines.columns) for i in range(k)]
 
 
 @query(ORACLE_SQL["cri_reassembly"])
 def stream_cri_reassembly(spark, sf_dir):
-    """Container lines in three micro-batches: fragments that are open between them wait in the state."""
+    """Container lines in three micro-batches or more: fragments that are open between them wait in the state."""
     folder, raw = shared_dir(spark), _raw(spark, sf_dir, _CRI)
     # a blank line at the end of each file closes what is open
     ends = raw.groupBy("source_ref").agg((F.max("ordinal") + 1).alias("ordinal")).select("ordinal", F.lit("").alias("text"), "source_ref")
@@ -785,7 +795,7 @@ def stream_cri_reassembly(spark, sf_dir):
     def start(lines):
         return tail.join_fragments(lines).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
 
-    _replay(spark, folder, [*_thirds(raw), tail.with_line_fields(ends).select(raw.columns)], start)
+    _replay(spark, folder, [*_slices(raw, folder), tail.with_line_fields(ends).select(raw.columns)], start)
     return spark.read.schema(raw.schema).parquet(f"{folder}/out").where("text <> ''").select("source_ref", "ordinal", "text")
 
 

@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 from datetime import datetime, timedelta, timezone
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,7 +88,8 @@ def join_fragments(lines: DataFrame, wait: str = "10m") -> DataFrame:
     State is one open line a source_ref (a container's file or stream), whose batches come in
     order; within a batch `ordinal` orders lines, and those without one stand first. A line that
     nothing has followed comes out as it stands, as complete, once lines of any source have
-    arrived `wait` later: time goes on with arrivals, so that a stream that ends, ends.
+    arrived `wait` later: time goes on with arrivals, so that a stream that ends, ends. A task holds
+    the texts of a source's micro-batch, so its size bounds the memory (`maxFilesPerTrigger`).
     """
     rest = [f for f in lines.schema.fields if f.name not in ("source_ref", "ordinal", "text")]
     ms = int(parse_duration(wait).total_seconds() * 1000)
@@ -98,35 +100,52 @@ def join_fragments(lines: DataFrame, wait: str = "10m") -> DataFrame:
         return held["ordinal"], f"{held['stamp']} {held['stream']} F {''.join(held['parts'])}", held["rest"]
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        out, held = [], json.loads(state.get[0]) if state.exists else None
+        out, held, now = [], json.loads(state.get[0]) if state.exists else None, 0
+
+        def frame() -> pd.DataFrame:
+            t = pd.DataFrame(out, columns=["ordinal", "text", "rest"]).astype({"ordinal": "Int64"})
+            out.clear()
+            return t.assign(source_ref=key[0])[["source_ref", "ordinal", "text", "rest"]]
+
         if state.hasTimedOut:
             out.append(complete(held))
             held = None
         else:
-            rows = [(None if o is None or o != o else int(o), t, r, int(at.value // 1_000_000)) for b in batches for o, t, r, at in zip(b["ordinal"], b["text"], b["rest"], b["arrived"], strict=True)]
-            for ordinal, text, more, at in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
-                now = at
-                found = line.match(text or "")
+            # columns, and equal fields once: a group holds little more than its texts
+            ordinals, texts, more, seen = [], [], [], {}
+            for b in batches:
+                ordinals.append(b["ordinal"].astype("Int64"))
+                texts += b["text"].tolist()
+                more += [seen.setdefault(r, r) for r in b["rest"]]
+                now = max(now, int(b["arrived"].max().value // 1_000_000))
+            ordinals = pd.concat(ordinals, ignore_index=True)
+            none = ordinals.isna().to_numpy()
+            numbers = ordinals.fillna(0).to_numpy(dtype="int64")
+            for i in np.lexsort((numbers, ~none)).tolist():
+                found = line.match(texts[i] or "")
                 goes_on = held is not None and found is not None and found[2] == held["stream"]
                 if held and not goes_on:
                     out.append(complete(held))
                     held = None
+                ordinal = None if none[i] else int(numbers[i])
                 if not found:
-                    out.append((ordinal, text, more))
-                    continue
-                held = held or {"ordinal": ordinal, "stamp": found[1], "stream": found[2], "parts": [], "rest": more}
-                held["parts"].append(found[4])
-                if found[3] == "F":
-                    out.append(complete(held))
-                    held = None
+                    out.append((ordinal, texts[i], more[i]))
+                else:
+                    held = held or {"ordinal": ordinal, "stamp": found[1], "stream": found[2], "parts": [], "rest": more[i]}
+                    held["parts"].append(found[4])
+                    if found[3] == "F":
+                        out.append(complete(held))
+                        held = None
+                texts[i] = None
+                if len(out) >= 10_000:
+                    yield frame()
         if held:
             state.update((json.dumps(held),))
             state.setTimeoutTimestamp(max(now, state.getCurrentWatermarkMs()) + 1)
         elif state.exists:
             state.remove()
         if out:
-            t = pd.DataFrame(out, columns=["ordinal", "text", "rest"]).astype({"ordinal": "Int64"})
-            yield t.assign(source_ref=key[0])[["source_ref", "ordinal", "text", "rest"]]
+            yield frame()
 
     joined = packed.groupBy("source_ref").applyInPandasWithState(step, "source_ref string, ordinal long, text string, rest string", "held string", "append", GroupStateTimeout.EventTimeTimeout)
     back = F.from_json("rest", StructType(rest))

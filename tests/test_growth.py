@@ -84,3 +84,18 @@ SF = "/root/testdata/sf0.001"
 def test_merging_reads_the_log_once(spark):
     plan = queries.merge_clusters(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "parquet" not in plan  # clusters are stored before they are named several times
+
+
+def test_stream_slices_stay_small(spark, tmp_path, monkeypatch):
+    """A micro-batch has a bounded number of lines, however long the table is; none is lost."""
+    monkeypatch.setattr(queries, "SLICE", 700, raising=False)
+    sizes = []
+    replay = queries._replay
+    monkeypatch.setattr(queries, "_replay", lambda spark, folder, slices, start: (sizes.extend(s.count() for s in slices), replay(spark, folder, slices, start)))
+    (tmp_path / "t").mkdir()
+    spark.range(5000).selectExpr("IF(id < 4000, id, id * 1000) AS event_id", "id % 7 AS user_id", "element_at(array('view', 'click', 'error', 'purchase'), CAST(id * 7 % 11 % 4 AS INT) + 1) AS event_type", "CAST(NULL AS TIMESTAMP) AS ts", "1.0D AS value", "'' AS props").write.parquet(str(tmp_path / "t" / "events.parquet"))
+    got = sorted(tuple(r) for r in queries.stream_cri_reassembly(spark, str(tmp_path / "t")).collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/t/events.parquet/*.parquet'")
+    assert got == sorted(con.execute(queries.ORACLE_SQL["stream_cri_reassembly"]).fetchall())
+    assert sum(sizes[:-1]) == 5000 and max(sizes) <= 720
