@@ -134,10 +134,12 @@ class Store:
         rows.hint("rebalance", *by).write.partitionBy(*by).parquet(f"{self.root}/data/batch={batch}")
         t = self.spark.read.schema(rows.schema).option("basePath", f"{self.root}/data").parquet(f"{self.root}/data/batch={batch}")
         micros = F.unix_micros((age if age is not None else F.lit(None)).cast("timestamp"))
-        # a row for each partition of this batch
-        found = t.groupBy(*[F.col(c).cast("string").alias(c) for c in by]).agg(
-            F.count("*").alias("rows"), F.min(micros).alias("low"), F.max(micros).alias("high"), F.count(micros).alias("aged"), F.min("_metadata.file_path").alias("file")
+        # by file first, which Spark counts by hash: the least of texts would sort all rows
+        files = t.groupBy(*[F.col(c).cast("string").alias(c) for c in by], F.col("_metadata.file_path").alias("file")).agg(
+            F.count("*").alias("rows"), F.min(micros).alias("low"), F.max(micros).alias("high"), F.count(micros).alias("aged")
         )
+        # a row for each partition of this batch
+        found = files.groupBy(*by).agg(F.sum("rows").alias("rows"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("aged").alias("aged"), F.min("file").alias("file"))
         pieces = []
         for r in found.collect():
             folder = unquote(r.file).rpartition("/")[0]

@@ -1,6 +1,6 @@
 """Work that must not grow faster than the tables."""
 
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 import duckdb
 import numpy as np
@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from emberlog import queries
 from emberlog.operators import registry, semantic
+from emberlog.sources.store import Store
 
 T0 = datetime(2024, 5, 1, 10)
 
@@ -99,3 +100,39 @@ def test_stream_slices_stay_small(spark, tmp_path, monkeypatch):
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/t/events.parquet/*.parquet'")
     assert got == sorted(con.execute(queries.ORACLE_SQL["stream_cri_reassembly"]).fetchall())
     assert sum(sizes[:-1]) == 5000 and max(sizes) <= 720
+
+
+def _sorts_files(frame) -> bool:
+    """Whether an executed plan sorts rows as it reads them from files, before anything has made them fewer."""
+    todo = [(frame._jdf.queryExecution().executedPlan(), False)]
+    while todo:
+        p, sort = todo.pop()
+        kind = p.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append((p.executedPlan(), False))
+        elif kind.endswith("QueryStageExec"):
+            todo.append((p.plan(), False))
+        if sort and kind == "FileSourceScanExec":
+            return True
+        sort = not kind.endswith("HashAggregateExec") and (sort or kind == "SortExec")
+        children = p.children()
+        todo += [(children.apply(i), sort) for i in range(children.size())]
+    return False
+
+
+def test_stored_rows_are_counted_without_sorting_them(spark, tmp_path, monkeypatch):
+    """One task may read all rows of a scope; to count them it needn't hold them. Many files are one piece."""
+    rows = spark.range(1000).select(F.when(F.col("id") % 10 > 0, "a").alias("scope"), F.col("id"), F.when(F.col("id") % 20 > 0, F.lit(T0) + F.make_interval(secs=F.col("id"))).alias("at"))
+    seen, kind = [], type(rows)
+    collect = kind.collect
+    monkeypatch.setattr(kind, "collect", lambda self: (collect(self), seen.append(self))[0])
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", 30)
+    try:
+        pieces = Store(spark, str(tmp_path)).write(rows, ("scope",), F.col("at"))[1]
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    low = int(T0.replace(tzinfo=timezone.utc).timestamp())
+    found = {p["at"]["scope"]: (p["rows"], p["low"], p["high"]) for p in pieces}
+    assert len(pieces) == 2 and found == {"a": (900, (low + 1) * 1_000_000, (low + 999) * 1_000_000), None: (100, (low + 10) * 1_000_000, None)}
+    assert len(list((tmp_path / "data").rglob("*.parquet"))) > 20
+    assert len(seen) == 1 and not _sorts_files(seen[0])
