@@ -8,19 +8,13 @@ from pyarrow.dataset import dataset
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import shared_dir
+from ..operators.graph import connected_components  # noqa: F401  for the operators here
+from ..session import shared_dir, stored  # noqa: F401
 
 #: A word of the corpus contracts: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
-    """Cut lineage: write df as a Parquet table in the shared folder and read it again."""
-    path = f"{folder}/{name}"
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def shared_batches(path: str, columns: list[str], where=None, rows: int = 20_000):
     """In a task: the rows of a table that was stored in the shared folder, batch by batch."""
     uri = "file://" + path[5:] if path.startswith("file:/") and not path.startswith("file://") else path
@@ -80,32 +74,6 @@ def skew_safe_join(big: DataFrame, small: DataFrame, key: str, counts: DataFrame
     return big.where(~is_hot).join(small.where(~is_hot), key, how).unionByName(big.where(is_hot).join(F.broadcast(small.where(is_hot)), key, how))
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Smallest node reachable from each node: (node, root), for nodes that have an edge.
-
-    edges(a, b) of any orderable type. Alternates large-star and small-star rounds, which
-    need few rounds even on long chains; all state stays in distributed, checkpointed tables.
-    """
-    shared_dir(edges.sparkSession)  # sets a checkpoint folder where there is none
-    e = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().checkpoint()
-    mark = None
-    for _ in range(max_rounds):
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where(F.col("b") > F.col("a")).join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where(F.col("a") != F.col("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("p"))
-        e = small.select("p.a", "p.b").where(F.col("a") != F.col("b")).distinct().checkpoint()
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
-        if now == mark:
-            break
-        mark = now
-    else:
-        raise RuntimeError("components did not settle")
-    return e.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root").unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-
-
 def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Smallest index reachable over the pairs (a, b) from each of n local indices."""
     root = np.arange(n)

@@ -5,25 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import shared_dir
+from ..session import shared_dir, stored
 
 
-def min_label_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """(node, component): each node with the smallest node that it can reach over edges(a, b).
+def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """Smallest node reachable from each node: (node, root), for nodes that have an edge.
 
-    Labels go to neighbours and then jump to the label of the label, so that a chain halves
-    with each round; rounds end when no label changes. State is checkpointed.
+    edges(a, b) of any orderable type. Alternates large-star and small-star rounds, which
+    need few rounds even on long chains. State stays in tables of the shared folder, two at a
+    time: a checkpoint() keeps the size that the planner estimated, a product over its joins,
+    so that this number had twice or more digits after each round, until it filled the driver.
     """
-    shared_dir(edges.sparkSession)  # names a checkpoint folder where a local session has none
-    both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct().checkpoint()
-    labels = nodes.select("node", F.col("node").alias("component")).checkpoint()
-    for _ in range(max_rounds):
-        offered = both.join(labels.withColumnRenamed("node", "a"), "a").groupBy(F.col("b").alias("node")).agg(F.min("component").alias("_o"))
-        step = labels.join(offered, "node", "left").select("node", F.least("component", F.coalesce("_o", "component")).alias("component"), F.col("component").alias("_was"))
-        up = step.select(F.col("node").alias("component"), F.col("component").alias("_up"))
-        after = step.join(up, "component", "left").select("node", F.least("component", F.coalesce("_up", "component")).alias("component"), "_was").checkpoint()
-        changed = not after.where("component <> _was").isEmpty()
-        labels = after.select("node", "component")
-        if not changed:
-            return labels
-    raise RuntimeError("components did not settle")
+    folder = shared_dir(edges.sparkSession)
+    e = stored(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), folder, "links0")
+    mark = None
+    for k in range(1, max_rounds + 1):
+        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.where(F.col("b") > F.col("a")).join(low.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = large.where(F.col("a") != F.col("b")).distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(low.hint("merge"), "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("p"))
+        e = stored(small.select("p.a", "p.b").where(F.col("a") != F.col("b")).distinct(), folder, f"links{k % 2}")
+        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
+        if now == mark:
+            break
+        mark = now
+    else:
+        raise RuntimeError("components did not settle")
+    return e.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root").unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+def min_label_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, component): each node with the smallest node that it can reach over edges(a, b); checkpointed."""
+    roots = connected_components(edges).hint("merge")
+    return nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("component")).checkpoint()

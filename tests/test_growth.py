@@ -7,7 +7,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from emberlog import queries
-from emberlog.operators import registry, semantic
+from emberlog.llm.common import connected_components
+from emberlog.operators import graph, registry, semantic
 from emberlog.sources.store import Store
 
 T0 = datetime(2024, 5, 1, 10)
@@ -136,3 +137,19 @@ def test_stored_rows_are_counted_without_sorting_them(spark, tmp_path, monkeypat
     assert len(pieces) == 2 and found == {"a": (900, (low + 1) * 1_000_000, (low + 999) * 1_000_000), None: (100, (low + 10) * 1_000_000, None)}
     assert len(list((tmp_path / "data").rglob("*.parquet"))) > 20
     assert len(seen) == 1 and not _sorts_files(seen[0])
+
+
+def test_estimates_of_components_do_not_multiply(spark):
+    """Each round of checkpoints multiplied the planner's size of the table with itself, until the number filled the driver."""
+    rng = np.random.default_rng(11)
+    ids = [f"{i:02}" for i in rng.permutation(60)]
+    links = list(zip(ids[:40], ids[1:40])) + [(ids[40], x) for x in ids[41:55]] + [(ids[0], ids[0]), (ids[3], ids[2])]
+    groups = [ids[:40], ids[40:55]]
+    want = {x: min(g) for g in groups for x in g}
+    edges = spark.createDataFrame(links, "a string, b string")
+    parts = graph.min_label_components(spark.createDataFrame([(x,) for x in ids], "node string"), edges)
+    assert parts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1 << 100  # the nodes count as 2^63 bytes
+    assert sorted(map(tuple, parts.collect())) == sorted((x, want.get(x, x)) for x in ids)
+    roots = connected_components(edges)
+    assert roots._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1 << 30
+    assert {r.node: r.root for r in roots.collect()} == want
