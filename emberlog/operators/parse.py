@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,14 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, _EDGE, "")
 
 
+def _named(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where the value is computed once a row, however often `use` names it.
+
+    As an argument of a function it stands once in the plan, too.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def sniff_format(line: Column) -> Column:
     """json for a line that is one object by its looks, else text."""
     s = strip(line)
@@ -43,10 +53,15 @@ def timestamp_field(value: Column) -> Column:
     are searched for a time.
     """
     number = F.when(value.rlike(r"^\s*-?\d+(\.\d+)?([eE][+-]?\d+)?\s*$"), value.try_cast("double"))
-    day = F.regexp_replace(F.regexp_replace(strip(value), r"(?i)^(mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+", ""), r"\b(GMT|UTC|Z)$", "+0000")
-    iso = F.when(day.rlike(r"^\d{4}-\d\d?-\d\d?"), F.try_to_timestamp(strip(value)))
-    forms = [F.when(day.rlike(shape), F.try_to_timestamp(day, F.lit(form))) for shape, form in patterns.DATE_FORMS]
-    return F.when(number.isNotNull(), _epoch(number, True)).otherwise(F.coalesce(iso, *forms, timestamp_in(value)))
+    bare = lambda x: F.regexp_replace(F.regexp_replace(x, r"(?i)^(mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+", ""), r"\b(GMT|UTC|Z)$", "+0000")
+
+    def dated(stripped: Column, day: Column) -> Column:
+        iso = F.when(day.rlike(r"^\d{4}-\d\d?-\d\d?"), F.try_to_timestamp(stripped))
+        forms = [F.when(day.rlike(shape), F.try_to_timestamp(day, F.lit(form))) for shape, form in patterns.DATE_FORMS]
+        return F.coalesce(iso, *forms, timestamp_in(value))
+
+    text = _named(strip(value), lambda x: _named(bare(x), lambda day: dated(x, day)))
+    return _named(number, lambda n: F.when(n.isNotNull(), _epoch(n, True)).otherwise(text))
 
 
 _STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
@@ -74,7 +89,6 @@ def compact_json(c: Column) -> Column:
 
 def json_members(c: Column) -> Column:
     """The members of a valid JSON object as texts `"key":value`, in order, equal keys included."""
-    tokens = F.regexp_extract_all(_close(c), F.lit(r'"[^"]*+"|[{}\[\],]|[^"{}\[\],]+'), F.lit(0))
     start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(0).alias("begin"), F.array().cast("array<struct<begin:int,n:int>>").alias("found"))
 
     def step(s: Column, t: Column) -> Column:
@@ -88,15 +102,18 @@ def json_members(c: Column) -> Column:
             F.when(end & (n > 0), F.array_append(s["found"], F.struct(s["begin"].alias("begin"), n.alias("n")))).otherwise(s["found"]).alias("found"),
         )
 
-    parts = F.aggregate(tokens, start, step, lambda s: s["found"])
-    return F.transform(parts, lambda p: _bare(F.array_join(F.slice(tokens, p["begin"], p["n"]), "")))
+    def members(tokens: Column) -> Column:
+        parts = F.aggregate(tokens, start, step, lambda s: s["found"])
+        return F.transform(parts, lambda p: _bare(F.array_join(F.slice(tokens, p["begin"], p["n"]), "")))
+
+    return _named(F.regexp_extract_all(_close(c), F.lit(r'"[^"]*+"|[{}\[\],]|[^"{}\[\],]+'), F.lit(0)), members)
 
 
 def _last_members(c: Column) -> Column:
     """The members of json_members, of equal keys the last, in the place of the first."""
     named = F.transform(json_members(c), lambda m: F.struct(F.get(F.json_object_keys(F.concat(F.lit("{"), m, F.lit("}"))), F.lit(0)).alias("key"), m.alias("member")))
-    names = F.array_distinct(F.transform(named, lambda m: m["key"]))
-    return F.transform(names, lambda n: F.element_at(F.filter(named, lambda m: m["key"] == n), -1))
+    names = lambda found: F.array_distinct(F.transform(found, lambda m: m["key"]))
+    return _named(named, lambda found: F.transform(names(found), lambda n: F.element_at(F.filter(found, lambda m: m["key"] == n), -1)))
 
 
 def last_members(c: Column) -> Column:
@@ -130,8 +147,7 @@ def is_json_object(text: Column) -> Column:
 
 
 def repeats_keys(text: Column) -> Column:
-    keys = F.json_object_keys(text)
-    return F.size(keys) > F.size(F.array_distinct(keys))
+    return _named(F.json_object_keys(text), lambda keys: F.size(keys) > F.size(F.array_distinct(keys)))
 
 
 def json_object(text: Column) -> Column:
@@ -141,10 +157,12 @@ def json_object(text: Column) -> Column:
     """
     alone = F.json_object_keys(F.concat(F.lit('{"x":'), text, F.lit("}"))).isNotNull()
     plain = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<map<string,string>>", _STRICT)
-    last = _last_members(text)
-    kept = F.map_from_arrays(F.transform(last, lambda m: m["key"]), F.transform(last, lambda m: F.element_at(_one_map(m["member"]), m["key"])))
+    values = lambda last: F.transform(last, lambda m: F.element_at(_one_map(m["member"]), m["key"]))
+    kept = _named(_last_members(text), lambda last: F.map_from_arrays(F.transform(last, lambda m: m["key"]), values(last)))
     rare = F.when(is_json_object(text), kept)
-    return F.when(alone, F.when(repeats_keys(text), rare).otherwise(F.when(F.size(plain) == 1, F.get(plain, F.lit(0)))))
+    again = lambda m: F.size(F.map_keys(m)) > F.size(F.array_distinct(F.map_keys(m)))  # noqa: E731  the map has equal keys as they stand
+    members = _named(plain, lambda found: F.when(F.size(found) == 1, F.get(found, F.lit(0))))
+    return F.when(alone, _named(members, lambda m: F.when(m.isNotNull() & ~again(m), m).when(repeats_keys(text), rare)))
 
 
 def solid(found: Column, text: Column) -> Column:
@@ -153,10 +171,10 @@ def solid(found: Column, text: Column) -> Column:
     The strings "0" and "false" are values; only where a value looks like one of these is the text asked.
     """
     empty = r':(null|false|-?0(\.0+)?([eE][+-]?\d+)?|""|\[\]|\{\})$'
-    looks = F.exists(F.map_values(found), lambda v: v.rlike(r"^(false|-?0(\.0+)?([eE][+-]?\d+)?|\[\]|\{\})$"))
+    looks = lambda m: F.exists(F.map_values(m), lambda v: v.rlike(r"^(false|-?0(\.0+)?([eE][+-]?\d+)?|\[\]|\{\})$"))
     gone = F.transform(F.filter(_last_members(text), lambda m: m["member"].rlike(empty)), lambda m: m["key"])
-    asked = F.map_filter(found, lambda k, v: v.isNotNull() & (v != "") & ~F.array_contains(gone, k))
-    return F.when(looks, asked).otherwise(F.map_filter(found, lambda _, v: v.isNotNull() & (v != "")))
+    asked = lambda m: _named(gone, lambda names: F.map_filter(m, lambda k, v: v.isNotNull() & (v != "") & ~F.array_contains(names, k)))
+    return _named(found, lambda m: F.when(looks(m), asked(m)).otherwise(F.map_filter(m, lambda _, v: v.isNotNull() & (v != ""))))
 
 
 def once(rows: DataFrame, name: str, value: Column) -> DataFrame:
@@ -168,12 +186,15 @@ def once(rows: DataFrame, name: str, value: Column) -> DataFrame:
     return rows.select(*[c for c in rows.columns if c != name], F.explode(F.array(value)).alias(name))
 
 
-def _place(names: list[str], keys: Column, low: Column) -> Column:
-    """Where the first of the names stands among the keys, exactly or else in another case; null for nowhere."""
-    found = []
-    for n in names:
-        found += [F.nullif(F.array_position(keys, F.lit(n)), F.lit(0)), F.nullif(F.array_position(low, F.lit(n.lower())), F.lit(0))]
-    return F.coalesce(*found)
+def _aliases(keys: Column) -> Column:
+    """The keys that are aliases of a field, in any case: the field, and what puts the first of its aliases first.
+
+    Of one alias, the key that is written like it stands before those in another case.
+    """
+    names = [(F.lit(n.lower()), F.struct(F.lit(field).alias("field"), F.lit(i).alias("place"), F.lit(n).alias("name"))) for field, ns in patterns.ALIASES.items() for i, n in enumerate(ns)]
+    known = F.create_map(*[c for pair in names for c in pair])
+    found = F.transform(keys, lambda k, at: _named(known[F.lower(k)], lambda a: F.when(a.isNotNull(), F.struct(a["field"].alias("field"), a["place"].alias("place"), (a["name"] != k).alias("other"), at.alias("at"), k.alias("key")))))
+    return F.filter(found, lambda a: a.isNotNull())
 
 
 def with_parsed_json(lines: DataFrame, column: str = "text", default_service: str = "default_service", into: str = "parsed") -> DataFrame:
@@ -186,19 +207,17 @@ def with_parsed_json(lines: DataFrame, column: str = "text", default_service: st
     m = F.col("_m")
     t = once(t, "_m", json_object(F.col("_raw")))
     t = once(t, "_solid", solid(m, F.col("_raw")))
-    keys = F.map_keys(m)
-    t = once(t, "_k", F.struct(keys.alias("keys"), F.transform(keys, lambda k: F.lower(k)).alias("low")))
-    k = F.col("_k")
+    t = once(t, "_k", _aliases(F.map_keys(m)))
     # a field is the first alias that is there, be it missing by its value
-    named = lambda names: F.get(k["keys"], (_place(names, k["keys"], k["low"]) - 1).cast("int"))
-    alias = [F.element_at(m if field in ("timestamp", "message") else F.col("_solid"), named(names)).alias(field) for field, names in patterns.ALIASES.items()]
+    named = lambda field: F.array_min(F.filter("_k", lambda a: a["field"] == field))["key"]
+    alias = [F.element_at(m if field in ("timestamp", "message") else F.col("_solid"), named(field)).alias(field) for field in patterns.ALIASES]
     t = once(t, "_f", F.struct(*alias, json_object(m["kubernetes"]).alias("k8s")))
     f = F.col("_f")
     t = once(t, "_k8s", solid(f["k8s"], m["kubernetes"]))
     k8s, labelled = F.col("_k8s"), F.coalesce(F.col("_k8s")["labels"], F.col("_f")["k8s"]["pod_labels"])
-    t = once(t, "_l", solid(json_object(labelled), labelled))
+    t = once(t, "_l", _named(labelled, lambda x: solid(json_object(x), x)))
     labels = F.col("_l")
-    known = F.array(*[F.lit(n) for names in patterns.ALIASES.values() for n in names])
+    known = [n for names in patterns.ALIASES.values() for n in names]
     ok, level = m.isNotNull(), f["level"]
     row = F.struct(
         F.col("_raw").alias("raw_line"),
@@ -210,7 +229,7 @@ def with_parsed_json(lines: DataFrame, column: str = "text", default_service: st
         F.when(ok, f["request_id"]).alias("request_id"),
         F.when(ok, F.coalesce(f["host"], k8s["pod_name"], k8s["pod"], k8s["host"])).alias("host"),
         F.when(ok, F.coalesce(f["message"], F.col("_raw"))).alias("message"),
-        F.when(ok, F.map_filter(m, lambda k, _: ~F.array_contains(known, k))).alias("extra"),
+        F.when(ok, F.map_filter(m, lambda k, _: ~k.isin(known))).alias("extra"),
         F.lit("json").alias("parser_type"),
         F.when(~ok, F.lit("not a JSON object")).alias("parse_error"),
     )
