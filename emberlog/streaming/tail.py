@@ -94,7 +94,7 @@ def join_fragments(lines: DataFrame, wait: str = "10m") -> DataFrame:
     rest = [f for f in lines.schema.fields if f.name not in ("source_ref", "ordinal", "text")]
     ms = int(parse_duration(wait).total_seconds() * 1000)
     packed = lines.select("source_ref", "ordinal", "text", F.to_json(F.struct(*[f.name for f in rest])).alias("rest"), F.current_timestamp().alias("arrived")).withWatermark("arrived", f"{ms} milliseconds")
-    line = re.compile(patterns.CRI_LINE)
+    match = re.compile(patterns.CRI_LINE).match
 
     def complete(held: dict) -> tuple:
         return held["ordinal"], f"{held['stamp']} {held['stream']} F {''.join(held['parts'])}", held["rest"]
@@ -103,9 +103,10 @@ def join_fragments(lines: DataFrame, wait: str = "10m") -> DataFrame:
         out, held, now = [], json.loads(state.get[0]) if state.exists else None, 0
 
         def frame() -> pd.DataFrame:
-            t = pd.DataFrame(out, columns=["ordinal", "text", "rest"]).astype({"ordinal": "Int64"})
+            # column by column, of known types: pandas would look at each value of a list of rows
+            ordinal, text, rest = map(list, zip(*out, strict=True))
             out.clear()
-            return t.assign(source_ref=key[0])[["source_ref", "ordinal", "text", "rest"]]
+            return pd.DataFrame({"source_ref": pd.Series([key[0]] * len(text), dtype=object), "ordinal": pd.array(ordinal, dtype="Int64"), "text": pd.Series(text, dtype=object), "rest": pd.Series(rest, dtype=object)})
 
         if state.hasTimedOut:
             out.append(complete(held))
@@ -116,27 +117,31 @@ def join_fragments(lines: DataFrame, wait: str = "10m") -> DataFrame:
             for b in batches:
                 ordinals.append(b["ordinal"].astype("Int64"))
                 texts += b["text"].tolist()
-                more += [seen.setdefault(r, r) for r in b["rest"]]
+                more += [seen.setdefault(r, r) for r in b["rest"].tolist()]
                 now = max(now, int(b["arrived"].max().value // 1_000_000))
             ordinals = pd.concat(ordinals, ignore_index=True)
             none = ordinals.isna().to_numpy()
             numbers = ordinals.fillna(0).to_numpy(dtype="int64")
-            for i in np.lexsort((numbers, ~none)).tolist():
-                found = line.match(texts[i] or "")
-                goes_on = held is not None and found is not None and found[2] == held["stream"]
-                if held and not goes_on:
+            order = np.lexsort((numbers, ~none))
+            for i, number, unnumbered in zip(order.tolist(), numbers[order].tolist(), none[order].tolist(), strict=True):
+                text, ordinal = texts[i], None if unnumbered else number
+                texts[i] = None
+                stamp, stream, tag, part = found.groups() if (found := match(text or "")) else (None, None, None, None)
+                if held is not None and stream != held["stream"]:
                     out.append(complete(held))
                     held = None
-                ordinal = None if none[i] else int(numbers[i])
-                if not found:
-                    out.append((ordinal, texts[i], more[i]))
-                else:
-                    held = held or {"ordinal": ordinal, "stamp": found[1], "stream": found[2], "parts": [], "rest": more[i]}
-                    held["parts"].append(found[4])
-                    if found[3] == "F":
+                if stream is None:
+                    out.append((ordinal, text, more[i]))
+                elif held is not None:
+                    held["parts"].append(part)
+                    if tag == "F":
                         out.append(complete(held))
                         held = None
-                texts[i] = None
+                elif tag == "F":
+                    # most lines are whole as they come
+                    out.append((ordinal, f"{stamp} {stream} F {part}", more[i]))
+                else:
+                    held = {"ordinal": ordinal, "stamp": stamp, "stream": stream, "parts": [part], "rest": more[i]}
                 if len(out) >= 10_000:
                     yield frame()
         if held:
@@ -148,7 +153,8 @@ def join_fragments(lines: DataFrame, wait: str = "10m") -> DataFrame:
             yield frame()
 
     joined = packed.groupBy("source_ref").applyInPandasWithState(step, "source_ref string, ordinal long, text string, rest string", "held string", "append", GroupStateTimeout.EventTimeTimeout)
-    back = F.from_json("rest", StructType(rest))
+    # most lines, such as those of files, have nothing to read back
+    back = F.when(F.col("rest") != "{}", F.from_json("rest", StructType(rest)))
     return joined.withColumn("_r", back).select([F.col(c) if c in ("source_ref", "ordinal", "text") else F.col(f"_r.{c}").alias(c) for c in lines.columns])
 
 
